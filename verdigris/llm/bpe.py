@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import small_batches
+from verdigris.llm.common import workers_ready
 
 #: Characters of a part of a long text.
 PART = 1 << 16
@@ -76,7 +76,7 @@ def codec(path: str, pattern: str) -> RankCodec:
 
 def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:
     """Add the array of ids of each text; other columns stay."""
-    small_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
     rest = docs.drop(out)
     kind = rest.schema.add(out, "array<bigint>")
 
@@ -91,7 +91,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
 
 def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """Add the raw bytes of each array of ids; a null array gives null."""
-    small_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
     rest = docs.drop(out)
     kind = rest.schema.add(out, "binary")
 
@@ -106,7 +106,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     """Encode and decode every whole text; per row its token count and the digests of ids and bytes."""
-    small_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
 
     def run(batches):
         c = codec(path, pattern)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -15,8 +17,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch carries; a smaller setting of the user's stays."""
+def workers_ready(spark: SparkSession) -> None:
+    """Ship the package to the Python workers and bound what one Arrow batch carries."""
+    sc = spark.sparkContext
+    if getattr(sc, "_verdigris_shipped", None) is None:
+        top = Path(__file__).resolve().parents[1]
+        archive = Path(tempfile.mkdtemp(prefix="verdigris-")) / "verdigris.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(top.rglob("*.py")):
+                z.write(file, file.relative_to(top.parent))
+        sc.addPyFile(str(archive))
+        sc._verdigris_shipped = archive
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
         spark.conf.set(rows, ARROW_ROWS)

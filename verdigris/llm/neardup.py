@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import small_batches, written
+from verdigris.llm.common import workers_ready, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 ROWS, BANDS, SIGNATURE, BATCH, MISS = 5, 40, 128, 32, 1e-6
@@ -115,7 +115,7 @@ def minhashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 def sketches(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
     """id, n, fp1, fp2 (of the set), sig (low halves of minhashes), keys (of the bands)."""
-    small_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
     n_hashes, salt = max(rows * bands, SIGNATURE), np.arange(bands, dtype="u8") * np.uint64(0xD1B54A32D192ED03)
 
     def run(batches):
@@ -155,7 +155,7 @@ def least_matches(threshold: float, miss: float, size: int = SIGNATURE, batch: i
 def likely(pairs: DataFrame, signatures: DataFrame, threshold: float, miss: float = MISS) -> DataFrame:
     """Pairs (a, b) whose signatures survive every batch."""
     steps = least_matches(threshold, miss)
-    small_batches(pairs.sparkSession)
+    workers_ready(pairs.sparkSession)
 
     def run(batches):
         for t in batches:
@@ -174,7 +174,7 @@ def likely(pairs: DataFrame, signatures: DataFrame, threshold: float, miss: floa
 
 def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, numerator: int = NUMERATOR, denominator: int = DENOMINATOR) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity."""
-    small_batches(pairs.sparkSession)
+    workers_ready(pairs.sparkSession)
 
     def run(batches):
         sets = lru_cache(maxsize=64)(lambda text: shingle_set(text, width))

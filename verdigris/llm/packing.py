@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.llm.bpe import RankCodec
-from verdigris.llm.common import small_batches, written
+from verdigris.llm.common import workers_ready, written
 
 #: Fixed value: the split that byte-level pre-tokenizers apply before merging.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -85,7 +85,7 @@ def cut(n: int, capacity: int) -> list[tuple[int, int]]:
 
 def pieces(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """Tokenize and cut: doc_id, piece, start, length, ids_crc32 (and ids, if asked for)."""
-    small_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     end = np.array([end_id], "<u4").tobytes()
 

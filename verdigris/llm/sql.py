@@ -1,3 +1,32 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 SQL: dict[str, str] = {}
+
+SQL["op5_quality_rules"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), g AS (
+  SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS k FROM d WHERE len(w) > 2
+), h AS (
+  SELECT doc_id, k, w[k] AS a, w[k + 1] AS b, w[k + 2] AS c FROM g
+), r AS (
+  SELECT doc_id, k FROM (SELECT doc_id, k, count(*) OVER (PARTITION BY doc_id, a, b, c) AS times FROM h) WHERE times > 1
+), p AS (
+  SELECT doc_id, count(*) AS n FROM (SELECT doc_id, k FROM r UNION SELECT doc_id, k + 1 FROM r UNION SELECT doc_id, k + 2 FROM r) GROUP BY doc_id
+), s AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(p.n, 0) AS BIGINT) AS n_repeat_words,
+    length(regexp_replace(t, '[^A-Z]', '', 'g')) AS n_upper, len(l) AS n_lines,
+    len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{L}\p{N}]'))) AS n_bare_words
+  FROM d LEFT JOIN p ON p.doc_id = d.doc_id
+), b AS (
+  SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed FROM s
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 100 * n_symbols > 10 * n_words OR 100 * n_bare_words > 20 * n_words OR 100 * n_upper > 40 * word_chars
+    OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 40 * n_lines) AS kept
+FROM b
+"""

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import Memo, small_batches
+from verdigris.llm.common import Memo, workers_ready
 
 SPACE = "▁"
 #: Characters of a chunk; compiled transitions and units kept in a worker.
@@ -168,7 +168,7 @@ def transducer(path: str) -> PieceTransducer:
 
 def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
     """Per row: doc_id, UTF-8 bytes, tokens, and whether they exceed the limit."""
-    small_batches(docs.sparkSession)
+    workers_ready(docs.sparkSession)
 
     def run(batches):
         t = transducer(path)
