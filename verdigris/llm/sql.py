@@ -30,3 +30,38 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 100 * n_dup_lines > 40 * n_lines) AS kept
 FROM b
 """
+
+
+def _license_sql() -> str:
+    from verdigris.llm.licenses import COVERAGE, PHRASES, SHIFT, TEMPLATES
+
+    known = [(*x, True) for x in PHRASES] + [(*x, False) for x in TEMPLATES]
+    rows = ", ".join(f"({k}, {at}, '{a}', '{b}')" for k, (words, *_) in enumerate(known) for at, (a, b) in enumerate(zip(words.split(), words.split()[1:], strict=False)))
+    sizes = ", ".join(f"({k}, {len(words.split()) - 1}, '{label}', {str(base).lower()})" for k, (words, label, base) in enumerate(known))
+    return rf"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), g AS (
+  SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM d WHERE len(w) > 1
+), t(template, place, a, b) AS (VALUES {rows}), k(template, size, label, base) AS (VALUES {sizes}),
+hit AS (
+  SELECT g.doc_id, t.template, t.place, g.k - 1 AS pos, g.k - 1 - t.place AS own FROM g JOIN t ON g.w[g.k] = t.a AND g.w[g.k + 1] = t.b
+), vote AS (
+  SELECT hit.doc_id, hit.template, own - s.shift AS diagonal, count(DISTINCT place) AS votes, max(pos) - min(pos) AS span, any_value(size) AS size, any_value(label) AS label, any_value(base) AS base
+  FROM hit JOIN k USING (template) JOIN (SELECT unnest(range(0, {SHIFT + 1})) AS shift) s ON s.shift = 0 OR NOT k.base
+  GROUP BY ALL
+), judged AS (
+  SELECT *, base AND votes = size AS whole, NOT base AND votes / CAST(size AS DOUBLE) >= {COVERAGE} AND span < size + {SHIFT} AS noted FROM vote
+), f AS (
+  SELECT doc_id, count(*) FILTER (whole) AS n_base, min(diagonal) FILTER (whole) AS first_word, max(diagonal) FILTER (whole) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole) AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) FILTER (whole OR noted) AS labels,
+    max(CASE WHEN whole THEN 1.0 WHEN noted THEN votes / CAST(size AS DOUBLE) END) AS score
+  FROM judged GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM d LEFT JOIN f ON f.doc_id = d.doc_id
+"""
+
+
+SQL["op6_license_scan"] = _license_sql()
