@@ -7,11 +7,15 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm import bpe, licenses, neardup, packing, quality_rules, token_fst
+from verdigris.llm import bpe, licenses, neardup, packing, quality_model, quality_rules, token_fst
 from verdigris.llm.common import table
 from verdigris.llm.sql import SQL
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_model.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
