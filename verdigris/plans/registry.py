@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Plan modules; each has QUERIES (name -> callable) and SQL (name -> text).
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("flagship", "texts")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
