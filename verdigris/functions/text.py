@@ -5,7 +5,7 @@ Patterns avoid look-around and back-references where an oracle in RE2 must agree
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verdigris import vocab
@@ -264,7 +264,7 @@ def short_answer(text: Column) -> Column:
     """Lower-cased, leading articles dropped one each, punctuation but the hyphen to spaces, squeezed."""
     out = F.trim(F.lower(text))
     for a in ("the ", "a ", "an "):
-        out = F.when(out.startswith(a), F.substr(out, F.lit(len(a) + 1))).otherwise(out)
+        out = F.regexp_replace(out, "^" + a, "")
     return squeezed(F.regexp_replace(out, r"[!-,./:-@\[-`{-~]", " "))
 
 
@@ -312,25 +312,29 @@ def routing_override(decision: Column) -> Column:
     return decision.isNotNull() & (decision != "answer")
 
 
-def scored_answer(response: Column, gold: Column, decision: Column | None = None, abstain: tuple[str, ...] = ("i don't know", "cannot determine", "unable to")) -> tuple[Column, Column]:
-    """(verdict, layer) of a short answer, by the first layer that decides."""
-    text, r, g = F.trim(response), short_answer(response), short_answer(gold)
-    padded, needle = F.concat(F.lit(" "), r, F.lit(" ")), F.concat(F.lit(" "), g, F.lit(" "))
-    at = F.instr(padded, needle) - 1
-    inside = (g != "") & (at >= 0) & ~negated_before(r, at)
+def score_answers(replies: DataFrame, abstain: tuple[str, ...] = ("i don't know", "cannot determine", "unable to")) -> DataFrame:
+    """Add (verdict, layer) to (response, gold, decision): the first layer that decides.
+
+    The normalised answers are columns of their own, which keeps the generated code small.
+    """
+    plain = replies.withColumns({"__r": short_answer(F.col("response")), "__g": short_answer(F.col("gold"))})
+    found = plain.withColumn("__at", F.instr(F.concat(F.lit(" "), F.col("__r"), F.lit(" ")), F.concat(F.lit(" "), F.col("__g"), F.lit(" "))) - 1)
+    r, g, at = F.col("__r"), F.col("__g"), F.col("__at")
+    found = found.withColumn("__inside", (g != "") & (at >= 0) & ~negated_before(r, at))
+    text, inside = F.trim("response"), F.col("__inside")
     cases = [
-        ("routing_override", "routing_override", routing_override(decision) if decision is not None else F.lit(False)),
+        ("routing_override", "routing_override", routing_override(F.col("decision"))),
         ("incorrect", "empty_response", text.isNull() | (text == "")),
         ("abstain", "abstain_detected", F.lower(text).rlike("|".join(abstain))),
         ("correct", "exact_normalized", (g != "") & (r == g)),
         ("judge_review", "short_gold_late_match", inside & (F.length(g) <= 3) & (at >= 50)),
         ("correct", "substring", inside),
-        ("judge_review", "verbose_with_single_token_gold", (F.length(text) > 100) & ~F.contains(F.trim(gold), F.lit(" "))),
+        ("judge_review", "verbose_with_single_token_gold", (F.length(text) > 100) & ~F.contains(F.trim("gold"), F.lit(" "))),
     ]
     verdict, layer = F.lit("incorrect"), F.lit("no_match")
     for v, name, test in reversed(cases):
         verdict, layer = F.when(test, v).otherwise(verdict), F.when(test, name).otherwise(layer)
-    return verdict, layer
+    return found.select(*replies.columns, verdict.alias("verdict"), layer.alias("layer"))
 
 
 def tags_in_order(tests: dict[str, Column]) -> Column:

@@ -70,7 +70,7 @@ def c9_first_sentence(spark, sf_dir):
 def _votes_sql() -> str:
     votes = {k: f"len(list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda t: t IN ({', '.join(repr(w) for w in words)})))" for k, words in vocab.PROBE_LANGUAGES.items()}
     best = "greatest(" + ", ".join(votes.values()) + ")"
-    return "CASE " + " ".join(f"WHEN {best} > 0 AND {v} = {best} THEN '{k}'" for k, v in votes.items()) + " ELSE 'en' END"
+    return "CASE " + " ".join(f"WHEN len(regexp_extract_all(text, '[A-Za-z]')) >= 6 AND {best} > 0 AND {v} = {best} THEN '{k}'" for k, v in votes.items()) + " ELSE 'en' END"
 
 
 @query(f"SELECT doc_id, lang, {_votes_sql()} AS detected FROM documents")
@@ -228,8 +228,8 @@ CASE WHEN doc_id % 10 = 9 THEN 'routing_override' WHEN doc_id % 10 = 8 THEN 'emp
 def c39_c40_answer_scorer(spark, sf_dir):
     response = F.expr("CASE doc_id % 10 WHEN 8 THEN '  ' WHEN 7 THEN 'I don''t know that' WHEN 6 THEN 'The Blue Whale!' WHEN 5 THEN concat(repeat('filler text ', 6), 'oslo is big, og it is') WHEN 4 THEN 'it is not a blue whale' ELSE 'surely a blue whale, yes' END")
     gold = F.expr("CASE WHEN doc_id % 10 = 5 THEN 'og' ELSE 'blue whale' END")
-    verdict, layer = T.scored_answer(response, gold, F.expr("CASE WHEN doc_id % 10 = 9 THEN 'verify' END"))
-    return table(spark, sf_dir, "documents").select("doc_id", verdict.alias("verdict"), layer.alias("layer"))
+    replies = table(spark, sf_dir, "documents").select("doc_id", response.alias("response"), gold.alias("gold"), F.expr("CASE WHEN doc_id % 10 = 9 THEN 'verify' END").alias("decision"))
+    return T.score_answers(replies).select("doc_id", "verdict", "layer")
 
 
 @query(f"SELECT conv_id, turn, concat_ws(',', CASE WHEN NOT {_has(('the',))} THEN 'object' END, CASE WHEN NOT {_has(('for', 'to'))} THEN 'purpose' END, CASE WHEN length(text) < 60 THEN 'detail' END) AS missing FROM conversations")
