@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -23,6 +26,19 @@ def local_session(cores: int | str = 8, app: str = "verdigris", shuffle_partitio
     )
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the Python workers, once for a session."""
+    sc = spark.sparkContext
+    if getattr(sc, "_verdigris_package", None) is None:
+        top = Path(__file__).resolve().parent
+        archive = Path(tempfile.mkdtemp(prefix="verdigris-")) / "verdigris_package.zip"
+        with zipfile.ZipFile(archive, "w") as z:
+            for file in sorted(top.rglob("*.py")):
+                z.write(file, file.relative_to(top.parent))
+        sc.addPyFile(str(archive))
+        sc._verdigris_package = archive
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table, read through Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
