@@ -4,8 +4,8 @@
    shingle set, band keys of its minhashes and a short signature. Equal sets collapse into
    one class, represented by its smallest id, so copies never form pairs.
 2. Members of a band bucket are candidates. First each is paired with the bucket's smallest
-   member (a star, linear in the bucket); links found join components; then only members
-   of different components of one bucket are paired.
+   member (a star, linear in the bucket); links found join components; then members of
+   different components of one bucket meet in tiles of bounded blocks, never as rows.
 3. Candidates compare their signatures batch by batch and are dropped as soon as the
    posterior probability of reaching the threshold falls below ``miss``; survivors are
    confirmed on their full shingle sets as byte strings.
@@ -191,6 +191,81 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, numerator:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+def tile_links(left: list[dict], right: list[dict], key: int, width: int, numerator: int, denominator: int, steps) -> list[tuple[int, int]]:
+    """Links between two blocks of one bucket that join different components; others need no test.
+
+    A pair is tested in the first band that it shares only. Signatures are compared in
+    batches for all pairs at once; survivors are confirmed on full sets, the likeliest first.
+    """
+    sig = [np.frombuffer(b"".join(m["sig"] for m in side), "<u2").reshape(len(side), -1) for side in (left, right)]
+    ids, comps = ([np.array([m[f] for m in side]) for side in (left, right)] for f in ("id", "comp"))
+    x, y = np.nonzero(comps[0][:, None] != comps[1][None, :])
+    matches, done = np.zeros(len(x), int), 0
+    for n, least in steps:
+        matches = matches + (sig[0][x, done:n] == sig[1][y, done:n]).sum(axis=1)
+        alive = matches >= least
+        x, y, matches, done = x[alive], y[alive], matches[alive], n
+    if not len(x):
+        return []
+    keys = [np.array([m["keys"] for m in side]) for side in (left, right)]
+    here = (keys[0] == key).argmax(axis=1)
+    first = (keys[0][x] == keys[1][y]).argmax(axis=1) == here[x]
+    order = np.argsort(-matches[first], kind="stable")
+    x, y = x[first][order], y[first][order]
+    root: dict[int, int] = {}
+
+    def find(c: int) -> int:
+        while root.get(c, c) != c:
+            c = root[c]
+        return c
+
+    sets = lru_cache(maxsize=None)(lambda side, k: shingle_set((left, right)[side][k]["text"], width))
+    found = []
+    for i, j in zip(x.tolist(), y.tolist(), strict=True):
+        c, d = find(comps[0][i]), find(comps[1][j])
+        if c == d:
+            continue
+        p, q = sets(0, i), sets(1, j)
+        if denominator * min(len(p), len(q)) < numerator * max(len(p), len(q)):
+            continue
+        shared = len(p & q)
+        if denominator * shared >= numerator * (len(p) + len(q) - shared):
+            found.append((int(ids[0][i]), int(ids[1][j])))
+            root[c] = d
+    return found
+
+
+def between(buckets: DataFrame, labels: DataFrame, full: DataFrame, texts: DataFrame, threshold: float, miss: float, width: int, numerator: int, denominator: int, size: int = 128, most_chars: int = 4_000_000) -> DataFrame:
+    """Links (a, b) between different components that share a bucket, found in tiles of bounded blocks.
+
+    In each bucket, members outside its largest component meet all members. Pairs are never
+    rows: a tile is one row, and only confirmed links leave it.
+    """
+    member = written(buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "members")
+    parts = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    main = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", F.col("main.comp").alias("main"))
+    mixed_ = written(member.join(main, "key"), "mixed")
+    known = texts.join(full.select("id", "sig", "keys", "n").distinct(), "id").filter(F.col("text").isNotNull())
+    there = written(mixed_.join(known, "id").select("key", F.col("comp") != F.col("main"), F.struct("id", "comp", "sig", "keys", "text").alias("m")).toDF("key", "outside", "m"), "bucket-texts")
+    spread = lambda n, chars: F.greatest(F.ceil(n / size), F.ceil(chars / most_chars), F.lit(1)).cast("int")
+    chars = F.length("m.text")
+    counts = written(there.groupBy("key").agg(spread(F.count("*"), F.sum(chars)).alias("all"), spread(F.count_if("outside"), F.sum(F.when(F.col("outside"), chars).otherwise(0))).alias("out")), "bucket-sizes")
+    dealt = there.join(counts, "key")
+    block = lambda n: F.pmod(F.xxhash64("m.id"), F.col(n)).cast("int")
+    outside = dealt.filter("outside").groupBy("key", block("out").alias("block")).agg(F.collect_list("m").alias("left"))
+    inside = dealt.groupBy("key", "out", block("all").alias("own")).agg(F.collect_list("m").alias("right")).select("key", "right", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("block"))
+    steps = least_matches(threshold, miss)
+    workers_ready(buckets.sparkSession)
+
+    def run(batches):
+        for t in batches:
+            found = [x for k, left, right in zip(*(t.column(c).to_pylist() for c in range(3)), strict=True) for x in tile_links(left, right, k, width, numerator, denominator, steps)]
+            yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
+
+    tiles = outside.join(inside, ["key", "block"]).select("key", "left", "right")
+    return written(tiles.mapInArrow(run, "a long, b long").distinct(), "rest")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(id, comp) for every end of an edge (a, b): comp is the smallest id reachable."""
     both = written(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -226,12 +301,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERA
     star = links(buckets.filter("pivot < id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
     first = components(star)
 
-    member = written(buckets.select("key", "id").join(first, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "members")
-    mixed_keys = member.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low < high").select("key")
-    parts = written(member.join(mixed_keys, "key", "left_semi").select("key", "comp").distinct(), "parts")
-    across = parts.select("key", F.col("comp").alias("c1")).join(parts.select("key", F.col("comp").alias("c2")), "key").filter("c1 < c2")
-    across = across.join(member.select("key", F.col("comp").alias("c1"), F.col("id").alias("x")), ["key", "c1"]).join(member.select("key", F.col("comp").alias("c2"), F.col("id").alias("y")), ["key", "c2"])
-    rest = links(across.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().join(star, ["a", "b"], "left_anti"), "rest")
+    rest = between(buckets, first, full, texts, threshold, miss, width, numerator, denominator)
 
     #: An id in several classes joins them.
     repeated = full.join(classes, ["fp1", "fp2"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
