@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
 from verdigris.plans.base import registrar, table
+from verdigris.session import scratch
 from verdigris.sources import files, web
 
 QUERIES: dict = {}
@@ -16,14 +16,6 @@ SQL: dict = {}
 query = registrar(QUERIES, SQL)
 
 
-def scratch(spark, name: str) -> str:
-    """A new path that all executors share: the checkpoint folder's, or in local mode a temporary one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="verdigris-") if spark.sparkContext.master.startswith("local[") else spark.conf.get("spark.sql.warehouse.dir")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @query("SELECT event_id, event_type FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
 def a1_a2_tolerant_jsonl(spark, sf_dir):
     path = scratch(spark, "jsonl")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -39,6 +40,20 @@ def ship(spark: SparkSession) -> None:
         sc._verdigris_package = archive
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share: the one of spark.checkpoint.dir.
+
+    Without that setting: a temporary folder in local mode, else one in the warehouse.
+    """
+    sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_verdigris_scratch", None)
+    if not folder:
+        local = sc.master == "local" or sc.master.startswith("local[")
+        folder = "file://" + tempfile.mkdtemp(prefix="verdigris-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_verdigris"
+        sc._verdigris_scratch = folder
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One input table, read through Spark so that any Hadoop path works."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
