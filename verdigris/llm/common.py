@@ -2,55 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-import zipfile
-from pathlib import Path
-
 from pyspark.sql import DataFrame, SparkSession
 
+from verdigris.session import scratch, ship, table  # noqa: F401  (table is used by the queries)
+
 #: Rows and bytes of an Arrow batch, so that long texts do not fill a Python worker.
 ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def workers_ready(spark: SparkSession) -> None:
     """Ship the package to the Python workers and bound what one Arrow batch carries."""
-    sc = spark.sparkContext
-    if getattr(sc, "_verdigris_shipped", None) is None:
-        top = Path(__file__).resolve().parents[1]
-        archive = Path(tempfile.mkdtemp(prefix="verdigris-")) / "verdigris.zip"
-        with zipfile.ZipFile(archive, "w") as z:
-            for file in sorted(top.rglob("*.py")):
-                z.write(file, file.relative_to(top.parent))
-        sc.addPyFile(str(archive))
-        sc._verdigris_shipped = archive
+    ship(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:
         spark.conf.set(rows, ARROW_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only in local mode without a setting."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder
-    if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
-        folder = "file://" + tempfile.mkdtemp(prefix="verdigris-")
-    else:
-        folder = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_verdigris"
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
-
-
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write to the shared folder and read again, which survives a lost executor."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
