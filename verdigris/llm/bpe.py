@@ -19,6 +19,7 @@ from itertools import chain
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris.llm.common import workers_ready
 
@@ -78,7 +79,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", out: st
     """Add the array of ids of each text; other columns stay."""
     workers_ready(docs.sparkSession)
     rest = docs.drop(out)
-    kind = rest.schema.add(out, "array<bigint>")
+    kind = T.StructType([*rest.schema.fields, T.StructField(out, T.ArrayType(T.LongType()))])
 
     def run(batches):
         c = codec(path, pattern)
@@ -93,7 +94,7 @@ def decode(docs: DataFrame, path: str, pattern: str, ids: str = "ids", out: str
     """Add the raw bytes of each array of ids; a null array gives null."""
     workers_ready(docs.sparkSession)
     rest = docs.drop(out)
-    kind = rest.schema.add(out, "binary")
+    kind = T.StructType([*rest.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches):
         c = codec(path, pattern)

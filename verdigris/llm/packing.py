@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris.llm.bpe import RankCodec
 from verdigris.llm.common import workers_ready, written
@@ -153,7 +154,7 @@ def pack(sized: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, par
 
     keys = [c for c in ("doc_id", "piece") if c in rest.columns] or ["length"]
     dealt = rest.repartition(partitions, *keys).sortWithinPartitions(F.desc("length"), *keys)
-    return dealt.mapInArrow(run, rest.schema.add("sequence_id", "long").add("offset", "long"))
+    return dealt.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = 1024, end_id: int = 2, open_bins: int = OPEN_BINS, with_ids: bool = False) -> DataFrame:
