@@ -41,7 +41,7 @@ TEMPLATES = (
 )
 
 #: Share of a template's bigrams that the merged votes must cover, and diagonals merged with the first.
-COVERAGE, SHIFT = 0.75, 2
+COVERAGE, SHIFT = 0.85, 2
 #: Marks the one match that every text has.
 _TEXT = -1
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
