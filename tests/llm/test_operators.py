@@ -1,0 +1,372 @@
+"""The training-data operators against brute force, and their edge cases."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from pyspark.sql import functions as F
+
+from verdigris.llm import bpe, knn, licenses, neardup, packing, pii, quality_model, quality_rules, token_fst, url_filter
+from verdigris.llm import queries as Q
+
+ODD = ["", " ", "  a", "a  b", "x\n\n  y\t z \n", "日本語 テキスト　全角", "it's we'll  I'm", "▁x ▁", "<|endoftext|> a<|endoftext|>", "\x1c a \x1f  b\x85 c", "😀😀 b", "a" * 5000, " " * 3000, "ab " * 40000]
+
+
+def texts(n=400, seed=3):
+    rng = random.Random(seed)
+    return ODD + ["".join(rng.choice("  \n\tabtheing.,'sé日12 x") for _ in range(rng.randint(1, 60))) for _ in range(n)]
+
+
+def frame(spark, rows, extra=False):
+    """(doc_id, text) rows, with columns that clash with internal names if asked for."""
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return df.withColumns({c: F.lit(1) for c in ("id", "n", "score", "row", "length", "key", "x", "kept")}) if extra else df
+
+
+@pytest.fixture(scope="module")
+def docs(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+# op1
+
+
+def test_classifier_on_held_out_rows(spark, sf_dir):
+    got = Q.op1_quality_classifier(spark, sf_dir.replace("0.001", "0.01"))
+    labels = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/labels.parquet")
+    rows = got.join(labels, "doc_id").filter("held_out").collect()
+    assert len(rows) > 60
+    assert sum(r.predicted == r.quality for r in rows) / len(rows) > 0.95
+    assert all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in rows)
+
+
+def test_classifier_edges(spark):
+    d = frame(spark, [(1, None), (2, ""), (3, "a b c"), (3, "a b c"), (None, "x")], True)
+    none = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r.score for r in quality_model.scored(d, none).collect()} == {0.5}
+    one = spark.createDataFrame([(1, 1), (3, None), (9, 1)], "doc_id long, quality int")
+    assert {r.score for r in quality_model.scored(d, one).collect()} == {1.0}
+    two = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, quality int")
+    wide = frame(spark, [(k, "word " * 30 if k % 2 else "#$ " * 30) for k in range(40)])
+    assert quality_model.scored(wide, two).count() == 40
+    assert quality_model.scored(d.limit(0), two).count() == 0
+    assert quality_model.accepted(d, none).columns == d.columns
+
+
+def test_isotonic_is_monotone():
+    x, v = quality_model.isotonic(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 1, 1, 0.5]))
+    assert (np.diff(v) > 0).all() and (np.diff(x) > 0).all()
+
+
+# op2
+
+
+def test_pieces_equal_the_library(spark):
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    all_ = texts()
+    got = packing.pieces(frame(spark, list(enumerate(all_)) + [(999_999, None)], True), P.path("byte_bpe_50k.json"), with_ids=True).collect()
+    by = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.doc_id, r.piece)):
+        assert r.start == len(by[r.doc_id]) and 0 < r.length <= 1024 and (r.piece == 0 or r.length == 1024)
+        assert r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        by[r.doc_id] += r.ids
+    for k, t in enumerate(all_):
+        assert by[k] == [*lib.encode(t, add_special_tokens=False).ids, 2]
+    assert by[999_999] == [2]
+
+
+def check_packing(rows, capacity):
+    at = defaultdict(list)
+    for r in rows:
+        at[r.sequence_id].append((r.offset, r.length))
+    for parts in at.values():
+        end = 0
+        for offset, length in sorted(parts):
+            assert offset == end
+            end += length
+        assert end <= capacity
+    return len(at)
+
+
+def test_packing_is_gapless_and_tight(spark, sf_dir):
+    rows = Q.op2_best_fit_packing(spark, sf_dir).collect()
+    total = sum(r.length for r in rows)
+    assert check_packing(rows, 1024) <= 1.02 * total / 1024 + 2
+
+
+def test_bounded_bins_close_the_fullest():
+    bins = packing.OpenBins(10, 2)
+    assert [bins.place(n) for n in (6, 7, 8, 4, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6), (1, 7)]
+    rng = random.Random(1)
+    bins, used = packing.OpenBins(100, 8), Counter()
+    for _ in range(2000):
+        n = rng.randint(1, 100)
+        b, offset = bins.place(n)
+        assert offset == used[b] and bins.open <= 8
+        used[b] += n
+    assert max(used.values()) <= 100
+
+
+def test_packing_of_nothing(spark):
+    assert packing.pack_documents(frame(spark, []), P.path("byte_bpe_50k.json")).count() == 0
+
+
+# op3
+
+
+def brute_neighbours(rows, k, step):
+    good = [(i, np.array(x, "f8")) for i, x in rows if i is not None and x and all(y is not None and np.isfinite(y) for y in x) and any(x)]
+    out = {}
+    for i, x in good:
+        if i % step == 0:
+            d = sorted((float(np.sqrt(np.cumsum((x - y) ** 2)[-1])), j) for j, y in good if j != i and len(y) == len(x))
+            out[i] = d[:k]
+    return out
+
+
+def test_neighbours_with_ties_and_bad_vectors(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).round(1).astype("f4").tolist()) for i in range(300)]
+    rows += [(300 + i, rows[i][1]) for i in range(20)]
+    rows += [(400, None), (401, []), (402, [0.0] * 8), (403, [float("nan")] * 8), (404, [float("inf")] + [1.0] * 7), (405, [None] + [1.0] * 7), (406, [1.0, 2.0]), (None, [1.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumns({"rank": F.lit(1), "score": F.lit(2)})
+    got = knn.nearest(df, F.col("id") % 10 == 0, 7, queries=8, candidates=40).collect()
+    mine = defaultdict(list)
+    for r in sorted(got, key=lambda r: (r.query_id, r.rank)):
+        mine[r.query_id].append((r.score, r.vec_id))
+    assert dict(mine) == brute_neighbours([(i, None if x is None else [None if y is None else float(np.float32(y)) for y in x]) for i, x in rows], 7, 10)
+    assert knn.nearest(df.limit(0), F.col("id") % 10 == 0).count() == 0
+
+
+# op4
+
+
+def plain_parts(url):
+    if url is None or "://" not in url:
+        return "", ""
+    rest = url.split("://", 1)[1]
+    host = re.match(r"[^/?#]*", rest)[0]
+    return re.sub("[A-Z]", lambda m: m[0].lower(), host), re.match(r"[^?#]*", rest[len(host) :])[0]
+
+
+def test_url_rules(spark, sf_dir):
+    urls = [None, "", "no scheme", "http://", "HTTP://Ä.Example.ORG/es/1?q#f", "http://example.org/en/1", "http://a.example.org/en/2", "http://example.org?x/es/", "https://com/de/", "http://xcom/de/", "http://a.com/fr/#/de/", "http://a.com://b/de/", "http://b.net/" + "9" * 5000]
+    rows = list(enumerate(urls)) + [(50, urls[5]), (50, urls[5])]
+    got = url_filter.judged(spark.createDataFrame(rows, "page_id long, url string").withColumn("label", F.lit(3))).collect()
+    assert len(got) == len(rows)
+    want = {"org": None}
+    for r in got:
+        host, path = plain_parts(dict(rows)[r.page_id])
+        assert (r.host, r.path) == (host, path)
+        fit = max(((n + p, a) for a, n, p in url_filter.RULES if (host == n or host.endswith("." + n)) and path.startswith(p)), key=lambda x: len(x[0]), default=(None, None))
+        assert r.rule == fit[0] and (fit[0] is None or r.verdict == fit[1]) and r.verdict in ("allow", "block")
+    assert want
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    assert Q.op4_url_filter(spark, sf_dir).count() == pages.count()
+    assert url_filter.judged(pages.limit(0)).count() == 0
+
+
+def test_url_trees_learn(spark):
+    rows = [(k, f"http://{'bad-pills' if k % 2 else 'good'}{k % 7}.site.net/en/{'9' * (k % 2 * 6)}x") for k in range(200)]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labelled = pages.select("url", (F.col("page_id") % 2).alias("label"))
+    got = url_filter.judged(pages, rules=(), labelled=labelled).collect()
+    assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) > 195
+
+
+# op5
+
+
+def plain_quality(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    windows = Counter(zip(words, words[1:], words[2:], strict=False))
+    covered = {k + j for k in range(len(words) - 2) if windows[tuple(words[k : k + 3])] > 1 for j in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if re.search("[^\x20\x09-\x0d]", line):
+            dup += line in seen
+            seen.add(line)
+    n = len(words)
+    return n, sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), dup, len(covered), n < 50 or 100 * len(covered) > 50 * n
+
+
+def test_quality_rules_against_python(spark):
+    rng = random.Random(2)
+    rows = [None, *texts(60), "a b c a b c", "w x y z w x y q x y z", "same\nsame\n \nsame", "A" * 20, "é# ñ#\n" * 30, "t " * 200]
+    rows += [" ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 90))) for _ in range(60)]
+    got = quality_rules.judged(frame(spark, list(enumerate(rows)), True), 50).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) == plain_quality(rows[r.doc_id]), rows[r.doc_id][:80]
+        assert not (r.base_failed and r.kept)
+    kept = quality_rules.passing(frame(spark, list(enumerate(rows)), True), 50)
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(r.doc_id for r in got if r.kept)
+    assert quality_rules.judged(frame(spark, [])).count() == 0
+
+
+# op6
+
+
+def test_license_edges(spark):
+    rows = [(1, None), (2, ""), (3, "MIT License; mit-license MIT  LICENSE"), (4, "general public license general public x public license"), (5, "Licensed under CC BY-NC 4.0."), (6, "released under really the MIT license"), (6, "released under really the MIT license"), (None, "Apache\nLicense"), (7, "mitlicense ñmit license"), (8, "x " * 60000 + "apache license")]
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels) for r in licenses.scan(frame(spark, rows, True)).collect())
+    assert got == [
+        (-1, 2, 1, 0, 0, "apache", "apache"), (1, 0, 0, None, None, "", ""), (2, 0, 0, None, None, "", ""), (3, 6, 3, 0, 4, "mit", "mit"), (4, 8, 1, 0, 0, "gpl", "gpl"), (5, 7, 0, None, None, "", "cc-by-nc"),
+        (6, 6, 1, 4, 4, "mit", "mit"), (6, 6, 1, 4, 4, "mit", "mit"), (7, 3, 0, None, None, "", ""), (8, 60002, 1, 60000, 60000, "apache", "apache"),
+    ]
+    assert licenses.scan(frame(spark, [])).count() == 0
+
+
+# op7
+
+
+def test_surrogates_keep_identity(spark):
+    rows = [(k, f"u{k}@mail.org u{k % 5}@MAIL.org 10.0.{k}.7 +1 (212) 555-{1000 + k} 40000000000000{10 + k} Mr. Sm{chr(97 + k % 20)}th") for k in range(60)]
+    for width in (16, 2):
+        out = {r.doc_id: r.text for r in pii.pseudonymised(frame(spark, rows, True), width=width).collect()}
+        same = defaultdict(set)
+        for k, old in rows:
+            for kind in (r"\S+@\S+", r"\d+\.\d+\.\d+\.\d+", r"\(\d+\) \d+-\d+", r"\d{16}", r"Mr\. \w+"):
+                before, after = re.findall(kind, old), re.findall(kind, out[k])
+                assert len(before) == len(after)
+                for a, b in zip(before, after, strict=True):
+                    same[a.lower()].add(b)
+        assert all(len(v) == 1 for v in same.values())
+        assert len({next(iter(v)) for v in same.values()}) == len(same)
+        assert not any(next(iter(v)).lower() in same for v in same.values())
+
+
+def test_surrogates_edges(spark):
+    clean = "nothing here 12 of 3.5 on 2024-05-06"
+    rows = [(1, None), (2, ""), (3, clean), (4, "x " * 50000 + "a@b.com"), (5, "Mme Dupont, Господин Иванов"), (5, "DE89 3704 0044 0532 0130 00")]
+    out = [(r.doc_id, r.text, r.n_pii) for r in pii.pseudonymised(frame(spark, rows, True), count="n_pii").collect()]
+    assert out[:3] == [(1, None, 0), (2, "", 0), (3, clean, 0)]
+    assert out[3][2] == 1 and out[3][1].endswith("@mail.example.com")
+    assert re.fullmatch(r"Mme \w+, Господин [а-я]+", out[4][1], re.I) and re.fullmatch(r"DE\d\d( \d{4}){4} \d\d", out[5][1])
+    assert pii.pseudonymised(frame(spark, [])).count() == 0
+
+
+def test_surrogates_of_the_table(spark, docs):
+    before = {r.doc_id: r.text for r in docs.collect()}
+    after = {r.doc_id: r.text for r in pii.pseudonymised(docs).collect()}
+    private = r"[\w.]+@[\w.]+\.\w+|\b\d{16}\b|\b\d{1,3}(?:\.\d{1,3}){3}\b|\b[0-9a-f]{40}\b|\+1 \(\d{3}\) \d{3}-\d{4}"
+    assert before.keys() == after.keys()
+    for k, text in before.items():
+        found = re.findall(private, text)
+        assert not any(x in after[k] for x in found)
+        assert found or after[k] == text
+
+
+# op8
+
+
+def test_transducer_equals_the_library(spark, docs, monkeypatch):
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    t = token_fst.PieceTransducer.from_model(P.path("piece_bpe_32k.model"))
+    all_ = texts() + [r.text for r in docs.limit(60).collect()]
+    want = [len(m.encode(x)) for x in all_]
+    assert list(map(t.count, all_)) == want
+    for size in (1, 7, 64):
+        monkeypatch.setattr(token_fst, "CHUNK", size)
+        small = [k for k, x in enumerate(all_) if len(x) < 3000]
+        assert [t.count(all_[k]) for k in small] == [want[k] for k in small]
+    got = token_fst.count_tokens(frame(spark, [*enumerate(all_), (None, None)], True), P.path("piece_bpe_32k.model"), 100).collect()
+    assert [(r.n_tokens, r.n_bytes, r.over_limit) for r in got] == [(n, len(x.encode()), n > 100) for n, x in zip([*want, 0], [*all_, ""], strict=True)]
+
+
+# op9
+
+
+def brute_components(rows):
+    sets = defaultdict(list)
+    for i, t in rows:
+        sets[i].append(neardup.shingle_set(t or ""))
+    parent = {i: i for i in sets}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    flat = [(i, s) for i, many in sets.items() for s in many if s]
+    for k, (i, s) in enumerate(flat):
+        for j, u in flat[:k]:
+            both = len(s & u)
+            if 100 * both >= 75 * (len(s) + len(u) - both):
+                a, b = find(i), find(j)
+                parent[max(a, b)] = min(a, b)
+    return {i: find(i) for i in sets}
+
+
+def test_near_duplicates_against_brute_force(spark):
+    rng = random.Random(4)
+    words = [f"w{k}" for k in range(900)]
+    rows = [(0, None), (1, ""), (2, "one two"), (3, "ONE  two"), (4, "one two three")]
+    for g in range(6):
+        base = [rng.choice(words) for _ in range(rng.choice((30, 120, 300)))]
+        for _ in range(25):
+            copy = list(base)
+            for _ in range(rng.randint(0, max(1, len(base) // 40))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    rows += [(rows[10][0], rows[10][1]), (12, rows[40][1]), (5000, rows[60][1] + " " + "tail " * 3)]
+    want = brute_components(rows)
+    got = neardup.near_duplicates(frame(spark, rows, True)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r.component_id == want[r.doc_id], r
+        assert r.kept == (r.doc_id == r.component_id)
+    sizes = sorted(len(neardup.shingle_set(t or "")) for _, t in rows)
+    assert sorted(r.n_shingles for r in got) == sizes
+    left = neardup.deduplicated(frame(spark, rows, True))
+    assert {r.doc_id for r in left.collect()} == set(want.values())
+    assert neardup.near_duplicates(frame(spark, [])).count() == 0
+
+
+def test_tiles_find_links_that_a_star_misses():
+    """A chain: the pivot links with the next only."""
+    words = [f"w{k}" for k in range(200)]
+    chain = [" ".join(words[:k] + [f"x{j}" for j in range(k)] + words[2 * k :]) for k in (0, 6, 12)]
+    sketch = []
+    for k, t in enumerate(chain):
+        h = neardup.shingle_hashes(t)
+        sketch.append({"id": k, "comp": k, "sig": neardup.minhashes(h, 200)[:128].astype("<u2").tobytes(), "keys": [1], "text": t})
+    found = neardup.tile_links(sketch, sketch, 1, 5, 75, 100, neardup.least_matches(0.75, 1e-6))
+    assert {tuple(sorted(x)) for x in found} <= {(a, b) for a in range(3) for b in range(a + 1, 3) if len(neardup.shingle_set(chain[a]) & neardup.shingle_set(chain[b])) * 100 >= 75 * len(neardup.shingle_set(chain[a]) | neardup.shingle_set(chain[b]))}
+
+
+def test_bayes_thresholds_rise():
+    steps = neardup.least_matches(0.75, 1e-6)
+    assert [n for n, _ in steps] == [32, 64, 96, 128]
+    assert all(m < 0.75 * n for n, m in steps) and [m for _, m in steps] == sorted(m for _, m in steps)
+
+
+# op10
+
+
+def test_round_trip_equals_the_library(spark):
+    c = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    all_ = texts()
+    got = bpe.round_trip_digests(frame(spark, [*enumerate(all_), (7, None)], True), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN).collect()
+    for r, t in zip(got, [*all_, ""], strict=True):
+        ids = c.library.encode_ordinary(t)
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest()
+    both = bpe.decode(bpe.encode(frame(spark, [(1, "añb  c")]), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN), P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert bytes(both.first().decoded).decode() == "añb  c"
+
+
+def test_long_texts_are_cut_at_safe_places():
+    c = bpe.codec(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    text = "one  two\n three's 4,5 " * 9000
+    assert len(bpe.safe_parts(text)) > 2 and "".join(bpe.safe_parts(text)) == text
+    assert c.encode(text) == c.library.encode_ordinary(text)
