@@ -108,19 +108,19 @@ def script_language(text: Column, previous: Column | None = None) -> Column:
     )
 
 
-def function_words(text: Column, words: tuple[str, ...]) -> Column:
-    """How many tokens are among the words."""
-    tokens = F.split(F.lower(text), r"[^a-z]+")
-    return F.size(F.filter(tokens, lambda t: t.isin(*words)))
+def let(value: Column, body) -> Column:
+    """Evaluate a value once and use it several times."""
+    return F.transform(F.array(value), body)[0]
 
 
 def voted_language(text: Column, languages: dict[str, tuple[str, ...]] = vocab.PROBE_LANGUAGES) -> Column:
     """The language with most function words; ties go to the first listed, none gives null."""
-    best = F.greatest(*(function_words(text, w) for w in languages.values()))
-    out = F.lit(None).cast("string")
-    for lang, words in reversed(languages.items()):
-        out = F.when((best > 0) & (function_words(text, words) == best), lang).otherwise(out)
-    return out
+    every = F.array(*(F.lit(w) for words in languages.values() for w in words))
+    known = F.filter(F.split(F.lower(text), r"[^a-z]+"), lambda t: F.array_contains(every, t))
+    count = lambda t, words: F.size(F.filter(t, lambda x: x.isin(*words)))
+    counts = let(known, lambda t: F.array(*(count(t, words) for words in languages.values())))
+    names = F.array(*(F.lit(k) for k in languages))
+    return let(counts, lambda c: F.when(F.array_max(c) > 0, F.get(names, (F.array_position(c, F.array_max(c)) - 1).cast("int"))))
 
 
 def word_or_cjk_count(text: Column) -> Column:
@@ -347,6 +347,21 @@ def term_hits(text: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t)))
 
 
+def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of the seeds, of five words or more, that a text contains.
+
+    The second to fourth word of a seed stand between spaces, so they are whole tokens of
+    any text that contains it: an equi-join on them finds the candidates.
+    """
+    key = lambda a, b, c: F.xxhash64(a, b, c)
+    w = F.split("seed", " ")
+    anchored = seeds.select("item_id", "seed", key(F.get(w, 1), F.get(w, 2), F.get(w, 3)).alias("key"))
+    words = docs.select("doc_id", "text", F.split("text", " ").alias("w"))
+    rolled = words.select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda x, k: key(x, F.get("w", k + 1), F.get("w", k + 2))))).alias("key"))
+    candidates = rolled.join(anchored, "key").select("doc_id", "item_id", "seed")
+    return candidates.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "seed")).select("doc_id", "item_id").distinct()
+
+
 def fabricated_phrases(response: Column, query: Column, most: int = 8) -> Column:
     """Capitalised phrases of the response that the query lacks, each once, in order."""
     found = F.regexp_extract_all(response, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), 0)

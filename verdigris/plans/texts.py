@@ -247,7 +247,7 @@ def c42_c43_thin_and_contaminated(spark, sf_dir):
 @query("SELECT doc_id, CAST(count(*) AS BIGINT) AS hits, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60)) GROUP BY 1")
 def c44_contamination(spark, sf_dir):
     seeds = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("seed"))
-    hits = table(spark, sf_dir, "documents").join(F.broadcast(seeds), F.contains("text", "seed"))
+    hits = T.seed_hits(table(spark, sf_dir, "documents"), seeds)
     return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",").alias("items"))
 
 
