@@ -26,7 +26,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.llm.common import workers_ready, written
@@ -313,6 +313,12 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERA
 
 
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """The documents less all but one of each group of near-duplicates; of rows with one id and text one stays."""
+    """The documents less all but one of each group of near-duplicates; of rows that share an id one stays."""
     gone = near_duplicates(docs, **options).filter("not kept").select("doc_id").distinct()
-    return docs.join(written(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    left = docs.join(written(gone, "gone"), "doc_id", "left_anti").select(docs.columns)
+    repeated = written(docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__n")).filter("__n > 1").select("doc_id"), "repeated")
+    if repeated.isEmpty():
+        return left
+    first = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    once = left.join(repeated, "doc_id", "left_semi").withColumn("__first", first).filter("__first = 1").select(docs.columns)
+    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once)
