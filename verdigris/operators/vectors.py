@@ -167,3 +167,23 @@ def two_gates(positive: DataFrame, negative: DataFrame, p: float, n: float) -> D
     a = positive.groupBy("query_id").agg(F.max("score").alias("p"))
     b = negative.groupBy("query_id").agg(F.max("score").alias("n"))
     return a.join(b, "query_id").select("query_id", ((F.col("p") < p) & (F.col("n") < n)).alias("accepted"))
+
+
+def cells(vectors: DataFrame, centroids: DataFrame, nprobe: int = 1) -> DataFrame:
+    """Each vector's nearest cells by inner product: (query_id, cell, place). Centroids are a bounded set."""
+    q = vectors.select("query_id", "q")
+    scored = q.join(F.broadcast(centroids.select("cell", F.col("embedding").alias("__c")))).withColumn("score", dot(F.col("q"), F.col("__c")))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cell"))
+    return scored.withColumn("place", place).filter(F.col("place") <= nprobe).select("query_id", "cell", "place")
+
+
+def ivf_top_k(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, nprobe: int, k: int) -> DataFrame:
+    """Approximate top-k: queries meet the vectors of their nearest cells only, an equi-join on the cell.
+
+    A table bucketed or partitioned by cell lets the join skip the other cells' files.
+    """
+    home = cells(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), centroids).select(F.col("query_id").alias("vec_id"), "cell")
+    probe = cells(queries, centroids, nprobe).select("query_id", "cell")
+    pairs = probe.join(home, "cell").join(queries.select("query_id", "q"), "query_id").join(vectors.select("vec_id", "embedding", "label"), "vec_id")
+    scored = pairs.withColumn("score", cosine(F.col("q"), F.col("embedding"), norm(F.col("q")), norm(F.col("embedding"))))
+    return top_k(scored.select("query_id", "vec_id", "label", "score"), k)
