@@ -100,25 +100,37 @@ def _syllables(hexed: str, n: int, cyrillic: bool) -> str:
     return "concat(" + ", ".join(f"translate(substr({hexed}, {2 * k + 1}, 1), '0123456789abcdef', '{to[0]}'), translate(substr({hexed}, {2 * k + 2}, 1), '0123456789abcdef', '{to[1]}')" for k in range(n)) + ")"
 
 
-def surrogate(mention: str, kind: str, key: str, tries: str = "0", width: int = 16) -> str:
-    """SQL for the surrogate of a mention; tries counts how often its entity was drawn anew."""
-    canon = canonical(mention, kind)
-    hexed = f"sha2(concat_ws('|', {_quoted(key)}, {kind}, {canon}, CAST({tries} AS STRING)), 256)"
-    only = f"regexp_replace({mention}, '[^0-9]', '')"
-    tail = f"regexp_extract(lower({mention}), '\\\\.([^.]+)$', 1)"
+def drawn(m: str, kind: str, hexed: str, width: int = 16) -> str:
+    """SQL for the surrogate of an e-mail address, a secret or a name from a hash in hexadecimal."""
+    tail = f"regexp_extract(lower({m}), '\\\\.([^.]+)$', 1)"
     email = f"concat({_letters(hexed, width)}, '@mail.example.', CASE WHEN {tail} IN ('com', 'org', 'net') THEN {tail} ELSE 'com' END)"
-    long_hex = f"concat({hexed}, sha2({hexed}, 256))"
-    secret = f"CASE WHEN {mention} RLIKE '^[0-9a-f]+$' THEN substr({long_hex}, 1, length({mention})) WHEN {mention} RLIKE '^[0-9A-F]+$' THEN upper(substr({long_hex}, 1, length({mention}))) ELSE concat(regexp_extract({mention}, '^(?:[a-z]+[_\\\\-]|AKIA)', 0), upper(substr({long_hex}, 1, least(127, length({mention}) - length(regexp_extract({mention}, '^(?:[a-z]+[_\\\\-]|AKIA)', 0)))))) END"
-    octet = lambda k: f"CAST(split({mention}, '[.]')[{k}] AS BIGINT)"
-    moved = _feistel(key, f"{octet(0)} * 256 + {octet(1)}", f"{octet(2)} * 256 + {octet(3)}", "65536L", "65536L")
-    ip = f"CASE WHEN greatest({', '.join(octet(k) for k in range(4))}) < 256 THEN transform(array({moved}), p -> concat_ws('.', p.l DIV 256, p.l % 256, p.r DIV 256, p.r % 256))[0] ELSE {refilled(mention, permuted(key, only))} END"
-    local = f"right({only}, 10)"
-    phone = refilled(mention, f"concat(left({only}, greatest(length({only}) - 10, 0)), {permuted(key, local)})")
-    iban = refilled(mention, permuted(key, only))
-    title = f"regexp_extract({mention}, '^[^ ]+ ', 0)"
-    surname = f"CASE WHEN {mention} RLIKE '\\\\p{{IsCyrillic}}' THEN {_syllables(hexed, 4, True)} ELSE {_syllables(hexed, 4, False)} END"
-    name = f"concat({title}, initcap({surname}), CASE WHEN length({mention}) - length(replace({mention}, ' ', '')) > 1 THEN concat(' ', initcap({_syllables(f'reverse({hexed})', 3, False)})) ELSE '' END)"
-    return f"CASE {kind} WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} WHEN 'ip' THEN {ip} WHEN 'phone' THEN {phone} WHEN 'iban' THEN {iban} WHEN 'name' THEN {name} ELSE {refilled(mention, permuted(key, only))} END"
+    lead = f"regexp_extract({m}, '^(?:[a-z]+[_\\\\-]|AKIA)', 0)"
+    secret = f"CASE WHEN {m} RLIKE '^[0-9a-f]+$' THEN substr(concat({hexed}, sha2({hexed}, 256)), 1, length({m})) WHEN {m} RLIKE '^[0-9A-F]+$' THEN upper(substr(concat({hexed}, sha2({hexed}, 256)), 1, length({m}))) ELSE concat({lead}, upper(substr(concat({hexed}, sha2({hexed}, 256)), 1, least(127, length({m}) - length({lead}))))) END"
+    surname = f"CASE WHEN {m} RLIKE '\\\\p{{IsCyrillic}}' THEN {_syllables(hexed, 4, True)} ELSE {_syllables(hexed, 4, False)} END"
+    name = f"concat(regexp_extract({m}, '^[^ ]+ ', 0), initcap({surname}), CASE WHEN length({m}) - length(replace({m}, ' ', '')) > 1 THEN concat(' ', initcap({_syllables(f'reverse({hexed})', 3, False)})) ELSE '' END)"
+    return f"CASE {kind} WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} ELSE {name} END"
+
+
+def hash_of(kind: str, canon: str, tries: str, key: str) -> str:
+    return f"sha2(concat_ws('|', {_quoted(key)}, {kind}, {canon}, CAST({tries} AS STRING)), 256)"
+
+
+def surrogates(array: str, tries: str, key: str, width: int = 16) -> str:
+    """SQL for the surrogates of an array of mentions; ``tries`` may use the field k.m.
+
+    Each step binds what the next one uses, so that the expression stays small.
+    """
+    kinds = f"transform({array}, m -> named_struct('m', m, 'kind', {kind_of('m')}))"
+    bound = f"transform({kinds}, k -> named_struct('m', k.m, 'kind', k.kind, 'd', regexp_replace(k.m, '[^0-9]', ''), 'canon', {canonical('k.m', 'k.kind')}, 'tries', {tries}))"
+    hashed = f"transform({bound}, k -> named_struct('m', k.m, 'kind', k.kind, 'd', k.d, 'h', {hash_of('k.kind', 'k.canon', 'k.tries', key)}, 'o', CASE WHEN k.kind = 'ip' THEN transform(split(k.m, '[.]'), x -> CAST(x AS BIGINT)) END))"
+    # Of a phone number the last ten digits change, of other numbers all.
+    local = "CASE WHEN k.kind = 'phone' THEN right(k.d, 10) ELSE k.d END"
+    halves = f"transform({hashed}, k -> named_struct('m', k.m, 'kind', k.kind, 'd', k.d, 'h', k.h, 'o', k.o, 'x', CASE WHEN k.kind IN {DRAWN} THEN NULL ELSE {local} END))"
+    digits = permuted(key, "k.x")
+    moved = _feistel(key, "k.o[0] * 256 + k.o[1]", "k.o[2] * 256 + k.o[3]", "65536L", "65536L")
+    address = f"transform(array({moved}), p -> concat_ws('.', p.l DIV 256, p.l % 256, p.r DIV 256, p.r % 256))[0]"
+    number = f"transform(array(named_struct('m', k.m, 'n', concat(left(k.d, length(k.d) - length(k.x)), {digits}))), q -> {refilled('q.m', 'q.n')})[0]"
+    return f"transform({halves}, k -> CASE WHEN k.kind IN {DRAWN} THEN {drawn('k.m', 'k.kind', 'k.h', width)} WHEN k.kind = 'ip' AND array_max(k.o) < 256 THEN {address} ELSE {number} END)"
 
 
 def mentions(text: Column) -> Column:
@@ -137,11 +149,12 @@ def redrawn(docs: DataFrame, key: str, width: int = 16) -> DataFrame:
     """(kind, canon, tries) of the entities that must be drawn anew so that no surrogates meet."""
     known = written(entities(docs).withColumn("tries", F.lit(0)), "entities")
     for _ in range(_TRIES):
-        drawn = known.select("*", F.expr(canonical(f"({surrogate('m', 'kind', key, 'tries', width)})", "kind")).alias("s"))
+        bound = f"transform(array(named_struct('m', m, 'kind', kind, 'h', {hash_of('kind', 'canon', 'tries', key)})), k -> named_struct('kind', k.kind, 'to', {drawn('k.m', 'k.kind', 'k.h', width)}))"
+        made = known.select("kind", "canon", "tries", F.expr(f"transform({bound}, k -> {canonical('k.to', 'k.kind')})[0]").alias("s"))
         # Of entities that meet, the first by (tries, canon) keeps its surrogate; none may take another's name.
-        keeps = drawn.groupBy("kind", "s").agg(F.min(F.struct(-F.col("tries"), "canon")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "s", F.col("first.canon").alias("winner"))
+        keeps = made.groupBy("kind", "s").agg(F.min(F.struct(-F.col("tries"), "canon")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "s", F.col("first.canon").alias("winner"))
         real = known.select("kind", F.col("canon").alias("s"), F.lit(True).alias("real"))
-        again = written(drawn.join(keeps, ["kind", "s"], "left").join(real, ["kind", "s"], "left").filter("real or (winner is not null and winner != canon)").select("kind", "canon"), "again")
+        again = written(made.join(keeps, ["kind", "s"], "left").join(real, ["kind", "s"], "left").filter("real or (winner is not null and winner != canon)").select("kind", "canon"), "again")
         if again.isEmpty():
             break
         known = written(known.join(again.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "m", (F.col("tries") + F.coalesce("again", F.lit(0))).alias("tries")), "entities")
@@ -161,7 +174,7 @@ def pseudonymised(docs: DataFrame, key: str = "verdigris", width: int = 16, coun
         own = said.join(again, ["kind", "canon"]).select("__row", "m", "tries").distinct().groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("m", "tries"))).alias("__tries"))
         found = found.join(own, "__row", "left")
         tries = "coalesce(try_element_at(__tries, k.m), 0)"
-    inner = f"transform(transform(__m, m -> named_struct('m', m, 'kind', {kind_of('m')})), k -> {surrogate('k.m', 'k.kind', key, tries, width)})"
+    inner = surrogates("__m", tries, key, width)
     rest = F.split(F.col("text"), ANY, -1)
     text = F.when(F.size("__m") == 0, F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with(rest, F.expr(inner), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
     chars = {"n_chars": F.when(F.size("__m") == 0, F.col("n_chars")).otherwise(F.length("__text").cast("long"))} if dict(docs.dtypes).get("n_chars") == "bigint" else {}
