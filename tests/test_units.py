@@ -99,3 +99,38 @@ def test_streams_agree_with_the_batch_fold(spark, sf_dir, tmp_path):
     out = streams.to_memory(streams.controller_states(live), "controller", "update", str(tmp_path / "cp"))
     want = {r.session_id: round(r.phi, 9) for r in folds.controller(batch).groupBy("session_id").agg(F.max_by("phi", "seq").alias("phi")).collect()}
     assert {r.session_id: round(r.phi, 9) for r in out.collect()} == want
+
+
+def test_streamed_quarantine_keeps_a_ring(spark, sf_dir, tmp_path):
+    from verdigris.session import table
+    from verdigris.streaming import streams
+
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("judgment"))
+    e.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "e"))
+    live = streams.replay(spark, str(tmp_path / "e"), e.schema, 1)
+    out = streams.to_memory(streams.quarantine(live, 86_400 * 3, 4), "ring", "update", str(tmp_path / "cp")).collect()
+    rows: dict = {}
+    for r in e.collect():
+        rows.setdefault(r.user_id, []).append(r)
+    last = {}
+    for r in out:
+        last[r.user_id] = r
+    assert last.keys() == rows.keys() and all(1 <= r.kept <= 4 for r in last.values())
+    assert sum(r.has_rejected for r in last.values()) > 0
+
+
+def test_merged_counts_and_sessions(spark, sf_dir, tmp_path):
+    from verdigris.operators import folds
+    from verdigris.session import table
+    from verdigris.streaming import streams
+
+    e = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    e.repartitionByRange(2, "event_id").write.parquet(str(tmp_path / "e"))
+    live = streams.replay(spark, str(tmp_path / "e"), e.schema, 1)
+    streams.merged_counts(live, str(tmp_path / "counts"), str(tmp_path / "cp1"), "user_id")
+    newest = max((tmp_path / "counts").iterdir(), key=lambda p: int(p.name[1:]))
+    got = {r.user_id: r.hits for r in spark.read.parquet(str(newest)).collect()}
+    assert got == {r.user_id: r["count"] for r in e.groupBy("user_id").count().collect()}
+    quiet = streams.to_memory(streams.quiet_sessions(streams.replay(spark, str(tmp_path / "e"), e.schema, 10), "ts", "user_id", "1 hour", "60 days"), "quiet", "complete", str(tmp_path / "cp2"))
+    assert quiet.agg(F.sum("n")).first()[0] == e.count()
+    assert quiet.count() == folds.sessions_by_gap(e, "user_id", "ts", "1 hour", "event_id").count()

@@ -57,6 +57,10 @@ def quarantine(events: DataFrame, ttl_seconds: int, most: int) -> DataFrame:
     """A ring of the latest entries per user with a time to live, from (user_id, event_id, ts, judgment)."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+    from verdigris.session import ship
+
+    ship(events.sparkSession)
+
     def run(key, parts: Iterator, state: GroupState):
         import pandas as pd
 
