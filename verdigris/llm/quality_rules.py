@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import written
 
 #: Rows on which costs and selectivities are estimated.
-SAMPLE_ROWS = 2000
+SAMPLE_ROWS = 500
 _GAP = r"[\x20\x09-\x0D]+"
 
 
