@@ -14,6 +14,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -92,9 +93,9 @@ RULES = (
 )
 
 
-def on_text(rule: Rule, text: Column) -> Column:
-    """The rule as an expression of the text alone."""
-    return let(words_of(text), lambda words: rule.rejects(*(STATISTICS[s](text, words) for s in rule.needs)))
+def on_words(rule: Rule, text: Column, words: Column) -> Column:
+    """The rule as an expression of a text and its words."""
+    return rule.rejects(*(STATISTICS[s](text, words) for s in rule.needs))
 
 
 def ordered(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
@@ -103,7 +104,7 @@ def ordered(docs: DataFrame, rules: tuple[Rule, ...], sample_rows: int = SAMPLE_
     n = max(1, sample.count())
     worth = {}
     for rule in rules:
-        test = sample.agg(F.count_if(on_text(rule, F.col("text"))))
+        test = sample.agg(F.count_if(let(words_of(F.col("text")), partial(on_words, rule, F.col("text")))))
         test.first()
         began = time.perf_counter()
         rejected = test.first()[0]
@@ -143,4 +144,4 @@ def judged(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
 def passing(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The documents that no rule rejects, with their columns."""
     order = ordered(docs, BASE + RULES, sample_rows)
-    return docs.filter(cascade(order, lambda rule: on_text(rule, F.col("text"))).isNull())
+    return docs.filter(let(words_of(F.col("text")), lambda words: cascade(order, lambda rule: on_words(rule, F.col("text"), words))).isNull())
