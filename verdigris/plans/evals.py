@@ -362,7 +362,7 @@ def n5_n6_next_id(spark, sf_dir):
 
 @query("SELECT doc_id, item, lang FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS item FROM documents WHERE doc_id % 10 = 0) WHERE trim(item, ' ') <> ''")
 def n7_negatives_as_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").filter("doc_id % 10 = 0").select("doc_id", F.explode(F.split("text", "\n")).alias("item"), "lang").filter(F.trim("item") != "")
+    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("item"), "lang").filter(F.trim("item") != "")
 
 
 @query("""WITH j AS (SELECT conv_id, turn % 3 AS cat, conv_id % 2 = 0 AS a_gov, (conv_id * 7 + turn) % 11 AS a, (conv_id * 5 + turn * 3) % 11 AS b FROM conversations), u AS (SELECT cat, CASE WHEN a_gov THEN a ELSE b END AS gov, CASE WHEN a_gov THEN b ELSE a END AS raw FROM j), m AS (SELECT cat, avg(gov) AS gov, avg(raw) AS raw, count(*) FILTER (gov > raw) AS wins FROM u GROUP BY 1)

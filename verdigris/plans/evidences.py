@@ -69,7 +69,7 @@ nr AS (SELECT a.query_id, count(*) FILTER (len(list_intersect(a.nums, b.nums)) >
 f AS (SELECT query_id, list(words ORDER BY rank) AS w, max(len(words)) AS longest FROM c GROUP BY 1), s AS (SELECT f.*, rate, len(list_intersect(w[1], w[2])) / CAST(least(len(w[1]), len(w[2])) AS DOUBLE) AS share FROM f LEFT JOIN nr USING (query_id))
 SELECT query_id, CASE WHEN longest <= 2 THEN 'mixed' WHEN rate >= 0.7 THEN 'high' WHEN rate >= 0.3 THEN 'mixed' WHEN rate IS NOT NULL THEN 'low' WHEN len(w) < 2 THEN 'mixed' WHEN share >= 0.5 THEN 'high' WHEN share >= 0.2 THEN 'mixed' ELSE 'low' END AS agreement FROM s""")
 def j7_claim_agreement(spark, sf_dir):
-    claims = table(spark, sf_dir, "conversations").filter("turn < 6").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text").alias("claim"))
+    claims = table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("query_id"), F.col("turn").alias("rank"), F.col("text").alias("claim"))
     return E.claim_agreement(claims)
 
 
