@@ -1,6 +1,8 @@
 """Registered queries over small tables of their own, against brute force over all rows."""
 
+import random
 import re
+from collections import Counter
 from itertools import combinations
 
 from verdigris.plans import registry
@@ -38,3 +40,27 @@ def test_claims_of_late_turns_are_compared(spark, tmp_path):
 
     assert got == {c: brute(texts) for c, texts in claims.items()}
     assert got == {1: "mixed", 2: "high", 3: "high"}
+
+
+def test_novelty_counts_character_4_grams(spark, tmp_path):
+    r = random.Random(3)
+    docs = [(k, "".join(r.choices("abЖ漢😀\n ", k=r.randrange(12)))) for k in range(0, 13_500, 20)]
+    docs += [(k, "same words here") for k in range(13_500, 14_200, 20)]
+    got = ran(spark, tmp_path, "h28_h29_novelty", documents=("doc_id long, text string", docs))
+    sets = {}
+    for k, t in docs:
+        sets.setdefault(k // 100, set()).update(t[i : i + 4] for i in range(len(t) - 3))
+    rates = {b: (len(s), len(s - sets.get(b - 1, set())) / len(s)) for b, s in sets.items() if s}
+    order = sorted(rates)
+    want = [(b, *rates[b], max(rates[x][1] for x in order[max(0, k - 2) : k + 1]) < 0.05) for k, b in enumerate(order)]
+    assert sorted(got) == want
+    assert {x[3] for x in want} == {True, False}
+
+
+def test_diversity_counts_character_3_grams(spark, tmp_path):
+    docs = [("ru", "Привет, мир"), ("ru", "приветы"), ("zh", "漢字漢字漢"), ("en", "ab"), ("en", "a😀b\nabab")]
+    got = dict(ran(spark, tmp_path, "h30_gram_diversity", documents=("lang string, text string", docs)))
+    counts = {}
+    for lang, t in docs:
+        counts.setdefault(lang, Counter()).update(t[i : i + 3] for i in range(len(t) - 2))
+    assert got == {k: sum(v == 1 for v in c.values()) / c.total() for k, c in counts.items()}

@@ -217,6 +217,14 @@ def overlap(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(F.size(F.array_intersect(x, y)).cast("double"), F.least(F.size(x), F.size(y))), F.lit(0.0))
 
 
+def all_grams(text: Column, n: int) -> Column:
+    """Every character n-gram of the whole text, in order and with repeats; a shorter text has none.
+
+    Each match takes one code point and looks ahead, so the time is in proportion to the length.
+    """
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))."), 1)
+
+
 def grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter text is its own only one."""
     long = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substring(text, k, F.lit(n))))

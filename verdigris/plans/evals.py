@@ -224,15 +224,25 @@ _BATCH = "b AS (SELECT doc_id // 100 AS batch, unnest(list_distinct(regexp_extra
 
 @query(f"WITH {_BATCH} SELECT *, max(novelty) OVER (ORDER BY batch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) < 0.9 AS converged FROM rt")
 def h28_h29_novelty(spark, sf_dir):
-    u = table(spark, sf_dir, "documents").select(F.expr("doc_id div 100").alias("batch"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0))).alias("gram")).distinct()
-    earlier = u.select((F.col("batch") + 1).alias("batch"), "gram", F.lit(1).alias("known"))
-    rates = u.join(earlier, ["batch", "gram"], "left").groupBy("batch").agg(F.count("*").alias("grams"), (F.count_if(F.col("known").isNull()) / F.count("*").cast("double")).alias("novelty"))
-    return rates.withColumn("converged", F.max("novelty").over(Window.partitionBy(F.lit(1)).orderBy("batch").rowsBetween(-2, 0)) < 0.9)
+    """Share of a batch's distinct 4-grams that the batch before lacks.
+
+    A gram has one row per cell of 63 batches: bits 1 to 63 are the batches that hold it, bit 0 is
+    the last batch of the cell before. So grams are shuffled once, and a cell has each only once.
+    """
+    batch = F.expr("doc_id div 100")
+    own = F.struct(F.floor(batch / 63).alias("cell"), (F.pmod(batch, F.lit(63)) + 1).cast("int").alias("bit"))
+    after = F.struct((F.floor(batch / 63) + 1).alias("cell"), F.lit(0).alias("bit"))
+    d = table(spark, sf_dir, "documents").select(F.explode(F.when(own["bit"] == 63, F.array(own, after)).otherwise(F.array(own))).alias("at"), "text")
+    seen = d.select("at", F.explode(F.array_distinct(T.all_grams(F.col("text"), 4))).alias("gram")).groupBy("at.cell", "gram").agg(F.bit_or(F.expr("shiftleft(1L, at.bit)")).alias("mask"))
+    bits = F.filter(F.sequence(F.lit(1), F.lit(63)), lambda k: F.getbit("mask", k) == 1)
+    held = seen.select("cell", "mask", F.explode(bits).alias("bit"))
+    rates = held.groupBy((F.col("cell") * 63 + F.col("bit") - 1).alias("batch")).agg(F.count("*").alias("grams"), (F.count_if(F.getbit("mask", F.col("bit") - 1) == 0) / F.count("*").cast("double")).alias("novelty"))
+    return rates.withColumn("converged", F.max("novelty").over(Window.partitionBy(F.lit(1)).orderBy("batch").rowsBetween(-2, 0)) < 0.05)
 
 
 @query("WITH g AS (SELECT lang, gram, count(*) AS c FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS gram FROM documents) GROUP BY ALL) SELECT lang, count(*) FILTER (c = 1) / CAST(sum(c) AS DOUBLE) AS diversity FROM g GROUP BY 1")
 def h30_gram_diversity(spark, sf_dir):
-    g = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), 0)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
+    g = table(spark, sf_dir, "documents").select("lang", F.explode(T.all_grams(F.col("text"), 3)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
     return g.groupBy("lang").agg((F.count_if(F.col("c") == 1) / F.sum("c").cast("double")).alias("diversity"))
 
 
