@@ -64,3 +64,21 @@ def test_diversity_counts_character_3_grams(spark, tmp_path):
     for lang, t in docs:
         counts.setdefault(lang, Counter()).update(t[i : i + 3] for i in range(len(t) - 2))
     assert got == {k: sum(v == 1 for v in c.values()) / c.total() for k, c in counts.items()}
+
+
+def test_lint_compares_whole_texts(spark, tmp_path):
+    r = random.Random(5)
+    words = lambda n: " ".join("".join(r.choices("abcdefghij漢😀", k=5)) for _ in range(n))
+    head, body = words(40), words(300)
+    texts = [head + words(200), head + words(200), words(40) + body, words(40) + body, "ab", " \u3000ab\n", "", "abc", "xyz", "[ERROR] of a call", "Sure, here it is", "Of course it is", "surely, it is"]
+    texts += ["some words that repeat", "some words that repeat", body + words(20), *(words(9) for _ in range(10)), body + words(20)]
+    docs = [(k, "s", t) for k, t in enumerate(texts)] + [(99, "other", texts[2])]
+    got = dict(ran(spark, tmp_path, "j6_lint_against_recent", documents=("doc_id long, source string, text string", docs)))
+    grams = lambda t: {t[i : i + 3] for i in range(len(t) - 2)}
+
+    def similar(a, b):
+        return bool(a and b) and len(a & b) / len(a | b) > 0.85
+
+    want = {k: len(t.strip()) <= 2 or t.startswith(("[ERROR", "Sure,", "Of course")) or any(similar(grams(t), grams(p)) for p in texts[max(0, k - 10) : k]) for k, t in enumerate(texts)}
+    assert got == want | {99: False}
+    assert not want[1] and want[14] and want[4]

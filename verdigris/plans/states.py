@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from verdigris import vocab
 from verdigris.functions import scoring as S
+from verdigris.functions import text as T
 from verdigris.operators import folds, stores
 from verdigris.plans.base import registrar, table
 from verdigris.plans.texts import _has
@@ -124,11 +125,20 @@ def f11_e28_last_fact_wins(spark, sf_dir):
 @query("""WITH g AS (SELECT source, doc_id, text, list_distinct(list_transform(range(1, greatest(length(substr(text, 1, 200)) - 1, 2)), lambda k: substr(substr(text, 1, 200), k, 3))) AS g FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM g),
 m AS (SELECT a.doc_id, max(len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE)) AS j FROM o a LEFT JOIN o b ON a.source = b.source AND b.r BETWEEN a.r - 10 AND a.r - 1 GROUP BY 1) SELECT doc_id, coalesce(j > 0.85, FALSE) AS rejected FROM m""")
 def j6_lint_against_recent(spark, sf_dir):
-    head = F.substring("text", 1, 200)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(head) - 2, F.lit(1))), lambda k: F.substring(head, k, F.lit(3))))
+    """Too short, boilerplate, or 3-gram Jaccard over 0.85 with one of the ten before, of whole texts.
+
+    The Jaccard is at most the ratio of the set sizes, so only texts of like size are compared.
+    """
+    near = lambda a, b: F.least(a, b) / F.nullif(F.greatest(a, b), F.lit(0)) > 0.85
+    grams = lambda t: F.array_distinct(T.all_grams(t, 3))
     w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(-10, -1)
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", grams.alias("g")).withColumn("near", F.collect_list("g").over(w))
-    return d.select("doc_id", F.exists("near", lambda x: F.size(F.array_intersect("g", x)) / F.size(F.array_union("g", x)) > 0.85).alias("rejected"))
+    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.size(grams(F.col("text"))).alias("n"))
+    recent = F.filter(F.collect_list(F.struct("n", "text")).over(w), lambda x: near(x["n"], F.col("n")))
+    d = d.withColumn("recent", recent).select("doc_id", "text", "recent", F.when(F.size("recent") > 0, grams(F.col("text"))).alias("g"))
+    similar = F.exists("recent", lambda x: F.size(F.array_intersect("g", grams(x["text"]))) / F.size(F.array_union("g", grams(x["text"]))) > 0.85)
+    short = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) <= 2
+    boilerplate = F.col("text").startswith("[ERROR") | F.col("text").startswith("Sure,") | F.col("text").startswith("Of course")
+    return d.select("doc_id", F.coalesce(short | boilerplate | similar, F.lit(False)).alias("rejected"))
 
 
 @query("""WITH n AS (SELECT max(ts) AS now FROM events), q AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'rejected' END AS judgment, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events, n WHERE NOT now - ts > INTERVAL 6 HOUR)
