@@ -6,8 +6,9 @@ share, entropy of the characters, parameters, hyphens and labels of the host, an
 often URLs with the same host suffix were blocked among the labelled ones, smoothed.
 Labelled URLs are a table of (url, label); the query labels those that its rules decide.
 
-Only the fit is bounded: at most ``max_rows`` labelled URLs, taken by hash, train the
-trees; the table of suffixes has no more rows than that and is broadcast.
+Only the fit is bounded: at most ``max_rows`` distinct labelled URLs, taken by hash, train
+the trees, each with its mean label and weighted by its copies; the table of suffixes has no
+more rows than that and is broadcast.
 
 Defined cases: a null URL, or one without ``://``, has an empty host and path and is judged
 by its features; with labels of one class only, that class is every verdict, and without
@@ -74,14 +75,19 @@ def with_suffixes(features: DataFrame, shares: DataFrame, overall: float) -> Dat
 
 def trained(labelled: DataFrame, max_rows: int = MAX_ROWS):
     """(suffix table, overall share, model) from (url, host, path, label); the model is None with one class."""
-    sample = labelled.filter("label is not null").orderBy(F.xxhash64("url"), "url").limit(max_rows)
-    rows = written(lexical(sample.select("url", "host", "path", F.col("label").cast("double").alias("label"))), "urls")
-    total = rows.agg(F.count("*").alias("n"), F.avg("label").alias("share")).first()
+    # Equal URLs become one row first, so that copies of one URL cannot fill the sample.
+    copies = labelled.filter("label is not null").groupBy("url", "host", "path").agg(F.count("*").cast("double").alias("n"), F.sum(F.col("label").cast("double")).alias("blocked"))
+    sample = copies.orderBy(F.xxhash64("url"), "url").limit(max_rows)
+    rows = written(lexical(sample), "urls")
+    total = rows.agg(F.sum("n").alias("n"), (F.sum("blocked") / F.sum("n")).alias("share")).first()
     if not total["n"] or total["share"] in (0.0, 1.0):
         return None, total["share"] or 0.0, None
-    shares = rows.groupBy("suffix").agg(((F.sum("label") + SMOOTHING * total["share"]) / (F.count("*") + SMOOTHING)).alias("suffix_share"), F.log1p(F.count("*")).alias("suffix_seen"))
-    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffixes(rows, shares, total["share"])).select("features", "label")
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, cacheNodeIds=False).fit(assembled)
+    shares = rows.groupBy("suffix").agg(((F.sum("blocked") + SMOOTHING * total["share"]) / (F.sum("n") + SMOOTHING)).alias("suffix_share"), F.log1p(F.sum("n")).alias("suffix_seen"))
+    # The trees take classes: a URL with both labels has a row for each, weighted by its copies.
+    classes = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("blocked").alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("blocked")).alias("weight"))))
+    weighted = rows.select("*", classes.alias("c")).select("*", "c.label", "c.weight").filter("weight > 0")
+    assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(with_suffixes(weighted, shares, total["share"])).select("features", "label", "weight")
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, cacheNodeIds=False, weightCol="weight").fit(assembled)
     return shares, total["share"], model
 
 
