@@ -1,8 +1,9 @@
 """MinHash near-duplicates with sequential Bayesian verification.
 
 1. Every text becomes a sketch: number of distinct shingles, a 128-bit fingerprint of the
-   shingle set, band keys of its minhashes and a short signature. Equal sets collapse into
-   one class, represented by its smallest id, so copies never form pairs.
+   shingle set, band keys of its minhashes and a short signature. Equal fingerprints collapse
+   into one class, represented by its smallest id, so copies never form pairs. Every member
+   is confirmed against its representative on the full sets; one that differs stands alone.
 2. Members of a band bucket are candidates. First each is paired with the bucket's smallest
    member (a star, linear in the bucket); links found join components; then members of
    different components of one bucket meet in tiles of bounded blocks, never as rows.
@@ -15,12 +16,15 @@ With rows=5 and bands=40 a pair exactly at similarity 0.75 shares no bucket with
 probability 2e-5, more similar ones less.
 
 Defined cases: null, empty and blank texts have no shingles and link with nothing; fewer
-words than ``width`` form one shingle; rows that share an id are one node that links by
-each of its texts; a null id links with nothing and is kept; an empty table gives none.
+words than ``width`` form one shingle; a text of any length is taken whole; rows that share
+an id are one node that links by each of its texts; a null id links with nothing and is
+kept; of tied ids and repeated rows the smallest id represents; an empty table gives none;
+extra columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 from functools import lru_cache
 
@@ -29,15 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import workers_ready, written
+from verdigris.llm.common import Memo, workers_ready, written
 
 WIDTH, NUMERATOR, DENOMINATOR = 5, 75, 100
 ROWS, BANDS, SIGNATURE, BATCH, MISS = 5, 40, 128, 32, 1e-6
-_BLOCK = 4096
+#: What rows of one class share.
+CLASS = ("fp1", "fp2", "apart")
+#: Hashes of one step of the minima; members that one copy of a representative's text confirms.
+_BLOCK, COPIES = 4096, 1000
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Words of a worker whose hashes are kept.
+_WORDS = 400_000
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -47,35 +53,18 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Powers:
-    """Powers of the base and of its inverse modulo 2**64, as far as needed."""
+def _word_hash(word: bytes) -> int:
+    """A keyed cryptographic hash: no construction of words makes two of them meet."""
+    return int.from_bytes(hashlib.blake2b(word, digest_size=8, key=b"near-duplicates").digest(), "little")
 
-    def __init__(self):
-        self.up = self.down = np.ones(1, "u8")
 
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = 1 << (n - 1).bit_length()
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            self.up = np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(size - 1, _BASE)]), dtype="u8")
-            self.down = np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(size - 1, inverse)]), dtype="u8")
-        return self.up[:n], self.down[:n]
-
-
-_POWERS = Powers()
+_HASHES = Memo(_word_hash, _WORDS)
 
 
 def word_hashes(text: str) -> np.ndarray:
-    """A 64-bit hash of each word, by prefix sums of a polynomial over the bytes."""
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass").translate(_LOWER), "u1")
-    if not len(raw):
-        return np.zeros(0, "u8")
-    gap = np.concatenate([[True], _SPACE[raw], [True]])
-    edge = np.flatnonzero(gap[1:] != gap[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    up, down = _POWERS.upto(len(raw))
-    total = np.concatenate([np.zeros(1, "u8"), np.cumsum((raw.astype("u8") + np.uint64(1)) * up, dtype="u8")])
-    return mixed((total[ends] - total[starts]) * down[starts] + (ends - starts).astype("u8"))
+    """A 64-bit hash of each word, A-Z lower-cased."""
+    words = text.encode("utf-8", "surrogatepass").translate(_LOWER).split()
+    return np.fromiter(map(_HASHES.__getitem__, words), "u8", len(words))
 
 
 def shingle_hashes(text: str | None, width: int = WIDTH) -> np.ndarray:
@@ -114,14 +103,14 @@ def minhashes(hashes: np.ndarray, n: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int = BANDS) -> DataFrame:
-    """id, n, fp1, fp2 (of the set), sig (low halves of minhashes), keys (of the bands)."""
+    """id, own (the row's text), n, fp1, fp2 (of the set), sig (low halves of minhashes), keys (of the bands)."""
     workers_ready(docs.sparkSession)
     n_hashes, salt = max(rows * bands, SIGNATURE), np.arange(bands, dtype="u8") * np.uint64(0xD1B54A32D192ED03)
 
     def run(batches):
         for b in batches:
             out: list[list] = [[] for _ in range(5)]
-            for text in b.column(1).to_pylist():
+            for text in b.column(2).to_pylist():
                 h = shingle_hashes(text, width)
                 if len(h):
                     least = minhashes(h, n_hashes)
@@ -134,9 +123,29 @@ def sketches(docs: DataFrame, width: int = WIDTH, rows: int = ROWS, bands: int =
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["id", "n", "fp1", "fp2", "sig", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x, k) for x, k in zip(out, kinds, strict=True))], names=["id", "own", "n", "fp1", "fp2", "sig", "keys"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"), "text").mapInArrow(run, "id long, own long, n long, fp1 long, fp2 long, sig binary, keys array<bigint>")
+
+
+def strays(texts: DataFrame, width: int = WIDTH, a_copy: int = COPIES) -> DataFrame:
+    """(id, own) of the texts whose full shingle set is not that of their class's representative.
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, n long, fp1 long, fp2 long, sig binary, keys array<bigint>")
+    texts: (id, own, text, rep, rep_own, n), n rows in the class. The representative's text is
+    copied once for ``a_copy`` members, so that no class is one group.
+    """
+    copies = F.ceil(F.col("n") / a_copy).cast("int")
+    members = texts.filter("id != rep or own != rep_own").select("id", "own", "text", "rep", F.pmod(F.xxhash64("id", "own"), copies).cast("int").alias("copy"))
+    reps = texts.filter("id = rep and own = rep_own and n > 1").select("rep", F.col("text").alias("rep_text"), F.explode(F.sequence(F.lit(0), copies - 1)).alias("copy"))
+    workers_ready(texts.sparkSession)
+
+    def run(batches):
+        sets = lru_cache(maxsize=16)(lambda text: shingle_set(text, width))
+        for t in batches:
+            differ = [x != y and sets(x) != sets(y) for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], names=["id", "own"]).filter(pa.array(differ, pa.bool_()))
+
+    return members.join(reps, ["rep", "copy"]).select("id", "own", "text", "rep_text").mapInArrow(run, "id long, own long")
 
 
 @lru_cache(maxsize=8)
@@ -235,7 +244,7 @@ def tile_links(left: list[dict], right: list[dict], key: int, width: int, numera
     return found
 
 
-def between(buckets: DataFrame, labels: DataFrame, full: DataFrame, texts: DataFrame, threshold: float, miss: float, width: int, numerator: int, denominator: int, size: int = 128, most_chars: int = 4_000_000) -> DataFrame:
+def between(buckets: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float, miss: float, width: int, numerator: int, denominator: int, size: int = 128, most_chars: int = 4_000_000) -> DataFrame:
     """Links (a, b) between different components that share a bucket, found in tiles of bounded blocks.
 
     In each bucket, members outside its largest component meet all members. Pairs are never
@@ -245,15 +254,15 @@ def between(buckets: DataFrame, labels: DataFrame, full: DataFrame, texts: DataF
     parts = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", F.col("main.comp").alias("main"))
     mixed_ = written(member.join(main, "key"), "mixed")
-    known = texts.join(full.select("id", "sig", "keys", "n").distinct(), "id").filter(F.col("text").isNotNull())
-    there = written(mixed_.join(known, "id").select("key", F.col("comp") != F.col("main"), F.struct("id", "comp", "sig", "keys", "text").alias("m")).toDF("key", "outside", "m"), "bucket-texts")
+    there = written(mixed_.join(texts.join(signed, ["id", "own"]), "id").select("key", F.col("comp") != F.col("main"), F.struct("id", "comp", "sig", "keys", "text").alias("m")).toDF("key", "outside", "m"), "bucket-texts")
     spread = lambda n, chars: F.greatest(F.ceil(n / size), F.ceil(chars / most_chars), F.lit(1)).cast("int")
     chars = F.length("m.text")
     counts = written(there.groupBy("key").agg(spread(F.count("*"), F.sum(chars)).alias("all"), spread(F.count_if("outside"), F.sum(F.when(F.col("outside"), chars).otherwise(0))).alias("out")), "bucket-sizes")
+    # Blocks are dealt by (key, block), never by the key alone: a hot bucket is many tasks.
     dealt = there.join(counts, "key")
     block = lambda n: F.pmod(F.xxhash64("m.id"), F.col(n)).cast("int")
-    outside = dealt.filter("outside").groupBy("key", block("out").alias("block")).agg(F.collect_list("m").alias("left"))
-    inside = dealt.groupBy("key", "out", block("all").alias("own")).agg(F.collect_list("m").alias("right")).select("key", "right", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("block"))
+    outside = dealt.filter("outside").select("key", block("out").alias("block"), "m").repartition("key", "block").groupBy("key", "block").agg(F.collect_list("m").alias("left"))
+    inside = dealt.select("key", "out", block("all").alias("own"), "m").repartition("key", "own").groupBy("key", "out", "own").agg(F.collect_list("m").alias("right")).select("key", "right", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("block"))
     steps = least_matches(threshold, miss)
     workers_ready(buckets.sparkSession)
 
@@ -284,16 +293,30 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERA
     """doc_id, n_shingles, component_id, kept for every row."""
     threshold = numerator / denominator
     sketch = written(sketches(docs, width, rows, bands), "sketches")
-    full = sketch.filter("n > 0 and id is not null")
-    classes = written(full.groupBy("fp1", "fp2").agg(F.min("id").alias("rep"), F.max("id").alias("last")), "classes")
-    reps = full.join(classes.select("fp1", "fp2", F.col("rep").alias("id")), ["fp1", "fp2", "id"])
+    full = sketch.filter("n > 0 and id is not null").withColumn("apart", F.lit(""))
+    known = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("own"), "text").filter("text is not null")
+    if not full.groupBy("id", "own").agg(F.count("*").alias("c")).filter("c > 1").isEmpty():
+        known = known.dropDuplicates(["id", "own"])
 
-    banded = reps.select("id", F.explode("keys").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("key", "pivot")
-    buckets = written(banded.join(shared, "key"), "buckets")
-    ids = written(buckets.select("id").distinct(), "candidates")
-    signatures = written(full.join(ids, "id", "left_semi").select("id", "sig").distinct(), "signatures")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("text is not null").join(ids, "id", "left_semi"), "texts")
+    while True:
+        classes = written(full.groupBy(*CLASS).agg(F.min(F.struct("id", "own")).alias("first"), F.count("*").alias("c")).select(*CLASS, F.col("first.id").alias("rep"), F.col("first.own").alias("rep_own"), "c"), "classes")
+        reps = full.select(*CLASS, "id", "own", "sig", "keys").join(classes.select(*CLASS, F.col("rep").alias("id"), F.col("rep_own").alias("own")), [*CLASS, "id", "own"]).dropDuplicates(["id", "own"])
+        banded = reps.select("id", F.explode("keys").alias("key")).distinct()
+        shared = banded.groupBy("key").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot < last").select("key", "pivot")
+        buckets = written(banded.join(shared, "key"), "buckets")
+        ids = written(buckets.select("id").distinct(), "candidates")
+        # Texts are shuffled once, those of candidates and of classes with several members.
+        told = full.select(*CLASS, "id", "own").distinct().join(classes, [*CLASS]).join(ids.withColumn("paired", F.lit(True)), "id", "left")
+        wanted = told.filter("c > 1 or paired").select("id", "own", "rep", "rep_own", F.col("c").alias("n"), "paired")
+        texts = written(known.join(wanted, ["id", "own"]), "texts")
+        apart = written(strays(texts, width).distinct(), "strays")
+        if apart.isEmpty():
+            break
+        # Equal fingerprints of different sets: these rows become classes of their own.
+        full = written(full.drop("apart").join(apart.withColumn("apart", F.concat_ws("/", "id", "own")), ["id", "own"], "left").withColumn("apart", F.coalesce("apart", F.lit(""))), "full")
+    texts = texts.filter("paired and id = rep and own = rep_own").select("id", "own", "text")
+    signed = written(reps.join(ids, "id", "left_semi").select("id", "own", "sig", "keys"), "signatures")
+    signatures = signed.select("id", "sig")
 
     def links(pairs: DataFrame, name: str) -> DataFrame:
         return written(confirmed(written(likely(pairs, signatures, threshold, miss), "survivors"), texts, width, numerator, denominator).distinct(), name)
@@ -301,13 +324,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, numerator: int = NUMERA
     star = links(buckets.filter("pivot < id").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct(), "star")
     first = components(star)
 
-    rest = between(buckets, first, full, texts, threshold, miss, width, numerator, denominator)
+    rest = between(buckets, first, signed, texts, threshold, miss, width, numerator, denominator)
 
     #: An id in several classes joins them.
-    repeated = full.join(classes, ["fp1", "fp2"]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
+    repeated = full.select(*CLASS, "id").join(classes, [*CLASS]).groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a < b").select("a", "b")
     last = components(star.union(rest).union(repeated))
-    labelled = written(classes.join(last, classes["rep"] == last["id"], "left").select("fp1", "fp2", F.coalesce("comp", "rep").alias("component_id")), "labelled")
-    linked = full.join(labelled, ["fp1", "fp2"]).select("id", "n", "component_id")
+    labelled = written(classes.join(last, classes["rep"] == last["id"], "left").select(*CLASS, F.coalesce("comp", "rep").alias("component_id")), "labelled")
+    linked = full.select(*CLASS, "id", "n").join(labelled, [*CLASS]).select("id", "n", "component_id")
     alone = sketch.filter("n = 0 or id is null").select("id", "n", F.col("id").alias("component_id"))
     return linked.union(alone).select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
