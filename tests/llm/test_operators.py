@@ -211,6 +211,23 @@ def test_quality_rules_against_python(spark):
     assert quality_rules.judged(frame(spark, [])).count() == 0
 
 
+def test_rules_short_circuit(spark):
+    """What only a rule needs stands in a CASE branch of the optimised plan, never beside it."""
+    d = quality_rules.judged(frame(spark, [(k, "a b c " * 30) for k in range(20)]), 20)
+    plan = d._jdf.queryExecution().optimizedPlan().toString()
+    lines = [x for x in plan.split("\n") if "[A-Z]" in x]
+    assert lines and all(x.index("CASE WHEN") < x.index("[A-Z]") for x in lines)
+    assert all(x.count("[A-Z]") == 1 for x in lines)
+
+
+def test_rules_are_ordered_by_rejections_for_cost(spark):
+    cheap = quality_rules.Rule("cheap", ("n_words",), lambda n: n < 1000)
+    never = quality_rules.Rule("never", ("n_repeat_words",), lambda n: n < 0)
+    d = frame(spark, [(k, " ".join(f"w{j % 97}" for j in range(400))) for k in range(300)])
+    assert [r.name for r in quality_rules.ordered(d, (never, cheap))] == ["cheap", "never"]
+    assert len(quality_rules.ordered(d.limit(0), (never, cheap))) == 2
+
+
 # op6
 
 
