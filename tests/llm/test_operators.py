@@ -82,6 +82,18 @@ def test_pieces_equal_the_library(spark):
     assert by[999_999] == [2]
 
 
+def test_ids_equal_the_library_on_the_whole_table(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    path = P.path("byte_bpe_50k.json")
+    lib, own = Tokenizer.from_file(path), packing.tokenizer(path)
+    assert own.fast is not None
+    for r in spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/documents.parquet").select("text").collect():
+        assert own.ids(r.text or "") == np.array(lib.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()
+    assert packing.merges_follow_ids({"vocab": {"a": 0, "b": 1, "ab": 2, "aab": 3}, "merges": [["a", "b"], "a ab"]})
+    assert not packing.merges_follow_ids({"vocab": {"a": 0, "b": 1, "ab": 3, "aab": 2}, "merges": [["a", "b"], "a ab"]})
+
+
 def check_packing(rows, capacity):
     at = defaultdict(list)
     for r in rows:
@@ -101,6 +113,45 @@ def test_packing_is_gapless_and_tight(spark, sf_dir):
     assert check_packing(rows, 1024) <= 1.02 * total / 1024 + 2
 
 
+def brute_packing(lengths, capacity, most):
+    """Bounded best fit with a plain list of open bins: [free, number]."""
+    bins, out, made = [], [], 0
+    for n in lengths:
+        fit = [b for b in bins if b[0] >= n]
+        if fit:
+            free = min(b[0] for b in fit)
+            b = next(b for b in reversed(bins) if b[0] == free)
+            bins.remove(b)
+        else:
+            b, made = [capacity, made], made + 1
+        out.append((b[1], capacity - b[0]))
+        b[0] -= n
+        bins += [b] * (b[0] > 0)
+        if len(bins) > most:
+            least = min(x[0] for x in bins)
+            bins.remove(next(x for x in reversed(bins) if x[0] == least))
+    return out
+
+
+def test_bins_close_and_packing_equals_brute_force(spark):
+    rng = random.Random(9)
+    lengths = [rng.randint(1, 100) for _ in range(3000)]
+    bins = packing.OpenBins(100, 16)
+    got, most = [], 0
+    for n in lengths:
+        got.append(bins.place(n))
+        most = max(most, bins.open)
+    want = brute_packing(lengths, 100, 16)
+    assert got == want and most == 16
+    assert len({b for b, _ in want}) > len({b for b, _ in brute_packing(lengths, 100, 10**9)})  # the bound binds
+    d = spark.createDataFrame([(k, 0, n) for k, n in enumerate(lengths + lengths[:40])], "doc_id long, piece int, length long").withColumn("offset", F.lit(7))
+    rows = packing.pack(d, 100, open_bins=64, partitions=2, window=64).collect()
+    assert sorted(r.length for r in rows) == sorted(lengths + lengths[:40])
+    assert check_packing(rows, 100) <= 1.04 * sum(r.length for r in rows) / 100 + 4
+    again = packing.pack(d.repartition(5), 100, open_bins=64, partitions=2, window=64).collect()
+    assert sorted(map(tuple, rows)) == sorted(map(tuple, again))
+
+
 def test_bounded_bins_close_the_fullest():
     bins = packing.OpenBins(10, 2)
     assert [bins.place(n) for n in (6, 7, 8, 4, 3)] == [(0, 0), (1, 0), (2, 0), (0, 6), (1, 7)]

@@ -2,13 +2,15 @@
 
 Every partition packs its own pieces online: a fixed number of open bins is kept in a
 bitset keyed by free space, a piece goes to the open bin with the least sufficient room,
-and when the number is exceeded the fullest bin closes first. Pieces arrive longest
-first within a partition (an external sort), which makes online best-fit best-fit
-decreasing as long as the bound on open bins does not bind. Only the pieces' sizes are
-shuffled, never texts or ids.
+and when the number is exceeded the fullest bin closes first. Pieces arrive in the order of
+a hash, a bounded window of them is looked at together, the longest first, so that the
+memory of a task does not grow with its input. Only the pieces' sizes are shuffled, never
+texts or ids, and the order of arrival is the same when a task runs again.
 
 Defined cases: a null or empty text is the end token alone; repeated rows are packed
-each; an empty table gives no pieces; a text of any length is cut, never truncated.
+each; pieces that tie in length go by id and piece; an empty table gives no pieces; a text
+of any length is cut, never truncated; extra columns are not read by ``pack_documents``, and
+stay in ``pack``, where ``sequence_id`` and ``offset`` are replaced.
 """
 
 from __future__ import annotations
@@ -31,16 +33,17 @@ from verdigris.llm.common import workers_ready, written
 
 #: Fixed value: the split that byte-level pre-tokenizers apply before merging.
 BYTE_LEVEL_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Open bins a partition may hold, and pieces that a partition gets on average.
-OPEN_BINS, PIECES_A_PARTITION = 65_536, 32_768
+#: Open bins of a partition, pieces looked at together, and pieces that a partition gets on average.
+OPEN_BINS, WINDOW, PIECES_A_PARTITION = 2048, 4096, 32_768
 
 
 class FileTokenizer:
     """Ids as the tokenizers library gives them for a file, as little-endian 32-bit integers.
 
-    The library defines the result. For a byte-level BPE file the same merges run through
-    tiktoken, several times faster; texts that hold a special string, and files of another
-    kind, go to the library itself. Tests hold the two ways equal.
+    The library defines the result. For a byte-level BPE file whose merges are in the order of
+    the ids, the same merges run through tiktoken, several times faster; texts that hold a
+    special string, and files of another kind, go to the library itself. Tests hold the two
+    ways equal on whole tables.
     """
 
     def __init__(self, path: str):
@@ -52,7 +55,7 @@ class FileTokenizer:
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         step = spec.get("pre_tokenizer") or {}
-        if spec["model"]["type"] == "BPE" and not spec.get("normalizer") and step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True):
+        if spec["model"]["type"] == "BPE" and not spec.get("normalizer") and step.get("type") == "ByteLevel" and not step.get("add_prefix_space") and step.get("use_regex", True) and merges_follow_ids(spec["model"]):
             raw = bytes_of_characters()
             ranks = {bytes(raw[c] for c in word): k for word, k in spec["model"]["vocab"].items() if word not in self.special}
             self.fast = RankCodec(ranks, BYTE_LEVEL_PATTERN)
@@ -63,6 +66,14 @@ class FileTokenizer:
         return np.array(self.fast.encode(text), "<u4").tobytes()
 
 
+def merges_follow_ids(model: dict) -> bool:
+    """Whether every merge makes the next higher id, above those of single bytes, so that ids rank the merges."""
+    pairs = (m.split(" ") if isinstance(m, str) else m for m in model["merges"])
+    made = [model["vocab"][a + b] for a, b in pairs]
+    single = [k for word, k in model["vocab"].items() if len(word) == 1]
+    return made == sorted(set(made)) and max(single, default=-1) < min(made, default=0)
+
+
 def bytes_of_characters() -> dict[str, int]:
     """Byte-level BPE writes each byte as a printable character: itself if printable, else one from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -141,19 +152,34 @@ class OpenBins:
         return bin_
 
 
-def pack(sized: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, partitions: int = 1) -> DataFrame:
+def pack(sized: DataFrame, capacity: int = 1024, open_bins: int = OPEN_BINS, partitions: int = 1, window: int = WINDOW) -> DataFrame:
     """Add sequence_id and offset to rows with a ``length`` of 1 to ``capacity``; other columns stay."""
     rest = sized.drop("sequence_id", "offset")
     at = rest.columns.index("length")
 
     def run(batches):
         bins, base = OpenBins(capacity, open_bins), TaskContext.get().partitionId() << 33
-        for b in batches:
-            placed = [bins.place(n) for n in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([base + x for x, _ in placed], pa.int64()), pa.array([y for _, y in placed], pa.int64())], names=[*b.schema.names, "sequence_id", "offset"])
 
+        def placed(t):
+            lengths = t.column(at).to_numpy()
+            order = np.argsort(-lengths, kind="stable")
+            where = np.array([bins.place(n) for n in lengths[order].tolist()], "i8")[np.argsort(order)]
+            return t.append_column("sequence_id", pa.array(base + where[:, 0])).append_column("offset", pa.array(where[:, 1])).to_batches()
+
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            while n >= window:
+                t = pa.Table.from_batches(held)
+                yield from placed(t.slice(0, window))
+                held, n = t.slice(window).to_batches(), n - window
+        if n:
+            yield from placed(pa.Table.from_batches(held))
+
+    workers_ready(sized.sparkSession)
     keys = [c for c in ("doc_id", "piece") if c in rest.columns] or ["length"]
-    dealt = rest.repartition(partitions, *keys).sortWithinPartitions(F.desc("length"), *keys)
+    dealt = rest.repartition(partitions, *keys).sortWithinPartitions(F.xxhash64(*keys), *keys)
     return dealt.mapInArrow(run, T.StructType([*rest.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
 
 
