@@ -27,6 +27,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pii_key(spark: SparkSession) -> str:
+    """The key of surrogates: the session's ``spark.verdigris.pii.key``, else one for invented data only."""
+    return spark.conf.get("spark.verdigris.pii.key", None) or "for invented data"
+
+
 class Memo(dict):
     """A dictionary that computes what it lacks; when full, it keeps one generation to draw from."""
 
