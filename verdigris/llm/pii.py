@@ -1,25 +1,32 @@
 """Personal data replaced by surrogates of the same type and format.
 
-One pattern finds e-mail addresses, IP addresses, card and account numbers, phone numbers,
-secrets and titled names. Every entity gets a surrogate that is a keyed function of its
-canonical form alone, so mentions of one entity agree across documents (coreference):
-
-* digits (cards, phones, IBAN digits, other numbers) go through a keyed Feistel network, a
-  bijection on numbers of that length, so different entities can't meet;
-* the 32 bits of an IP address likewise;
-* secrets, e-mail names and surnames are drawn from a keyed hash; the distinct entities of
-  all documents are checked for meeting surrogates, and for surrogates that are entities
-  themselves, and the later ones are drawn anew until none meet.
-
-Separators, country codes, letter case, the title with its gender, the script of a name
-and the kind of a domain are kept. The main path is SQL expressions only.
-
-Defined cases: a null text stays null with no entities; texts without entities stay as
-they are; repeated rows get equal texts; extra columns stay; an empty table stays empty.
+One pattern finds e-mail addresses, IPv4 and IPv6 addresses, account and card numbers, phone
+numbers, secrets, and names after a title or with a known given name. It runs once over every
+text; the text's parts are written, so that later steps read the mentions instead of looking
+for them again. Every entity gets a surrogate that is a keyed hash of its canonical form alone,
+so mentions of one entity agree across documents and formats (coreference). A name is two
+entities, given name and surname: "Mr John Smith", "John Smith" and "Mr Smith" share theirs.
+
+The distinct entities of all documents are checked, kind by kind, for surrogates that meet and
+for surrogates that are entities themselves; these are drawn anew until none is left.
+
+Kept: separators, country codes and the issuer's first digit, the lengths of numbers and
+secrets, letter case, titles, the script of a name, its gender (by title or given name; male
+surrogates of given names end in a consonant, female ones in a vowel), the kind of a domain.
+Surrogates of IBANs, and of cards whose check digit holds, have valid check digits; IPv6
+addresses go to the range for documentation. The key is an argument: who has it can test a
+guess, but not invert a surrogate. The main path is SQL functions only.
+
+Defined cases: a null text stays null with no entities; texts without entities stay as they
+are, of any length; a surname alone, without title or given name, is not found; repeated rows
+get equal texts; of tied entities the first by canonical form keeps its surrogate; extra
+columns stay, whatever their names; an empty table stays empty.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,156 +34,218 @@ from verdigris.llm.common import written
 
 # Titles that precede a name, by gender.
 TITLES = {"m": ("Mr", "Herr", "M", "Monsieur", "Señor", "Sr", "Господин"), "f": ("Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Mlle", "Señora", "Sra", "Госпожа")}
+# Common given names, by gender.
+GIVEN = {
+    "m": ("Andrew", "Carlos", "Charles", "Christopher", "Daniel", "David", "Dieter", "Edward", "François", "George", "Hans", "Heinrich", "James", "John", "Joseph", "José", "Jürgen", "Klaus", "Matthew", "Michael", "Michel", "Miguel", "Pedro", "Philippe", "Pierre", "Richard", "Robert", "Thomas", "William", "Wolfgang", "Алексей", "Дмитрий", "Иван", "Сергей"),
+    "f": ("Barbara", "Brigitte", "Carmen", "Catherine", "Elizabeth", "Emily", "Heike", "Isabel", "Isabelle", "Jennifer", "Jessica", "Karen", "Laura", "Linda", "Lucía", "Margaret", "María", "Mary", "Monika", "Nathalie", "Patricia", "Petra", "Sabine", "Sarah", "Sophie", "Susan", "Ursula", "Анна", "Елена", "Мария", "Ольга"),
+}
+
+
+def _any(words) -> str:
+    return "(?:" + "|".join(sorted(words, key=lambda w: (-len(w), w))) + ")"
+
 
-_E = r"\p{L}\p{N}._%+\-"
+_TITLE, _GIVEN = _any(TITLES["m"] + TITLES["f"]), _any(GIVEN["m"] + GIVEN["f"])
+_E, _START, _END = r"\p{L}\p{N}._%+\-", r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+_WORD, _HEX = r"\p{Lu}[\p{L}'’\-]+", "[0-9A-Fa-f]{1,4}"
+_SECRET = r"(?:sk|pk|ghp|gsk|xox[abp])[_\-]"
 #: Kind and pattern, in order of precedence.
 PATTERNS = (
     ("email", rf"(?<![{_E}])[{_E}]++@[\p{{L}}\p{{N}}\-]+(?:\.[\p{{L}}\p{{N}}\-]+)*\.\p{{L}}{{2,24}}"),
+    ("ip6", rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f:]{{6}})(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])"),
     ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"),
-    ("iban", r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?\d{4}){3,7}(?: ?\d{1,3})?(?![\p{L}\p{N}])"),
-    ("secret", r"(?<![\p{L}\p{N}])(?:(?:sk|pk|ghp|gsk|xox[abp])[_\-][A-Za-z0-9_\-]{16,}|AKIA[A-Z0-9]{16}|(?=[a-f]*\d)(?:[0-9a-f]{32,128}|[0-9A-F]{32,128}))(?![\p{L}\p{N}])"),
+    ("iban", rf"{_START}(?=[A-Z]{{2}}(?:[A-Z ]{{0,8}}\d){{8}})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}"),
+    ("secret", rf"{_START}(?:{_SECRET}[A-Za-z0-9_\-]{{16,}}|AKIA[A-Z0-9]{{16}}|(?=[a-f]*\d)(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}})){_END}"),
     ("card", r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"),
-    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])"),
+    ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\d\-])"),
     ("number", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    ("name", r"(?<![\p{L}\p{N}])(?:" + "|".join(sorted((t for x in TITLES.values() for t in x), key=len, reverse=True)) + r")\.? \p{Lu}[\p{L}'’\-]+(?: \p{Lu}[\p{L}'’\-]+)?"),
+    ("name", rf"{_START}(?:{_TITLE}\.? {_WORD}(?: {_WORD})?|{_GIVEN} {_WORD})"),
 )
 ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
 #: A text that lacks all of these has no entity.
-HINT = r"[@\d]|(?:" + "|".join(t for x in TITLES.values() for t in x) + r")\.? \p{Lu}"
-_ROUNDS, _TRIES = 6, 8
-#: Kinds whose surrogates are drawn from a hash.
-DRAWN = ("email", "secret", "name")
+HINT = rf"[@\d]|{_SECRET}|AKIA|(?:{_TITLE}\.?|{_GIVEN}) \p{{Lu}}"
+#: Around a mention, and before what the text itself holds of the two.
+_MARK, _ESCAPE = "\u0001", "\u0002"
+_TRIES = 40
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate a value once and use it several times."""
+    return F.transform(F.array(value), body)[0]
+
 
+def kind_of(mention: Column) -> Column:
+    kind = F.lit(None).cast("string")
+    for name, pattern in reversed(PATTERNS):
+        kind = F.when(mention.rlike(rf"\A(?:{pattern})\z"), name).otherwise(kind)
+    return kind
 
-def _quoted(x: str) -> str:
-    return "'" + x.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
+def canonical(mention: Column, kind: Column) -> Column:
+    """The form that mentions of one entity share; names see ``name_parts``."""
+    return (
+        F.when(kind.isin("email", "ip6"), F.lower(mention)).when(kind.isin("secret", "ip"), mention).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
+        .otherwise(F.regexp_replace(mention, "[^0-9]", ""))
+    )
 
-def kind_of(mention: str) -> str:
-    """SQL for the kind of a mention."""
-    return "CASE " + " ".join(f"WHEN {mention} RLIKE {_quoted(f'^(?:{p})$')} THEN '{k}'" for k, p in PATTERNS) + " END"
 
+def name_parts(mention: Column) -> Column:
+    """Struct (title, given, surname, gender): title with the space after it; given may be null."""
+    title = F.regexp_extract(mention, rf"\A{_TITLE}\.? ", 0)
+    words = F.split(F.regexp_replace(mention, rf"\A{_TITLE}\.? ", ""), " ")
+    is_in = lambda x, names: F.array_contains(F.array(*map(F.lit, names)), x)
+    bare = F.regexp_replace(title, r"\.? \z", "")
 
-def canonical(mention: str, kind: str) -> str:
-    """SQL for the form that mentions of one entity share."""
-    return f"CASE {kind} WHEN 'email' THEN lower({mention}) WHEN 'secret' THEN {mention} WHEN 'ip' THEN {mention} WHEN 'name' THEN lower(regexp_replace({mention}, '^[^ ]+ ', '')) WHEN 'iban' THEN replace({mention}, ' ', '') ELSE regexp_replace({mention}, '[^0-9]', '') END"
+    def parts(w: Column) -> Column:
+        gender = F.when(title != "", F.when(is_in(bare, TITLES["f"]), "f").otherwise("m")).when(is_in(w[0], GIVEN["f"]), "f").otherwise("m")
+        return F.struct(title.alias("title"), F.when(F.size(w) > 1, w[0]).alias("given"), F.element_at(w, -1).alias("surname"), gender.alias("gender"))
 
+    return let(words, parts)
 
-def _draw(key: str, *of: str) -> str:
-    """SQL for a keyed hash as 60 bits."""
-    return f"CAST(conv(substr(sha2(concat_ws('|', {_quoted(key)}, {', '.join(of)}), 256), 1, 15), 16, 10) AS BIGINT)"
 
+def entities_of(mention: Column) -> Column:
+    """Array of (kind, canon) of a mention; given names are told apart by gender."""
+    entity = lambda kind, canon: F.struct(kind.alias("kind"), canon.alias("canon"))
+    of_name = lambda p: F.filter(F.array(entity(F.lit("surname"), F.lower(p["surname"])), entity(F.concat(F.lit("given-"), p["gender"]), F.lower(p["given"]))), lambda e: e["canon"].isNotNull())
+    return let(kind_of(mention), lambda k: F.when(k == "name", let(name_parts(mention), of_name)).otherwise(F.array(entity(k, canonical(mention, k)))))
 
-def _feistel(key: str, left: str, right: str, a: str, b: str) -> str:
-    """SQL for a struct (l, r): a keyed bijection on pairs below a and b."""
-    steps = f"named_struct('l', {left}, 'r', {right})"
-    for k in range(0, _ROUNDS, 2):
-        one = f"named_struct('l', pmod(s.l + {_draw(key, str(k), a, b, 's.r')}, {a}), 'r', s.r)"
-        two = f"named_struct('l', t.l, 'r', pmod(t.r + {_draw(key, str(k + 1), a, b, 't.l')}, {b}))"
-        steps = f"transform(transform(array({steps}), s -> {one}), t -> {two})[0]"
-    return steps
 
+def hash_of(kind: Column, canon: Column, tries: Column, key: str) -> Column:
+    """128 hexadecimal digits."""
+    one = F.sha2(F.concat_ws("|", F.lit(key), kind, canon, tries.cast("string")), 256)
+    return let(one, lambda h: F.concat(h, F.sha2(h, 256)))
 
-def permuted(key: str, digits: str) -> str:
-    """SQL for digits of the same number, a keyed bijection on digit strings of each length from 2 to 36."""
-    half, rest = f"CAST(length({digits}) DIV 2 AS INT)", f"(length({digits}) - CAST(length({digits}) DIV 2 AS INT))"
-    power = lambda n: f"CAST(rpad('1', {n} + 1, '0') AS BIGINT)"
-    pair = _feistel(key, f"CAST(substr({digits}, 1, {half}) AS BIGINT)", f"CAST(substr({digits}, {half} + 1) AS BIGINT)", power(half), power(rest))
-    return f"transform(array({pair}), p -> concat(lpad(CAST(p.l AS STRING), {half}, '0'), lpad(CAST(p.r AS STRING), {rest}, '0')))[0]"
 
+def digits(hexed: Column, n: Column, first: int = 1) -> Column:
+    return F.substring(F.translate(hexed, "abcdef", "135790"), F.lit(first), n)
 
-def refilled(shape: str, digits: str) -> str:
-    """SQL for a mention with its digits replaced one by one."""
-    return f"aggregate(split({shape}, ''), named_struct('s', '', 'k', 1), (a, c) -> CASE WHEN c >= '0' AND c <= '9' THEN named_struct('s', concat(a.s, substr({digits}, a.k, 1)), 'k', a.k + 1) ELSE named_struct('s', concat(a.s, c), 'k', a.k) END, a -> a.s)"
 
+def syllables(hexed: Column, n: int, cyrillic: Column, coda: str = "") -> Column:
+    """n syllables, and a last consonant or vowel for a gender."""
+    hexes = "0123456789abcdef"
 
-def _letters(hexed: str, n: int) -> str:
-    """SQL for n pronounceable syllables from a hash in hexadecimal."""
-    return f"translate(substr({hexed}, 1, {n}), '0123456789abcdef', 'bcdfghklmnprstvz')"
+    def made(consonants: str, vowels: str) -> Column:
+        at = lambda k, to: F.translate(F.substring(hexed, k + 1, 1), hexes, to)
+        end = {"m": [at(2 * n, consonants)], "f": [at(2 * n, consonants), F.lit(vowels[0])], "": []}[coda]
+        return F.concat(*(at(2 * k + j, (consonants, vowels)[j]) for k in range(n) for j in (0, 1)), *end)
 
+    return F.when(cyrillic, made("бвгдзклмнпрстфхш", "аеиоуаеиоуаеиоуа")).otherwise(made("bcdfghklmnprstvz", "aeiouaeiouaeioua"))
 
-def _syllables(hexed: str, n: int, cyrillic: bool) -> str:
-    to = ("бвгдзклмнпрстфхш", "аеиоуаеиоуаеиоуа") if cyrillic else ("bcdfghklmnprstvz", "aeiouaeiouaeioua")
-    return "concat(" + ", ".join(f"translate(substr({hexed}, {2 * k + 1}, 1), '0123456789abcdef', '{to[0]}'), translate(substr({hexed}, {2 * k + 2}, 1), '0123456789abcdef', '{to[1]}')" for k in range(n)) + ")"
 
+def luhn(number: Column) -> Column:
+    """The Luhn sum modulo 10 of a string of digits; 0 for a valid one."""
+    doubled = lambda d: F.when(d > 4, 2 * d - 9).otherwise(2 * d)
+    each = F.transform(F.split(F.reverse(number), ""), lambda c, k: F.when(k % 2 == 1, doubled(c.cast("int"))).otherwise(c.cast("int")))
+    return F.aggregate(each, F.lit(0), lambda a, d: a + d) % 10
 
-def drawn(m: str, kind: str, hexed: str, width: int = 16) -> str:
-    """SQL for the surrogate of an e-mail address, a secret or a name from a hash in hexadecimal."""
-    tail = f"regexp_extract(lower({m}), '\\\\.([^.]+)$', 1)"
-    email = f"concat({_letters(hexed, width)}, '@mail.example.', CASE WHEN {tail} IN ('com', 'org', 'net') THEN {tail} ELSE 'com' END)"
-    lead = f"regexp_extract({m}, '^(?:[a-z]+[_\\\\-]|AKIA)', 0)"
-    secret = f"CASE WHEN {m} RLIKE '^[0-9a-f]+$' THEN substr(concat({hexed}, sha2({hexed}, 256)), 1, length({m})) WHEN {m} RLIKE '^[0-9A-F]+$' THEN upper(substr(concat({hexed}, sha2({hexed}, 256)), 1, length({m}))) ELSE concat({lead}, upper(substr(concat({hexed}, sha2({hexed}, 256)), 1, least(127, length({m}) - length({lead}))))) END"
-    surname = f"CASE WHEN {m} RLIKE '\\\\p{{IsCyrillic}}' THEN {_syllables(hexed, 4, True)} ELSE {_syllables(hexed, 4, False)} END"
-    name = f"concat(regexp_extract({m}, '^[^ ]+ ', 0), initcap({surname}), CASE WHEN length({m}) - length(replace({m}, ' ', '')) > 1 THEN concat(' ', initcap({_syllables(f'reverse({hexed})', 3, False)})) ELSE '' END)"
-    return f"CASE {kind} WHEN 'email' THEN {email} WHEN 'secret' THEN {secret} ELSE {name} END"
 
+def modulo_97(account: Column) -> Column:
+    """The remainder that an IBAN's check is taken from; letters count from 10."""
+    step = lambda a, c: F.when(c.between("0", "9"), (a * 10 + c.cast("int")) % 97).otherwise((a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(F.split(account, ""), F.lit(0), lambda a, c: step(a, c))
 
-def hash_of(kind: str, canon: str, tries: str, key: str) -> str:
-    return f"sha2(concat_ws('|', {_quoted(key)}, {kind}, {canon}, CAST({tries} AS STRING)), 256)"
 
+def drawn(kind: Column, canon: Column, hexed: Column, width: int = 16) -> Column:
+    """The canonical form of the surrogate of an entity, from 128 hexadecimal digits."""
+    n = F.length(canon)
+    tail = F.regexp_extract(canon, r"\.([^.]+)\z", 1)
+    email = F.concat(F.translate(F.substring(hexed, 1, width), "0123456789abcdef", "bcdfghklmnprstvz"), F.lit("@mail.example."), F.when(tail.isin("com", "org", "net"), tail).otherwise("com"))
+    byte = lambda k: F.conv(F.substring(hexed, 2 * k + 1, 2), 16, 10)
+    private = canon.startswith("10.")
+    ip = F.concat_ws(".", F.when(private, "10").otherwise((byte(0).cast("int") % 200 + 11).cast("string")), byte(1), byte(2), byte(3))
+    ip6 = F.concat(F.lit("2001:db8:"), F.concat_ws(":", *(F.substring(hexed, 4 * k + 1, 4) for k in range(6))))
+    letters = F.translate(hexed, "0123456789abcdef", "ABCDEFGHJKLMNPQR")
+    body = F.array_join(F.transform(F.split(F.substring(canon, F.lit(5), n), ""), lambda c, k: F.when(c.between("0", "9"), digits(hexed, F.lit(1), k + 1)).otherwise(F.substring(letters, k + 1, F.lit(1)))), "")
+    iban = let(body, lambda b: F.concat(F.substring(canon, 1, 2), F.lpad((98 - modulo_97(F.concat(b, F.substring(canon, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
+    lead = F.regexp_extract(canon, rf"\A(?:{_SECRET}|AKIA)", 0)
+    secret = F.when(canon.rlike(r"\A[0-9a-f]+\z"), F.substring(hexed, F.lit(1), n)).otherwise(F.concat(lead, F.upper(F.substring(hexed, F.lit(1), n - F.length(lead)))))
+    valid = let(F.concat(F.substring(canon, 1, 1), digits(hexed, n - 2)), lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
+    card = F.when(luhn(canon) == 0, valid).otherwise(F.concat(F.substring(canon, 1, 1), digits(hexed, n - 1)))
+    phone = F.concat(F.substring(canon, F.lit(1), F.greatest(n - 10, F.lit(0))), digits(hexed, F.least(n, F.lit(10))))
+    cyrillic = canon.rlike(r"\p{IsCyrillic}")
+    return (
+        F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "card", card).when(kind == "phone", phone)
+        .when(kind == "surname", syllables(hexed, 4, cyrillic)).when(kind == "given-m", syllables(hexed, 3, cyrillic, "m")).when(kind == "given-f", syllables(hexed, 3, cyrillic, "f")).otherwise(digits(hexed, n))
+    )
 
-def surrogates(array: str, tries: str, key: str, width: int = 16) -> str:
-    """SQL for the surrogates of an array of mentions; ``tries`` may use the field k.m.
 
-    Each step binds what the next one uses, so that the expression stays small.
+def refilled(shape: Column, to: Column) -> Column:
+    """The mention with its letters and digits replaced one by one."""
+    start = F.struct(F.lit("").alias("s"), F.lit(1).alias("k"))
+    step = lambda a, c: F.when(c.rlike("[A-Z0-9]"), F.struct(F.concat(a["s"], F.substring(to, a["k"], F.lit(1))).alias("s"), (a["k"] + 1).alias("k"))).otherwise(F.struct(F.concat(a["s"], c).alias("s"), a["k"].alias("k")))
+    return F.aggregate(F.split(shape, ""), start, step, lambda a: a["s"])
+
+
+def surrogate(mention: Column, tries: Callable[[Column, Column], Column], key: str, width: int = 16) -> Column:
+    """The replacement of a mention; tries(kind, canon) says how often its entity was drawn anew."""
+    to = lambda kind, canon: let(hash_of(kind, canon, tries(kind, canon), key), lambda h: drawn(kind, canon, h, width))
+    cased = lambda word, made: F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(made)).otherwise(F.initcap(made))
+    given = lambda p: F.when(p["given"].isNotNull(), F.concat(cased(p["given"], to(F.concat(F.lit("given-"), p["gender"]), F.lower(p["given"]))), F.lit(" "))).otherwise("")
+    name = let(name_parts(mention), lambda p: F.concat(p["title"], given(p), cased(p["surname"], to(F.lit("surname"), F.lower(p["surname"])))))
+    plain = lambda k: let(to(k, canonical(mention, k)), lambda x: F.when(k.isin("iban", "card", "phone", "number"), refilled(mention, x)).otherwise(x))
+    return let(kind_of(mention), lambda k: F.when(k == "name", name).otherwise(plain(k)))
+
+
+def parts_of(text: Column) -> Column:
+    """The text cut around its mentions, which stand at the odd places; null for null.
+
+    Marks that the text itself holds are escaped, so that the parts can be joined again.
     """
-    kinds = f"transform({array}, m -> named_struct('m', m, 'kind', {kind_of('m')}))"
-    bound = f"transform({kinds}, k -> named_struct('m', k.m, 'kind', k.kind, 'd', regexp_replace(k.m, '[^0-9]', ''), 'canon', {canonical('k.m', 'k.kind')}, 'tries', {tries}))"
-    hashed = f"transform({bound}, k -> named_struct('m', k.m, 'kind', k.kind, 'd', k.d, 'h', {hash_of('k.kind', 'k.canon', 'k.tries', key)}, 'o', CASE WHEN k.kind = 'ip' THEN transform(split(k.m, '[.]'), x -> CAST(x AS BIGINT)) END))"
-    # Of a phone number the last ten digits change, of other numbers all.
-    local = "CASE WHEN k.kind = 'phone' THEN right(k.d, 10) ELSE k.d END"
-    halves = f"transform({hashed}, k -> named_struct('m', k.m, 'kind', k.kind, 'd', k.d, 'h', k.h, 'o', k.o, 'x', CASE WHEN k.kind IN {DRAWN} THEN NULL ELSE {local} END))"
-    digits = permuted(key, "k.x")
-    moved = _feistel(key, "k.o[0] * 256 + k.o[1]", "k.o[2] * 256 + k.o[3]", "65536L", "65536L")
-    address = f"transform(array({moved}), p -> concat_ws('.', p.l DIV 256, p.l % 256, p.r DIV 256, p.r % 256))[0]"
-    number = f"transform(array(named_struct('m', k.m, 'n', concat(left(k.d, length(k.d) - length(k.x)), {digits}))), q -> {refilled('q.m', 'q.n')})[0]"
-    return f"transform({halves}, k -> CASE WHEN k.kind IN {DRAWN} THEN {drawn('k.m', 'k.kind', 'k.h', width)} WHEN k.kind = 'ip' AND array_max(k.o) < 256 THEN {address} ELSE {number} END)"
+    escaped = F.when(text.rlike(f"[{_MARK}{_ESCAPE}]"), F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "\u0004")), F.lit(_MARK), F.lit(_ESCAPE + "\u0003"))).otherwise(text)
+    marked = F.regexp_replace(escaped, ANY, f"{_MARK}$0{_MARK}")
+    return F.when(text.rlike(HINT), F.split(marked, _MARK, -1)).when(text.isNotNull(), F.array(escaped))
 
 
-def mentions(text: Column) -> Column:
-    """The entities of a text in order, as they stand there."""
-    none = F.array().cast("array<string>")
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(none)
+def joined(parts: Column) -> Column:
+    """The text of parts."""
+    plain = F.array_join(parts, "")
+    return F.when(plain.contains(_ESCAPE), F.replace(F.replace(plain, F.lit(_ESCAPE + "\u0003"), F.lit(_MARK)), F.lit(_ESCAPE + "\u0004"), F.lit(_ESCAPE))).otherwise(plain)
 
 
-def entities(docs: DataFrame) -> DataFrame:
-    """The distinct drawn entities of all documents: kind, canon, and one mention."""
-    found = docs.select(F.explode(mentions(F.col("text"))).alias("m")).distinct().select("m", F.expr(kind_of("m")).alias("kind"))
-    return found.filter(F.col("kind").isin(*DRAWN)).select("kind", F.expr(canonical("m", "kind")).alias("canon"), "m").groupBy("kind", "canon").agg(F.min("m").alias("m"))
+def mentions(parts: Column) -> Column:
+    return F.filter(parts, lambda x, k: k % 2 == 1)
 
 
-def redrawn(docs: DataFrame, key: str, width: int = 16) -> DataFrame:
+def redrawn(found: DataFrame, parts: str, key: str, width: int = 16) -> DataFrame:
     """(kind, canon, tries) of the entities that must be drawn anew so that no surrogates meet."""
-    known = written(entities(docs).withColumn("tries", F.lit(0)), "entities")
+    said = found.select(F.explode(mentions(F.col(parts))).alias("m")).distinct()
+    known = written(said.select(F.explode(entities_of(F.col("m"))).alias("e")).select("e.kind", "e.canon").distinct().withColumn("tries", F.lit(0)), "entities")
     for _ in range(_TRIES):
-        bound = f"transform(array(named_struct('m', m, 'kind', kind, 'h', {hash_of('kind', 'canon', 'tries', key)})), k -> named_struct('kind', k.kind, 'to', {drawn('k.m', 'k.kind', 'k.h', width)}))"
-        made = known.select("kind", "canon", "tries", F.expr(f"transform({bound}, k -> {canonical('k.to', 'k.kind')})[0]").alias("s"))
+        made = known.select("kind", "canon", "tries", drawn(F.col("kind"), F.col("canon"), hash_of(F.col("kind"), F.col("canon"), F.col("tries"), key), width).alias("s"))
         # Of entities that meet, the first by (tries, canon) keeps its surrogate; none may take another's name.
         keeps = made.groupBy("kind", "s").agg(F.min(F.struct(-F.col("tries"), "canon")).alias("first"), F.count("*").alias("n")).filter("n > 1").select("kind", "s", F.col("first.canon").alias("winner"))
         real = known.select("kind", F.col("canon").alias("s"), F.lit(True).alias("real"))
         again = written(made.join(keeps, ["kind", "s"], "left").join(real, ["kind", "s"], "left").filter("real or (winner is not null and winner != canon)").select("kind", "canon"), "again")
         if again.isEmpty():
-            break
-        known = written(known.join(again.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", "m", (F.col("tries") + F.coalesce("again", F.lit(0))).alias("tries")), "entities")
-    else:
-        raise ValueError("surrogates still meet: draw them from more letters")
-    return known.filter("tries > 0").select("kind", "canon", "tries")
+            return known.filter("tries > 0")
+        known = written(known.join(again.withColumn("again", F.lit(1)), ["kind", "canon"], "left").select("kind", "canon", (F.col("tries") + F.coalesce("again", F.lit(0))).alias("tries")), "entities")
+    raise ValueError("surrogates still meet: draw them from more letters")
+
+
+def _unused(taken, name: str) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
-def pseudonymised(docs: DataFrame, key: str = "verdigris", width: int = 16, count: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, width: int = 16, count: str | None = None) -> DataFrame:
     """The documents with every entity replaced; ``count`` names a column for the entities' number."""
+    if not key:
+        raise ValueError("a secret key is needed")
     out = [c for c in docs.columns if c != count]
-    found = docs.select(*out, F.monotonically_increasing_id().alias("__row"), mentions(F.col("text")).alias("__m"))
-    again = redrawn(docs, key, width)
-    tries = "0"
+    parts, row, drawn_anew = (_unused(docs.columns, c) for c in ("parts", "row", "tries"))
+    found = written(docs.select(*(docs[c] for c in out if c != "text"), F.monotonically_increasing_id().alias(row), parts_of(F.col("text")).alias(parts)), "parts")
+    again, of = redrawn(found, parts, key, width), lambda kind, canon: F.lit(0)
     if not again.isEmpty():
-        said = found.select("__row", F.explode("__m").alias("m")).select("__row", "m", F.expr(kind_of("m")).alias("kind")).select("__row", "m", "kind", F.expr(canonical("m", "kind")).alias("canon"))
-        own = said.join(again, ["kind", "canon"]).select("__row", "m", "tries").distinct().groupBy("__row").agg(F.map_from_entries(F.collect_list(F.struct("m", "tries"))).alias("__tries"))
-        found = found.join(own, "__row", "left")
-        tries = "coalesce(try_element_at(__tries, k.m), 0)"
-    inner = surrogates("__m", tries, key, width)
-    rest = F.split(F.col("text"), ANY, -1)
-    text = F.when(F.size("__m") == 0, F.col("text")).otherwise(F.array_join(F.flatten(F.zip_with(rest, F.expr(inner), lambda a, b: F.array(a, F.coalesce(b, F.lit(""))))), ""))
-    chars = {"n_chars": F.when(F.size("__m") == 0, F.col("n_chars")).otherwise(F.length("__text").cast("long"))} if dict(docs.dtypes).get("n_chars") == "bigint" else {}
-    done = found.select("*", text.alias("__text")).select(*(chars[c].alias(c) if c in chars else F.col("__text").alias(c) if c == "text" else F.col(c) for c in out), *([F.size("__m").cast("long").alias(count)] if count else []))
-    return done
+        said = found.select(row, F.explode(mentions(F.col(parts))).alias("m")).select(row, F.explode(entities_of(F.col("m"))).alias("e")).select(F.col(row).alias("row"), "e.kind", "e.canon").distinct()
+        own = said.join(again, ["kind", "canon"]).groupBy(F.col("row").alias(row)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "canon"), "tries"))).alias(drawn_anew))
+        found = found.join(own, row, "left")
+        of = lambda kind, canon: F.coalesce(F.try_element_at(drawn_anew, F.concat_ws("|", kind, canon)), F.lit(0))
+    n = F.coalesce(F.floor(F.size(F.col(parts)) / 2), F.lit(0)).cast("long")
+    replaced = F.transform(F.col(parts), lambda x, k: F.when(k % 2 == 1, surrogate(x, of, key, width)).otherwise(x))
+    text = F.when(F.col(parts).isNotNull(), joined(F.when(n > 0, replaced).otherwise(F.col(parts))))
+    told = _unused([*docs.columns, parts, row, drawn_anew], "told")
+    chars = F.when(n > 0, F.length(told).cast("long")).otherwise(F.col("n_chars")) if dict(docs.dtypes).get("n_chars") == "bigint" else None
+    done = found.select("*", text.alias(told))
+    of_column = lambda c: F.col(told).alias(c) if c == "text" else chars.alias(c) if c == "n_chars" and chars is not None else F.col(c)
+    return done.select(*map(of_column, out), *([F.greatest(n, F.lit(0)).alias(count)] if count else []))

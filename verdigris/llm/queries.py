@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import bpe, knn, licenses, neardup, packing, pii, quality_model, quality_rules, token_fst, url_filter
-from verdigris.llm.common import table
+from verdigris.llm.common import pii_key, table
 from verdigris.llm.sql import SQL
 
 
@@ -40,7 +40,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents"), count="n_entities").select("doc_id", "text", "n_entities")
+    return pii.pseudonymised(table(spark, sf_dir, "documents"), pii_key(spark), count="n_entities").select("doc_id", "text", "n_entities")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
