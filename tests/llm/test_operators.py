@@ -292,6 +292,18 @@ def test_license_edges(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_full_license_texts(spark):
+    """Templates of any length; a line lost or a word changed here and there does not hide them."""
+    mit, isc = (next(w for w, label in licenses.TEXTS if label == k).split() for k in ("mit", "isc"))
+    assert len(mit) > 150
+    changed = ["x" if k in (20, 90) else w for k, w in enumerate(mit)]
+    rows = [(1, "Copyright 2020 A\n\n" + " ".join(mit).upper()), (2, " ".join(changed)), (3, " ".join(mit[: len(mit) // 2])), (4, " ".join(mit[60:] + mit[:60])), (5, "of the software is a the in no event shall " * 50), (6, " ".join(isc) + " lorem " + " ".join(mit))]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(frame(spark, rows, True), templates=licenses.TEXTS).collect()}
+    assert got[1] == ("mit", 1.0) and got[2][0] == "mit" and 0.9 < got[2][1] < 1 and got[6] == ("isc,mit", 1.0)
+    assert [got[k] for k in (3, 4, 5)] == [("", 0.0)] * 3
+    assert licenses.scan(frame(spark, rows)).filter("doc_id = 3").first().labels == "mit"  # its first sentence is a notice of its own
+
+
 # op7
 
 

@@ -33,19 +33,20 @@ FROM b
 
 
 def _license_sql() -> str:
-    from verdigris.llm.licenses import COVERAGE, PHRASES, SHIFT, TEMPLATES
+    from verdigris.llm.licenses import COVERAGE, LONG, PHRASES, SHIFT, SHORT, TEMPLATES, TEXTS, grams_of
 
-    known = [(*x, True) for x in PHRASES] + [(*x, False) for x in TEMPLATES]
-    rows = ", ".join(f"({k}, {at}, '{a}', '{b}')" for k, (words, *_) in enumerate(known) for at, (a, b) in enumerate(zip(words.split(), words.split()[1:], strict=False)))
-    sizes = ", ".join(f"({k}, {len(words.split()) - 1}, '{label}', {str(base).lower()})" for k, (words, label, base) in enumerate(known))
+    known = [(*x, True) for x in PHRASES] + [(*x, False) for x in TEMPLATES + TEXTS]
+    rows = ", ".join(f"({k}, {at}, '{gram}')" for k, (words, *_) in enumerate(known) for at, gram in enumerate(grams_of(words)))
+    sizes = ", ".join(f"({k}, {len(grams_of(words))}, '{label}', {str(base).lower()})" for k, (words, label, base) in enumerate(known))
+    rolled = " UNION ALL ".join(f"SELECT doc_id, k, array_to_string(w[k:k + {n - 1}], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, len(w) - {n - 2})) AS k FROM d WHERE len(w) >= {n})" for n in (SHORT, LONG))
     return rf"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
 ), g AS (
-  SELECT doc_id, w, unnest(range(1, len(w))) AS k FROM d WHERE len(w) > 1
-), t(template, place, a, b) AS (VALUES {rows}), k(template, size, label, base) AS (VALUES {sizes}),
+  {rolled}
+), t(template, place, gram) AS (VALUES {rows}), k(template, size, label, base) AS (VALUES {sizes}),
 hit AS (
-  SELECT g.doc_id, t.template, t.place, g.k - 1 AS pos, g.k - 1 - t.place AS own FROM g JOIN t ON g.w[g.k] = t.a AND g.w[g.k + 1] = t.b
+  SELECT g.doc_id, t.template, t.place, g.k - 1 AS pos, g.k - 1 - t.place AS own FROM g JOIN t USING (gram)
 ), vote AS (
   SELECT hit.doc_id, hit.template, own - s.shift AS diagonal, count(DISTINCT place) AS votes, max(pos) - min(pos) AS span, any_value(size) AS size, any_value(label) AS label, any_value(base) AS base
   FROM hit JOIN k USING (template) JOIN (SELECT unnest(range(0, {SHIFT + 1})) AS shift) s ON s.shift = 0 OR NOT k.base
