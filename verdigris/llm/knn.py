@@ -9,7 +9,12 @@ task, and a window merges the tasks' lists. No true neighbour can be lost.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components,
 and null ids, take no part; vectors meet those of their own dimension only; ties go to
-the smaller id; repeated rows are candidates each; fewer candidates than k give fewer rows.
+the smaller id; rows that repeat, or share an id, are queries and candidates each, and a query
+leaves out its own row only; fewer candidates than k give fewer rows; an empty table gives
+none; extra columns, whatever their names, are not read.
+
+Every query meets every candidate, by contract: with queries a fixed share of the rows the
+work grows with their square, and each query block is copied once for each candidate block.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import workers_ready
+from verdigris.llm.common import workers_ready, written
 
 #: Vectors of a block on either side.
 QUERIES, CANDIDATES = 512, 4096
@@ -39,14 +44,14 @@ def blocks(vectors: DataFrame, size: int, name: str) -> tuple[DataFrame, int]:
     """(block, dim, rows) of bounded size, and the number of blocks."""
     n = max(1, math.ceil(vectors.count() / size))
     dealt = vectors.groupBy(F.pmod(F.xxhash64("id", F.lit(name)), F.lit(n)).cast("int").alias("block"), F.size("x").alias("dim"))
-    return dealt.agg(F.collect_list(F.struct("id", "x")).alias("rows")), n
+    return dealt.agg(F.collect_list(F.struct("row", "id", "x")).alias("rows")), n
 
 
-def _matrix(rows) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors of a block as an Arrow list."""
+def _matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row numbers, ids and vectors of a block as an Arrow list."""
     flat = rows.values
-    ids = flat.field(0).to_numpy()
-    return ids, flat.field(1).flatten().to_numpy().astype("f8").reshape(len(ids), -1)
+    ids = flat.field(1).to_numpy()
+    return flat.field(0).to_numpy(), ids, flat.field(2).flatten().to_numpy().astype("f8").reshape(len(ids), -1)
 
 
 def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -56,8 +61,8 @@ def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return codes, scale, np.linalg.norm(x - scale[:, None] * codes, axis=1)
 
 
-def tile(q_ids, q, c_ids, c, k: int) -> list[tuple[int, float, int]]:
-    """(query, distance, id) of the k nearest in this tile, exact."""
+def tile(q_rows, q_ids, q, c_rows, c_ids, c, k: int) -> list[tuple[tuple[int, int], float, int]]:
+    """((query's row, its id), distance, id) of the k nearest in this tile, exact."""
     qc, qs, qe = coded(q)
     cc, cs, ce = coded(c)
     # Sums of at most 2**24 / 127**2 products are exact in single precision; longer vectors use double.
@@ -67,7 +72,7 @@ def tile(q_ids, q, c_ids, c, k: int) -> list[tuple[int, float, int]]:
     square = norm(qc, qs)[:, None] + norm(cc, cs)[None, :] - 2 * qs[:, None] * cs[None, :] * product
     middle = np.sqrt(np.maximum(square, 0))
     error = (qe[:, None] + ce[None, :]) * (1 + 1e-9) + 1e-7 * (1 + middle)
-    upper = np.where(q_ids[:, None] == c_ids[None, :], np.inf, middle + error)
+    upper = np.where(q_rows[:, None] == c_rows[None, :], np.inf, middle + error)
     lower, found = np.where(np.isinf(upper), np.inf, middle - error), []
     bound = np.partition(upper, min(k, len(c_ids)) - 1, axis=1)[:, min(k, len(c_ids)) - 1]
     for a in range(len(q_ids)):
@@ -75,14 +80,16 @@ def tile(q_ids, q, c_ids, c, k: int) -> list[tuple[int, float, int]]:
         if len(near):
             exact = np.sqrt(np.cumsum((q[a] - c[near]) ** 2, axis=1)[:, -1])
             order = np.lexsort((c_ids[near], exact))[:k]
-            found += [(int(q_ids[a]), float(exact[j]), int(c_ids[near[j]])) for j in order]
+            found += [((int(q_rows[a]), int(q_ids[a])), float(exact[j]), int(c_ids[near[j]])) for j in order]
     return found
 
 
 def nearest(vectors: DataFrame, is_query: Column, k: int = 10, queries: int = QUERIES, candidates: int = CANDIDATES) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest by Euclidean distance."""
     workers_ready(vectors.sparkSession)
-    good = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x")))
+    taking = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").alias("x")).filter(F.col("id").isNotNull() & usable(F.col("x")))
+    # Written, so that a row has one number on both sides.
+    good = written(taking.withColumn("row", F.monotonically_increasing_id()), "vectors")
     q_blocks, _ = blocks(good.filter(is_query), queries, "query")
     c_blocks, n = blocks(good, candidates, "candidate")
     spread = q_blocks.select(F.col("block").alias("q_block"), "dim", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
@@ -92,9 +99,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, queries: int = QU
         at, best = None, {}
 
         def flush():
-            rows = [(a, -s, -i) for a, heap in best.items() for s, i in heap]
+            rows = [(*a, -s, -i) for a, heap in best.items() for s, i in heap]
             best.clear()
-            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.float64(), pa.int64()))], names=["query_id", "score", "vec_id"])
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))], names=["row", "query_id", "score", "vec_id"])
 
         for b in batches:
             for j in range(b.num_rows):
@@ -109,6 +116,6 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, queries: int = QU
                         heapq.heappushpop(heap, (-score, -i))
         yield flush()
 
-    partial = tiles.mapInArrow(run, "query_id long, score double, vec_id long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    partial = tiles.mapInArrow(run, "row long, query_id long, score double, vec_id long")
+    rank = F.row_number().over(Window.partitionBy("row").orderBy("score", "vec_id"))
     return partial.select("query_id", rank.alias("rank"), "vec_id", "score").filter(F.col("rank") <= k)

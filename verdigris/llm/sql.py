@@ -69,12 +69,12 @@ SQL["op6_license_scan"] = _license_sql()
 
 SQL["op3_nearest_neighbours"] = """
 WITH v AS (
-  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+  SELECT vec_id, row_number() OVER () AS own, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0
 ), d AS (
-  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, y: a + y)) AS score
-  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id AND len(q.x) = len(c.x)
+  SELECT q.own, q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.x) + 1), lambda i: (q.x[i] - c.x[i]) * (q.x[i] - c.x[i])), lambda a, y: a + y)) AS score
+  FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.own <> c.own AND len(q.x) = len(c.x)
 )
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
-FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
+FROM (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score, vec_id) AS rank FROM d) WHERE rank <= 10
 """
