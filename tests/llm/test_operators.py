@@ -242,6 +242,24 @@ def test_url_trees_learn(spark):
     assert sum((r.verdict == "block") == (r.page_id % 2 == 1) for r in got) > 195
 
 
+def test_url_trees_on_held_out_urls(spark, sf_dir):
+    """URLs that no tree saw: invented ones by a lexical rule, and the pages' by what the rules decide."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(1500):
+        bad = rng.random() < 0.4
+        tail = "".join(rng.choice("0123456789" if bad and rng.random() < 0.9 else "abcdefgh") for _ in range(rng.randint(4, 12)))
+        rows.append((f"http://{rng.choice(['pills', 'win']) if bad else rng.choice(['news', 'wiki'])}{rng.randint(0, 400)}.site{rng.randint(0, 300)}.net/p/{tail}", int(bad)))
+    n, right, larger = url_filter.held_out(spark.createDataFrame(rows, "url string, label int"))
+    assert n > 200 and right > 0.93 > larger
+    pages = spark.read.parquet(f"{sf_dir.replace('0.001', '0.01')}/pages.parquet").union(spark.read.parquet(f"{sf_dir.replace('0.001', '0.1')}/pages.parquet"))
+    host, path = url_filter.parts(F.col("url"))
+    ruled = pages.select("url", host.alias("host"), path.alias("path")).withColumn("action", url_filter.fitting(F.col("host"), F.col("path"))[1]).filter("action is not null")
+    n, right, larger = url_filter.held_out(ruled.select("url", (F.col("action") == "block").cast("int").alias("label")))
+    assert n > 200 and right > larger + 0.1
+    assert url_filter.held_out(ruled.select("url", F.lit(1).alias("label")).limit(0))[0] == 0
+
+
 # op5
 
 
