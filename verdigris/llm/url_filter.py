@@ -4,8 +4,8 @@ Hosts and paths come from the URL as it is written; the longest fitting rule win
 that no rule fits are judged by boosted trees on lexical features: lengths, depth, digit
 share, entropy of the characters, parameters, hyphens and labels of the host, and how
 often URLs with the same host suffix (two labels, three labels) and with the same first part
-of the path were blocked among the labelled ones, smoothed. A URL that trains is not counted
-in its own shares. Labelled URLs are a table of (url,
+of the path were blocked among the labelled ones, smoothed. The shares of a URL that
+trains come from the other folds of the URLs. Labelled URLs are a table of (url,
 label); the query, which has none, labels those that its rules decide, so that there the trees
 carry the rules' decisions to URLs that look alike; ``held_out`` measures how well.
 
@@ -33,6 +33,8 @@ from verdigris.llm.common import written
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 #: Labelled URLs that may train, trees, their depth, and the weight of the overall share in a suffix's.
 MAX_ROWS, TREES, DEPTH, SMOOTHING = 20_000, 12, 4, 20.0
+#: Parts of the URLs that train; the shares of one come from the others.
+FOLDS = 5
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 FEATURES = ("url_length", "host_length", "path_length", "depth", "digit_share", "host_digits", "entropy", "parameters", "hyphens", "labels", *(f"{g}_{x}" for g in ("suffix", "site", "section") for x in ("share", "seen")))
 
@@ -101,10 +103,13 @@ def trained(labelled: DataFrame, max_rows: int = MAX_ROWS):
     sums = {g: rows.groupBy(g).agg(F.sum("blocked").alias("all_blocked"), F.sum("n").alias("all_n")) for g in GROUPS}
     # The trees take classes: a URL with both labels has a row for each, weighted by its copies.
     classes = F.explode(F.array(F.struct(F.lit(1.0).alias("label"), F.col("blocked").alias("weight")), F.struct(F.lit(0.0).alias("label"), (F.col("n") - F.col("blocked")).alias("weight"))))
-    # What a group tells about a URL that trains comes from the other URLs.
-    others = rows
+    # What a group tells about a URL that trains comes from the other folds of the URLs.
+    fold = F.pmod(F.xxhash64("url", F.lit("share")), F.lit(FOLDS))
+    others = rows.withColumn("fold", fold)
     for g in GROUPS:
-        others = others.join(F.broadcast(sums[g]), g).select(*others.columns, *told(g, F.col("all_blocked") - F.col("blocked"), F.col("all_n") - F.col("n"), total["share"]))
+        own = others.groupBy(g, "fold").agg(F.sum("blocked").alias("fold_blocked"), F.sum("n").alias("fold_n"))
+        joined = others.join(F.broadcast(sums[g]), g).join(F.broadcast(own), [g, "fold"])
+        others = joined.select(*others.columns, *told(g, F.col("all_blocked") - F.col("fold_blocked"), F.col("all_n") - F.col("fold_n"), total["share"]))
     weighted = others.select("*", classes.alias("c")).select("*", "c.label", "c.weight").filter("weight > 0")
     assembled = VectorAssembler(inputCols=list(FEATURES), outputCol="features").transform(weighted).select("features", "label", "weight")
     model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, maxBins=32, seed=11, cacheNodeIds=False, weightCol="weight").fit(assembled)
