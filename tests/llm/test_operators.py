@@ -473,7 +473,7 @@ def test_surrogates_of_the_table(spark, docs):
 # op8
 
 
-def test_transducer_equals_the_library(spark, docs, monkeypatch):
+def test_transducer_equals_the_library(spark, docs):
     import sentencepiece
 
     m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
@@ -481,12 +481,66 @@ def test_transducer_equals_the_library(spark, docs, monkeypatch):
     all_ = texts() + [r.text for r in docs.limit(60).collect()]
     want = [len(m.encode(x)) for x in all_]
     assert list(map(t.count, all_)) == want
-    for size in (1, 7, 64):
-        monkeypatch.setattr(token_fst, "CHUNK", size)
-        small = [k for k, x in enumerate(all_) if len(x) < 3000]
-        assert [t.count(all_[k]) for k in small] == [want[k] for k in small]
     got = token_fst.count_tokens(frame(spark, [*enumerate(all_), (None, None)], True), P.path("piece_bpe_32k.model"), 100).collect()
     assert [(r.n_tokens, r.n_bytes, r.over_limit) for r in got] == [(n, len(x.encode()), n > 100) for n, x in zip([*want, 0], [*all_, ""], strict=True)]
+    assert token_fst.count_tokens(frame(spark, []), P.path("piece_bpe_32k.model")).count() == 0
+
+
+def unspaced(n, seed):
+    rng = random.Random(seed)
+    words = ["under", "stand", "ing", "the", "inter", "nation", "al", "ization", "日本", "é", "9", "ab", "-"]
+    return "".join(rng.choice(words) for _ in range(n))
+
+
+def test_state_maps_compose_to_the_count():
+    """Maps of chunks of any size, composed in any grouping, end in the library's count or lose the state."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    t = token_fst.PieceTransducer.from_model(P.path("piece_bpe_32k.model"))
+    whole = [x for x in [*texts(60), unspaced(900, 1), unspaced(700, 2), "aaaa" * 500, "one  two " * 300, "=" * 900] if 0 < len(x) < 4500]
+    kept = 0
+    for x in whole:
+        y = token_fst.SPACE + x.replace(token_fst.SPACE, " ").replace(" ", token_fst.SPACE)
+        for size in (3, 40, 300):
+            maps = [t.chunk_map(y[max(0, k - token_fst.BEFORE) : k], k <= token_fst.BEFORE, y[k : k + size]) for k in range(0, len(y), size)]
+            while len(maps) > 1:
+                maps = [token_fst.composed(*maps[k : k + 2]) if len(maps) > k + 1 else maps[k] for k in range(0, len(maps), 2)]
+            found = maps[0].get(t.name_of(0))
+            kept += found is not None
+            assert found is None or found[1] == len(m.encode(x)), (x[:50], size)
+    assert kept > 0.95 * 3 * len(whole)
+
+
+def test_long_texts_are_counted_in_chunks(spark):
+    """As rows of chunks, with and without spaces, repeated, and one that loses its state."""
+    import sentencepiece
+
+    m = sentencepiece.SentencePieceProcessor(model_file=P.path("piece_bpe_32k.model"))
+    rows = [unspaced(4000, 3), "some words and  more " * 900, "▁" * 3000 + unspaced(300, 4), "short", None, "aaaa" * 4000, unspaced(4000, 3), "x" * 5000 + " end"]
+    got = token_fst.count_tokens(frame(spark, [(k % 6, x) for k, x in enumerate(rows)], True), P.path("piece_bpe_32k.model"), 100, long=1000, chunk=500, fan=3).collect()
+    assert sorted((r.doc_id, r.n_tokens, r.n_bytes) for r in got) == sorted((k % 6, len(m.encode(x or "")), len((x or "").encode())) for k, x in enumerate(rows))
+
+
+def test_time_is_in_proportion_without_spaces():
+    import time
+
+    t = token_fst.PieceTransducer.from_model(P.path("piece_bpe_32k.model"))
+    x = unspaced(60_000, 5)
+    t.count(x)
+    took = []
+    for k in (1, 4):
+        began = time.perf_counter()
+        t.count(x * k)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_other_models_are_refused():
+    raw = lambda kind, types=(1, 6), spec=b"\x18\x01\x20\x00\x28\x01": b"".join(b"\x0a\x05\x0a\x01a\x18" + bytes([k]) for k in types) + b"\x12\x02\x18" + bytes([kind]) + b"\x1a" + bytes([len(spec)]) + spec
+    assert token_fst.refusal(raw(2)) is None
+    assert "BPE" in token_fst.refusal(raw(1)) and "user-defined" in token_fst.refusal(raw(2, (1, 4, 6))) and "fallback" in token_fst.refusal(raw(2, (1,)))
+    assert "as they are" in token_fst.refusal(raw(2, spec=b"\x12\x01x\x18\x01\x20\x00")) and "as they are" in token_fst.refusal(raw(2, spec=b"\x18\x01\x20\x01"))
 
 
 # op9

@@ -4,32 +4,88 @@ For BPE by piece scores a segmentation is the canonical one if and only if every
 neighbouring tokens are canonical together. So the last token of each prefix decides how
 the next character continues, and the last tokens within the longest suffix that still
 begins a piece are a finite state. Transitions are compiled when first met and carry the
-change of the token count. A chunk of text maps to a state map: what joins the unit left
-open before it, the count of its closed units, and the unit that it leaves open. These
-maps compose associatively, so chunks of a long text are folded as a prefix scan.
+change of the token count. At a space that follows another character the state starts anew.
+
+A long text is cut into chunks, which are rows of their own and dealt to many tasks. A chunk
+becomes a state map: for each state in which the text before it can end, the state in which
+the chunk ends and the tokens between. The states before a chunk follow from the characters
+right before it: one if a word begins there, else those of all places where a piece can begin.
+Maps compose associatively; they are composed in a tree, some neighbours at a time. Where a
+map lacks the state that the text does end in, the text is counted in one run instead.
 
 Defined cases: a null text counts as empty; an empty text has no bytes and no tokens;
-characters outside the vocabulary count as their bytes; repeated rows stay.
+characters outside the vocabulary count as their bytes; a text of any length, with or without
+spaces, takes time in proportion to it; repeated rows and ids stay; extra columns are not
+read; an empty table gives an empty table. Models of another kind are refused.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 import sys
-from functools import lru_cache, reduce
+from collections.abc import Iterator
+from functools import lru_cache
 
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import Memo, workers_ready
+from verdigris.llm.common import Memo, workers_ready, written
 
 SPACE = "▁"
-#: Characters of a chunk; compiled transitions and units kept in a worker.
-CHUNK, TRANSITIONS, UNITS = 1 << 15, 1_500_000, 200_000
+#: Bytes from which a text is long, characters of its chunks and of what is read before a chunk, maps composed at a time.
+LONG, CHUNK, BEFORE, FAN = 1 << 20, 1 << 17, 256, 32
+#: Compiled transitions and units kept in a worker, and the longest unit kept.
+TRANSITIONS, UNITS, UNIT = 1_500_000, 200_000, 64
 #: Added to a change of the count, which is then positive.
 BIAS = 128
 _UNIT = re.compile(f"{SPACE}+[^{SPACE}]*")
+#: A unit begins after this character, at the space.
+_EDGE = re.compile(f"[^{SPACE}](?={SPACE})")
+#: Stands for any state before a chunk, where a unit begins with it.
+ANY = b""
+
+
+def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """The fields of a message in the wire format of protocol buffers."""
+    at = 0
+
+    def number() -> int:
+        nonlocal at
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            at, value, shift = at + 1, value | (byte & 127) << shift, shift + 7
+            if byte < 128:
+                return value
+
+    while at < len(raw):
+        tag = number()
+        if tag & 7 == 0:
+            yield tag >> 3, number()
+        else:
+            n = number() if tag & 7 == 2 else {1: 8, 5: 4}[tag & 7]
+            yield tag >> 3, raw[at : at + n]
+            at += n
+
+
+def refusal(raw: bytes) -> str | None:
+    """Why a model can't be compiled: its pieces' types, its kind, or its normaliser."""
+    top = list(fields(raw))
+    types = {dict(fields(v)).get(3, 1) for k, v in top if k == 1}
+    trainer, normalizer = (dict(fields(v)) for n in (2, 3) for k, v in top if k == n)
+    if trainer.get(3, 1) != 2:
+        return "only BPE models are compiled"
+    if 4 in types:
+        return "user-defined symbols are not compiled"
+    if 6 not in types:
+        return "only models with byte fallback are compiled"
+    if normalizer.get(2, b"") or normalizer.get(4, 1) or not normalizer.get(3, 1) or not normalizer.get(5, 1):
+        return "only models that leave texts as they are, but for a space in front, are compiled"
+    return None
 
 
 class PieceTransducer:
@@ -37,11 +93,12 @@ class PieceTransducer:
 
     def __init__(self, scores: dict[str, float]):
         self.scores = scores
+        self.longest = max(map(len, scores))
         self.prefixes = {p[:k] for p in scores for k in range(len(p))}  # proper ones: they can go on
         if any(p[k] == SPACE != p[k - 1] for p in scores for k in range(1, len(p))):
             raise ValueError("a piece holds a space after another character: units are not separable")
         self.together = Memo(self._canonical, TRANSITIONS)
-        self.units = Memo(self.run, UNITS)
+        self.units = Memo(self.counted, UNITS)
         self.reset()
 
     @classmethod
@@ -49,9 +106,9 @@ class PieceTransducer:
         import sentencepiece
 
         m = sentencepiece.SentencePieceProcessor(model_file=path)
+        if why := refusal(m.serialized_model_proto()):
+            raise ValueError(why)
         ids = range(m.get_piece_size())
-        if not any(m.is_byte(i) for i in ids):
-            raise ValueError("only models with byte fallback are compiled")
         return cls({m.id_to_piece(i): m.get_score(i) for i in ids if not (m.is_byte(i) or m.is_control(i) or m.is_unknown(i) or m.is_unused(i))})
 
     def reset(self) -> None:
@@ -104,43 +161,24 @@ class PieceTransducer:
         found = self.moves[move] = self.states[key] << 29 | change + BIAS
         return found
 
-    def run(self, unit: str) -> int:
-        """Tokens of one unit (spaces, then other characters)."""
-        if len(self.moves) > TRANSITIONS:
-            self.reset()
-        get, compiled, state, count = self.moves.get, self._compile, 0, 0
-        for char in map(ord, unit):
+    def walk(self, state: int, text: str) -> tuple[int, int]:
+        """The state after a text within one unit, and its tokens."""
+        get, compiled, count = self.moves.get, self._compile, 0
+        for char in map(ord, text):
             found = get(state | char) or compiled(state | char)
             state = found >> 8
             count += found & 255
-        return count - BIAS * len(unit)
-
-    def chunk_map(self, chunk: str) -> tuple[str, int, str] | str:
-        """(what joins the open unit before, tokens of closed units, the unit left open), or the whole chunk if no unit begins in it."""
-        starts = chunk.find(SPACE) if chunk and chunk[0] != SPACE else self._next(chunk, 0)
-        if starts < 0:
-            return chunk
-        *closed, tail = _UNIT.findall(chunk[starts:])
-        return chunk[:starts], sum(map(self.units.__getitem__, closed)), tail
-
-    @staticmethod
-    def _next(chunk: str, at: int) -> int:
-        """The first space that follows another character."""
-        found = re.compile(f"[^{SPACE}]{SPACE}").search(chunk, at)
-        return found.start() + 1 if found else -1
-
-    def compose(self, a, b):
-        """The map of two chunks one after the other."""
-        if isinstance(a, str) and isinstance(b, str):
-            return self.chunk_map(a + b)
-        if isinstance(a, str):
-            found = self.chunk_map(a + b[0])
-            return (a + b[0], b[1], b[2]) if isinstance(found, str) else (found[0], found[1] + self.units[found[2]] + b[1], b[2])
-        found = self.chunk_map(a[2] + (b if isinstance(b, str) else b[0]))
-        inner, open_ = (0, found) if isinstance(found, str) else (self.units[found[0]] + found[1], found[2])
-        if isinstance(b, str):
-            return a[0], a[1] + inner, open_
-        return a[0], a[1] + inner + self.units[open_] + b[1], b[2]
+        return state, count - BIAS * len(text)
+
+    def counted(self, unit: str) -> int:
+        """Tokens of one unit (spaces, then other characters)."""
+        if len(self.moves) > TRANSITIONS:
+            self.reset()
+        return self.walk(0, unit)[1]
+
+    def all_units(self, text: str) -> int:
+        """Tokens of a text that begins with a unit and ends with one."""
+        return sum(self.units[u] if len(u) <= UNIT else self.counted(u) for u in map(re.Match.group, _UNIT.finditer(text)))
 
     def count(self, text: str | None) -> int:
         """Tokens of a whole text, with the model's space before it."""
@@ -148,17 +186,44 @@ class PieceTransducer:
             return 0
         if SPACE in text:
             text = text.replace(SPACE, " ")
-        if len(text) <= CHUNK:
-            parts = text.split(" ")
-            if "" not in parts:
-                units = self.units
-                return sum([units[SPACE + x] for x in parts])
-        whole = SPACE + text.replace(" ", SPACE)
-        maps = [self.chunk_map(whole[k : k + CHUNK]) for k in range(0, len(whole), CHUNK)]
-        total = reduce(self.compose, maps)
-        if isinstance(total, str):
-            return self.units[total]
-        return (self.units[total[0]] if total[0] else 0) + total[1] + self.units[total[2]]
+        parts = text.split(" ")
+        if "" not in parts and len(max(parts, key=len)) < UNIT:
+            units = self.units
+            return sum([units[SPACE + x] for x in parts])
+        return self.all_units(SPACE + text.replace(" ", SPACE))
+
+    def states_after(self, before: str, whole: bool) -> set[int]:
+        """The states in which what stands before a chunk can end; whole: nothing stands before that."""
+        edges = [m.end() for m in _EDGE.finditer(before)]
+        if edges or whole:
+            return {self.walk(0, before[edges[-1] if edges else 0 :])[0]}
+        return {self.walk(0, before[k:])[0] for k in range(min(self.longest, len(before)))}
+
+    def name_of(self, state: int) -> bytes:
+        """The same name for a state in every worker."""
+        return hashlib.blake2b(repr(self.keys[state >> 21]).encode(), digest_size=16).digest()
+
+    def chunk_map(self, before: str, whole: bool, chunk: str) -> dict[bytes, tuple[bytes, int]]:
+        """State before -> (state after, tokens between) of a chunk, both with spaces as the model writes them."""
+        if len(self.moves) > TRANSITIONS:
+            self.reset()
+        starts = [ANY] if before and before[-1] != SPACE == chunk[0] else None
+        edges = [0] if starts else [m.end() for m in [_EDGE.search(chunk)] if m]
+        head, rest = (chunk[: edges[0]], chunk[edges[0] :]) if edges else (chunk, "")
+        ends = {ANY: (0, 0)} if starts else {self.name_of(s): self.walk(s, head) for s in self.states_after(before, whole)}
+        if not rest:
+            return {name: (self.name_of(state), n) for name, (state, n) in ends.items()}
+        last = rest.rfind(_UNIT.findall(rest)[-1])
+        state, open_ = self.walk(0, rest[last:])
+        after = self.name_of(state)  # named before the units below may forget the states
+        closed = self.all_units(rest[:last])
+        return {name: (after, n + closed + open_) for name, (_, n) in ends.items()}
+
+
+def composed(first: dict, then: dict) -> dict:
+    """The map of two neighbours; a state that the second lacks is left out."""
+    on = lambda state: then.get(ANY) or then.get(state)
+    return {a: (on(b)[0], n + on(b)[1]) for a, (b, n) in first.items() if on(b)}
 
 
 @lru_cache(maxsize=4)
@@ -166,7 +231,58 @@ def transducer(path: str) -> PieceTransducer:
     return PieceTransducer.from_model(path)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
+#: What a row of chunks carries of its text.
+_TEXT = "row long, doc_id long, n_bytes long, own long"
+_MAP = "k long, starts array<binary>, ends array<binary>, counts array<long>"
+
+
+def state_maps(long: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
+    """One row of a map for each chunk of (doc_id, n_bytes, own, text); chunks are dealt to many tasks."""
+
+    def cut(batches):
+        row = TaskContext.get().partitionId() << 33
+        for b in batches:
+            for doc, n_bytes, own, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row += 1
+                whole = SPACE + text.replace(" ", SPACE)
+                for k, at in enumerate(range(0, len(whole), chunk)):
+                    start = max(0, at - BEFORE)
+                    yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc, "n_bytes": n_bytes, "own": own, "k": k, "whole": start == 0, "before": whole[start:at], "chunk": whole[at : at + chunk]}], schema=cuts)
+
+    cuts = pa.schema([*((c, pa.int64()) for c in ("row", "doc_id", "n_bytes", "own", "k")), ("whole", pa.bool_()), ("before", pa.string()), ("chunk", pa.string())])
+
+    def run(batches):
+        t = transducer(path)
+        for b in batches:
+            maps = [t.chunk_map(*x) for x in zip(*(b.column(c).to_pylist() for c in (6, 5, 7)), strict=True)]
+            sides = [[list(m) for m in maps], [[e for e, _ in m.values()] for m in maps], [[n for _, n in m.values()] for m in maps]]
+            kinds = [pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(x, k) for x, k in zip(sides, kinds, strict=True))], names=["row", "doc_id", "n_bytes", "own", "k", "starts", "ends", "counts"])
+
+    rows = long.mapInArrow(cut, f"{_TEXT}, k long, whole boolean, before string, chunk string").repartition("row", "k")
+    return rows.mapInArrow(run, f"{_TEXT}, {_MAP}")
+
+
+def in_a_tree(maps: DataFrame, fan: int = FAN) -> DataFrame:
+    """Compose the maps of each text, ``fan`` neighbours at a time, until one is left."""
+
+    def compose(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("k")
+        total = None
+        for r in group.itertuples():
+            own = {bytes(a): (bytes(b), int(n)) for a, b, n in zip(r.starts, r.ends, r.counts, strict=True)}
+            total = own if total is None else composed(total, own)
+        first = group.iloc[0]
+        return pd.DataFrame([{"row": first.row, "doc_id": first.doc_id, "n_bytes": first.n_bytes, "own": first.own, "k": first.k // fan, "starts": list(total), "ends": [b for b, _ in total.values()], "counts": [n for _, n in total.values()]}])
+
+    most = maps.agg(F.max("k")).first()[0] or 0
+    while most > 0:
+        maps = written(maps.groupBy("row", F.floor(F.col("k") / fan)).applyInPandas(compose, f"{_TEXT}, {_MAP}"), "maps")
+        most //= fan
+    return maps
+
+
+def count_tokens(docs: DataFrame, path: str, limit: int = 4096, long: int = LONG, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
     """Per row: doc_id, UTF-8 bytes, tokens, and whether they exceed the limit."""
     workers_ready(docs.sparkSession)
 
@@ -176,6 +292,21 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 4096) -> DataFrame:
             n = pa.array(list(map(t.count, b.column(2).to_pylist())), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
 
+    def whole(texts: DataFrame) -> DataFrame:
+        return texts.select("doc_id", "n_bytes", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+
     text = F.coalesce("text", F.lit(""))
-    counted = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text")).mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
+    sized = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
+    counted = whole(sized.filter(F.col("n_bytes") <= long))
+    own = sized.filter(F.col("n_bytes") > long).select("doc_id", "n_bytes", F.xxhash64("text").alias("own"), "text")
+    maps = written(state_maps(own, path, chunk), "maps")
+    if not maps.isEmpty():
+        start = transducer(path).name_of(0)
+        total = F.try_element_at(F.map_from_arrays("starts", "counts"), F.lit(start))
+        done = written(in_a_tree(maps, fan).select("doc_id", "n_bytes", "own", total.alias("n_tokens")), "counts")
+        lost = done.filter("n_tokens is null").select("own").distinct()
+        counted = counted.union(done.filter("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens"))
+        if not lost.isEmpty():
+            # A text with a lost state is counted in one run, as are its copies; those are not counted twice.
+            counted = whole(sized.filter(F.col("n_bytes") <= long)).union(done.join(lost, "own", "left_anti").select("doc_id", "n_bytes", "n_tokens")).union(whole(own.join(lost, "own", "left_semi")))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
