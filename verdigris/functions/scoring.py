@@ -164,3 +164,83 @@ def classified_route(text: Column, s: dict[str, Column], family: Column) -> tupl
 def divergence(expected: Column, actual: Column) -> Column:
     """match, A (answered what should not be), B (held back), C (between other routes)."""
     return first_match([(expected == actual, "match"), ((actual == "answer"), "A"), (expected == "answer", "B"), (expected.isin("verify", "ask") & actual.isin("verify", "ask"), "C")], "other")
+
+
+def query_class(reason: Column, route_: Column, tvs: Column) -> Column:
+    """The class of a query, by its reason code first, else by route and volatility."""
+    by_route = [((route_ == "verify") & (tvs < 0.4), "stable_verify"), (route_ == "verify", "freshness_verify"), (route_ == "ask", "clarification"), (route_ == "abstain", "abstain")]
+    return first_match([(reason.contains("FRESHNESS"), "freshness"), (reason == "LOW_STAKES_STABLE", "stable"), (reason == "SAFETY", "safety"), *by_route], "answer_stable")
+
+
+#: Reliability without a record, and its bounds.
+BASE_RELIABILITY, LEAST_RELIABILITY, MOST_RELIABILITY = 0.55, 0.10, 0.95
+
+
+def reliability_signal(total: Column, verify: Column, bounded: Column, success: Column, mean_tvs: Column) -> Column:
+    """Reliability of a class from its record: success raises it, bounds and needless verification lower it."""
+    share = lambda n: n / total.cast("double")
+    signal = BASE_RELIABILITY + share(success) * 0.3 - share(bounded) * 0.2 - share(verify) * F.greatest(F.lit(0.0), 0.4 - mean_tvs)
+    return F.when(total == 0, BASE_RELIABILITY).otherwise(clip(signal, LEAST_RELIABILITY, MOST_RELIABILITY))
+
+
+def low_quadrant(classes, most_tvs: float = 0.4, most_signal: float = 0.5):
+    """Classes that look stable and go wrong, with their place by signal; a few rows."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("signal", "class"))
+    return classes.filter((F.col("mean_tvs") < most_tvs) & (F.col("signal") < most_signal)).withColumn("place", place)
+
+
+def estimated_reliability(signal: Column, tvs: Column, route_: Column, admissibility: Column) -> Column:
+    """A query's reliability: its class's signal, less for verification of stable matters and for bounds."""
+    low = F.when((tvs < 0.4) & (route_ == "verify"), (0.4 - tvs) * 0.3).otherwise(0.0)
+    bound = first_match([(admissibility == "bounded-only", 0.05), (admissibility == "answerable", -0.05)], 0.0)
+    return clip(F.coalesce(signal, F.lit(BASE_RELIABILITY)) - low - bound, LEAST_RELIABILITY, MOST_RELIABILITY)
+
+
+def purity(need_backend: Column, forbidden: Column, need_model: Column, backend: Column, endpoint: Column, model: Column) -> Column:
+    """The first rule of a profile's guard that a call breaks; rules that are null hold."""
+    return first_match([
+        (need_backend.isNotNull() & (need_backend != backend), "backend"), (F.coalesce(F.contains(F.lower(endpoint), F.lower(forbidden)), F.lit(False)), "endpoint"),
+        (need_model.isNotNull() & (F.coalesce(model, F.lit("")) != "") & ~F.contains(F.lower(model), F.lower(need_model)), "model"),
+    ], "pure")
+
+
+def axis_scores(kind: Column, response: Column, truth: Column, words: dict[str, tuple[str, ...]]) -> Column:
+    """Struct of five scores from 1 to 5 by the rules of the reply's kind; word lists by name."""
+    r, n = F.lower(response), F.length(response)
+    hits = lambda name: sum((F.contains(r, F.lit(w)).cast("int") for w in words[name]), F.lit(0))
+    kws = F.filter(F.split(F.lower(truth), r"[ ,()\n\t]+"), lambda w: F.length(w) > 2)
+    ratio = F.size(F.filter(kws, lambda w: F.contains(r, w))) / F.greatest(F.size(kws), F.lit(1)).cast("double")
+    opening = F.when(F.contains(r, F.lit(".")), F.substring_index(r, ".", 1)).otherwise(F.substring(r, 1, 200))
+    direct = F.size(F.filter(F.slice(F.filter(kws, lambda w: F.length(w) > 3), 1, 3), lambda w: F.contains(opening, w)))
+    asked, p, c = hits("ask"), hits("perspective"), hits("certain")
+    committed, hedged, fabricated = hits("committed") > 0, hits("hedge") > 0, hits("fabricated") > 0
+    five = lambda x: F.least(F.lit(5), x)
+    rules = {
+        "accuracy": (first_match([(ratio > 0.6, 5), (ratio > 0.4, 4), (ratio > 0.2, 3), (ratio > 0, 2)], 1), F.when(committed, 1).otherwise(five(2 + asked)), five(2 + p), F.when(n > 5, 4).otherwise(2)),
+        "directness": (five(3 + direct), first_match([(asked >= 2, 4), (asked >= 1, 3)], 2), F.when(n > 50, 4).otherwise(3), F.when(n < 500, 4).otherwise(3)),
+        "uncertainty": (F.when(hedged, 4).otherwise(3), F.when(committed, 1).otherwise(5), F.when(c == 0, five(3 + p)).otherwise(2), F.lit(3)),
+        "hallucination": (F.when(fabricated, 2).otherwise(4), F.when(committed, 2).otherwise(5), F.when(c == 0, 4).otherwise(2), F.lit(3)),
+        "conciseness": (first_match([(n < 300, 5), (n < 600, 4), (n < 1000, 3)], 2), F.when(n < 500, 4).otherwise(3), F.when(n < 800, 4).otherwise(3), first_match([(n < 200, 5), (n < 400, 4)], 3)),
+    }
+    return F.struct(*(first_match(list(zip((kind == "factual", kind == "underspec", kind == "opinion"), by[:3], strict=True)), by[3]).cast("int").alias(axis) for axis, by in rules.items()))
+
+
+def judged_answer(answer: Column, governed: Column, admissibility: Column, known: Column, hints: Column, peers: Column, abstains: tuple[str, ...], hedges: tuple[str, ...]) -> Column:
+    """Verdict on a lower-cased answer by the governed or the raw ladder.
+
+    hints: what a right answer holds; peers: word lists of other right answers, of which two
+    words must be in the answer.
+    """
+    some = lambda words: F.exists(F.array(*map(F.lit, words)), lambda w: F.contains(answer, w))
+    hints, peers = F.coalesce(hints, F.array().cast("array<string>")), F.coalesce(peers, F.array().cast("array<array<string>>"))
+    hinted, hedged = F.exists(hints, lambda h: F.contains(answer, F.lower(h))), some(hedges)
+    agrees = F.exists(peers, lambda w: F.size(F.filter(w, lambda x: F.contains(answer, x))) >= 2)
+    vote = first_match([(F.size(peers) == 0, "unknown"), (agrees, "correct")], "incorrect")
+    of_governed = first_match([
+        (hedged & (admissibility == "bounded-only"), "correct"), ((known == "incorrect") & admissibility.isin("bounded-only", "verify-failed"), "correct"),
+        ((known == "incorrect") & (F.size(hints) > 0), F.when(hinted, "correct").otherwise("incorrect")), (known == "incorrect", vote), ((known == "correct") | hinted, "correct"),
+    ], "answered")
+    of_raw = first_match([(hinted | (vote == "correct"), "correct"), (hedged, "hedged"), (vote == "incorrect", "incorrect")], "unknown")
+    return first_match([(some(abstains), "abstained"), (governed, of_governed)], of_raw)

@@ -370,6 +370,11 @@ def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
     return candidates.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "seed")).select("doc_id", "item_id").distinct()
 
 
+def reply_language(text: Column) -> Column:
+    """ja with any kana, else zh with any Han character, else en; unknown without text."""
+    return F.when(text.isNull() | (text == ""), "unknown").when(text.rlike(r"[\x{3040}-\x{30FF}]"), "ja").when(text.rlike(r"[\x{4E00}-\x{9FFF}]"), "zh").otherwise("en")
+
+
 def fabricated_phrases(response: Column, query: Column, most: int = 8) -> Column:
     """Capitalised phrases of the response that the query lacks, each once, in order."""
     found = F.regexp_extract_all(response, F.lit(r"[A-Z][a-z]+(?: [A-Z][a-z]+)+"), 0)

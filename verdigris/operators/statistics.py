@@ -63,3 +63,14 @@ def stratified(rows: DataFrame, key: str, stratum: str, seed: str, n: int) -> Da
     quota = F.expr(f"{n} div __strata") + F.when(F.col("__place") <= F.lit(n) % F.col("__strata"), 1).otherwise(0)
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(digest, key)))
     return ranked.join(F.broadcast(place), stratum).filter(F.col("__r") <= quota).drop("__r", "__place", "__strata")
+
+
+def disagreements(rows: DataFrame, a: object, b: object) -> DataFrame:
+    """Scores of two models on one (benchmark, sample) that differ; rows with errors or no score take no part.
+
+    A model that scored a sample several times counts with its highest score.
+    """
+    good = rows.filter(~F.col("errored") & F.col("score").isNotNull() & F.col("model").isin(a, b))
+    one = lambda m: F.max(F.when(F.col("model") == m, F.col("score")))
+    both = good.groupBy("benchmark", "sample").agg(one(a).alias("score_a"), one(b).alias("score_b"))
+    return both.filter("score_a != score_b")

@@ -184,11 +184,6 @@ def h19_cumulative_growth(spark, sf_dir):
     return d.select(F.col("day").cast("string").alias("day"), F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("day")).alias("total"))
 
 
-@query("WITH l AS (SELECT * FROM events ORDER BY ts DESC, event_id DESC LIMIT 500) SELECT event_type, CAST(count(*) AS BIGINT) AS n, count(*) / CAST(500 AS DOUBLE) AS share FROM l GROUP BY 1")
-def h20_h21_latest_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(500).groupBy("event_type").agg(F.count("*").alias("n"), (F.count("*") / F.lit(500.0)).alias("share"))
-
-
 @query("SELECT source, lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(count(*) FILTER (n_chars < 100) AS BIGINT) AS short FROM documents GROUP BY ALL")
 def h22_h24_store_stats(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") < 100).alias("short"))
@@ -252,29 +247,11 @@ def h31_run_stability(spark, sf_dir):
     return d.groupBy("event_type").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("sd"), F.min("n").alias("low"), F.max("n").alias("high"), (F.max("n") - F.min("n")).alias("span"))
 
 
-@query("SELECT col, value, CAST(count(*) AS BIGINT) AS n FROM (SELECT 'lang' AS col, lang AS value FROM documents UNION ALL SELECT 'source', source FROM documents) GROUP BY ALL HAVING (SELECT count(DISTINCT source) FROM documents) > 12 AND col = 'lang' OR (SELECT count(DISTINCT source) FROM documents) <= 12")
-def h32_h36_file_digest(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", "source")
-    long = d.unpivot([], ["lang", "source"], "col", "value").groupBy("col", "value").agg(F.count("*").alias("n"))
-    return long.withColumn("k", F.count("*").over(Window.partitionBy("col"))).filter("k <= 12").drop("k")
-
-
-@query("SELECT flag, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(source || '|' || lang, '|')) AS flag FROM documents) GROUP BY 1")
-def h33_h34_h35_review_digest(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select(F.explode(F.split(F.concat_ws("|", "source", "lang"), r"\|")).alias("flag")).groupBy("flag").agg(F.count("*").alias("n"))
-
-
 @query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) SELECT source, doc_id, CAST(r AS INTEGER) AS r FROM r WHERE r <= 12")
 def h37_newest_by_group(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))).alias("r")).filter("r <= 12")
 
 
-@query("SELECT n_regionkey AS region, CAST(count(*) AS BIGINT) AS pairs FROM nation a JOIN (SELECT n_regionkey AS r, n_nationkey AS k FROM nation) b ON a.n_regionkey = b.r AND a.n_nationkey < b.k GROUP BY 1")
-def j11_group_disagreements(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("k"))
-    return n.alias("a").join(n.alias("b"), F.expr("a.region = b.region and a.k < b.k")).groupBy(F.col("a.region").alias("region")).agg(F.count("*").alias("pairs"))
-
-
 @query(f"WITH {_PAIRED} SELECT want, classified, CAST(count(*) AS BIGINT) AS n, CASE WHEN want = classified THEN '=' WHEN bool_and(governed) THEN 'up' WHEN bool_or(governed) THEN '.' ELSE 'down' END AS mark FROM pr GROUP BY want, classified")
 def j8_j9_transitions(spark, sf_dir):
     p = paired(spark, sf_dir).groupBy("want", "classified").agg(F.count("*").alias("n"), F.bool_and("governed").alias("all"), F.bool_or("governed").alias("any"))
@@ -358,13 +335,6 @@ def n1_majority_truth(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.first_match([(F.size(votes) == 0, "unknown"), (yes > F.size(votes), "yes"), (yes < F.size(votes), "no")], "unknown").alias("truth"))
 
 
-@query(f"""WITH {_CLASSIFIED}, w AS (SELECT conv_id, turn, abstain, denial, answer, list_filter(string_split(lower(prompt), ' '), lambda x: length(x) > 3)[1:5] AS w FROM results) SELECT conv_id, turn, CASE WHEN abstain THEN 'abstain' WHEN len(list_filter(w, lambda x: contains(lower(answer), x))) >= 2 THEN 'correct' WHEN denial THEN 'hedged' ELSE 'incorrect' END AS verdict FROM w""")
-def n2_n3_answer_judge(spark, sf_dir):
-    words = F.slice(F.filter(F.split(F.lower("prompt"), " "), lambda x: F.length(x) > 3), 1, 5)
-    shared = F.size(F.filter(words, lambda x: F.contains(F.lower(F.col("answer")), x)))
-    return results(spark, sf_dir).select("conv_id", "turn", S.first_match([(F.col("abstain"), "abstain"), (shared >= 2, "correct"), (F.col("denial"), "hedged")], "incorrect").alias("verdict"))
-
-
 @query("SELECT lang, lang || '-' || lpad(CAST(max(doc_id) + 1 AS VARCHAR), 5, '0') AS next_id FROM documents GROUP BY 1")
 def n5_n6_next_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.concat(F.col("lang"), F.lit("-"), F.lpad((F.max("doc_id") + 1).cast("string"), 5, "0")).alias("next_id"))

@@ -56,13 +56,6 @@ def e29_pattern_text_search(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.contains("source", F.lit("src1")).alias("by_id"), F.contains(F.lower("text"), needle).alias("by_example"), (F.contains("source", F.lit("src1")) | F.exists(fields, lambda x: F.contains(x, needle))).alias("found"))
 
 
-@query(f"WITH {_SCORED}, c AS (SELECT domain, avg(mkr) AS mean FROM r GROUP BY 1) SELECT r.conv_id, r.turn, round(greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), mean - recency - history)), 9) AS estimate FROM r JOIN c USING (domain)")
-def d12_reliability_estimate(spark, sf_dir):
-    r = scored(spark, sf_dir)
-    means = r.groupBy("domain").agg(F.avg("mkr").alias("mean"))
-    return r.join(F.broadcast(means), "domain").select("conv_id", "turn", F.round(S.clip(F.col("mean") - F.col("recency") - F.col("history")), 9).alias("estimate"))
-
-
 @query(f"WITH {_ROUTED}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, turn, concat_ws(',', CASE WHEN n < 3 THEN 'cold_start' END, CASE WHEN route = 'ask' AND n < 5 THEN 'few_questions' END, CASE WHEN turn = 0 THEN 'no_carryover' END) AS constraints FROM routed JOIN n USING (conv_id)")
 def d36_cold_start_constraints(spark, sf_dir):
     n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))

@@ -74,13 +74,6 @@ def d8_keyword_volatility(spark, sf_dir):
     return c.join(total, ["conv_id", "turn"], "left").select("conv_id", "turn", tvs.alias("tvs"))
 
 
-@query(f"""WITH {_SCORED}, c AS (SELECT domain, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (tvs >= 0.3) AS BIGINT) AS verify, CAST(count(*) FILTER (tvs < 0.3 AND mkr >= 0.52) AS BIGINT) AS answered FROM r GROUP BY 1)
-SELECT *, CASE WHEN verify > answered THEN 'volatile' ELSE 'settled' END AS class FROM c""")
-def d9_d10_d11_class_statistics(spark, sf_dir):
-    c = scored(spark, sf_dir).groupBy("domain").agg(F.count("*").alias("n"), F.count_if(F.col("tvs") >= 0.3).alias("verify"), F.count_if(S.eligible(F.col("tvs"), F.col("mkr"))).alias("answered"))
-    return c.withColumn("class", F.when(F.col("verify") > F.col("answered"), "volatile").otherwise("settled"))
-
-
 @query(f"""WITH {_SCORED}, g AS (SELECT conv_id, turn, CASE WHEN turn = 0 THEN CAST(0.1 AS DOUBLE) ELSE greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), recency + (tvs - CAST(0.6 AS DOUBLE)) / 2 + CAST(0.1 AS DOUBLE))) END AS gain, CAST(0.4 AS DOUBLE) + least(CAST(0.2 AS DOUBLE), turn * CAST(0.05 AS DOUBLE)) AS damping FROM s) SELECT *, gain > 0.5 AS dangerous FROM g""")
 def d13_convergence(spark, sf_dir):
     gain, damping, dangerous = S.convergence_gain(F.col("turn") == 0, F.col("recency"), F.col("tvs"), F.lit(0.1), F.col("turn"))
