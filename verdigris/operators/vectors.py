@@ -1,19 +1,28 @@
 """Vector retrieval: similarity, top-k, pooling by key, margins, tiers and conflicts.
 
-Inputs: queries(query_id, q, ...) and vectors(vec_id, embedding, label). The query side is
-broadcast only below a checked size; above it, both sides are dealt into a grid of blocks.
+Inputs: queries(query_id, q, ...) and vectors(vec_id, embedding, label). Both sides are dealt
+into blocks of bounded size; query blocks are copied to every vector block, so that a tile of
+the two is one row and a matrix product, and only its best leave it. A product in another
+order of addition may differ in the last bits: what is near a cut is computed again in order.
 Top-k lists are bounded per query, so what follows them is linear in the queries.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries that may be broadcast, and blocks of the other plan.
-MOST_BROADCAST, BLOCK = 20_000, 5_000
+from verdigris.functions.scoring import first_match
+from verdigris.session import ship
+
+#: Numbers of a block of queries and of vectors: 8 MB and 32 MB in double precision.
+QUERY_VALUES, VECTOR_VALUES = 1 << 20, 1 << 22
+#: More than products in different orders can differ by.
+NEAR = 1e-9
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -29,18 +38,97 @@ def cosine(a: Column, b: Column, na: Column, nb: Column) -> Column:
     return dot(a, b) / F.when(na * nb == 0, F.lit(1.0)).otherwise(na * nb)
 
 
-def similarities(queries: DataFrame, vectors: DataFrame, most_broadcast: int = MOST_BROADCAST) -> DataFrame:
-    """Every query against every vector: (query's columns, vec_id, label, score)."""
-    q = queries.withColumn("__nq", norm(F.col("q")))
-    v = vectors.withColumn("__nv", norm(F.col("embedding")))
-    n = q.limit(most_broadcast + 1).count()
-    if n <= most_broadcast:
-        pairs = v.join(F.broadcast(q))
-    else:
-        blocks = math.ceil(q.count() / BLOCK)
-        pairs = v.withColumn("__block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(q.withColumn("__block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")), "__block").drop("__block")
-    scored = pairs.withColumn("score", cosine(F.col("q"), F.col("embedding"), F.col("__nq"), F.col("__nv")))
-    return scored.select(*(c for c in queries.columns if c != "q"), "vec_id", "label", "score")
+def blocks(rows: DataFrame, id_: str, vector: str, values: int, salt: str) -> tuple[DataFrame, int]:
+    """(block, dim, rows) of bounded size and the number of blocks; rows without a vector take no part."""
+    good = rows.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
+    size = good.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dim")).first()
+    n = max(1, math.ceil(size["n"] * (size["dim"] or 1) / values))
+    dealt = good.select(F.pmod(F.xxhash64(F.col(id_), F.lit(salt)), F.lit(n)).cast("int").alias("block"), F.size(vector).alias("dim"), F.struct(F.col(id_).cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("x")).alias("row"))
+    return dealt.repartition("block").groupBy("block", "dim").agg(F.collect_list("row").alias("rows")), n
+
+
+def in_tiles(queries: DataFrame, vectors: DataFrame, of: Callable, schema: str) -> DataFrame:
+    """of(tile) for every block of queries and block of vectors; it gives an iterable of rows."""
+    ship(queries.sparkSession)
+    labelled = queries if "label" in queries.columns else queries.withColumn("label", F.lit(None).cast("long"))
+    q, _ = blocks(labelled, "query_id", "q", QUERY_VALUES, "query")
+    v, n = blocks(vectors, "vec_id", "embedding", VECTOR_VALUES, "vector")
+    spread = q.select("dim", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for j in range(b.num_rows):
+                found = list(of(Tile(b.column(0)[j].values, b.column(1)[j].values)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
+
+    return v.join(spread, ["block", "dim"]).select("q_rows", "rows").mapInArrow(run, schema)
+
+
+class Tile:
+    """A block of queries against a block of vectors."""
+
+    def __init__(self, q, v):
+        self.q_ids, self.q_labels, self.q = self._columns(q)
+        self.ids, self.labels, self.v = self._columns(v)
+        self.nq, self.nv = self._norms(self.q), self._norms(self.v)
+        scale = self.nq[:, None] * self.nv[None, :]
+        with np.errstate(all="ignore"):
+            self.scores = (self.q @ self.v.T) / np.where(scale == 0, 1.0, scale)
+        self.scores[np.isnan(self.scores)] = -np.inf
+
+    @staticmethod
+    def _columns(rows):
+        ids = rows.field(0).to_numpy(zero_copy_only=False)
+        return ids, rows.field(1).fill_null(-1).to_numpy(zero_copy_only=False), rows.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+
+    @staticmethod
+    def _norms(x):
+        return np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
+
+    def exact(self, a: int, at: np.ndarray) -> np.ndarray:
+        """Cosines of query a with the vectors at some places, added in order; zero norms are guarded by 1."""
+        scale = self.nq[a] * self.nv[at]
+        return np.cumsum(self.q[a] * self.v[at], axis=1)[:, -1] / np.where(scale == 0, 1.0, scale)
+
+    def best(self, a: int, k: int, at: np.ndarray) -> list[tuple[float, int]]:
+        """(score, place) of the k best of some places for query a; ties go to the smaller id."""
+        near = self.scores[a, at]
+        if k < len(at):
+            at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - NEAR]
+        at = at[np.isfinite(self.scores[a, at])]
+        score = self.exact(a, at)
+        order = np.lexsort((self.ids[at], -score))[:k]
+        return [(float(score[j]), int(at[j])) for j in order]
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, label, score, rank: each query's k best vectors by cosine, its own id left out."""
+
+    def of(t: Tile):
+        for a, own in enumerate(t.q_ids):
+            for score, j in t.best(a, k, np.flatnonzero(t.ids != own)):
+                yield int(own), int(t.ids[j]), int(t.labels[j]), score
+
+    return top_k(in_tiles(queries, vectors, of, "query_id long, vec_id long, label long, score double"), k)
+
+
+def best_by_label(queries: DataFrame, vectors: DataFrame) -> DataFrame:
+    """query_id, label, score, vec_id: each query's best vector of every label, its own id left out."""
+
+    def of(t: Tile):
+        places = [np.flatnonzero(t.labels == label) for label in np.unique(t.labels)]
+        for a, own in enumerate(t.q_ids):
+            for at in places:
+                for score, j in t.best(a, 1, at[t.ids[at] != own]):
+                    yield int(own), int(t.labels[j]), int(t.ids[j]), score
+
+    found = in_tiles(queries, vectors, of, "query_id long, label long, vec_id long, score double")
+    best = found.groupBy("query_id", "label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m"))
+    return best.select("query_id", "label", F.col("m.score").alias("score"), (-F.col("m.v")).alias("vec_id"))
 
 
 def top_k(sims: DataFrame, k: int) -> DataFrame:
@@ -59,15 +147,40 @@ def best_patterns(ranked: DataFrame, k: int) -> DataFrame:
     return max_pool(ranked).withColumn("r", r).filter(F.col("r") <= k).select("query_id", "label", "vec_id", "score")
 
 
-def pattern_match(queries: DataFrame, library: DataFrame, negatives: DataFrame, pool: int, margin: float, high: float, medium: float) -> DataFrame:
-    """Top vectors, pooled by pattern, less those near a negative, banded and resolved: one row per query."""
-    pooled = max_pool(top_k(similarities(queries, library), pool))
-    against = similarities(queries, negatives).groupBy("query_id", "label").agg(F.max("score").alias("negative"))
-    clear = pooled.join(against, ["query_id", "label"], "left").filter(F.col("score") - F.coalesce("negative", F.lit(-1.0)) >= margin)
-    banded = clear.withColumn("band", F.when(F.col("score") > high, 2).when(F.col("score") > medium, 1)).filter("band is not null")
-    best = banded.groupBy("query_id").agg(F.max(F.struct("band", "score", "label")).alias("b"))
+def context_fits(required: Column, excluded: Column, has_state: Column, tags: Column) -> Column:
+    """What needs a state has one, and no excluded tag is in it."""
+    return ~(required & ~has_state) & ~F.arrays_overlap(F.coalesce(excluded, F.array().cast("array<string>")), F.coalesce(tags, F.array().cast("array<string>")))
+
+
+def pattern_match(queries: DataFrame, library: DataFrame, negatives: DataFrame, patterns: DataFrame, levels: DataFrame, pool: int = 20, margin: float = 0.05) -> DataFrame:
+    """Route each query by the pattern library: one row per query.
+
+    The best vectors, pooled by pattern, less deprecated patterns, those too near to one of
+    their negatives and those that the session's state excludes; banded by the thresholds of
+    the sub-topic, else the topic's, else 0.999. Of several high ones the priority, the score
+    and the id decide; else the best medium one, with a warning.
+
+    queries: query_id, q, has_state, tags; patterns: label, topic, sub, priority, deprecated,
+    required, excluded; levels: topic or sub, high, medium. The last two are small tables.
+    """
+    pooled = max_pool(nearest(queries, library, pool))
+    against = best_by_label(queries, negatives).select("query_id", "label", F.col("score").alias("negative"))
+    known = with_thresholds(patterns.filter("not deprecated"), levels)
+    clear = pooled.join(against, ["query_id", "label"], "left").filter(F.col("negative").isNull() | (F.col("score") - F.col("negative") >= margin))
+    state = queries.select("query_id", "has_state", "tags")
+    fit = clear.join(F.broadcast(known), "label").join(state, "query_id").filter(context_fits(F.col("required"), F.col("excluded"), F.col("has_state"), F.col("tags")))
+    banded = fit.withColumn("band", F.when(F.col("score") > F.col("high"), 2).when(F.col("score") > F.col("medium"), 1)).filter("band is not null")
+    best = banded.groupBy("query_id").agg(F.max(F.struct("band", F.when(F.col("band") == 2, F.col("priority")).otherwise(0).alias("p"), "score", "label")).alias("b"))
     confidence = F.when(F.col("b.band") == 2, "high").when(F.col("b.band") == 1, "medium").otherwise("none")
-    return queries.select("query_id").join(best, "query_id", "left").select("query_id", confidence.alias("confidence"), F.col("b.label").alias("pattern"), F.col("b.score").alias("score"))
+    return queries.select("query_id").join(best, "query_id", "left").select("query_id", confidence.alias("confidence"), F.col("b.label").alias("pattern"), F.col("b.score").alias("score"), F.when(F.col("b.band") == 1, "LOW_CONFIDENCE").alias("warning"))
+
+
+def with_thresholds(patterns: DataFrame, levels: DataFrame, default: float = 0.999) -> DataFrame:
+    """Add high and medium: the sub-topic's where it names them, else the topic's, else the default; each on its own."""
+    subs = levels.filter("sub is not null").select("sub", F.col("high").alias("h_sub"), F.col("medium").alias("m_sub"))
+    tops = levels.filter("sub is null").select("topic", F.col("high").alias("h_top"), F.col("medium").alias("m_top"))
+    joined = patterns.join(F.broadcast(subs), "sub", "left").join(F.broadcast(tops), "topic", "left")
+    return joined.select(*patterns.columns, F.coalesce("h_sub", "h_top", F.lit(default)).alias("high"), F.coalesce("m_sub", "m_top", F.lit(default)).alias("medium"))
 
 
 def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
@@ -143,18 +256,79 @@ def term_index(docs: DataFrame, pattern: str, k: int) -> DataFrame:
     return terms.withColumn("rank", F.row_number().over(Window.partitionBy("term").orderBy("doc_id"))).filter(F.col("rank") <= k).select("term", "doc_id", "rank")
 
 
-def tiered(queries: DataFrame, tiers: DataFrame) -> DataFrame:
-    """The first admissible tier of each query and the trace of all tried."""
-    said = F.concat(F.col("tier").cast("string"), F.when(F.col("admissible"), ":ok").otherwise(":skip"))
-    found = tiers.groupBy("query_id").agg(F.min(F.when(F.col("admissible"), F.col("tier"))).cast("string").alias("tier"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tier", said.alias("said")))), lambda s: s["said"]), " ").alias("trace"))
-    return queries.join(found, "query_id", "left").select("query_id", F.coalesce("tier", F.lit("failed")).alias("tier"), F.coalesce("trace", F.lit("")).alias("trace"))
+#: The boxes of the tiered selection, in the order in which they are tried.
+BOXES = ("M", "0", "A", "B", "X", "S")
+
+
+def tier_selection(rows: DataFrame, strong: float = 0.55) -> DataFrame:
+    """query_id, box, sufficient, score, trace of the tiered fallback.
+
+    rows: query_id, fresh, self_ref, allow_wiki, allow_search, and for each box its score
+    (null: no result), ok_ (sufficient) and on_ (enabled and available). M is looked up but
+    never decides; 0 decides when sufficient and asked about itself or strong; A when
+    sufficient; B (the snapshot) when sufficient, unless freshness counts: then it is held over;
+    X for queries that are not fresh; S for fresh ones only, whatever the profile allows; at
+    last the held over B. The trace names each box tried or why it was skipped.
+    """
+    on, ok = ({b: F.coalesce(F.col(f"{p}_{b}"), F.lit(False)) for b in BOXES} for p in ("on", "ok"))
+    score = {b: F.col(f"score_{b}") for b in BOXES}
+    fresh, wiki = F.col("fresh"), F.col("allow_wiki")
+    zero = on["0"] & ok["0"] & (F.col("self_ref") | (score["0"] >= strong))
+    own = ~zero & on["A"] & ok["A"]
+    after = ~zero & ~own
+    tried_b = after & wiki & on["B"]
+    snap, held = tried_b & ok["B"] & ~fresh, tried_b & ok["B"] & fresh
+    late = after & ~snap
+    curated = late & ~fresh & on["X"] & ok["X"]
+    web_on = on["S"] & fresh
+    web = late & ~curated & web_on & ok["S"]
+    last = late & ~curated & ~web
+    told = lambda b: F.when(ok[b], f"{b}:ok").otherwise(f"{b}:no")
+    entry = lambda when, what: F.when(when, what)
+    trace = F.array_compact(F.array(
+        entry(on["M"] & score["M"].isNotNull(), "M:ok"), F.when(on["0"], told("0")).otherwise("0:skipped"), entry(~zero, F.when(on["A"], told("A")).otherwise("A:skipped")),
+        entry(after, F.when(~wiki, "B:skipped by profile").when(on["B"], told("B")).otherwise("B:skipped")), entry(late, "K:skipped"), entry(late, first_match([(~on["X"], "X:skipped"), (fresh, "X:skipped, fresh")], told("X"))),
+        entry(late & ~curated & fresh & ~F.col("allow_search") & on["S"], "S:forced by freshness"), entry(late & ~curated, first_match([(web_on, told("S")), (~fresh & ~F.col("allow_search"), "S:skipped by profile"), (~on["S"], "S:skipped")], "S:skipped, not fresh")), entry(last & held, "B:held over"),
+    ))
+    box = first_match([(zero, "0"), (own, "A"), (snap, "B"), (curated, "X"), (web, "S"), (last & held, "B")], "failed")
+    of_box = first_match([(zero, score["0"]), (own, score["A"]), (snap, score["B"]), (curated, score["X"]), (web, score["S"]), (last & held, score["B"])], 0.0)
+    return rows.select("query_id", box.alias("box"), (box != "failed").alias("sufficient"), of_box.alias("score"), F.array_join(trace, " ").alias("trace"))
+
+
+def box_flags(settings: DataFrame) -> DataFrame:
+    """box, enabled from (setting, value) texts: a box's own setting, for B the newer name before the old one, else on.
+
+    Words for no and yes count, other values leave the default.
+    """
+    word = F.lower(F.trim("value"))
+    known = settings.select("setting", F.when(word.isin("0", "false", "no", "off"), False).when(word.isin("1", "true", "yes", "on"), True).alias("flag")).filter("flag is not null")
+    asked = settings.sparkSession.createDataFrame([("0", "BOX_0", 0), ("A", "BOX_A", 0), ("B", "BOX_W", 0), ("B", "BOX_B", 1), ("S", "BOX_S", 0), ("K", "BOX_KIWIX", 0)], "box string, setting string, turn int")
+    found = asked.join(known, "setting", "left").groupBy("box").agg(F.min(F.when(F.col("flag").isNotNull(), F.struct("turn", "flag"))).alias("f"))
+    return found.select("box", F.coalesce("f.flag", F.lit(True)).alias("enabled"))
+
+
+def supplementary(selected: DataFrame, wanted: Column) -> Column:
+    """The note of a further, never deciding, look into B after A has decided, where the profile asks for it."""
+    return first_match([(selected["box"] != "A", "none"), (~wanted, "not asked"), (~F.col("allow_wiki"), "off by profile"), (F.col("fresh"), "off, fresh"), (~F.coalesce(F.col("on_B"), F.lit(False)), "not available")], "consulted")
 
 
 def conflicts(vectors: DataFrame, threshold: float) -> DataFrame:
-    """The closest pair of each two patterns, if close enough."""
-    left = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("label_a"))
-    pairs = similarities(left, vectors).filter("label_a < label")
-    best = pairs.groupBy("label_a", F.col("label").alias("label_b")).agg(F.max(F.struct("score", (-F.col("query_id")).alias("a"), (-F.col("vec_id")).alias("b"))).alias("m"))
+    """The closest pair of each two patterns, if close enough; a tile gives one pair for each two labels."""
+    left = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
+
+    def of(t: Tile):
+        places = {label: np.flatnonzero(t.labels == label) for label in np.unique(t.labels)}
+        for x in np.unique(t.q_labels):
+            rows = np.flatnonzero(t.q_labels == x)
+            for y, at in places.items():
+                if x < y:
+                    part = t.scores[np.ix_(rows, at)]
+                    i, j = np.nonzero(part >= part.max() - NEAR)
+                    best = min((-float(t.exact(rows[a], at[[b]])[0]), int(t.q_ids[rows[a]]), int(t.ids[at[b]])) for a, b in zip(i, j, strict=True))
+                    yield int(x), int(y), best[1], best[2], -best[0]
+
+    pairs = in_tiles(left, vectors, of, "label_a long, label_b long, id_a long, id_b long, score double")
+    best = pairs.groupBy("label_a", "label_b").agg(F.max(F.struct("score", (-F.col("id_a")).alias("a"), (-F.col("id_b")).alias("b"))).alias("m"))
     return best.filter(F.col("m.score") >= threshold).select("label_a", "label_b", (-F.col("m.a")).alias("id_a"), (-F.col("m.b")).alias("id_b"), F.col("m.score").alias("score"))
 
 
@@ -169,21 +343,47 @@ def two_gates(positive: DataFrame, negative: DataFrame, p: float, n: float) -> D
     return a.join(b, "query_id").select("query_id", ((F.col("p") < p) & (F.col("n") < n)).alias("accepted"))
 
 
-def cells(vectors: DataFrame, centroids: DataFrame, nprobe: int = 1) -> DataFrame:
-    """Each vector's nearest cells by inner product: (query_id, cell, place). Centroids are a bounded set."""
-    q = vectors.select("query_id", "q")
-    scored = q.join(F.broadcast(centroids.select("cell", F.col("embedding").alias("__c")))).withColumn("score", dot(F.col("q"), F.col("__c")))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "cell"))
-    return scored.withColumn("place", place).filter(F.col("place") <= nprobe).select("query_id", "cell", "place")
+#: Rows on which the cells are fitted at most, cells, and cells that a query looks into.
+FIT_ROWS, CELLS, PROBES = 20_000, 32, 12
+
+
+def fitted_cells(vectors: DataFrame, n: int = CELLS, max_rows: int = FIT_ROWS, seed: int = 3) -> np.ndarray:
+    """Centroids of the directions of a bounded sample of the vectors, taken by hash: the k-means of Spark."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    unit = vectors.filter("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x")).withColumn("n", norm(F.col("x"))).filter("n > 0")
+    sample = unit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_rows).select(array_to_vector(F.transform("x", lambda x: x / F.col("n"))).alias("features"))
+    return np.array(KMeans(k=n, seed=seed, maxIter=15).fit(sample).clusterCenters())
+
+
+def in_cells(rows: DataFrame, id_: str, vector: str, centroids: np.ndarray, probes: int = 1) -> DataFrame:
+    """(id, cell) of each row's nearest cells by direction; every row has one. The centroids are a fixed number."""
+    ship(rows.sparkSession)
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            if b.num_rows:
+                x = np.array(b.column(1).to_pylist(), "f8").reshape(b.num_rows, -1)
+                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+                far = (centroids**2).sum(axis=1)[None, :] - 2 * x @ centroids.T
+                order = np.argsort(far, axis=1, kind="stable")[:, :probes]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), order.shape[1])), pa.array(order.ravel().astype("i4"))], names=["id", "cell"])
+
+    return rows.filter(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), vector).mapInArrow(run, "id long, cell int")
 
 
-def ivf_top_k(queries: DataFrame, vectors: DataFrame, centroids: DataFrame, nprobe: int, k: int) -> DataFrame:
+def ivf_top_k(queries: DataFrame, vectors: DataFrame, centroids: np.ndarray, probes: int, k: int) -> DataFrame:
     """Approximate top-k: queries meet the vectors of their nearest cells only, an equi-join on the cell.
 
-    A table bucketed or partitioned by cell lets the join skip the other cells' files.
+    Every vector is in the index; scores are exact. A table partitioned by cell lets the join
+    skip the other cells' files.
     """
-    home = cells(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), centroids).select(F.col("query_id").alias("vec_id"), "cell")
-    probe = cells(queries, centroids, nprobe).select("query_id", "cell")
-    pairs = probe.join(home, "cell").join(queries.select("query_id", "q"), "query_id").join(vectors.select("vec_id", "embedding", "label"), "vec_id")
-    scored = pairs.withColumn("score", cosine(F.col("q"), F.col("embedding"), norm(F.col("q")), norm(F.col("embedding"))))
+    home = in_cells(vectors, "vec_id", "embedding", centroids).select(F.col("id").alias("vec_id"), "cell")
+    probe = in_cells(queries, "query_id", "q", centroids, probes).select(F.col("id").alias("query_id"), "cell")
+    left = queries.select("query_id", "q").withColumn("nq", norm(F.col("q"))).join(probe, "query_id")
+    right = vectors.select("vec_id", "embedding", "label").withColumn("nv", norm(F.col("embedding"))).join(home, "vec_id")
+    scored = left.join(right, "cell").filter("query_id != vec_id").withColumn("score", cosine(F.col("q"), F.col("embedding"), F.col("nq"), F.col("nv")))
     return top_k(scored.select("query_id", "vec_id", "label", "score"), k)

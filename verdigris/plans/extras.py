@@ -9,7 +9,7 @@ from verdigris.functions import scoring as S
 from verdigris.functions import text as T
 from verdigris.operators import vectors as V
 from verdigris.plans.base import registrar, table
-from verdigris.plans.flagship import _COS, _DOT, _SIMS, _library, _norm
+from verdigris.plans.flagship import _SIMS, _library
 from verdigris.plans.scores import _SCORED, routed, scored, _ROUTED
 from verdigris.plans.texts import _has
 
@@ -18,21 +18,25 @@ SQL: dict = {}
 query = registrar(QUERIES, SQL)
 
 
-@query(f"""WITH v AS (SELECT vec_id, embedding AS x, label, {_norm('embedding')} AS n FROM embeddings), q AS (SELECT vec_id AS query_id, x, n FROM v WHERE vec_id % 10 = 0), lib AS (SELECT * FROM v WHERE vec_id % 10 BETWEEN 1 AND 8), cen AS (SELECT vec_id AS cell, x FROM v WHERE vec_id % 25 = 9),
-h AS (SELECT vec_id, cell FROM (SELECT lib.vec_id, cell, row_number() OVER (PARTITION BY lib.vec_id ORDER BY {_DOT.format(a='lib.x', b='cen.x')} DESC, cell) AS r FROM lib, cen) WHERE r = 1), p AS (SELECT query_id, cell FROM (SELECT query_id, cell, row_number() OVER (PARTITION BY query_id ORDER BY {_DOT.format(a='q.x', b='cen.x')} DESC, cell) AS r FROM q, cen) WHERE r <= 4),
-s AS (SELECT query_id, lib.vec_id, {_COS.format(a='q.x', b='lib.x', na='q.n', nb='lib.n')} AS score FROM p JOIN h USING (cell) JOIN q USING (query_id) JOIN lib USING (vec_id)), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""")
+@query()
 def e4_ivf_search(spark, sf_dir):
+    """Approximate top five over all vectors; the cells are fitted, so a test measures the recall instead of SQL."""
     queries, library, _ = _library(spark, sf_dir)
-    centroids = table(spark, sf_dir, "embeddings").filter("vec_id % 25 = 9").select(F.col("vec_id").alias("cell"), "embedding")
-    return V.ivf_top_k(queries, library, centroids, 4, 5).select("query_id", "rank", "vec_id", "score")
+    return V.ivf_top_k(queries, library, V.fitted_cells(library), V.PROBES, 5).select("query_id", "rank", "vec_id", "score")
 
 
-@query(f"WITH {_SIMS} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS k FROM ranked WHERE label % 2 = 1) WHERE k <= 3")
+@query()
+def e5_recall_of_approximate_search(spark, sf_dir):
+    """Share of each query's exact top ten that the approximate search finds."""
+    queries, library, _ = _library(spark, sf_dir)
+    return V.recall(V.nearest(queries, library, 10), V.ivf_top_k(queries, library, V.fitted_cells(library), V.PROBES, 10))
+
+
+@query(f"WITH {_SIMS}, r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sims WHERE label % 2 = 1) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 3")
 def e7_curated_search(spark, sf_dir):
+    """The best of the curated part (labels of odd numbers)."""
     queries, library, _ = _library(spark, sf_dir)
-    hits = V.top_k(V.similarities(queries, library), 1 << 30)
-    return V.overfetch(hits.withColumn("place", F.col("rank")), F.col("label") % 2 == 1, 3).select("query_id", F.col("place").alias("rank"), "vec_id")
+    return V.nearest(queries, library.filter("label % 2 = 1"), 3).select("query_id", "rank", "vec_id", "score")
 
 
 @query(f"SELECT conv_id, turn, regexp_matches(text, '[A-Z]{{2,}}|[0-9]') OR {_has(('for',))} OR role = 'system' AS consult FROM conversations")
@@ -41,12 +45,11 @@ def e10_reference_gate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (t.rlike("[A-Z]{2,}|[0-9]") | vocab.has(t, ("for",)) | (F.col("role") == "system")).alias("consult"))
 
 
-@query("SELECT t.tier, coalesce(o.enabled, d.enabled, FALSE) AS enabled, CASE WHEN t.tier IN ('m', 'x') THEN 'supplement' ELSE 'main' END AS kind FROM (VALUES ('m'), ('a'), ('w'), ('x'), ('s')) AS t(tier) LEFT JOIN (VALUES ('a', TRUE), ('w', TRUE), ('x', FALSE)) AS d(tier, enabled) USING (tier) LEFT JOIN (VALUES ('w', FALSE), ('m', TRUE)) AS o(tier, enabled) USING (tier)")
-def e26_e27_box_flags(spark, sf_dir):
-    tiers = spark.createDataFrame([(t,) for t in "mawxs"], "tier string")
-    default = spark.createDataFrame([("a", True), ("w", True), ("x", False)], "tier string, d boolean")
-    own = spark.createDataFrame([("w", False), ("m", True)], "tier string, o boolean")
-    return tiers.join(default, "tier", "left").join(own, "tier", "left").select("tier", F.coalesce("o", "d", F.lit(False)).alias("enabled"), F.when(F.col("tier").isin("m", "x"), "supplement").otherwise("main").alias("kind"))
+@query("""WITH s AS (SELECT * FROM (VALUES ('BOX_A', ' No '), ('BOX_B', '0'), ('BOX_S', 'maybe'), ('BOX_KIWIX', 'off'), ('BOX_0', 'TRUE')) AS t(setting, value)), k AS (SELECT setting, CASE WHEN lower(trim(value)) IN ('0', 'false', 'no', 'off') THEN FALSE WHEN lower(trim(value)) IN ('1', 'true', 'yes', 'on') THEN TRUE END AS flag FROM s)
+SELECT box, coalesce((SELECT flag FROM k WHERE k.setting = a.own), (SELECT flag FROM k WHERE k.setting = a.older), TRUE) AS enabled FROM (VALUES ('0', 'BOX_0', NULL), ('A', 'BOX_A', NULL), ('B', 'BOX_W', 'BOX_B'), ('S', 'BOX_S', NULL), ('K', 'BOX_KIWIX', NULL)) AS a(box, own, older)""")
+def e27_box_flags(spark, sf_dir):
+    settings = spark.createDataFrame([("BOX_A", " No "), ("BOX_B", "0"), ("BOX_S", "maybe"), ("BOX_KIWIX", "off"), ("BOX_0", "TRUE")], "setting string, value string")
+    return V.box_flags(settings)
 
 
 @query("SELECT doc_id, contains(source, 'src1') AS by_id, contains(lower(text), 'tion') AS by_example, (contains(source, 'src1') OR contains(lower(text), 'tion') OR contains(lang, 'tion')) AS found FROM documents")

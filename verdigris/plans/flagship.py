@@ -24,9 +24,9 @@ def _norm(a: str) -> str:
 _SIMS = f"""
 v AS (SELECT vec_id, embedding AS x, label, {_norm('embedding')} AS n FROM embeddings),
 q AS (SELECT vec_id AS query_id, x, n, label AS query_label FROM v WHERE vec_id % 10 = 0),
-lib AS (SELECT vec_id, x, n, label FROM v WHERE vec_id % 10 BETWEEN 1 AND 8),
+lib AS (SELECT vec_id, x, n, label FROM v),
 neg AS (SELECT vec_id, x, n, (label + 1) % 10 AS label FROM v WHERE vec_id % 10 = 9),
-sims AS (SELECT query_id, query_label, lib.vec_id, lib.label, {_COS.format(a='q.x', b='lib.x', na='q.n', nb='lib.n')} AS score FROM q, lib),
+sims AS (SELECT query_id, query_label, lib.vec_id, lib.label, {_COS.format(a='q.x', b='lib.x', na='q.n', nb='lib.n')} AS score FROM q JOIN lib ON q.query_id <> lib.vec_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sims),
 nsims AS (SELECT query_id, neg.label, max({_COS.format(a='q.x', b='neg.x', na='q.n', nb='neg.n')}) AS negative FROM q, neg GROUP BY ALL)
 """
@@ -36,24 +36,47 @@ _POOL = "pool AS (SELECT query_id, label, max(score) AS score, arg_min(vec_id, r
 def _library(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     v = table(spark, sf_dir, "embeddings")
     queries = v.filter("vec_id % 10 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), F.col("label").alias("query_label"))
-    library = v.filter("vec_id % 10 between 1 and 8").select("vec_id", "embedding", "label")
+    library = v.select("vec_id", "embedding", "label")
     negatives = v.filter("vec_id % 10 = 9").select("vec_id", "embedding", ((F.col("label") + 1) % 10).alias("label"))
     return queries, library, negatives
 
 
 def _ranked(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
     queries, library, _ = _library(spark, sf_dir)
-    return V.top_k(V.similarities(queries, library), k)
+    return V.nearest(queries, library, k)
 
 
-@query(f"""WITH {_SIMS}, {_POOL},
-margin AS (SELECT pool.*, coalesce(negative, -1) AS negative FROM pool LEFT JOIN nsims USING (query_id, label) WHERE score - coalesce(negative, -1) >= 0.05),
-banded AS (SELECT *, CASE WHEN score > 0.39 THEN 'high' WHEN score > 0.34 THEN 'medium' END AS band FROM margin),
-best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY band = 'high' DESC, score DESC, label DESC) AS r FROM banded WHERE band IS NOT NULL)
-SELECT q.query_id, coalesce(band, 'none') AS confidence, best.label AS pattern, best.score FROM q LEFT JOIN best ON q.query_id = best.query_id AND r = 1""")
+def _by_label(spark: SparkSession, sf_dir: str, negative: bool = False) -> DataFrame:
+    """The best vector of each label, or of each label's negatives, for each query."""
+    queries, library, negatives = _library(spark, sf_dir)
+    return V.best_by_label(queries, negatives if negative else library)
+
+
+#: What the pattern library knows of its patterns (labels), and its thresholds by topic and sub-topic.
+_PATTERNS = "SELECT label, label % 3 AS topic, label % 4 AS sub, label * 37 % 5 AS priority, label % 7 = 6 AS deprecated, label % 5 = 0 AS required, CASE WHEN label % 4 = 1 THEN ['t1', 't2'] WHEN label % 4 = 2 THEN ['t9'] ELSE [] END AS excluded FROM (SELECT DISTINCT label FROM embeddings)"
+_LEVELS = ((0, None, 0.40, 0.34), (1, None, 0.38, 0.30), (None, 1, 0.36, None), (None, 2, None, 0.25))
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    k = F.col("label")
+    excluded = F.when(k % 4 == 1, F.array(F.lit("t1"), F.lit("t2"))).when(k % 4 == 2, F.array(F.lit("t9"))).otherwise(F.array().cast("array<string>"))
+    found = table(spark, sf_dir, "embeddings").select(k.cast("long").alias("label")).distinct()
+    levels = spark.createDataFrame(_LEVELS, "topic long, sub long, high double, medium double")
+    return found.select("label", (k % 3).alias("topic"), (k % 4).alias("sub"), (k * 37 % 5).alias("priority"), (k % 7 == 6).alias("deprecated"), (k % 5 == 0).alias("required"), excluded.alias("excluded")), levels
+
+
+@query(f"""WITH {_SIMS}, {_POOL}, pat AS ({_PATTERNS}), lev AS (SELECT * FROM (VALUES (0, NULL, 0.40, 0.34), (1, NULL, 0.38, 0.30), (NULL, 1, 0.36, NULL), (NULL, 2, NULL, 0.25)) AS t(topic, sub, high, medium)),
+known AS (SELECT pat.*, CAST(coalesce(s.high, t.high, 0.999) AS DOUBLE) AS high, CAST(coalesce(s.medium, t.medium, 0.999) AS DOUBLE) AS medium FROM pat LEFT JOIN lev s ON s.sub = pat.sub LEFT JOIN lev t ON t.topic = pat.topic WHERE NOT deprecated),
+clear AS (SELECT pool.* FROM pool LEFT JOIN nsims USING (query_id, label) WHERE negative IS NULL OR score - negative >= 0.05),
+fit AS (SELECT clear.*, priority, high, medium FROM clear JOIN known USING (label) WHERE NOT (required AND query_id % 30 = 0) AND NOT list_has_any(excluded, CASE WHEN query_id % 20 = 0 THEN ['t2'] ELSE [] END)),
+banded AS (SELECT *, CASE WHEN score > high THEN 2 WHEN score > medium THEN 1 END AS band FROM fit),
+best AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY band DESC, CASE WHEN band = 2 THEN priority ELSE 0 END DESC, score DESC, label DESC) AS r FROM banded WHERE band IS NOT NULL)
+SELECT q.query_id, CASE band WHEN 2 THEN 'high' WHEN 1 THEN 'medium' ELSE 'none' END AS confidence, best.label AS pattern, best.score, CASE WHEN band = 1 THEN 'LOW_CONFIDENCE' END AS warning FROM q LEFT JOIN best ON q.query_id = best.query_id AND r = 1""")
 def e17_pattern_match(spark, sf_dir):
+    """One query in thirty has no session state, one in twenty has a tag that some patterns exclude."""
     queries, library, negatives = _library(spark, sf_dir)
-    return V.pattern_match(queries, library, negatives, pool=20, margin=0.05, high=0.39, medium=0.34)
+    tags = F.when(F.col("query_id") % 20 == 0, F.array(F.lit("t2"))).otherwise(F.array().cast("array<string>"))
+    return V.pattern_match(queries.withColumns({"has_state": F.col("query_id") % 30 != 0, "tags": tags}), library, negatives, *patterns(spark, sf_dir), pool=20, margin=0.05)
 
 
 @query(f"WITH {_SIMS} SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5")
@@ -78,15 +101,6 @@ def e3_clipped_search(spark, sf_dir):
     return _library(spark, sf_dir)[0].select("query_id").join(hits, "query_id", "left").groupBy("query_id").agg(F.when(F.count("vec_id") == 0, "failed").when(F.count("vec_id") < 8, "partial").otherwise("success").alias("outcome"), F.count("vec_id").alias("n"), F.max("score").alias("top"))
 
 
-@query(f"""WITH {_SIMS}, e AS (SELECT query_id, vec_id FROM ranked WHERE rank <= 10),
-a AS (SELECT query_id, vec_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS r FROM sims WHERE label % 2 = query_label % 2) WHERE r <= 10)
-SELECT e.query_id, count(a.vec_id) / CAST(count(*) AS DOUBLE) AS recall FROM e LEFT JOIN a USING (query_id, vec_id) GROUP BY 1""")
-def e5_recall_of_pruned_search(spark, sf_dir):
-    queries, library, _ = _library(spark, sf_dir)
-    sims = V.similarities(queries, library)
-    return V.recall(V.top_k(sims, 10), V.top_k(sims.filter("label % 2 = query_label % 2"), 10))
-
-
 @query(f"WITH {_SIMS} SELECT query_id, max(score) AS score, max(score) >= 0.35 AS sufficient FROM ranked WHERE rank <= 5 GROUP BY 1")
 def e6_sufficiency_score(spark, sf_dir):
     return _ranked(spark, sf_dir, 5).groupBy("query_id").agg(F.max("score").alias("score"), (F.max("score") >= 0.35).alias("sufficient"))
@@ -187,14 +201,39 @@ def e13_term_index(spark, sf_dir):
     return V.term_index(table(spark, sf_dir, "documents"), "[a-z]{9,}", 3)
 
 
-@query(f"""WITH {_SIMS}, b AS (SELECT query_id, label AS tier, max(score) AS score FROM ranked WHERE rank <= 20 AND label < 5 GROUP BY ALL),
-t AS (SELECT query_id, tier, score, CASE WHEN tier = 0 THEN FALSE WHEN tier = 1 THEN score >= 0.3 WHEN tier = 2 THEN score >= 0.25 ELSE score >= 0.2 END AS admissible FROM b),
-w AS (SELECT query_id, min(tier) FILTER (admissible) AS tier, string_agg(CAST(tier AS VARCHAR) || CASE WHEN admissible THEN ':ok' ELSE ':skip' END, ' ' ORDER BY tier) AS trace FROM t GROUP BY 1)
-SELECT q.query_id, coalesce(CAST(w.tier AS VARCHAR), 'failed') AS tier, coalesce(trace, '') AS trace FROM q LEFT JOIN w USING (query_id)""")
+_BOXED = "b AS (SELECT query_id, " + ", ".join(f"max(score) FILTER (label = {k} AND rank <= 20) AS score_{b}" for k, b in enumerate(V.BOXES)) + " FROM ranked GROUP BY 1)"
+_OKS = {"M": 0.40, "0": 0.30, "A": 0.36, "B": 0.30, "X": 0.25, "S": 0.20}
+_SELECT = f"""{_SIMS}, {_BOXED}, t AS (SELECT query_id, query_id % 20 = 0 AS fresh, query_id % 50 = 10 AS self_ref, query_id % 70 <> 20 AS allow_wiki, query_id % 40 <> 0 AS allow_search, query_id % 90 <> 30 AS on_X, query_id % 80 <> 0 AS on_S, query_id % 60 <> 50 AS on_A, {", ".join(f"score_{b}, coalesce(score_{b} >= {x}, FALSE) AS ok_{b}" for b, x in _OKS.items())} FROM b),
+u AS (SELECT *, ok_0 AND (self_ref OR score_0 >= 0.55) AS zero FROM t), w AS (SELECT *, NOT zero AND on_A AND ok_A AS own FROM u), x AS (SELECT *, NOT zero AND NOT own AS after FROM w), y AS (SELECT *, after AND allow_wiki AND ok_B AND NOT fresh AS snap, after AND allow_wiki AND ok_B AND fresh AS held FROM x), z AS (SELECT *, after AND NOT snap AS late, after AND NOT snap AND NOT fresh AND on_X AND ok_X AS curated FROM y), web AS (SELECT *, late AND NOT curated AND on_S AND fresh AND ok_S AS web FROM z),
+selected AS (SELECT *, CASE WHEN zero THEN '0' WHEN own THEN 'A' WHEN snap THEN 'B' WHEN curated THEN 'X' WHEN web THEN 'S' WHEN late AND held THEN 'B' ELSE 'failed' END AS box FROM web)"""
+
+
+def boxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each query: the best score in each box (a label of the library), what the profile allows and what is on."""
+    pool = V.max_pool(_ranked(spark, sf_dir, 20)).filter(F.col("label") < len(V.BOXES))
+    wide = pool.groupBy("query_id").agg(*(F.max(F.when(F.col("label") == k, F.col("score"))).alias(f"score_{b}") for k, b in enumerate(V.BOXES)))
+    i = F.col("query_id")
+    on = {"M": F.lit(True), "0": F.lit(True), "A": i % 60 != 50, "B": F.lit(True), "X": i % 90 != 30, "S": i % 80 != 0}
+    oks = {f"ok_{b}": F.coalesce(F.col(f"score_{b}") >= x, F.lit(False)) for b, x in _OKS.items()}
+    asked = _library(spark, sf_dir)[0].select("query_id").join(wide, "query_id", "left")
+    return asked.withColumns({"fresh": i % 20 == 0, "self_ref": i % 50 == 10, "allow_wiki": i % 70 != 20, "allow_search": i % 40 != 0, **oks, **{f"on_{b}": c for b, c in on.items()}})
+
+
+@query(f"""WITH {_SELECT} SELECT query_id, box, box <> 'failed' AS sufficient, CAST(CASE WHEN box = '0' THEN score_0 WHEN box = 'A' THEN score_A WHEN box = 'B' THEN score_B WHEN box = 'X' THEN score_X WHEN box = 'S' THEN score_S ELSE 0 END AS DOUBLE) AS score,
+concat_ws(' ', CASE WHEN score_M IS NOT NULL THEN 'M:ok' END, CASE WHEN ok_0 THEN '0:ok' ELSE '0:no' END, CASE WHEN NOT zero THEN CASE WHEN NOT on_A THEN 'A:skipped' WHEN ok_A THEN 'A:ok' ELSE 'A:no' END END, CASE WHEN after THEN CASE WHEN NOT allow_wiki THEN 'B:skipped by profile' WHEN ok_B THEN 'B:ok' ELSE 'B:no' END END, CASE WHEN late THEN 'K:skipped' END,
+CASE WHEN late THEN CASE WHEN NOT on_X THEN 'X:skipped' WHEN fresh THEN 'X:skipped, fresh' WHEN ok_X THEN 'X:ok' ELSE 'X:no' END END, CASE WHEN late AND NOT curated AND fresh AND NOT allow_search AND on_S THEN 'S:forced by freshness' END,
+CASE WHEN late AND NOT curated THEN CASE WHEN on_S AND fresh THEN CASE WHEN ok_S THEN 'S:ok' ELSE 'S:no' END WHEN NOT fresh AND NOT allow_search THEN 'S:skipped by profile' WHEN NOT on_S THEN 'S:skipped' ELSE 'S:skipped, not fresh' END END, CASE WHEN late AND NOT curated AND NOT web AND held THEN 'B:held over' END) AS trace FROM selected""")
 def e25_tiered_selection(spark, sf_dir):
-    tiers = V.max_pool(_ranked(spark, sf_dir, 20)).filter("label < 5").select("query_id", F.col("label").alias("tier"), "score")
-    admissible = F.when(F.col("tier") == 0, False).when(F.col("tier") == 1, F.col("score") >= 0.3).when(F.col("tier") == 2, F.col("score") >= 0.25).otherwise(F.col("score") >= 0.2)
-    return V.tiered(_library(spark, sf_dir)[0].select("query_id"), tiers.withColumn("admissible", admissible))
+    return V.tier_selection(boxed(spark, sf_dir))
+
+
+@query(f"""WITH {_SELECT} SELECT query_id, CASE WHEN box <> 'A' THEN 'none' WHEN query_id % 3 = 0 THEN 'not asked' WHEN NOT allow_wiki THEN 'off by profile' WHEN fresh THEN 'off, fresh' ELSE 'consulted' END AS note, CASE WHEN box = 'A' AND query_id % 3 <> 0 AND allow_wiki AND NOT fresh THEN score_B END AS extra FROM selected""")
+def e26_supplementary_lookup(spark, sf_dir):
+    """After A has decided: what B says, where the profile asks for it; it never decides."""
+    rows = boxed(spark, sf_dir)
+    said = V.tier_selection(rows).select("query_id", "box").join(rows, "query_id")
+    note = V.supplementary(said, F.col("query_id") % 3 != 0)
+    return said.select("query_id", note.alias("note"), F.when(note == "consulted", F.col("score_B")).alias("extra"))
 
 
 @query(f"""WITH v AS (SELECT vec_id, embedding AS x, label, {_norm('embedding')} AS n FROM embeddings), p AS (SELECT a.label AS label_a, b.label AS label_b, a.vec_id AS id_a, b.vec_id AS id_b, {_COS.format(a='a.x', b='b.x', na='a.n', nb='b.n')} AS score FROM v a JOIN v b ON a.label < b.label),
@@ -203,11 +242,11 @@ def j2_pattern_conflicts(spark, sf_dir):
     return V.conflicts(table(spark, sf_dir, "embeddings"), 0.4)
 
 
-@query(f"""WITH {_SIMS}, c AS (SELECT query_id, label, max(score) AS score FROM sims WHERE label <> query_label GROUP BY ALL), m AS (SELECT query_id, max(score) AS score, arg_max(label, score) AS label FROM c GROUP BY 1)
+@query(f"""WITH {_SIMS}, c AS (SELECT query_id, label, max(score) AS score FROM sims WHERE label <> query_label GROUP BY ALL), m AS (SELECT query_id, score, label FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, label DESC) AS r FROM c) WHERE r = 1)
 SELECT query_id, label, score, score >= 0.4 AS conflict FROM m""")
 def j1_candidate_conflict(spark, sf_dir):
-    queries, library, _ = _library(spark, sf_dir)
-    best = V.similarities(queries, library).filter("label != query_label").groupBy("query_id").agg(F.max(F.struct("score", "label")).alias("m"))
+    own = _library(spark, sf_dir)[0].select("query_id", "query_label")
+    best = _by_label(spark, sf_dir).join(own, "query_id").filter("label != query_label").groupBy("query_id").agg(F.max(F.struct("score", "label")).alias("m"))
     return best.select("query_id", "m.label", "m.score", (F.col("m.score") >= 0.4).alias("conflict"))
 
 
@@ -220,14 +259,12 @@ def j3_relation_threshold(spark, sf_dir):
 
 @query(f"WITH {_SIMS} SELECT query_id, max(score) AS score, max(score) < 0.4 AS novel FROM sims GROUP BY 1")
 def j4_variant_gate(spark, sf_dir):
-    queries, library, _ = _library(spark, sf_dir)
-    return V.similarities(queries, library).groupBy("query_id").agg(F.max("score").alias("score"), (F.max("score") < 0.4).alias("novel"))
+    return _ranked(spark, sf_dir, 1).select("query_id", "score", (F.col("score") < 0.4).alias("novel"))
 
 
 @query(f"""WITH {_SIMS} SELECT p.query_id, p.score < 0.42 AND n.score < 0.35 AS accepted FROM (SELECT query_id, max(score) AS score FROM sims GROUP BY 1) p JOIN (SELECT query_id, max(negative) AS score FROM nsims GROUP BY 1) n USING (query_id)""")
 def j5_two_gates(spark, sf_dir):
-    queries, library, negatives = _library(spark, sf_dir)
-    return V.two_gates(V.similarities(queries, library), V.similarities(queries, negatives), 0.42, 0.35)
+    return V.two_gates(_ranked(spark, sf_dir, 1), _by_label(spark, sf_dir, True), 0.42, 0.35)
 
 
 @query(f"""WITH {_SIMS}, {_POOL} SELECT query_id, CASE WHEN max(score) >= 0.4 THEN 'positive' ELSE 'negative' END AS label_kind, max(score) AS score FROM pool GROUP BY 1 HAVING max(score) >= 0.4 OR max(score) < 0.33""")
