@@ -74,3 +74,16 @@ def disagreements(rows: DataFrame, a: object, b: object) -> DataFrame:
     one = lambda m: F.max(F.when(F.col("model") == m, F.col("score")))
     both = good.groupBy("benchmark", "sample").agg(one(a).alias("score_a"), one(b).alias("score_b"))
     return both.filter("score_a != score_b")
+
+
+def running(rows: DataFrame, range_: str, order: list[str], of: dict[str, Column]) -> DataFrame:
+    """Running sums over all rows in the order of (range, order): sums per range, then within each.
+
+    ``range_`` must follow the order; only the table of ranges is in one task.
+    """
+    w = Window.partitionBy(range_).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    sums = rows.groupBy(range_).agg(*(F.sum(c).alias(f"__all_{k}") for k, c in of.items()))
+    before = Window.partitionBy(F.lit(1)).orderBy(range_)
+    offsets = sums.select(range_, *((F.sum(f"__all_{k}").over(before) - F.col(f"__all_{k}")).alias(f"__before_{k}") for k in of))
+    found = rows.join(offsets, range_).withColumns({k: F.sum(c).over(w) + F.col(f"__before_{k}") for k, c in of.items()})
+    return found.drop(*(f"__before_{k}" for k in of))

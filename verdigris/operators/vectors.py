@@ -344,7 +344,7 @@ def two_gates(positive: DataFrame, negative: DataFrame, p: float, n: float) -> D
 
 
 #: Rows on which the cells are fitted at most, cells, and cells that a query looks into.
-FIT_ROWS, CELLS, PROBES = 20_000, 32, 12
+FIT_ROWS, CELLS, PROBES = 20_000, 32, 20
 
 
 def fitted_cells(vectors: DataFrame, n: int = CELLS, max_rows: int = FIT_ROWS, seed: int = 3) -> np.ndarray:

@@ -214,10 +214,16 @@ def h27_distribution(spark, sf_dir):
     return c.select("lang", "n", share.alias("share"), (share > 0.40).alias("over_represented"))
 
 
-_BATCH = "b AS (SELECT doc_id // 100 AS batch, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]+'))) AS gram FROM documents), u AS (SELECT DISTINCT batch, gram FROM b), n AS (SELECT a.batch, count(*) AS grams, count(*) FILTER (p.gram IS NULL) AS fresh FROM u a LEFT JOIN u p ON p.batch = a.batch - 1 AND p.gram = a.gram GROUP BY 1), rt AS (SELECT batch, CAST(grams AS BIGINT) AS grams, fresh / CAST(grams AS DOUBLE) AS novelty FROM n)"
+def _grams_sql(n: int, keys: str) -> str:
+    """Every character n-gram of the whole texts."""
+    parts = " || ".join(f"c[CAST(k AS BIGINT) + {j}]" for j in range(n))
+    return f"SELECT {keys}, {parts} AS gram FROM (SELECT {keys}, c, unnest(range(1, len(c) - {n - 2})) AS k FROM (SELECT {keys}, string_split(text, '') AS c FROM (SELECT *, doc_id // 100 AS batch FROM documents)) WHERE len(c) >= {n})"
 
 
-@query(f"WITH {_BATCH} SELECT *, max(novelty) OVER (ORDER BY batch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) < 0.9 AS converged FROM rt")
+_BATCH = f"u AS (SELECT DISTINCT batch, gram FROM ({_grams_sql(4, 'batch')})), n AS (SELECT a.batch, count(*) AS grams, count(*) FILTER (p.gram IS NULL) AS fresh FROM u a LEFT JOIN u p ON p.batch = a.batch - 1 AND p.gram = a.gram GROUP BY 1), rt AS (SELECT batch, CAST(grams AS BIGINT) AS grams, fresh / CAST(grams AS DOUBLE) AS novelty FROM n)"
+
+
+@query(f"WITH {_BATCH} SELECT *, count(*) OVER w = 3 AND max(novelty) OVER w < 0.05 AS converged FROM rt WINDOW w AS (ORDER BY batch ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)")
 def h28_h29_novelty(spark, sf_dir):
     """Share of a batch's distinct 4-grams that the batch before lacks.
 
@@ -232,10 +238,11 @@ def h28_h29_novelty(spark, sf_dir):
     bits = F.filter(F.sequence(F.lit(1), F.lit(63)), lambda k: F.getbit("mask", k) == 1)
     held = seen.select("cell", "mask", F.explode(bits).alias("bit"))
     rates = held.groupBy((F.col("cell") * 63 + F.col("bit") - 1).alias("batch")).agg(F.count("*").alias("grams"), (F.count_if(F.getbit("mask", F.col("bit") - 1) == 0) / F.count("*").cast("double")).alias("novelty"))
-    return rates.withColumn("converged", F.max("novelty").over(Window.partitionBy(F.lit(1)).orderBy("batch").rowsBetween(-2, 0)) < 0.05)
+    last = Window.partitionBy(F.lit(1)).orderBy("batch").rowsBetween(-2, 0)
+    return rates.withColumn("converged", (F.count("*").over(last) == 3) & (F.max("novelty").over(last) < 0.05))
 
 
-@query("WITH g AS (SELECT lang, gram, count(*) AS c FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS gram FROM documents) GROUP BY ALL) SELECT lang, count(*) FILTER (c = 1) / CAST(sum(c) AS DOUBLE) AS diversity FROM g GROUP BY 1")
+@query(f"WITH g AS (SELECT lang, gram, count(*) AS c FROM ({_grams_sql(3, 'lang')}) GROUP BY ALL) SELECT lang, count(*) FILTER (c = 1) / CAST(sum(c) AS DOUBLE) AS diversity FROM g GROUP BY 1")
 def h30_gram_diversity(spark, sf_dir):
     g = table(spark, sf_dir, "documents").select("lang", F.explode(T.all_grams(F.col("text"), 3)).alias("gram")).groupBy("lang", "gram").agg(F.count("*").alias("c"))
     return g.groupBy("lang").agg((F.count_if(F.col("c") == 1) / F.sum("c").cast("double")).alias("diversity"))
@@ -271,10 +278,24 @@ def j12_j13_anti_and_left(spark, sf_dir):
 
 
 @query("SELECT 't' || lpad(CAST(row_number() OVER (ORDER BY item_id, frame) AS VARCHAR), 4, '0') AS id, item_id, frame FROM benchmark, (SELECT unnest(range(0, 5)) AS frame)")
-def j14_n20_expansion(spark, sf_dir):
-    x = table(spark, sf_dir, "benchmark").select("item_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("frame"))
-    n = F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("item_id", "frame"))
-    return x.select(F.concat(F.lit("t"), F.lpad(n.cast("string"), 4, "0")).alias("id"), "item_id", "frame")
+def j14_expansion(spark, sf_dir):
+    """Each item in five frames, numbered in order without one task for all: counts per range, then a running number."""
+    x = table(spark, sf_dir, "benchmark").select("item_id", F.expr("item_id div 1000").alias("range"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))).alias("frame"))
+    numbered = St.running(x, "range", ["item_id", "frame"], {"n": F.lit(1)})
+    return numbered.select(F.concat(F.lit("t"), F.when(F.col("n") > 9999, F.col("n").cast("string")).otherwise(F.lpad(F.col("n").cast("string"), 4, "0"))).alias("id"), "item_id", "frame")
+
+
+@query("""WITH p AS (SELECT * FROM (VALUES ('a', 0), ('b', 1), ('c', 2)) AS t(profile, k)), t AS (SELECT DISTINCT event_type AS benchmark FROM events), r AS (SELECT event_type AS benchmark, user_id % 4 AS k, count(*) AS n, count(*) FILTER (value > 150) AS errors FROM events GROUP BY ALL)
+SELECT t.benchmark, p.profile, CAST(coalesce(n, 0) AS BIGINT) AS n, CASE WHEN n IS NULL THEN 'skipped' WHEN errors * 2 > n THEN 'failed' ELSE 'done' END AS status, CAST(count(*) FILTER (n IS NOT NULL) OVER (PARTITION BY p.profile) AS BIGINT) AS ran FROM t CROSS JOIN p LEFT JOIN r ON r.benchmark = t.benchmark AND r.k = p.k""")
+def n20_suite_plan(spark, sf_dir):
+    """The plan of a suite (benchmarks by profiles), each run's record, and how many runs of a profile there were; small tables."""
+    e = table(spark, sf_dir, "events")
+    profiles = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "profile string, k long")
+    plan = e.select(F.col("event_type").alias("benchmark")).distinct().join(F.broadcast(profiles))
+    runs = e.groupBy(F.col("event_type").alias("benchmark"), (F.col("user_id") % 4).alias("k")).agg(F.count("*").alias("n"), F.count_if(F.col("value") > 150).alias("errors"))
+    status = S.first_match([(F.col("n").isNull(), "skipped"), (F.col("errors") * 2 > F.col("n"), "failed")], "done")
+    ran = F.count("n").over(Window.partitionBy("profile"))
+    return plan.join(runs, ["benchmark", "k"], "left").select("benchmark", "profile", F.coalesce("n", F.lit(0)).cast("long").alias("n"), status.alias("status"), ran.alias("ran"))
 
 
 @query("SELECT min(src) AS src, query_id FROM (SELECT 0 AS src, doc_id AS query_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1, doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 2, doc_id FROM documents WHERE doc_id % 5 = 0) GROUP BY query_id")
@@ -336,11 +357,11 @@ def n1_majority_truth(spark, sf_dir):
 
 
 @query("SELECT lang, lang || '-' || lpad(CAST(max(doc_id) + 1 AS VARCHAR), 5, '0') AS next_id FROM documents GROUP BY 1")
-def n5_n6_next_id(spark, sf_dir):
+def n5_next_id(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("lang").agg(F.concat(F.col("lang"), F.lit("-"), F.lpad((F.max("doc_id") + 1).cast("string"), 5, "0")).alias("next_id"))
 
 
-@query("SELECT doc_id, item, lang FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS item FROM documents WHERE doc_id % 10 = 0) WHERE trim(item, ' ') <> ''")
+@query("SELECT doc_id, item, lang FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS item FROM documents) WHERE trim(item, ' ') <> ''")
 def n7_negatives_as_rows(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("item"), "lang").filter(F.trim("item") != "")
 
@@ -356,9 +377,10 @@ def n8_unblinding(spark, sf_dir):
 
 @query(f"""WITH {_R}, w AS (SELECT conv_id, turn, count(*) OVER o AS n, sum(CASE WHEN correct THEN 0 ELSE 1 END) OVER o AS k FROM rec WHERE scored WINDOW o AS (ORDER BY conv_id, turn ROWS UNBOUNDED PRECEDING))
 SELECT conv_id, turn, CAST(n AS BIGINT) AS n, CAST(k AS BIGINT) AS k FROM w WHERE n >= 10 AND k / CAST(n AS DOUBLE) > 0.30 AND {_wilson('k', 'n')[0]} > 0.10 ORDER BY conv_id, turn LIMIT 1""")
-def n9_n11_early_exit(spark, sf_dir):
-    w = Window.partitionBy(F.lit(1)).orderBy("conv_id", "turn").rowsBetween(Window.unboundedPreceding, 0)
-    r = records(spark, sf_dir).filter("scored").select("conv_id", "turn", F.count("*").over(w).alias("n"), F.sum(F.when(F.col("correct"), 0).otherwise(1)).over(w).alias("k"))
+def n11_early_exit(spark, sf_dir):
+    """The first place where the running error rate is surely too high: counts per range of ids, then a running count within each."""
+    rec = records(spark, sf_dir).filter("scored").select("conv_id", "turn", F.expr("conv_id div 100").alias("range"), F.when(F.col("correct"), 0).otherwise(1).alias("bad"))
+    r = St.running(rec, "range", ["conv_id", "turn"], {"n": F.lit(1), "k": F.col("bad")}).select("conv_id", "turn", "n", "k")
     return r.filter((F.col("n") >= 10) & (F.col("k") / F.col("n") > 0.30) & (St.wilson(F.col("k"), F.col("n"))[0] > 0.10)).orderBy("conv_id", "turn").limit(1)
 
 

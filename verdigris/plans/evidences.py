@@ -1,4 +1,4 @@
-"""Evidence queries: pages stand for search results, eight of them a query."""
+"""Evidence queries: pages stand for search results, twelve of them a query."""
 
 from __future__ import annotations
 
@@ -13,8 +13,8 @@ SQL: dict = {}
 query = registrar(QUERIES, SQL)
 
 _CANON = "lower(regexp_extract(url, '^([^:/?#]+)://', 1)) || '://' || lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(url, '^[^:/?#]+://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(url, '^[^?#]*(\\?[^#]*)', 1)"
-_NORM = f"""res AS (SELECT CAST(page_id // 8 AS BIGINT) AS query_id, page_id % 8 AS rank, url, substr(html, 1, 2000) AS snippet FROM pages), can AS (SELECT *, {_CANON} AS canonical FROM res WHERE url <> '' AND snippet <> ''),
-once AS (SELECT *, row_number() OVER (PARTITION BY query_id, canonical ORDER BY rank) AS r FROM can), norm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM once WHERE r = 1) WHERE k <= 6)"""
+_NORM = f"""res AS (SELECT CAST(page_id // 12 AS BIGINT) AS query_id, page_id % 12 AS rank, url, html AS snippet FROM pages), can AS (SELECT *, {_CANON} AS canonical FROM res WHERE url <> '' AND snippet <> ''),
+once AS (SELECT *, row_number() OVER (PARTITION BY query_id, canonical ORDER BY rank) AS r FROM can), norm AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS k FROM once WHERE r = 1) WHERE k <= 8)"""
 _ITEMS = f"""{_NORM}, it AS (SELECT query_id, rank, regexp_replace(lower(regexp_extract(url, '^[^:/?#]+://([^/?#]*)', 1)), '^[w.]+', '') AS source, CASE WHEN regexp_matches(lower(snippet), '(^|[^a-z])(whed|inwh)($|[^a-z])') THEN 'current' WHEN regexp_matches(lower(snippet), '(^|[^a-z])(ouaed|thwh)($|[^a-z])') THEN 'stale' ELSE 'acceptable' END AS freshness, contains(snippet, 'with') AS conflicting FROM norm),
 items AS (SELECT *, CASE WHEN ends_with(source, '.org') THEN 'strong' WHEN starts_with(source, 'blog.') OR starts_with(source, 'm.') THEN 'weak' ELSE 'moderate' END AS provenance FROM it)"""
 _SETS = f"""{_ITEMS}, g AS (SELECT query_id, count(*) AS n, count(DISTINCT source) AS sources, count(*) FILTER (conflicting) AS conflicts, min(CASE freshness WHEN 'stale' THEN 0 WHEN 'acceptable' THEN 1 ELSE 2 END) AS f, sum(CASE provenance WHEN 'weak' THEN 0 WHEN 'moderate' THEN 1 ELSE 2 END) / CAST(count(*) AS DOUBLE) AS p FROM items GROUP BY 1),
@@ -26,17 +26,24 @@ adm AS (SELECT *, CASE WHEN freshness = 'stale' OR (strength = 'weak' AND proven
 
 
 def results(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 8).alias("query_id"), (F.col("page_id") % 8).alias("rank"), "url", F.substring("html", 1, 2000).alias("snippet"))
+    return table(spark, sf_dir, "pages").select(F.floor(F.col("page_id") / 12).alias("query_id"), (F.col("page_id") % 12).alias("rank"), "url", F.col("html").alias("snippet"))
 
 
 def items(spark, sf_dir):
-    n = E.normalised(results(spark, sf_dir), 6).withColumn("source", T.source_name(F.col("url")))
+    n = E.normalised(results(spark, sf_dir), 8).withColumn("source", T.source_name(F.col("url")))
     return n.select("query_id", "rank", "source", E.freshness(F.col("snippet"), ("whed", "inwh"), ("ouaed", "thwh")).alias("freshness"), E.provenance(F.col("source"), (".org",), ("blog.", "m.")).alias("provenance"), F.contains("snippet", F.lit("with")).alias("conflicting"))
 
 
-@query(f"WITH {_NORM} SELECT query_id, rank, canonical FROM norm")
+_STRIP = """trim(replace(replace(replace(replace(replace(regexp_replace(snippet, '<[^>]+>', '', 'g'), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), ' ')"""
+
+
+@query(f"""WITH {_NORM}, s AS (SELECT *, {_STRIP} AS t FROM norm), d AS (SELECT query_id, rank, canonical, CASE WHEN length(t) <= 400 THEN t ELSE (CASE WHEN position(' ' IN substr(t, 1, 400)) > 1 THEN substr(substr(t, 1, 400), 1, length(substr(t, 1, 400)) - position(' ' IN reverse(substr(t, 1, 400)))) ELSE substr(t, 1, 400) END) || '…' END AS snippet FROM s)
+SELECT a.query_id, rank, canonical, substr(sha256(snippet), 1, 12) AS digest, rank IS NOT NULL AS success FROM (SELECT DISTINCT query_id FROM res) a LEFT JOIN d USING (query_id)""")
 def g1_normalise_results(spark, sf_dir):
-    return E.normalised(results(spark, sf_dir), 6).select("query_id", "rank", "canonical")
+    """At most eight results of a query, tags stripped and cut to a snippet; a query without any has success false."""
+    r = results(spark, sf_dir)
+    n = E.normalised(r, 8).select("query_id", "rank", "canonical", T.fingerprint(T.snippet(T.unescaped(F.col("snippet"))), 12).alias("digest"))
+    return r.select("query_id").distinct().join(n, "query_id", "left").withColumn("success", F.col("rank").isNotNull())
 
 
 @query(f"WITH {_ITEMS} SELECT query_id, rank, source, freshness, provenance FROM items")
@@ -64,7 +71,7 @@ def g10_g11_second_adjudicator(spark, sf_dir):
     return a.select("query_id", gate.alias("admissibility"), F.least(F.lit(1.0), 0.2 + F.col("tvs")).alias("volatility"))
 
 
-@query("""WITH c AS (SELECT conv_id AS query_id, turn AS rank, list_distinct(regexp_extract_all(text, '[0-9]+')) AS nums, list_distinct(string_split(lower(text), ' ')) AS words FROM conversations WHERE turn < 6),
+@query("""WITH c AS (SELECT conv_id AS query_id, turn AS rank, list_distinct(regexp_extract_all(text, '[0-9]+')) AS nums, list_distinct(string_split(lower(text), ' ')) AS words FROM conversations),
 nr AS (SELECT a.query_id, count(*) FILTER (len(list_intersect(a.nums, b.nums)) > 0) / CAST(count(*) AS DOUBLE) AS rate FROM c a JOIN c b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(a.nums) > 0 AND len(b.nums) > 0 GROUP BY 1),
 f AS (SELECT query_id, list(words ORDER BY rank) AS w, max(len(words)) AS longest FROM c GROUP BY 1), s AS (SELECT f.*, rate, len(list_intersect(w[1], w[2])) / CAST(least(len(w[1]), len(w[2])) AS DOUBLE) AS share FROM f LEFT JOIN nr USING (query_id))
 SELECT query_id, CASE WHEN longest <= 2 THEN 'mixed' WHEN rate >= 0.7 THEN 'high' WHEN rate >= 0.3 THEN 'mixed' WHEN rate IS NOT NULL THEN 'low' WHEN len(w) < 2 THEN 'mixed' WHEN share >= 0.5 THEN 'high' WHEN share >= 0.2 THEN 'mixed' ELSE 'low' END AS agreement FROM s""")

@@ -122,8 +122,9 @@ def f11_e28_last_fact_wins(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.count("*").alias("corrections"))
 
 
-@query("""WITH g AS (SELECT source, doc_id, text, list_distinct(list_transform(range(1, greatest(length(substr(text, 1, 200)) - 1, 2)), lambda k: substr(substr(text, 1, 200), k, 3))) AS g FROM documents), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM g),
-m AS (SELECT a.doc_id, max(len(list_intersect(a.g, b.g)) / CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE)) AS j FROM o a LEFT JOIN o b ON a.source = b.source AND b.r BETWEEN a.r - 10 AND a.r - 1 GROUP BY 1) SELECT doc_id, coalesce(j > 0.85, FALSE) AS rejected FROM m""")
+@query("""WITH c AS (SELECT source, doc_id, text, string_split(text, '') AS c FROM documents), g AS (SELECT source, doc_id, text, CASE WHEN len(c) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(c) - 1), lambda k: c[k] || c[k + 1] || c[k + 2])) END AS g FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM g),
+m AS (SELECT a.doc_id, max(len(list_intersect(a.g, b.g)) / nullif(CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE), 0)) AS j FROM o a LEFT JOIN o b ON a.source = b.source AND b.r BETWEEN a.r - 10 AND a.r - 1 AND least(len(a.g), len(b.g)) > 0.85 * greatest(len(a.g), len(b.g)) GROUP BY 1)
+SELECT doc_id, coalesce(j > 0.85, FALSE) OR length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) <= 2 OR starts_with(text, '[ERROR') OR starts_with(text, 'Sure,') OR starts_with(text, 'Of course') AS rejected FROM m JOIN o USING (doc_id)""")
 def j6_lint_against_recent(spark, sf_dir):
     """Too short, boilerplate, or 3-gram Jaccard over 0.85 with one of the ten before, of whole texts.
 
