@@ -244,3 +244,69 @@ def judged_answer(answer: Column, governed: Column, admissibility: Column, known
     ], "answered")
     of_raw = first_match([(hinted | (vote == "correct"), "correct"), (hedged, "hedged"), (vote == "incorrect", "incorrect")], "unknown")
     return first_match([(some(abstains), "abstained"), (governed, of_governed)], of_raw)
+
+
+def incident_reasons(expected: Column, actual: Column, critical: Column, failed: Column, phi: Column, phi_before: Column) -> Column:
+    """Why a turn is an incident, in order; none for most."""
+    high = phi > 0.9
+    return codes([(expected != actual, "route"), (critical, "clamp"), (failed, "exception"), (high & actual.isin("ask", "abstain"), "phi"), (high & F.coalesce(phi_before > 0.9, F.lit(False)), "sustained")])
+
+
+def divergence_bucket(hard: Column, referential: Column, instruction: Column, score: Column) -> Column:
+    """Why a diverging route is put down to one cause, by the first test that holds."""
+    return first_match([(hard, "A-hard"), (referential, "A-context"), (instruction, "A-judge"), (score.isNull(), "A-route"), (score >= 0.85, "A-retrieval")], "A-route")
+
+
+def keyword_hit(text: Column, keywords: Column, share: float = 0.3) -> Column:
+    """Whether more than a share of the keywords of three letters or more stand in the lower-cased text."""
+    words = F.filter(F.transform(F.split(F.lower(keywords), r"[, \n\t]+"), lambda w: F.trim(w)), lambda w: F.length(w) > 2)
+    return F.coalesce(F.size(F.filter(words, lambda w: F.contains(text, w))) / F.nullif(F.size(words), F.lit(0)) > share, F.lit(False))
+
+
+def behaviour(kind: Column, response: Column, answer: Column, error: Column, hedges: tuple[str, ...], asking: tuple[str, ...]) -> Column:
+    """The behaviour of a reply by the rules of its subtype."""
+    r, n = F.lower(response), F.length(response)
+    found = lambda words: sum((F.contains(r, F.lit(w)).cast("int") for w in words), F.lit(0))
+    h, right, wrong = found(hedges), keyword_hit(r, answer), keyword_hit(r, error)
+    verbose = (n > 500, "CORRECT_VERBOSE")
+    direct = first_match([(~right, "INCORRECT"), (h >= 2, "OVER_HEDGED"), verbose], "CORRECT_DIRECT")
+    rules = {
+        "near_miss": first_match([(right & (h > 0), "CORRECT_HEDGE"), (right, "CORRECT_ASSERT"), (wrong & (h == 0), "INCORRECT_ASSERT"), (wrong, "INCORRECT_HEDGE"), (h > 0, "CORRECT_HEDGE")], "INCORRECT_ASSERT"),
+        "scope_creep": first_match([(right & (n < 200), "CORRECT_ASSERT"), (right, "CORRECT_VERBOSE")], "INCORRECT_ASSERT"),
+        "false_confidence": F.when(h > 0, "CORRECT_HEDGE").otherwise("INCORRECT_ASSERT"), "easy_factual": direct,
+        "clear_instruction": F.when(F.contains(response, F.lit("?")) & (found(asking) > 0), "ASKED_UNNECESSARILY").otherwise(direct),
+    }
+    return first_match([(kind == k, v) for k, v in rules.items()], first_match([(F.length(F.trim(response)) < 3, "ABSTAINED_UNNECESSARILY"), verbose], "CORRECT_DIRECT"))
+
+
+def assertion_holds(kind: Column, value: Column) -> Column:
+    """Whether a turn (route, domain, text, language, reason, sources, tvs, boxed, failed) meets an assertion; lists are split at bars."""
+    c, listed = F.col, F.split(value, r"\|")
+    inside = lambda v: F.contains(c("text"), v)
+    number, yes = value.try_cast("double"), value == "true"
+    rules = {
+        "route": c("route") == value, "route_in": F.array_contains(listed, c("route")), "route_not": ~F.array_contains(listed, c("route")), "intent": c("domain") == value, "intent_in": F.array_contains(listed, c("domain")),
+        "contains_any": F.exists(listed, inside), "contains_all": F.forall(listed, inside), "contains_none": ~F.exists(listed, inside), "length_min": F.length("text") >= number, "length_max": F.length("text") <= number,
+        "language": c("language") == value, "codes_include": c("reason") == value, "codes_exclude": c("reason") != value, "sources_min": c("sources") >= number, "tvs_min": c("tvs") >= number, "tvs_max": c("tvs") <= number,
+        "self_reference": (c("reason") == "SELF_REFERENTIAL") == yes, "box_consulted": c("boxed") == yes, "no_error": ~c("failed"),
+    }
+    return first_match([(kind == k, v) for k, v in rules.items()], True)
+
+
+def chunk_error(required: tuple[str, ...], languages: tuple[str, ...]) -> Column:
+    """The first rule that a chunk breaks, null for a valid one."""
+    missing = [(F.coalesce(F.col(f), F.lit("")) == "", F.lit(f"missing field: {f}")) for f in required]
+    return first_match([*missing, (F.trim("query") == "", F.lit("query empty")), (~F.col("language").isin(*languages), F.concat(F.lit("unsupported language: "), "language"))], F.lit(None).cast("string"))
+
+
+def presentation_status(opt_out: Column, pending: Column, well_formed: Column, outcome: Column, restored: Column) -> Column:
+    """What is shown of a pending candidate; the user's choice goes first."""
+    rules = [(opt_out, "blocked"), (~pending, "none"), (~well_formed, "malformed"), (outcome == "promoted", "promoted"), (outcome == "blocked", "blocked"), ((outcome == "promotable") & restored, "pending_restored"), (outcome == "promotable", "pending_ready")]
+    return first_match(rules, "pending_low")
+
+
+def post_processed(route_: Column, text: Column, generic: Column, thin: Column, failed: Column, clarify: Column, fallback: Column) -> tuple[Column, Column]:
+    """(text, notes): what a reply becomes; clarify and fallback are texts that models gave, null where they gave none."""
+    asks = ~failed & (route_ == "ask") & generic & clarify.isNotNull()
+    checks = ~failed & (route_ == "verify") & thin & fallback.isNotNull()
+    return first_match([(checks, fallback), (asks, clarify)], text), codes([(asks, "clarify_rewritten"), (checks, "verify_fallback")])

@@ -174,7 +174,7 @@ def key_tokens(text: Column, stop=vocab.STOP_WORDS) -> Column:
 def numbers_as_digits(text: Column, words=vocab.NUMBER_WORDS) -> Column:
     out = F.lower(text)
     for k, w in enumerate(words, 1):
-        out = F.regexp_replace(out, rf"\b{w}\b", str(k))
+        out = F.regexp_replace(out, rf"(?<![\p{{L}}\p{{N}}_]){w}(?![\p{{L}}\p{{N}}_])", str(k))
     return out
 
 
@@ -355,19 +355,24 @@ def term_hits(text: Column, terms: Column) -> Column:
     return F.filter(terms, lambda t: F.contains(F.lower(text), F.lower(t)))
 
 
-def seed_hits(docs: DataFrame, seeds: DataFrame) -> DataFrame:
-    """(doc_id, item_id) of the seeds, of five words or more, that a text contains.
+def window_hits(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
+    """Distinct (doc_id, item_id) where n words in a row of an item, lower-cased, stand in a document.
 
-    The second to fourth word of a seed stand between spaces, so they are whole tokens of
-    any text that contains it: an equi-join on them finds the candidates.
+    An item of fewer words counts where all of it stands. Windows of both sides meet on 128
+    bits of hashes, an equi-join; only for short items are texts searched one by one.
     """
-    key = lambda a, b, c: F.xxhash64(a, b, c)
-    w = F.split("seed", " ")
-    anchored = seeds.select("item_id", "seed", key(F.get(w, 1), F.get(w, 2), F.get(w, 3)).alias("key"))
-    words = docs.select("doc_id", "text", F.split("text", " ").alias("w"))
-    rolled = words.select("doc_id", F.explode(F.array_distinct(F.transform("w", lambda x, k: key(x, F.get("w", k + 1), F.get("w", k + 2))))).alias("key"))
-    candidates = rolled.join(anchored, "key").select("doc_id", "item_id", "seed")
-    return candidates.join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", "seed")).select("doc_id", "item_id").distinct()
+    words = lambda df, key: df.select(key, F.split(F.lower("text"), r"\s+").alias("w"))
+    at = lambda k: [F.get("w", k + j) for j in range(n)]
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda k: F.struct(F.xxhash64(*at(k)).alias("a"), F.xxhash64(F.lit(1), *at(k)).alias("b")))
+
+    def rolled(df: DataFrame, key: str) -> DataFrame:
+        return words(df, key).filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(windows)).alias("g")).select(key, "g.a", "g.b")
+
+    long = rolled(docs, "doc_id").join(rolled(items, "item_id"), ["a", "b"]).select("doc_id", "item_id")
+    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
+    short = words(items, "item_id").filter(F.size("w") < n).select("item_id", padded("w").alias("term"))
+    found = words(docs, "doc_id").select("doc_id", padded("w").alias("t")).join(short, F.contains("t", "term")).select("doc_id", "item_id")
+    return long.union(found).distinct()
 
 
 def reply_language(text: Column) -> Column:

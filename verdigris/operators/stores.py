@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.functions.scoring import first_match
@@ -36,3 +36,27 @@ def proposed(store: DataFrame, proposals: DataFrame, key: str, least: int = 10)
 def migrated(rows: DataFrame, mapping: DataFrame, source: str) -> DataFrame:
     """Map an intent to its sub-topic; unmapped ones get ''."""
     return rows.join(F.broadcast(mapping), source, "left").withColumn("sub_topic", F.coalesce("sub_topic", F.lit("")))
+
+
+def verified(facts: DataFrame, most_tvs: float = 0.3) -> DataFrame:
+    """Facts that are stable enough to store; of equal claims of a session the last replaces the others."""
+    stable = facts.filter(F.col("tvs") < most_tvs)
+    return stable.groupBy("session", "claim").agg(F.max_by("value", "seq").alias("value"), F.count("*").alias("times"))
+
+
+def names_fact(query: Column, claim: Column, longer_than: int = 3) -> Column:
+    """Whether a longer word of a claim stands in the query."""
+    return F.exists(F.split(F.lower(claim), " "), lambda w: (F.length(w) > longer_than) & F.contains(F.lower(query), w))
+
+
+def correction_log(corrections: DataFrame, lists: tuple[str, ...] = ("facts", "assumptions", "open_questions", "constraints")) -> DataFrame:
+    """Corrections (session, turn, field, new_value) in order with the value that a summary had before; unknown fields are refused."""
+    known = corrections.filter(F.col("field").isin("summary", *lists))
+    before = F.lag("new_value").over(Window.partitionBy("session", "field").orderBy("turn"))
+    return known.withColumn("old_value", F.when(F.col("field") == "summary", before)).select("session", "turn", "field", "old_value", "new_value")
+
+
+def promoted(evaluated: DataFrame) -> DataFrame:
+    """A record of each evaluation (doc_id, outcome, entry_id, quality), and an entry of each that is promoted."""
+    record = evaluated.select("doc_id", F.lit("record").alias("kind"), "outcome", F.lit(None).cast("string").alias("entry_id"), "quality")
+    return record.unionByName(evaluated.filter("outcome = 'promoted'").select("doc_id", F.lit("entry").alias("kind"), "outcome", "entry_id", "quality"))

@@ -131,7 +131,7 @@ def _wilson(k, n):
 
 
 @query(f"WITH {_R}, f AS (SELECT family, count(*) AS n, count(*) FILTER (correct) AS k FROM rec WHERE scored GROUP BY 1) SELECT family, CAST(k AS BIGINT) AS k, CAST(n AS BIGINT) AS n, {_wilson('k', 'n')[0]} AS low, {_wilson('k', 'n')[1]} AS high, CASE WHEN k / CAST(n AS DOUBLE) >= 0.65 THEN 'A' WHEN k / CAST(n AS DOUBLE) >= 0.40 THEN 'B' ELSE 'C' END AS tier FROM f")
-def h11_h12_h38_wilson(spark, sf_dir):
+def h12_h38_wilson(spark, sf_dir):
     f = records(spark, sf_dir).filter("scored").groupBy("family").agg(F.count_if("correct").alias("k"), F.count("*").alias("n"))
     low, high = St.wilson(F.col("k"), F.col("n"))
     return f.select("family", "k", "n", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"), S.first_match([(F.col("k") / F.col("n") >= 0.65, "A"), (F.col("k") / F.col("n") >= 0.40, "B")], "C").alias("tier"))
@@ -165,11 +165,6 @@ def hits(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("pattern")).agg(F.count_if(F.col("event_type") == "click").alias("hits"), F.min("ts").alias("created"), F.max("ts").alias("last"))
 
 
-@query(f"WITH {_HITS} SELECT CAST(count(*) AS BIGINT) AS n, quantile_cont(hits, 0.5)::DOUBLE AS p50, quantile_cont(hits, 0.75)::DOUBLE AS p75, quantile_cont(hits, 0.95)::DOUBLE AS p95, CAST(count(*) FILTER (hits <= 2) AS BIGINT) AS candidates FROM h")
-def h17_library_audit(spark, sf_dir):
-    return hits(spark, sf_dir).agg(F.count("*").alias("n"), *(F.percentile("hits", q).alias(f"p{round(100 * q)}") for q in (0.5, 0.75, 0.95)), F.count_if(F.col("hits") <= 2).alias("candidates"))
-
-
 @query(f"WITH {_HITS}, b AS (SELECT * FROM (VALUES ('0'), ('1-9'), ('10-99'), ('100-999'), ('1000+')) AS t(bucket)) SELECT bucket, CAST(count(h.pattern) AS BIGINT) AS n FROM b LEFT JOIN h ON bucket = CASE WHEN hits = 0 THEN '0' WHEN hits < 10 THEN '1-9' WHEN hits < 100 THEN '10-99' WHEN hits < 1000 THEN '100-999' ELSE '1000+' END GROUP BY 1")
 def h18_hit_histogram(spark, sf_dir):
     buckets = spark.createDataFrame([(b,) for b in ("0", "1-9", "10-99", "100-999", "1000+")], "bucket string")
@@ -184,11 +179,6 @@ def h19_cumulative_growth(spark, sf_dir):
     return d.select(F.col("day").cast("string").alias("day"), F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("day")).alias("total"))
 
 
-@query("SELECT source, lang, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST(count(*) FILTER (n_chars < 100) AS BIGINT) AS short FROM documents GROUP BY ALL")
-def h22_h24_store_stats(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"), F.count_if(F.col("n_chars") < 100).alias("short"))
-
-
 @query(f"WITH {_HITS}, o AS (SELECT hits, row_number() OVER (ORDER BY hits, pattern) - 1 AS k, count(*) OVER () AS n FROM h), t AS (SELECT greatest(max(hits) FILTER (k = n // 2), 1) AS threshold FROM o) SELECT h.pattern, CASE WHEN hits = 0 THEN 'cold' WHEN hits >= threshold THEN 'hot' ELSE 'warm' END AS kind FROM h, t")
 def h23_hot_cold(spark, sf_dir):
     h = hits(spark, sf_dir)
@@ -199,14 +189,6 @@ def h23_hot_cold(spark, sf_dir):
     return h.join(F.broadcast(t)).select("pattern", S.first_match([(F.col("hits") == 0, "cold"), (F.col("hits") >= F.col("threshold"), "hot")], "warm").alias("kind"))
 
 
-@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r FROM c)
-SELECT user_id, CAST(sum(n) AS BIGINT) AS turns, string_agg(event_type, ',' ORDER BY r) FILTER (r <= 3) AS top FROM r GROUP BY 1""")
-def h25_h26_session_summary(spark, sf_dir):
-    c = table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    g = c.groupBy("user_id").agg(F.sum("n").alias("turns"), F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "event_type"))).alias("all"))
-    return g.select("user_id", "turns", F.array_join(F.transform(F.slice("all", 1, 3), lambda x: x["event_type"]), ",").alias("top"))
-
-
 @query("SELECT lang, CAST(count(*) AS BIGINT) AS n, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) AS share, count(*) / CAST(sum(count(*)) OVER () AS DOUBLE) > 0.40 AS over_represented FROM documents GROUP BY 1")
 def h27_distribution(spark, sf_dir):
     c = table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
@@ -248,12 +230,6 @@ def h30_gram_diversity(spark, sf_dir):
     return g.groupBy("lang").agg((F.count_if(F.col("c") == 1) / F.sum("c").cast("double")).alias("diversity"))
 
 
-@query("WITH d AS (SELECT CAST(ts AS DATE) AS day, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT event_type, round(avg(n), 6) AS mean, round(coalesce(stddev_samp(n), 0), 6) AS sd, CAST(min(n) AS BIGINT) AS low, CAST(max(n) AS BIGINT) AS high, CAST(max(n) - min(n) AS BIGINT) AS span FROM d GROUP BY 1")
-def h31_run_stability(spark, sf_dir):
-    d = table(spark, sf_dir, "events").groupBy(F.to_date("ts").alias("day"), "event_type").agg(F.count("*").alias("n"))
-    return d.groupBy("event_type").agg(F.round(F.avg("n"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("n"), F.lit(0.0)), 6).alias("sd"), F.min("n").alias("low"), F.max("n").alias("high"), (F.max("n") - F.min("n")).alias("span"))
-
-
 @query("WITH r AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents) SELECT source, doc_id, CAST(r AS INTEGER) AS r FROM r WHERE r <= 12")
 def h37_newest_by_group(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("source", "doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("doc_id"))).alias("r")).filter("r <= 12")
@@ -298,13 +274,6 @@ def n20_suite_plan(spark, sf_dir):
     return plan.join(runs, ["benchmark", "k"], "left").select("benchmark", "profile", F.coalesce("n", F.lit(0)).cast("long").alias("n"), status.alias("status"), ran.alias("ran"))
 
 
-@query("SELECT min(src) AS src, query_id FROM (SELECT 0 AS src, doc_id AS query_id FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 1, doc_id FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT 2, doc_id FROM documents WHERE doc_id % 5 = 0) GROUP BY query_id")
-def j15_first_file_wins(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    parts = [d.filter(F.col("doc_id") % m == 0).select(F.lit(k).alias("src"), F.col("doc_id").alias("query_id")) for k, m in enumerate((2, 3, 5))]
-    return parts[0].union(parts[1]).union(parts[2]).groupBy("query_id").agg(F.min("src").alias("src"))
-
-
 _K1 = "WITH d AS (SELECT quality, CAST(n_chars AS DOUBLE) AS x FROM labels JOIN documents USING (doc_id)), q AS (SELECT quantile_cont(x, 0.10) FILTER (quality = 1) AS tp, quantile_cont(x, 0.90) FILTER (quality = 0) AS fp FROM d), t AS (SELECT tp, fp, tp > fp AS separated, CASE WHEN tp > fp THEN (tp + fp) / 2 ELSE CAST(0.95 AS DOUBLE) * tp END AS threshold FROM q)"
 
 
@@ -342,12 +311,6 @@ def k5_stratified(spark, sf_dir):
     return St.stratified(table(spark, sf_dir, "documents").select("source", "doc_id"), "doc_id", "source", "k5", 47).select("source", "doc_id")
 
 
-@query("WITH m AS (SELECT doc_id % 40 AS query_id, min(doc_id) FILTER (lang = 'de') AS de, min(doc_id) AS first FROM documents GROUP BY 1) SELECT query_id, CASE WHEN de IS NULL THEN 'missing' WHEN de = first THEN 'top' WHEN de < 200 THEN 'near' ELSE 'deep' END AS category FROM m")
-def k6_hard_cases(spark, sf_dir):
-    m = table(spark, sf_dir, "documents").groupBy((F.col("doc_id") % 40).alias("query_id")).agg(F.min(F.when(F.col("lang") == "de", F.col("doc_id"))).alias("de"), F.min("doc_id").alias("first"))
-    return m.select("query_id", S.first_match([(F.col("de").isNull(), "missing"), (F.col("de") == F.col("first"), "top"), (F.col("de") < 200, "near")], "deep").alias("category"))
-
-
 @query("SELECT doc_id, CASE WHEN v = 0 THEN 'unknown' WHEN y * 2 > v THEN 'yes' WHEN y * 2 < v THEN 'no' ELSE 'unknown' END AS truth FROM (SELECT doc_id, (doc_id % 2) + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT AS y, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 3 END AS v FROM documents)")
 def n1_majority_truth(spark, sf_dir):
     d = F.col("doc_id")
@@ -384,34 +347,12 @@ def n11_early_exit(spark, sf_dir):
     return r.filter((F.col("n") >= 10) & (F.col("k") / F.col("n") > 0.30) & (St.wilson(F.col("k"), F.col("n"))[0] > 0.10)).orderBy("conv_id", "turn").limit(1)
 
 
-@query(f"WITH {_R} SELECT conv_id, arg_max(classified, turn) AS final_route, {_d('count(*) FILTER (correct)', 'count(*)')} AS resolution, CASE WHEN {_d('count(*) FILTER (correct)', 'count(*)')} >= 0.8 THEN 'natural' WHEN {_d('count(*) FILTER (correct)', 'count(*)')} >= 0.5 THEN 'mixed' ELSE 'stiff' END AS verdict FROM rec GROUP BY 1")
-def n12_dialogue_metrics(spark, sf_dir):
-    g = records(spark, sf_dir).groupBy("conv_id").agg(F.max_by("classified", "turn").alias("final_route"), St.rate(F.count_if("correct"), F.count("*")).alias("resolution"))
-    return g.withColumn("verdict", S.first_match([(F.col("resolution") >= 0.8, "natural"), (F.col("resolution") >= 0.5, "mixed")], "stiff"))
-
-
 @query("SELECT conv_id, turn, role FROM conversations WHERE role NOT IN ('user', 'assistant')")
 def n13_containment(spark, sf_dir):
     allowed = spark.createDataFrame([("user",), ("assistant",)], "role string")
     return table(spark, sf_dir, "conversations").join(F.broadcast(allowed), "role", "left_anti").select("conv_id", "turn", "role")
 
 
-@query("SELECT conv_id, substr(sha256(coalesce(string_agg(text, chr(10) ORDER BY turn) FILTER (turn < last), '')), 1, 16) AS digest FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY 1")
-def n14_append_only(spark, sf_dir):
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return g.select("conv_id", T.fingerprint(F.array_join(F.transform(F.slice("t", 1, F.size("t") - 1), lambda x: x["text"]), "\n"), 16).alias("digest"))
-
-
-@query("SELECT conv_id, turn, CASE WHEN length(text) < 30 AND role = 'assistant' THEN 'clarified' WHEN turn > 5 THEN 'fallback' ELSE 'untouched' END AS status FROM conversations")
-def n16_n19_presentation(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", S.first_match([((F.length("text") < 30) & (F.col("role") == "assistant"), "clarified"), (F.col("turn") > 5, "fallback")], "untouched").alias("status"))
-
-
 @query("SELECT conv_id, CAST(count(*) FILTER (length(text) % 2 = 0) AS BIGINT) AS passes, count(*) FILTER (length(text) % 2 = 0) >= 2 AS gate FROM conversations GROUP BY 1")
 def n21_stochastic_gate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.length("text") % 2 == 0).alias("passes"), (F.count_if(F.length("text") % 2 == 0) >= 2).alias("gate"))
-
-
-@query("SELECT event_id, coalesce(CAST(json_extract_string(props, '$.k') AS INTEGER), -1) AS k FROM events")
-def n22_sanitised_import(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", F.coalesce(F.from_json("props", "k int")["k"], F.lit(-1)).alias("k"))

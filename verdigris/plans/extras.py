@@ -66,12 +66,3 @@ def d36_cold_start_constraints(spark, sf_dir):
     return r.select("conv_id", "turn", F.array_join(S.codes([(F.col("n") < 3, "cold_start"), ((F.col("route") == "ask") & (F.col("n") < 5), "few_questions"), (F.col("turn") == 0, "no_carryover")]), ",").alias("constraints"))
 
 
-_DIGITS = "lower(text)"
-for _k, _w in enumerate(vocab.NUMBER_WORDS, 1):
-    _DIGITS = f"regexp_replace({_DIGITS}, '\\b{_w}\\b', '{_k}', 'g')"
-
-
-@query(f"SELECT item_id, substr(sha256({_DIGITS.replace('lower(text)', 'lower(one)')}), 1, 12) AS digest FROM (SELECT item_id, 'One of ten: ' || CAST(item_id AS VARCHAR) || ' two, twelve' AS one FROM benchmark)")
-def c11_c20_numbers_and_reply_language(spark, sf_dir):
-    one = F.concat(F.lit("One of ten: "), F.col("item_id").cast("string"), F.lit(" two, twelve"))
-    return table(spark, sf_dir, "benchmark").select("item_id", T.fingerprint(T.numbers_as_digits(one), 12).alias("digest"))

@@ -17,7 +17,7 @@ query = registrar(QUERIES, SQL)
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_id % 5 <> 0 AND event_id % 7 <> 0")
-def a1_a2_tolerant_jsonl(spark, sf_dir):
+def a1_tolerant_jsonl(spark, sf_dir):
     path = scratch(spark, "jsonl")
     e = table(spark, sf_dir, "events")
     good = F.to_json(F.struct("event_id", "event_type"))
@@ -69,26 +69,12 @@ def a10_dense_ids(spark, sf_dir):
 
 
 @query("SELECT doc_id, source AS title, lang AS kind, length(text) AS n FROM documents")
-def a12_a13_frontmatter(spark, sf_dir):
+def a13_frontmatter(spark, sf_dir):
     raw = F.concat(F.lit("---\ntitle: "), "source", F.lit("\nkind: "), "lang", F.lit("\n---\n"), "text")
     head, body = files.frontmatter(raw)
     return table(spark, sf_dir, "documents").select("doc_id", head["title"].alias("title"), head["kind"].alias("kind"), F.length(body).cast("long").alias("n"))
 
 
-@query("SELECT label, CAST(count(*) AS BIGINT) AS n FROM embeddings WHERE label NOT IN (3, 7) GROUP BY 1")
-def a14_a24_active_library(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").filter(~F.col("label").isin(3, 7)).groupBy("label").agg(F.count("*").alias("n"))
-
-
-@query("SELECT event_type, CAST(count(*) AS BIGINT) AS n FROM events WHERE CAST(ts AS DATE) >= (SELECT CAST(max(ts) AS DATE) - 10 FROM events) GROUP BY 1")
-def a16_a17_partitioned_log(spark, sf_dir):
-    path = scratch(spark, "log")
-    e = table(spark, sf_dir, "events")
-    files.partitioned(e, path)
-    now = e.agg(F.max(F.to_date("ts")).cast("string")).first()[0]
-    return files.retained(spark, path, now, 10).groupBy("event_type").agg(F.count("*").alias("n"))
-
-
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'click' ORDER BY ts DESC, event_id DESC LIMIT 20")
 def a18_latest_traces(spark, sf_dir):
     path = scratch(spark, "traces")

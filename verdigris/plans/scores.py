@@ -250,34 +250,7 @@ def d43_failure_modes(spark, sf_dir):
 
 @query(f"""WITH {_CLASSIFIED}, d AS (SELECT conv_id, turn, CASE WHEN allowed[1] = classified THEN 'match' WHEN classified = 'answer' THEN 'A' WHEN allowed[1] = 'answer' THEN 'B' WHEN allowed[1] IN ('verify', 'ask') AND classified IN ('verify', 'ask') THEN 'C' ELSE 'other' END AS divergence FROM results)
 SELECT *, CASE WHEN divergence = 'A' AND turn % 2 = 1 THEN 'A-hard' WHEN divergence = 'A' THEN 'context' WHEN divergence = 'other' THEN 'route' ELSE 'none' END AS bucket FROM d""")
-def d44_d45_n10_divergence(spark, sf_dir):
+def d44_n10_divergence(spark, sf_dir):
     d = results(spark, sf_dir).select("conv_id", "turn", S.divergence(F.get("allowed", 0), F.col("classified")).alias("divergence"))
     bucket = S.first_match([((F.col("divergence") == "A") & (F.col("turn") % 2 == 1), "A-hard"), (F.col("divergence") == "A", "context"), (F.col("divergence") == "other", "route")], "none")
     return d.withColumn("bucket", bucket)
-
-
-@query(f"""WITH {_CLASSIFIED}, b AS (SELECT conv_id, turn, len(list_intersect(list_distinct(string_split(lower(answer), ' ')), list_distinct(string_split(lower(prompt), ' ')))) / CAST(len(list_distinct(string_split(lower(prompt), ' '))) AS DOUBLE) AS ratio, date_bound FROM results)
-SELECT conv_id, turn, CASE WHEN date_bound AND ratio > 0.1 THEN 'hedged_relevant' WHEN date_bound THEN 'hedged' WHEN ratio > 0.1 THEN 'asserted' ELSE 'off_topic' END AS behaviour FROM b""")
-def d46_d47_behaviour(spark, sf_dir):
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    ratio = F.size(F.array_intersect(words("answer"), words("prompt"))) / F.size(words("prompt"))
-    r = results(spark, sf_dir).withColumn("ratio", ratio)
-    hedged, near = F.col("date_bound"), F.col("ratio") > 0.1
-    return r.select("conv_id", "turn", S.first_match([(hedged & near, "hedged_relevant"), (hedged, "hedged"), (near, "asserted")], "off_topic").alias("behaviour"))
-
-
-@query("""WITH a AS (SELECT * FROM (VALUES ('role', 'user'), ('min', '30'), ('contains', 'the')) AS t(kind, value)) SELECT conv_id, turn, kind FROM conversations, a WHERE NOT CASE kind WHEN 'role' THEN role = value WHEN 'min' THEN length(text) >= 30 ELSE contains(lower(text), value) END""")
-def d48_scenario_assertions(spark, sf_dir):
-    asserts = spark.createDataFrame([("role", "user"), ("min", "30"), ("contains", "the")], "kind string, value string")
-    holds = S.first_match([(F.col("kind") == "role", F.col("role") == F.col("value")), (F.col("kind") == "min", F.length("text") >= F.col("value").try_cast("int"))], F.contains(F.lower("text"), "value"))
-    return table(spark, sf_dir, "conversations").join(F.broadcast(asserts), ~holds).select("conv_id", "turn", "kind")
-
-
-@query("""SELECT conv_id, turn, CASE WHEN contains(text, 'error') THEN 'A' WHEN length(text) < 50 THEN 'C' WHEN role = 'system' THEN 'B' ELSE 'Unknown' END AS triage, concat_ws(',', CASE WHEN length(text) < 30 THEN 'short_text' END, CASE WHEN turn > 5 THEN 'late_turn' END, CASE WHEN role NOT IN ('user', 'assistant') THEN 'bad_role' END) AS errors,
-CASE WHEN trim(text, ' ') = '' THEN 'empty' WHEN role NOT IN ('user', 'assistant') THEN 'role' END AS first_error FROM conversations""")
-def d49_d50_d51_d52_validation(spark, sf_dir):
-    t = F.col("text")
-    known = F.col("role").isin("user", "assistant")
-    triage = S.first_match([(F.contains(t, F.lit("error")), "A"), (F.length(t) < 50, "C"), (F.col("role") == "system", "B")], "Unknown")
-    errors = S.codes([(F.length(t) < 30, "short_text"), (F.col("turn") > 5, "late_turn"), (~known, "bad_role")])
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", triage.alias("triage"), F.array_join(errors, ",").alias("errors"), F.when(F.trim(t) == "", "empty").when(~known, "role").alias("first_error"))

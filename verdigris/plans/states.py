@@ -40,14 +40,6 @@ def f1_controller_long_sessions(spark, sf_dir):
     return folds.controller_long(steps(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions"))).withColumn("phi", F.round("phi", 9))
 
 
-@query(f"{_PHI} SELECT session_id, seq, phi > 0.9 AND prev > 0.9 AS incident FROM (SELECT *, lag(phi) OVER (PARTITION BY session_id ORDER BY seq) AS prev FROM b) WHERE phi > 0.9 AND prev > 0.9")
-def d30_incidents(spark, sf_dir):
-    p = folds.controller(steps(spark, sf_dir)).withColumn("phi", F.round("phi", 9))
-    w = Window.partitionBy("session_id").orderBy("seq")
-    hit = (F.col("phi") > 0.9) & (F.lag("phi").over(w) > 0.9)
-    return p.withColumn("incident", hit).filter("incident").select("session_id", "seq", "incident")
-
-
 _TOKENS = "tk AS (SELECT conv_id AS session, turn, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS token, role = 'user' AS explicit FROM conversations)"
 
 
@@ -78,19 +70,6 @@ def f3_adoption(spark, sf_dir):
     return c.select("conv_id", "turn", ((overlap >= 0.45) | (score >= 40)).alias("adopted"))
 
 
-@query("SELECT conv_id, CAST(count(*) FILTER (role = 'assistant') AS BIGINT) AS led, CAST(count(*) FILTER (role = 'user') AS BIGINT) AS asked, CAST(count(*) FILTER (role = 'assistant' AND length(text) > 200) AS DOUBLE) / nullif(count(*) FILTER (role = 'assistant'), 0) AS over_leading FROM conversations GROUP BY 1")
-def f4_trajectory(spark, sf_dir):
-    a = F.col("role") == "assistant"
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(a).alias("led"), F.count_if(F.col("role") == "user").alias("asked"), F.try_divide(F.count_if(a & (F.length("text") > 200)).cast("double"), F.nullif(F.count_if(a), F.lit(0))).alias("over_leading"))
-
-
-@query("SELECT conv_id, turn, CAST(count(*) OVER w AS BIGINT) AS seen, CAST(count(*) FILTER (role = 'system') OVER w AS BIGINT) AS systems, CAST(row_number() OVER w AS INTEGER) AS number FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING)")
-def f5_f12_running_state(spark, sf_dir):
-    o = Window.partitionBy("conv_id").orderBy("turn")
-    w = o.rowsBetween(Window.unboundedPreceding, 0)
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.count("*").over(w).alias("seen"), F.count_if(F.col("role") == "system").over(w).alias("systems"), F.row_number().over(o).alias("number"))
-
-
 @query("""WITH k AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS run FROM i)
 SELECT user_id, event_id, CAST(run AS INTEGER) AS run FROM r WHERE run >= 2""")
 def f7_n15_confirmations(spark, sf_dir):
@@ -103,12 +82,6 @@ def f8_m4_profile(spark, sf_dir):
     return t.select("user_id", F.array_join(F.array_sort(F.slice("kinds", 1, 16)), ",").alias("profile"), F.greatest(F.lit(0.3), F.least(F.lit(0.9), F.col("n") / 100.0)).alias("confidence"))
 
 
-@query("SELECT conv_id, arg_min(role, turn) AS opening, CAST(max(turn) AS BIGINT) AS last_turn, string_agg(role, ',' ORDER BY turn) FILTER (turn > last - 20) AS topics FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations) GROUP BY 1")
-def f9_recall_summary(spark, sf_dir):
-    g = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("role", "turn").alias("opening"), F.max("turn").alias("last_turn"), F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("t"))
-    return g.select("conv_id", "opening", F.col("last_turn").cast("long"), F.array_join(F.transform(F.slice(F.col("t"), F.greatest(F.lit(1), F.size("t") - 19), F.lit(20)), lambda x: x["role"]), ",").alias("topics"))
-
-
 @query("""WITH p AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN -1 WHEN value > 100 THEN 1 ELSE 0 END AS layer FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM p WHERE layer = 1) SELECT p.user_id, p.event_id, CASE WHEN r.r <= 5 THEN 2 ELSE p.layer END AS layer FROM p LEFT JOIN r USING (event_id)""")
 def f10_layers(spark, sf_dir):
     layer = S.first_match([(F.col("event_type") == "error", -1), (F.col("value") > 100, 1)], 0)
@@ -117,11 +90,6 @@ def f10_layers(spark, sf_dir):
     return p.select("user_id", "event_id", F.when((F.col("layer") == 1) & (F.col("r") <= 5), 2).otherwise(F.col("layer")).alias("layer"))
 
 
-@query("SELECT user_id, event_type, arg_max(value, event_id) AS value, CAST(count(*) AS BIGINT) AS corrections FROM events GROUP BY ALL")
-def f11_e28_last_fact_wins(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.max_by("value", "event_id").alias("value"), F.count("*").alias("corrections"))
-
-
 @query("""WITH c AS (SELECT source, doc_id, text, string_split(text, '') AS c FROM documents), g AS (SELECT source, doc_id, text, CASE WHEN len(c) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(c) - 1), lambda k: c[k] || c[k + 1] || c[k + 2])) END AS g FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM g),
 m AS (SELECT a.doc_id, max(len(list_intersect(a.g, b.g)) / nullif(CAST(len(list_distinct(list_concat(a.g, b.g))) AS DOUBLE), 0)) AS j FROM o a LEFT JOIN o b ON a.source = b.source AND b.r BETWEEN a.r - 10 AND a.r - 1 AND least(len(a.g), len(b.g)) > 0.85 * greatest(len(a.g), len(b.g)) GROUP BY 1)
 SELECT doc_id, coalesce(j > 0.85, FALSE) OR length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) <= 2 OR starts_with(text, '[ERROR') OR starts_with(text, 'Sure,') OR starts_with(text, 'Of course') AS rejected FROM m JOIN o USING (doc_id)""")
@@ -157,12 +125,6 @@ def t2_debounce(spark, sf_dir):
     return folds.sessions_by_gap(table(spark, sf_dir, "events"), "user_id", "ts", "1 hour", "event_id").select("user_id", "session", "n")
 
 
-@query("SELECT CAST(time_bucket(INTERVAL 30 MINUTE, ts) AS VARCHAR) AS slot, CAST(least(20, count(*)) AS BIGINT) AS taken FROM events GROUP BY 1")
-def t3_t4_micro_batches(spark, sf_dir):
-    w = table(spark, sf_dir, "events").groupBy(F.window("ts", "30 minutes").alias("w")).agg(F.least(F.lit(20), F.count("*")).cast("long").alias("taken"))
-    return w.select(F.date_format("w.start", "yyyy-MM-dd HH:mm:ss").alias("slot"), "taken")
-
-
 @query("WITH c AS (SELECT user_id AS pattern, count(*) AS hits, max(event_id) AS last FROM events WHERE event_id % 2 = 0 GROUP BY 1 UNION ALL SELECT user_id, count(*), max(event_id) FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT pattern, CAST(sum(hits) AS BIGINT) AS hits, max(last) AS last FROM c GROUP BY 1")
 def t5_m7_hit_flush(spark, sf_dir):
     e = table(spark, sf_dir, "events")
@@ -198,7 +160,7 @@ def m1_m6_deletion_proposals(spark, sf_dir):
 
 
 @query("WITH s AS (SELECT doc_id, source FROM documents WHERE doc_id % 2 = 0), c AS (SELECT doc_id, 'new' AS source FROM documents WHERE doc_id % 3 = 0) SELECT * FROM s WHERE doc_id NOT IN (SELECT doc_id FROM c) UNION ALL SELECT * FROM c")
-def m2_m3_upsert(spark, sf_dir):
+def m2_upsert(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return stores.upserted(d.filter("doc_id % 2 = 0").select("doc_id", "source"), d.filter("doc_id % 3 = 0").select("doc_id", F.lit("new").alias("source")), "doc_id")
 
@@ -217,6 +179,6 @@ def m5_migration(spark, sf_dir):
 
 @query("""WITH c AS (SELECT conv_id, turn, (conv_id * 7 + turn * 3) % 10 / CAST(10 AS DOUBLE) AS salience FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY salience DESC, turn) AS r FROM c WHERE salience >= 0.3)
 SELECT conv_id, turn, CAST(r AS INTEGER) AS slot FROM r WHERE r <= 2""")
-def n17_n18_memory_context(spark, sf_dir):
+def n17_memory_context(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn") * 3) % 10 / 10.0).alias("salience")).filter("salience >= 0.3")
     return c.withColumn("slot", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("salience"), "turn"))).filter("slot <= 2").select("conv_id", "turn", "slot")

@@ -244,13 +244,6 @@ def c42_c43_thin_and_contaminated(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.length("text") < 40) & t.rlike("(of|to)")).alias("thin"), t.rlike("(smoke|ouaed)").alias("contaminated"))
 
 
-@query("SELECT doc_id, CAST(count(*) AS BIGINT) AS hits, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM documents d JOIN benchmark b ON contains(d.text, substr(b.text, 1, 60)) GROUP BY 1")
-def c44_contamination(spark, sf_dir):
-    seeds = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 60).alias("seed"))
-    hits = T.seed_hits(table(spark, sf_dir, "documents"), seeds)
-    return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), F.array_join(F.transform(F.array_sort(F.collect_list("item_id")), lambda x: x.cast("string")), ",").alias("items"))
-
-
 @query(f"""WITH {_PAIRS}, f AS (SELECT conv_id, turn, list_filter(regexp_extract_all(answer, '[A-Z][a-z]+(?: [A-Z][a-z]+)+'), lambda x: NOT contains(lower(prompt), lower(x))) AS f FROM p) SELECT conv_id, turn, CAST(len(list_distinct(f)) AS BIGINT) AS phrases FROM f""")
 def c45_fabrication(spark, sf_dir):
     return pairs(spark, sf_dir).select("conv_id", "turn", F.size(T.fabricated_phrases(F.col("answer"), F.col("prompt"), 1000)).cast("long").alias("phrases"))

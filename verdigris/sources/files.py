@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as Ty
 
-#: Fields that every benchmark row must have.
+# The fields that every benchmark row must have.
 REQUIRED = ("run_id", "timestamp", "model_profile", "benchmark", "task", "sample_id", "prompt_hash", "output_hash", "score", "metric_name", "latency_ms", "tokens_in", "tokens_out", "error", "metadata")
 
 
@@ -93,3 +95,65 @@ def latest(spark: SparkSession, path: str, since: str, kind: str | None, n: int)
 def published(rows: DataFrame, path: str) -> None:
     """Replace a table; readers see the old or the new files by the commit protocol."""
     rows.write.mode("overwrite").parquet(path)
+
+
+def intact(now: DataFrame, stored: DataFrame, key: str) -> DataFrame:
+    """Whether logs changed before their last line: digests of now against the stored ones."""
+    both = now.join(stored, key, "left")
+    return both.select(key, F.when(F.col("stored").isNull(), "new").when(F.col("stored") == F.col("digest"), "intact").otherwise("changed").alias("outcome"))
+
+
+def sanitised(rows: DataFrame, raw: str) -> DataFrame:
+    """Add profile, opt_out, notes and last_turn from session JSON; fields of another kind become their defaults.
+
+    Every field is read as text first, so that one bad field spoils no other.
+    """
+    text = lambda f: F.get_json_object(raw, f"$.{f}")
+    quoted = lambda f: F.col(raw).rlike(rf'"{f}"\s*:\s*"')
+    listed = F.from_json(text("notes"), "array<string>")
+    strings = F.regexp_extract_all(text("notes"), F.lit(r'"((?:[^"\\]|\\.)*)"'), 1)
+    notes = F.when(F.col(raw).rlike(r'"notes"\s*:\s*\[') & listed.isNotNull(), strings).otherwise(F.array().cast("array<string>"))
+    opt_out = F.when(text("opt_out").isin("true", "false"), text("opt_out") == "true").when(text("opt_out").rlike(r"^-?\d+$"), text("opt_out").try_cast("int") != 0).otherwise(F.coalesce(quoted("opt_out") & (text("opt_out") != ""), F.lit(False)))
+    return rows.withColumns({"profile": F.when(quoted("profile"), text("profile")).otherwise(""), "opt_out": F.coalesce(opt_out, F.lit(False)), "notes": notes, "last_turn": F.greatest(F.coalesce(text("last_turn").try_cast("long"), F.lit(0)), F.lit(0)).cast("long")})
+
+
+def ingested(documents: DataFrame, embed: Callable[[Column], Column], size: int = 800, overlap: int = 100) -> DataFrame:
+    """(path, start, chunk, embedding): whole texts of (path, text) cut into chunks; embed gives a vector, made one of unit length."""
+    from verdigris.functions.text import fixed_chunks
+
+    cut = documents.select("path", F.explode(fixed_chunks(F.col("text"), size, overlap)).alias("c")).select("path", "c.start", "c.chunk")
+    embedded = cut.withColumn("e", embed(F.col("chunk")))
+    length = F.sqrt(F.aggregate("e", F.lit(0.0), lambda a, x: a + x * x))
+    return embedded.withColumn("n", length).select("path", "start", "chunk", F.transform("e", lambda x: x / F.when(F.col("n") == 0, 1.0).otherwise(F.col("n"))).alias("embedding"))
+
+
+def pattern_library(spark: SparkSession, folder: str, inactive: tuple[str, ...] = ("deprecation_candidate", "deprecated", "under_review")) -> DataFrame:
+    """The valid, active patterns of a folder of JSON lines; files and folders with an underscore in front are no part of it.
+
+    Valid: an id of letters, an underscore and digits, a priority of 0 to 1000, 5 to 15 examples.
+    """
+    rows = spark.read.option("recursiveFileLookup", "true").text(folder).select("value", F.input_file_name().alias("file"))
+    kind = Ty._parse_datatype_string("id string, topic string, priority int, examples array<string>, lifecycle struct<audit_status:string>")
+    own = rows.filter(~F.regexp_replace("file", F.lit("^.*" + folder.rstrip("/").rsplit("/", 1)[-1]), F.lit("")).rlike("/_"))
+    read = own.filter(F.trim("value").startswith("{")).select(F.from_json("value", kind).alias("r")).select("r.*")
+    valid = F.col("id").rlike("^[a-z]+_[0-9]+$") & F.col("priority").between(0, 1000) & F.size("examples").between(5, 15)
+    return read.filter(valid & ~F.coalesce(F.col("lifecycle.audit_status"), F.lit("active")).isin(*inactive))
+
+
+def purged(spark: SparkSession, path: str, now: str, days: int) -> None:
+    """Drop the partitions of a log by date that are older than its days."""
+    jvm = spark._jvm
+    root = jvm.org.apache.hadoop.fs.Path(path)
+    fs = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    first = spark.sql(f"SELECT CAST(date_sub(DATE '{now}', {int(days)}) AS STRING)").first()[0]
+    for status in fs.listStatus(root):
+        name = status.getPath().getName()
+        if name.startswith("date=") and name[5:] < first:
+            fs.delete(status.getPath(), True)
+
+
+def migrated(spark: SparkSession, path: str, columns: dict[str, tuple[str, object]]) -> DataFrame:
+    """A table whose older files lack some columns, by one schema; what is missing gets its default."""
+    schema = ", ".join(f"{name} {kind}" for name, (kind, _) in columns.items())
+    rows = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(path)
+    return rows.select(*(F.col(n) if default is None else F.coalesce(n, F.lit(default).cast(kind)).alias(n) for n, (kind, default) in columns.items()))
