@@ -96,15 +96,18 @@ def grams_of(words: str) -> list[str]:
 
 
 def positions(spark: SparkSession, templates) -> DataFrame:
-    """template, at, gram: the k-grams of each (words, label, is_phrase)."""
-    rows = [(k, at, gram) for k, (words, *_) in enumerate(templates) for at, gram in enumerate(grams_of(words))]
-    return spark.createDataFrame([*rows, (_TEXT, 0, "")], "template int, at int, gram string")
+    """template, at, first to fourth: the k-grams of each (words, label, is_phrase); pairs have no third and fourth."""
+    rows = [(k, at, *([*gram.split(" "), None, None][:4])) for k, (words, *_) in enumerate(templates) for at, gram in enumerate(grams_of(words))]
+    return spark.createDataFrame([*rows, (_TEXT, 0, "", "", None, None)], "template int, at int, first string, second string, third string, fourth string")
 
 
-def rolled(words: Column, k: int) -> Column:
-    """Array of (pos, gram) of the rolling k-grams."""
-    n = F.greatest(F.size(words) - (k - 1), F.lit(0))
-    return F.transform(F.slice(words, F.lit(1), n), lambda w, j: F.struct(j.cast("int").alias("pos"), F.concat_ws(" ", w, *(F.get(words, j + d) for d in range(1, k))).alias("gram")))
+def rolled(words: Column) -> Column:
+    """Array of the four words from each place on, null past the end; an empty gram stands in front.
+
+    With it every text has a match, so that the one join also brings back texts without another.
+    """
+    from_ = lambda k: F.slice(words, F.lit(k), F.greatest(F.size(words) - (k - 1), F.lit(0)))
+    return F.arrays_zip(*(F.concat(F.array(F.lit("")), from_(k)).alias(name) for k, name in enumerate("abcd", 1)))
 
 
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES + TEXTS, coverage: float = COVERAGE, shift: int = SHIFT) -> DataFrame:
@@ -114,14 +117,12 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES + TEXTS, coverage
     size = [len(grams_of(words)) for words, *_ in known]
     of = lambda values, kind: F.create_map(*(F.lit(x) for k, v in enumerate(values) for x in (k, v)))[F.col("template")].cast(kind)
 
-    table = positions(spark, known).select("template", "at", F.col("gram").alias("own"), F.xxhash64("gram").alias("hash"))
+    # The key is the hash of a gram's first two words, so that one join serves both lengths; the words themselves decide.
+    table = positions(spark, known).withColumn("hash", F.xxhash64("first", "second"))
     texts = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"))
-    # Every text carries an empty gram, so that the one join also brings back texts without a match.
-    mark = F.array(F.struct(F.lit(-1).alias("pos"), F.lit("").alias("gram")))
-    kinds = sorted({len(grams_of(words)[0].split()) for words, *_ in known if grams_of(words)})
-    all_ = F.concat(mark, *(rolled(F.col("words"), k) for k in kinds))
-    grams = texts.select("row", "doc_id", F.size("words").alias("n_words"), F.explode(all_).alias("g")).select("row", "doc_id", "n_words", "g.pos", "g.gram").select("*", F.xxhash64("gram").alias("hash"))
-    hits = grams.join(F.broadcast(table), "hash").filter("gram = own").select("row", "doc_id", "n_words", "template", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "pos")
+    grams = texts.select("row", "doc_id", F.size("words").alias("n_words"), F.posexplode(rolled(F.col("words"))).alias("pos", "g")).select("row", "doc_id", "n_words", (F.col("pos") - 1).alias("pos"), "g.*").withColumn("hash", F.xxhash64("a", "b"))
+    same = (F.col("a") == F.col("first")) & (F.col("b") == F.col("second")) & (F.col("third").isNull() | ((F.col("c") == F.col("third")) & (F.col("d") == F.col("fourth"))))
+    hits = grams.join(F.broadcast(table), "hash").filter(same).select("row", "doc_id", "n_words", "template", "at", (F.col("pos") - F.col("at")).alias("diagonal"), "pos")
 
     # A vote counts for its own diagonal and, in templates, for the neighbours below that it may belong to.
     spread = hits.select("row", "doc_id", "n_words", "template", "at", "pos", F.explode(F.when((F.col("template") == _TEXT) | of([x[2] for x in known], "boolean"), F.array("diagonal")).otherwise(F.transform(F.sequence(F.lit(0), F.lit(shift)), lambda d: F.col("diagonal") - d))).alias("diagonal"))
