@@ -96,7 +96,7 @@ def test_streams_agree_with_the_batch_fold(spark, sf_dir, tmp_path):
     batch = steps(spark, sf_dir)
     live = streams.replay(spark, str(tmp_path / "e"), table(spark, sf_dir, "events").schema, 10)
     live = live.select(F.col("user_id").alias("session_id"), F.col("event_id").alias("seq"), (0.37 * F.least(F.lit(1.0), F.col("value") / 150)).alias("pi"), F.when(F.col("event_type") == "error", 0.1).otherwise(0.0).alias("fresh"))
-    out = streams.to_memory(streams.controller_states(live), "controller", "update", str(tmp_path / "cp"))
+    out = streams.to_files(streams.controller_states(live), str(tmp_path / "controller"), "update", str(tmp_path / "cp"))
     want = {r.session_id: round(r.phi, 9) for r in folds.controller(batch).groupBy("session_id").agg(F.max_by("phi", "seq").alias("phi")).collect()}
     assert {r.session_id: round(r.phi, 9) for r in out.collect()} == want
 
@@ -108,7 +108,7 @@ def test_streamed_quarantine_keeps_a_ring(spark, sf_dir, tmp_path):
     e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("judgment"))
     e.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "e"))
     live = streams.replay(spark, str(tmp_path / "e"), e.schema, 1)
-    out = streams.to_memory(streams.quarantine(live, 86_400 * 3, 4), "ring", "update", str(tmp_path / "cp")).collect()
+    out = streams.to_files(streams.quarantine(live, 86_400 * 3, 4), str(tmp_path / "ring"), "update", str(tmp_path / "cp")).collect()
     rows: dict = {}
     for r in e.collect():
         rows.setdefault(r.user_id, []).append(r)
@@ -131,6 +131,6 @@ def test_merged_counts_and_sessions(spark, sf_dir, tmp_path):
     newest = max((tmp_path / "counts").iterdir(), key=lambda p: int(p.name[1:]))
     got = {r.user_id: r.hits for r in spark.read.parquet(str(newest)).collect()}
     assert got == {r.user_id: r["count"] for r in e.groupBy("user_id").count().collect()}
-    quiet = streams.to_memory(streams.quiet_sessions(streams.replay(spark, str(tmp_path / "e"), e.schema, 10), "ts", "user_id", "1 hour", "60 days"), "quiet", "complete", str(tmp_path / "cp2"))
+    quiet = streams.to_files(streams.quiet_sessions(streams.replay(spark, str(tmp_path / "e"), e.schema, 10), "ts", "user_id", "1 hour", "60 days"), str(tmp_path / "quiet"), "complete", str(tmp_path / "cp2"))
     assert quiet.agg(F.sum("n")).first()[0] == e.count()
     assert quiet.count() == folds.sessions_by_gap(e, "user_id", "ts", "1 hour", "event_id").count()

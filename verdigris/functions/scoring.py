@@ -310,3 +310,39 @@ def post_processed(route_: Column, text: Column, generic: Column, thin: Column,
     asks = ~failed & (route_ == "ask") & generic & clarify.isNotNull()
     checks = ~failed & (route_ == "verify") & thin & fallback.isNotNull()
     return first_match([(checks, fallback), (asks, clarify)], text), codes([(asks, "clarify_rewritten"), (checks, "verify_fallback")])
+
+
+def regeneration_penalties(triggered: Column, stable: Column, supported: Column) -> tuple[Column, Column]:
+    """(variance, conflict): 0.15 where regenerations differ, 0.12 where they agree and the rationale does not bear them out."""
+    return F.when(triggered & ~stable, 0.15).otherwise(0.0), F.when(triggered & stable & ~supported, 0.12).otherwise(0.0)
+
+
+def dynamic_reliability(tvs: Column, mkr: Column, penalty: Column, band: Column, notes: list[tuple[Column, str]]) -> tuple[Column, Column, Column]:
+    """(reliability less the penalty, eligible, reasons in order)."""
+    less = F.round(clip(mkr - penalty), 3)
+    now = eligible(tvs, less) & (band == "answer")
+    blocked = eligible(tvs, mkr) & ~now
+    reasons = [*notes, (blocked & (penalty > 0), "PENALTY_BLOCKED"), (blocked & (penalty <= 0) & (band != "answer"), "CONTROLLER_BLOCKED")]
+    return less, now, F.concat(codes(reasons), F.array(F.concat(F.lit("BAND_"), F.upper(band))))
+
+
+def selected_kernels(asked, kernels, own, suppressed, overrides, kept_for):
+    """Kernels of each (route, intent, zone); all but ``asked`` are small policy tables.
+
+    An intent with kernels of its own gets those alone. Others get the kernels that are always
+    on, and in the zone pro those that depend on context, less the suppressed, those of other
+    zones, and those kept for other intents.
+    """
+    open_ = asked.filter(~F.col("route").isin("abstain", "ask"))
+    special = open_.join(F.broadcast(own), "intent").select("route", "intent", "zone", "kernel")
+    rest = open_.join(F.broadcast(own.select("intent").distinct()), "intent", "left_anti")
+    pairs = rest.join(F.broadcast(kernels.filter("not suppressed")), F.expr("array_contains(zones, zone) and (always or (context and zone = 'pro'))"))
+    pairs = pairs.join(F.broadcast(suppressed), ["kernel", "intent"], "left_anti").join(F.broadcast(overrides), "kernel", "left").join(F.broadcast(kept_for), "kernel", "left")
+    fits = pairs.filter("(not always or only is null or only = zone) and (not context or effective is null or effective = intent)")
+    return special.unionByName(fits.select("route", "intent", "zone", "kernel")).distinct()
+
+
+def checkpoint(opt_out: Column, confidence: Column, turns: Column, frames: Column, themes: Column) -> Column:
+    """The outcome of a checkpoint, by precedence."""
+    bar = (confidence >= 0.55) & (turns >= 5) & (frames >= 1) & (themes >= 2)
+    return first_match([(opt_out, "blocked_opt_out"), (turns < 3, "too_early"), (~bar, "low_confidence")], "promotable")

@@ -89,3 +89,28 @@ def outcome(admissibility_: Column) -> Column:
 
 def notes(sets: DataFrame) -> Column:
     return F.array_join(codes([(F.col("freshness") == "stale", "stale"), (F.col("conflict") != "none", "conflict"), (F.col("diversity") == "low", "single_source")]), ",")
+
+
+def second_adjudication(items: DataFrame, flags: dict[str, Column], strong: tuple[str, ...], moderate: tuple[str, ...]) -> DataFrame:
+    """One row per query from items (query_id, rank, source, claim, web): eight steps, the last a verdict.
+
+    flags: fresh, high_word, medium_word (what the query asks for) and gain (of coherence). The
+    estimate of volatility and reliability is the stub's, from those words alone.
+    """
+    some = lambda names: F.exists(F.array(*map(F.lit, names)), lambda x: F.contains("source", x))
+    sets = items.groupBy("query_id").agg(F.count("*").alias("n"), F.countDistinct("source").alias("domains"), F.count_if(some(strong)).alias("s"), F.count_if(some(moderate)).alias("m"), F.bool_or("web").alias("has_web"))
+    t = sets.join(claim_agreement(items.select("query_id", "rank", "claim")).withColumnRenamed("agreement", "said"), "query_id").withColumns(flags)
+    c = F.col
+    t = t.withColumns({
+        "freshness": first_match([(~(c("fresh") | c("high_word") | c("medium_word")), "stable"), (c("fresh") & c("has_web"), "current"), (c("fresh"), "stale_risk")], "time_sensitive"),
+        "diversity": first_match([(c("domains") >= 3, "high"), (c("domains") == 2, "moderate")], "low"), "agreement": F.when(c("n") <= 1, "high").otherwise(c("said")),
+        "provenance": first_match([(c("s") >= 2, "strong"), ((c("s") >= 1) | (c("m") >= 1), "moderate")], "weak"),
+        "tvs": first_match([(c("high_word"), 0.8), (c("fresh"), 0.7), (c("medium_word"), 0.5)], 0.2), "mkr": first_match([(c("high_word") | c("fresh"), 0.4), (c("medium_word"), 0.55)], 0.65),
+    })
+    t = t.withColumn("conflict", first_match([(c("agreement") == "high", "none"), (c("agreement") == "mixed", "managed")], "open"))
+    settled = c("freshness").isin("stable", "current")
+    firm = (c("diversity") == "high") & (c("agreement") == "high") & c("provenance").isin("moderate", "strong") & settled
+    frail = (c("diversity") == "low") | (c("agreement") == "low") | (c("freshness") == "stale_risk")
+    t = t.withColumn("strength", first_match([(c("conflict") == "open", "weak"), (firm, "strong"), (frail, "weak")], "medium"))
+    gate = (c("tvs") < 0.6) & (c("mkr") > 0.5) & ~(c("gain") > 0.7)
+    return t.withColumn("admissibility", first_match([(c("conflict") == "open", "bounded"), ((c("strength") == "strong") & settled & gate, "answerable"), (c("strength").isin("medium", "strong"), "bounded")], "failed"))

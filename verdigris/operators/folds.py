@@ -34,6 +34,14 @@ def controller(steps: DataFrame) -> DataFrame:
     return folded.select("session_id", "x.seq", "x.phi", band(F.col("x.phi")).alias("band"))
 
 
+def controlled(steps: DataFrame, partitions: int, most: int = 256) -> DataFrame:
+    """``controller`` for sessions of at most ``most`` steps, whose array grows by copying, ``controller_long`` for others."""
+    longer = steps.groupBy("session_id").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("session_id")
+    columns = ("session_id", "seq", "phi", "band")
+    short = controller(steps.join(longer, "session_id", "left_anti")).select(*columns)
+    return short.unionByName(controller_long(steps.join(longer, "session_id", "left_semi"), partitions).select(*columns))
+
+
 def controller_long(steps: DataFrame, partitions: int) -> DataFrame:
     """The same for sessions of any length: rows sorted within partitions, state in one pass."""
     dealt = steps.select("session_id", "seq", "pi", "fresh").repartition(partitions, "session_id").sortWithinPartitions("session_id", "seq")
@@ -88,3 +96,10 @@ def sessions_by_gap(events: DataFrame, key: str, ts: str, gap: str, order: str)
 def ring(rows: DataFrame, key: str, order: list[Column], most: int) -> DataFrame:
     """The latest rows of each key, a bounded number."""
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__r") <= most).drop("__r")
+
+
+def fired(turns: Column, first: int, interval: int) -> Column:
+    """How often a gate opens over so many turns: from ``first`` on, when ``interval`` turns have passed since the last time."""
+    step = lambda a, t: F.when((t >= first) & (t - a["last"] >= interval), F.struct(t.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
+    start = F.struct(F.lit(-interval).cast("long").alias("last"), F.lit(0).alias("n"))
+    return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(turns, F.lit(1)).cast("long")), start, step, lambda a: a["n"])

@@ -62,7 +62,8 @@ def stratified(rows: DataFrame, key: str, stratum: str, seed: str, n: int) -> Da
     place = strata.withColumn("__place", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy(stratum))).withColumn("__strata", F.count("*").over(Window.partitionBy(F.lit(1))))
     quota = F.expr(f"{n} div __strata") + F.when(F.col("__place") <= F.lit(n) % F.col("__strata"), 1).otherwise(0)
     ranked = rows.withColumn("__r", F.row_number().over(Window.partitionBy(stratum).orderBy(digest, key)))
-    return ranked.join(F.broadcast(place), stratum).filter(F.col("__r") <= quota).drop("__r", "__place", "__strata")
+    # No stratum gives more than n rows: cut before the join, while the rank can still be cut before the shuffle.
+    return ranked.filter(F.col("__r") <= n).join(F.broadcast(place), stratum).filter(F.col("__r") <= quota).drop("__r", "__place", "__strata")
 
 
 def disagreements(rows: DataFrame, a: object, b: object) -> DataFrame:
@@ -87,3 +88,19 @@ def running(rows: DataFrame, range_: str, order: list[str], of: dict[str, Column
     offsets = sums.select(range_, *((F.sum(f"__all_{k}").over(before) - F.col(f"__all_{k}")).alias(f"__before_{k}") for k in of))
     found = rows.join(offsets, range_).withColumns({k: F.sum(c).over(w) + F.col(f"__before_{k}") for k, c in of.items()})
     return found.drop(*(f"__before_{k}" for k in of))
+
+
+def with_context(rows: DataFrame, group: str, order: str, before: int, block: int = 200) -> DataFrame:
+    """Rows in blocks with the ``before`` rows of their group ahead of them: (.., __block, __own).
+
+    A window over (group, block) then sees what one over the group would see, and a hot group
+    is many tasks. ``order`` is a whole number that grows; only counts per range are in one task.
+    """
+    ranged = rows.withColumn("__range", F.floor(F.col(order) / 10_000))
+    sums = ranged.groupBy(group, "__range").agg(F.count("*").alias("__n"))
+    offsets = sums.withColumn("__before", F.sum("__n").over(Window.partitionBy(group).orderBy("__range")) - F.col("__n")).drop("__n")
+    w = Window.partitionBy(group, "__range").orderBy(order)
+    numbered = ranged.withColumn("__k", F.row_number().over(w)).join(offsets, [group, "__range"]).withColumn("__k", F.col("__k") - 1 + F.col("__before"))
+    own = F.floor(F.col("__k") / block)
+    blocks = F.when(F.col("__k") % block >= block - before, F.array(own, own + 1)).otherwise(F.array(own))
+    return numbered.withColumn("__at", F.explode(blocks)).withColumns({"__block": F.col("__at"), "__own": F.col("__at") == own}).drop("__at", "__k", "__range", "__before")

@@ -60,3 +60,24 @@ def promoted(evaluated: DataFrame) -> DataFrame:
     """A record of each evaluation (doc_id, outcome, entry_id, quality), and an entry of each that is promoted."""
     record = evaluated.select("doc_id", F.lit("record").alias("kind"), "outcome", F.lit(None).cast("string").alias("entry_id"), "quality")
     return record.unionByName(evaluated.filter("outcome = 'promoted'").select("doc_id", F.lit("entry").alias("kind"), "outcome", "entry_id", "quality"))
+
+
+def distilled(session: DataFrame, stored: DataFrame, key: str, most: int = 16, most_chars: int = 240) -> DataFrame:
+    """The profile after a session: (key, pass, language, abstraction, frames, rejected, confidence).
+
+    session: key, n (turns), confidence, cold, language, frames, abstraction; stored has the
+    last four but cold. Below the floors nothing changes. Long texts and those of several
+    sentences are no tags; lists keep their order and at most ``most`` entries.
+    """
+    old = stored.select(key, *(F.col(c).alias(f"old_{c}") for c in ("language", "abstraction", "frames", "confidence")))
+    both = session.join(old, key, "left")
+    had = F.coalesce("old_frames", F.array().cast("array<string>"))
+    passed = (F.col("confidence") >= 0.45) & (F.col("n") >= 3) & ~F.col("cold")
+    tag = lambda f: (F.length(F.trim(f)) > 0) & (F.length(f) <= most_chars) & (F.regexp_count(f, F.lit("[.。!?？！]")) < 2)
+    good = F.filter("frames", tag)
+    before, sure = F.coalesce("old_abstraction", F.lit(0.0)), F.coalesce("old_confidence", F.lit(0.0))
+    carried = F.when(passed & (F.abs(before - F.col("abstraction")) > 0.05), F.greatest(F.lit(0.0), F.least(F.lit(2.0), "abstraction"))).otherwise(before)
+    return both.select(
+        key, passed.alias("pass"), F.when(passed & F.col("language").isin("ja", "en", "fr", "de", "es", "zh"), F.col("language")).otherwise(F.col("old_language")).alias("language"), carried.alias("abstraction"),
+        F.when(passed, F.slice(F.concat(had, F.array_except(good, had)), 1, most)).otherwise(had).alias("frames"), F.when(passed, F.size("frames") - F.size(good)).otherwise(1).alias("rejected"), F.when(passed, F.greatest(sure, F.least("confidence", F.lit(0.9)))).otherwise(sure).alias("confidence"),
+    )

@@ -351,8 +351,3 @@ def n11_early_exit(spark, sf_dir):
 def n13_containment(spark, sf_dir):
     allowed = spark.createDataFrame([("user",), ("assistant",)], "role string")
     return table(spark, sf_dir, "conversations").join(F.broadcast(allowed), "role", "left_anti").select("conv_id", "turn", "role")
-
-
-@query("SELECT conv_id, CAST(count(*) FILTER (length(text) % 2 = 0) AS BIGINT) AS passes, count(*) FILTER (length(text) % 2 = 0) >= 2 AS gate FROM conversations GROUP BY 1")
-def n21_stochastic_gate(spark, sf_dir):
-    return table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count_if(F.length("text") % 2 == 0).alias("passes"), (F.count_if(F.length("text") % 2 == 0) >= 2).alias("gate"))

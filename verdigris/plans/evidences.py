@@ -62,15 +62,6 @@ def g9_g12_admissibility(spark, sf_dir):
     return a.select("query_id", "admissibility", E.outcome(F.col("admissibility")).alias("outcome"))
 
 
-@query(f"""WITH {_SETS}, k AS (SELECT *, (query_id % 10) / CAST(10 AS DOUBLE) AS tvs, CAST(0.45 AS DOUBLE) + (query_id % 3) / CAST(10 AS DOUBLE) AS mkr FROM adm)
-SELECT query_id, CASE WHEN tvs < 0.6 AND mkr > 0.5 AND admissibility = 'insufficient' THEN 'admit_bounded' WHEN tvs > 0.7 AND admissibility = 'admit' THEN 'admit_bounded' ELSE admissibility END AS admissibility, CAST(least(CAST(1 AS DOUBLE), CAST(0.2 AS DOUBLE) + tvs) AS DOUBLE) AS volatility FROM k""")
-def g10_g11_second_adjudicator(spark, sf_dir):
-    a = E.admissibility(E.adjudicated(items(spark, sf_dir)))
-    a = a.withColumns({"tvs": F.col("query_id") % 10 / 10.0, "mkr": 0.45 + F.col("query_id") % 3 / 10.0})
-    gate = E.first_match([((F.col("tvs") < 0.6) & (F.col("mkr") > 0.5) & (F.col("admissibility") == "insufficient"), "admit_bounded"), ((F.col("tvs") > 0.7) & (F.col("admissibility") == "admit"), "admit_bounded")], F.col("admissibility"))
-    return a.select("query_id", gate.alias("admissibility"), F.least(F.lit(1.0), 0.2 + F.col("tvs")).alias("volatility"))
-
-
 @query("""WITH c AS (SELECT conv_id AS query_id, turn AS rank, list_distinct(regexp_extract_all(text, '[0-9]+')) AS nums, list_distinct(string_split(lower(text), ' ')) AS words FROM conversations),
 nr AS (SELECT a.query_id, count(*) FILTER (len(list_intersect(a.nums, b.nums)) > 0) / CAST(count(*) AS DOUBLE) AS rate FROM c a JOIN c b ON a.query_id = b.query_id AND a.rank < b.rank WHERE len(a.nums) > 0 AND len(b.nums) > 0 GROUP BY 1),
 f AS (SELECT query_id, list(words ORDER BY rank) AS w, max(len(words)) AS longest FROM c GROUP BY 1), s AS (SELECT f.*, rate, len(list_intersect(w[1], w[2])) / CAST(least(len(w[1]), len(w[2])) AS DOUBLE) AS share FROM f LEFT JOIN nr USING (query_id))

@@ -52,17 +52,8 @@ def e27_box_flags(spark, sf_dir):
     return V.box_flags(settings)
 
 
-@query("SELECT doc_id, contains(source, 'src1') AS by_id, contains(lower(text), 'tion') AS by_example, (contains(source, 'src1') OR contains(lower(text), 'tion') OR contains(lang, 'tion')) AS found FROM documents")
-def e29_pattern_text_search(spark, sf_dir):
-    needle = F.lit("tion")
-    fields = F.array("source", F.lower("text"), "lang")
-    return table(spark, sf_dir, "documents").select("doc_id", F.contains("source", F.lit("src1")).alias("by_id"), F.contains(F.lower("text"), needle).alias("by_example"), (F.contains("source", F.lit("src1")) | F.exists(fields, lambda x: F.contains(x, needle))).alias("found"))
-
-
 @query(f"WITH {_ROUTED}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, turn, concat_ws(',', CASE WHEN n < 3 THEN 'cold_start' END, CASE WHEN route = 'ask' AND n < 5 THEN 'few_questions' END, CASE WHEN turn = 0 THEN 'no_carryover' END) AS constraints FROM routed JOIN n USING (conv_id)")
 def d36_cold_start_constraints(spark, sf_dir):
     n = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n"))
     r = routed(spark, sf_dir).join(n, "conv_id")
     return r.select("conv_id", "turn", F.array_join(S.codes([(F.col("n") < 3, "cold_start"), ((F.col("route") == "ask") & (F.col("n") < 5), "few_questions"), (F.col("turn") == 0, "no_carryover")]), ",").alias("constraints"))
-
-

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from verdigris.functions import text as T
@@ -122,14 +120,14 @@ def _stream(spark, sf_dir):
 def t9_streamed_windows(spark, sf_dir):
     streams, events = _stream(spark, sf_dir)
     w = streams.tumbling(events.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "1 day", "60 days", "event_type")
-    out = streams.to_memory(w, "w" + uuid.uuid4().hex, "complete", scratch(spark, "cp"))
+    out = streams.to_files(w, scratch(spark, "windows"), "complete", scratch(spark, "cp"))
     return out.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("day"), "n")
 
 
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS hits FROM events GROUP BY 1")
 def t5_streamed_counts(spark, sf_dir):
     streams, events = _stream(spark, sf_dir)
-    return streams.to_memory(streams.hit_counts(events, "user_id"), "h" + uuid.uuid4().hex, "complete", scratch(spark, "cp")).select("user_id", "hits")
+    return streams.to_files(streams.hit_counts(events, "user_id"), scratch(spark, "counts"), "complete", scratch(spark, "cp")).select("user_id", "hits")
 
 
 @query("SELECT event_id, event_type FROM events WHERE event_type = 'error'")

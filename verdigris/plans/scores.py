@@ -80,14 +80,6 @@ def d13_convergence(spark, sf_dir):
     return scored(spark, sf_dir).select("conv_id", "turn", gain.alias("gain"), damping.alias("damping"), dangerous.alias("dangerous"))
 
 
-@query("""WITH p AS (SELECT conv_id, count(DISTINCT lower(substr(trim(text, ' '), 1, 20))) AS d, count(*) AS n, bool_or(starts_with(text, '[ERROR]')) AS e FROM conversations WHERE role = 'assistant' GROUP BY 1)
-SELECT conv_id, CAST(CASE WHEN d <> 1 OR e THEN 0.15 ELSE 0.0 END AS DOUBLE) AS variance_penalty, CAST(CASE WHEN d = 1 AND NOT e AND conv_id % 2 = 0 THEN 0.12 ELSE 0.0 END AS DOUBLE) AS conflict_penalty, CASE WHEN n < 2 THEN CAST(0 AS DOUBLE) ELSE least(CAST(1 AS DOUBLE), CAST(1.5 AS DOUBLE) * d / n) END AS diversity FROM p""")
-def d14_d15_d17_regeneration(spark, sf_dir):
-    p = table(spark, sf_dir, "conversations").filter("role = 'assistant'").groupBy("conv_id").agg(F.countDistinct(F.lower(F.substring(F.trim("text"), 1, 20))).alias("d"), F.count("*").alias("n"), F.bool_or(F.col("text").startswith("[ERROR]")).alias("e"))
-    stable = (F.col("d") == 1) & ~F.col("e")
-    return p.select("conv_id", F.when(stable, 0.0).otherwise(0.15).alias("variance_penalty"), F.when(stable & (F.col("conv_id") % 2 == 0), 0.12).otherwise(0.0).alias("conflict_penalty"), S.diversity(F.col("d"), F.col("n")).alias("diversity"))
-
-
 @query("""WITH l AS (SELECT vec_id, list_transform(embedding[1:4], lambda x: CAST(x AS DOUBLE)) AS lp FROM embeddings), w AS (SELECT vec_id, list_transform(lp, lambda x: exp(x - list_max(lp))) AS w FROM l), t AS (SELECT vec_id, w, w[1] + w[2] + w[3] + w[4] AS s FROM w)
 SELECT vec_id, round(greatest(0.0, least(1.0, -(w[1]/s*ln(w[1]/s) + w[2]/s*ln(w[2]/s) + w[3]/s*ln(w[3]/s) + w[4]/s*ln(w[4]/s)) / ln(4.0))), 9) AS entropy FROM t""")
 def d16_position_entropy(spark, sf_dir):
@@ -95,13 +87,6 @@ def d16_position_entropy(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", lp.alias("lp")).select("vec_id", F.round(S.entropy(F.col("lp")), 9).alias("entropy"))
 
 
-@query(f"""WITH {_SCORED}, d AS (SELECT conv_id, turn, tvs, greatest(CAST(0 AS DOUBLE), least(CAST(1 AS DOUBLE), mkr - (recency + history))) AS mkr2, turn % 3 AS band FROM r)
-SELECT conv_id, turn, mkr2 AS mkr, tvs < 0.30 AND mkr2 >= 0.52 AND band = 0 AS eligible FROM d""")
-def d18_dynamic_composition(spark, sf_dir):
-    r = scored(spark, sf_dir).withColumn("mkr", S.clip(F.col("mkr") - (F.col("recency") + F.col("history"))))
-    return r.select("conv_id", "turn", "mkr", (S.eligible(F.col("tvs"), F.col("mkr")) & (F.col("turn") % 3 == 0)).alias("eligible"))
-
-
 _LAST3 = "OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)"
 
 
@@ -146,17 +131,6 @@ def d24_d25_plan_and_intent(spark, sf_dir):
     return routed(spark, sf_dir).select("conv_id", "turn", plan.alias("plan"), intent.alias("intent"))
 
 
-@query(f"""WITH {_ROUTED}, k AS (SELECT unnest(range(0, 12)) AS kernel), z AS (SELECT DISTINCT route, domain FROM routed)
-SELECT route, domain, kernel FROM z, k WHERE (kernel % 3 = 0 OR (route = 'verify' AND kernel % 3 = 1) OR (domain = 'law' AND kernel % 3 = 2)) AND NOT (route = 'abstain' AND kernel > 5)""")
-def d26_kernel_selection(spark, sf_dir):
-    kernels = spark.range(12).select(F.col("id").alias("kernel"))
-    zones = routed(spark, sf_dir).select("route", "domain").distinct()
-    layer = F.col("kernel") % 3
-    allowed = (layer == 0) | ((F.col("route") == "verify") & (layer == 1)) | ((F.col("domain") == "law") & (layer == 2))
-    suppressed = spark.createDataFrame([("abstain", k) for k in range(6, 12)], "route string, kernel long")
-    return zones.join(F.broadcast(kernels), allowed).join(F.broadcast(suppressed), ["route", "kernel"], "left_anti").select("route", "domain", "kernel")
-
-
 @query(f"WITH {_SCORED} SELECT conv_id, turn, CASE WHEN mkr < 0.40 THEN 'low' WHEN mkr >= 0.70 THEN 'high' ELSE 'medium' END AS intent_bucket, CASE WHEN tvs < 0.30 THEN 'low' WHEN tvs >= 0.70 THEN 'high' ELSE 'medium' END AS risk_bucket FROM r")
 def d27_quality_buckets(spark, sf_dir):
     return scored(spark, sf_dir).select("conv_id", "turn", S.quality_bucket(F.col("mkr"), 0.40, 0.70).alias("intent_bucket"), S.quality_bucket(F.col("tvs"), 0.30, 0.70).alias("risk_bucket"))

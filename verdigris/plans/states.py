@@ -9,6 +9,7 @@ from verdigris import vocab
 from verdigris.functions import scoring as S
 from verdigris.functions import text as T
 from verdigris.operators import folds, stores
+from verdigris.operators import statistics as St
 from verdigris.plans.base import registrar, table
 from verdigris.plans.texts import _has
 
@@ -29,7 +30,10 @@ def steps(spark, sf_dir):
 
 @query(f"{_PHI} SELECT * FROM b")
 def f1_controller(spark, sf_dir):
-    return folds.controller(steps(spark, sf_dir)).withColumn("phi", F.round("phi", 9))
+    from verdigris.session import ship
+
+    ship(spark)
+    return folds.controlled(steps(spark, sf_dir), int(spark.conf.get("spark.sql.shuffle.partitions")), 20).withColumn("phi", F.round("phi", 9))
 
 
 @query(f"{_PHI} SELECT * FROM b")
@@ -76,12 +80,6 @@ def f7_n15_confirmations(spark, sf_dir):
     return folds.runs(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type")).filter("run >= 2").select("user_id", "event_id", "run")
 
 
-@query("""WITH t AS (SELECT user_id, array_agg(DISTINCT event_type) AS kinds, count(*) AS n, max(value) AS best FROM events GROUP BY 1) SELECT user_id, array_to_string(list_sort(kinds), ',') AS profile, greatest(0.3, least(0.9, n / CAST(100 AS DOUBLE)))::DOUBLE AS confidence FROM t WHERE n >= 3 AND len(list_filter(kinds, lambda k: contains(k, 'x'))) < 16""")
-def f8_m4_profile(spark, sf_dir):
-    t = table(spark, sf_dir, "events").groupBy("user_id").agg(F.collect_set("event_type").alias("kinds"), F.count("*").alias("n")).filter("n >= 3")
-    return t.select("user_id", F.array_join(F.array_sort(F.slice("kinds", 1, 16)), ",").alias("profile"), F.greatest(F.lit(0.3), F.least(F.lit(0.9), F.col("n") / 100.0)).alias("confidence"))
-
-
 @query("""WITH p AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN -1 WHEN value > 100 THEN 1 ELSE 0 END AS layer FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM p WHERE layer = 1) SELECT p.user_id, p.event_id, CASE WHEN r.r <= 5 THEN 2 ELSE p.layer END AS layer FROM p LEFT JOIN r USING (event_id)""")
 def f10_layers(spark, sf_dir):
     layer = S.first_match([(F.col("event_type") == "error", -1), (F.col("value") > 100, 1)], 0)
@@ -100,10 +98,11 @@ def j6_lint_against_recent(spark, sf_dir):
     """
     near = lambda a, b: F.least(a, b) / F.nullif(F.greatest(a, b), F.lit(0)) > 0.85
     grams = lambda t: F.array_distinct(T.all_grams(t, 3))
-    w = Window.partitionBy("source").orderBy("doc_id").rowsBetween(-10, -1)
+    w = Window.partitionBy("source", "__block").orderBy("doc_id").rowsBetween(-10, -1)
     d = table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.size(grams(F.col("text"))).alias("n"))
+    d = St.with_context(d, "source", "doc_id", 10)
     recent = F.filter(F.collect_list(F.struct("n", "text")).over(w), lambda x: near(x["n"], F.col("n")))
-    d = d.withColumn("recent", recent).select("doc_id", "text", "recent", F.when(F.size("recent") > 0, grams(F.col("text"))).alias("g"))
+    d = d.withColumn("recent", recent).filter("__own").select("doc_id", "text", "recent", F.when(F.size("recent") > 0, grams(F.col("text"))).alias("g"))
     similar = F.exists("recent", lambda x: F.size(F.array_intersect("g", grams(x["text"]))) / F.size(F.array_union("g", grams(x["text"]))) > 0.85)
     short = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) <= 2
     boilerplate = F.col("text").startswith("[ERROR") | F.col("text").startswith("Sure,") | F.col("text").startswith("Of course")
@@ -175,10 +174,3 @@ def m2_removal_log(spark, sf_dir):
 def m5_migration(spark, sf_dir):
     mapping = spark.createDataFrame([("en", "general"), ("de", "law")], "lang string, sub_topic string")
     return stores.migrated(table(spark, sf_dir, "documents").select("doc_id", "lang"), mapping, "lang").select("doc_id", "lang", "sub_topic")
-
-
-@query("""WITH c AS (SELECT conv_id, turn, (conv_id * 7 + turn * 3) % 10 / CAST(10 AS DOUBLE) AS salience FROM conversations), r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY salience DESC, turn) AS r FROM c WHERE salience >= 0.3)
-SELECT conv_id, turn, CAST(r AS INTEGER) AS slot FROM r WHERE r <= 2""")
-def n17_memory_context(spark, sf_dir):
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", ((F.col("conv_id") * 7 + F.col("turn") * 3) % 10 / 10.0).alias("salience")).filter("salience >= 0.3")
-    return c.withColumn("slot", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("salience"), "turn"))).filter("slot <= 2").select("conv_id", "turn", "slot")

@@ -107,10 +107,13 @@ _NUM = "nullif(regexp_extract(trim(text, ' '), '(^|[^A-Za-z0-9])([0-9][0-9,]*(\\
 _WORDS = "|".join(vocab.NUMBER_WORDS)
 
 
-@query(f"""SELECT conv_id, turn, CASE WHEN trim(text, ' ') = '' OR starts_with(trim(text, ' '), '[ERROR]') THEN '__error__' ELSE coalesce(replace({_NUM}, ',', ''),
+_CORE = f"""CASE WHEN trim(text, ' ') = '' OR starts_with(trim(text, ' '), '[ERROR]') THEN '__error__' ELSE coalesce(replace({_NUM}, ',', ''),
 CAST(nullif(list_position(string_split('{_WORDS}', '|'), regexp_extract(lower(text), '(^|[^a-z])({_WORDS})($|[^a-z])', 2)), 0) AS VARCHAR),
 nullif(regexp_extract(lower(text), '(^|[^a-z])(paris|euro|dollar)($|[^a-z])', 2), ''), lower(nullif(regexp_extract(trim(text, ' '), '(^|[^A-Za-z])([A-Z][a-z]+ [A-Z][a-z]+)', 2), '')),
-lower(nullif(regexp_extract(trim(text, ' '), '(^|\\s)([A-Z][a-z]{{3,}})(\\s|$|[.,])', 2), '')), trim(lower(substr(trim(text, ' '), 1, 20)), ' ')) END AS core FROM conversations""")
+lower(nullif(regexp_extract(trim(text, ' '), '(^|\\s)([A-Z][a-z]{{3,}})(\\s|$|[.,])', 2), '')), trim(lower(substr(trim(text, ' '), 1, 20)), ' ')) END"""
+
+
+@query(f"SELECT conv_id, turn, {_CORE} AS core FROM conversations")
 def c18_core_proposition(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.core_proposition(F.col("text")).alias("core"))
 

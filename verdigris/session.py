@@ -43,15 +43,35 @@ def ship(spark: SparkSession) -> None:
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors share: the one of spark.checkpoint.dir.
 
-    Without that setting: a temporary folder in local mode, else one in the warehouse.
+    Without that setting: a temporary folder in local mode; on a cluster an error, since parts
+    in machines' own folders could not be read again.
     """
     sc = spark.sparkContext
     folder = spark.conf.get("spark.checkpoint.dir", None) or getattr(sc, "_verdigris_scratch", None)
     if not folder:
-        local = sc.master == "local" or sc.master.startswith("local[")
-        folder = "file://" + tempfile.mkdtemp(prefix="verdigris-") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_verdigris"
-        sc._verdigris_scratch = folder
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = sc._verdigris_scratch = "file://" + tempfile.mkdtemp(prefix="verdigris-")
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    made(spark).append(path)
+    return path
+
+
+def made(spark: SparkSession) -> list[str]:
+    """Paths given out in this session and not removed, oldest first."""
+    sc = spark.sparkContext
+    if getattr(sc, "_verdigris_made", None) is None:
+        sc._verdigris_made = []
+    return sc._verdigris_made
+
+
+def removed(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
+    """Delete the session's own scratch tables given out from a place on, but those to keep; results that read them are gone."""
+    paths = made(spark)
+    for path in [p for p in paths[since:] if p not in keep]:
+        there = spark._jvm.org.apache.hadoop.fs.Path(path)
+        there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
+        paths.remove(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str):

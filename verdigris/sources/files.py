@@ -157,3 +157,26 @@ def migrated(spark: SparkSession, path: str, columns: dict[str, tuple[str, objec
     schema = ", ".join(f"{name} {kind}" for name, (kind, _) in columns.items())
     rows = spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(path)
     return rows.select(*(F.col(n) if default is None else F.coalesce(n, F.lit(default).cast(kind)).alias(n) for n, (kind, default) in columns.items()))
+
+
+def threshold_levels(spark: SparkSession, text: str) -> DataFrame:
+    """(topic, sub, high, medium) of a small nested configuration: topics, and below ``sub_topics`` the sub-topics.
+
+    Lines are ``name:`` or ``high: x`` and ``med: x`` further in; other lines are passed over.
+    """
+    found: dict[tuple, dict[str, float]] = {}
+    at: list[tuple[int, str]] = []
+    for line in text.split("\n"):
+        name, colon, value = line.partition(":")
+        depth = len(line) - len(line.lstrip(" "))
+        if not colon:
+            continue
+        at = [x for x in at if x[0] < depth]
+        if not value.strip():
+            at.append((depth, name.strip()))
+        elif at and name.strip() in ("high", "med"):
+            path = [x for _, x in at]
+            key = (None, int(path[1])) if path[0] == "sub_topics" and len(path) > 1 else (int(path[0]), None)
+            found.setdefault(key, {})[name.strip()] = float(value)
+    rows = [(topic, sub, v.get("high"), v.get("med")) for (topic, sub), v in found.items()]
+    return spark.createDataFrame(rows, "topic long, sub long, high double, medium double")

@@ -75,11 +75,21 @@ def quarantine(events: DataFrame, ttl_seconds: int, most: int) -> DataFrame:
     return events.groupBy("user_id").applyInPandasWithState(run, "user_id long, kept long, has_rejected boolean", "ts array<bigint>, ids array<bigint>, judgments array<string>", "update", GroupStateTimeout.NoTimeout)
 
 
-def to_memory(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and return the sink's rows."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return df.sparkSession.table(name)
+def to_files(df: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there into files, one folder for each batch, and read them.
+
+    A batch that runs again overwrites its own folder. Mode complete gives the last batch, the
+    others all that was emitted.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    df.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    rows = df.sparkSession.read.schema(df.schema.add("batch", "long")).parquet(path)
+    if mode == "complete":
+        rows = rows.filter(F.col("batch") == (rows.agg(F.max("batch")).first()[0] or 0))
+    return rows.drop("batch")
 
 
 def append_log(df: DataFrame, path: str, checkpoint: str) -> None:
