@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages, each on all that the one before kept."""
+"""The corpus pipeline: five stages, each on all that the one before kept.
+
+Defined cases, of all stages: a null or empty text is scored like any other, fails the rules
+and never reaches the later stages; texts of any length are taken whole; ids that repeat are
+one document from the third stage on, where one row of them stays; an empty table gives an
+empty one; extra columns, whatever their names, stay up to the last stage.
+"""
 
 from __future__ import annotations
 
@@ -7,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from verdigris.llm import neardup, packing, pii, quality_model, quality_rules
 from verdigris.llm.common import pii_key, table, written
+from verdigris.session import made, removed
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +55,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on ``documents``; each stage's result is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages on ``documents``; each stage's result is written and read again.
+
+    What the stages before wrote is removed as soon as the next result is there.
+    """
+    docs, since = table(spark, sf_dir, "documents"), len(made(spark))
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        removed(spark, since, keep=(made(spark)[-1],))
     return STAGES[-1][1](spark, docs, sf_dir)
