@@ -58,6 +58,43 @@ def test_classifier_edges(spark):
     assert quality_model.accepted(d, none).columns == d.columns
 
 
+def test_scores_equal_brute_force(spark):
+    """The same model in one piece: all rows at once, and isotonic values by the min-max formula."""
+    rng = random.Random(8)
+    words = ["the", "of", "###", "A1", "tion", "x,", "ÄÖ", "the\n", "42"]
+    docs = [(k, " ".join(rng.choices(words[:4] if k % 3 else words, k=rng.randint(0, 60)))) for k in range(400)]
+    labels = [(k, int((len(t) + k) % 5 > 1)) for k, t in docs if k % 7]
+    got = {r.doc_id: r.score for r in quality_model.scored(frame(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int")).collect()}
+    fold = lambda k: zlib.crc32(str(k).encode()) % 4
+    known = [(k, y) for k, y in labels if fold(k) != 2]
+    x = {k: np.array(quality_model.statistics(t)) for k, t in docs}
+    seen = np.array([x[k] for k, _ in known])
+    mean, scale = seen.mean(0), np.sqrt(np.maximum(seen.var(0), 1e-12))
+    scale[scale < 1e-5] = 1
+    z = {k: quality_model.fourier(((v - mean) / scale)[None], 7)[0] for k, v in x.items()}
+    train = [(z[k], y) for k, y in known if fold(k) != 3]
+    a, b = np.array([v for v, _ in train]), np.array([y for _, y in train])
+    ridge = quality_model.PENALTY * len(b) * np.eye(a.shape[1])
+    ridge[-1, -1] = 0
+    w = np.linalg.solve(a.T @ a + ridge + 1e-9 * np.eye(a.shape[1]), a.T @ b)
+    cells = defaultdict(list)
+    for k, y in known:
+        if fold(k) == 3:
+            raw = z[k] @ w
+            cells[min(max(int((raw + 0.5) / 2 * quality_model.GRID), 0), quality_model.GRID - 1)].append((raw, y))
+    order = sorted(cells)
+    n = np.array([len(cells[c]) for c in order])
+    s = np.array([sum(y for _, y in cells[c]) for c in order])
+    r = np.array([sum(v for v, _ in cells[c]) for c in order])
+    value = [max(min(s[i : j + 1].sum() / n[i : j + 1].sum() for j in range(m, len(n))) for i in range(m + 1)) for m in range(len(n))]
+    pools = [[m for m in range(len(n)) if abs(value[m] - v) < 1e-12] for v in sorted(set(np.round(value, 13)))]
+    knots = [r[p].sum() / n[p].sum() for p in pools]
+    for k in x:
+        raw = z[k] @ w
+        want = np.clip(0.998 * np.interp(raw, knots, [value[p[0]] for p in pools]) + 0.002 * np.clip(raw, 0, 1), 0, 1)
+        assert abs(got[k] - want) < 1e-6, (k, got[k], want)
+
+
 def test_isotonic_is_monotone():
     x, v = quality_model.isotonic(np.arange(6.0), np.ones(6), np.array([0, 1, 0, 1, 1, 0.5]))
     assert (np.diff(v) > 0).all() and (np.diff(x) > 0).all()

@@ -5,7 +5,10 @@ space whose predecessor is not white space. A long text is cut at such places an
 reaches the library whole unless it has none.
 
 Defined cases: a null text counts as empty; an empty text has no tokens, the digests of
-the empty string, and no decoded bytes; repeated rows and null ids stay as they are.
+the empty string, and no decoded bytes; a text of any length is encoded whole; repeated rows
+and null ids stay as they are; an empty table gives an empty table; extra columns stay in
+``encode`` and ``decode``, but for one that bears the name of the new column, which is
+replaced, and are not read by ``round_trip_digests``.
 """
 
 from __future__ import annotations

@@ -11,7 +11,10 @@ ARROW_ROWS, ARROW_BYTES = 1000, 32 << 20
 
 
 def workers_ready(spark: SparkSession) -> None:
-    """Ship the package to the Python workers and bound what one Arrow batch carries."""
+    """Ship the package to the Python workers and bound what one Arrow batch carries.
+
+    This lowers two settings of the session, the rows and the bytes of an Arrow batch.
+    """
     ship(spark)
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(rows)) <= ARROW_ROWS:

@@ -13,7 +13,9 @@ Every document is scored on its whole text.
 Defined cases: a null or empty text has zero statistics and is scored like any other; a
 document with several labels counts once with their mean, rounded; labels that are null
 or of no document are ignored; with no labels, or of one class only, every score is the
-share of class 1 (0.5 without any); an empty table gives an empty table.
+share of class 1 (0.5 without any); texts of any length are read whole; raw scores that tie
+get equal scores; repeated rows are scored each; an empty table gives an empty table; extra
+columns are not read by ``scored`` and stay, whatever their names, in ``accepted``.
 """
 
 from __future__ import annotations
