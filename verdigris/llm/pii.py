@@ -61,9 +61,10 @@ PATTERNS = (
     ("number", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
     ("name", rf"{_START}(?:{_TITLE}\.? {_WORD}(?: {_WORD})?|{_GIVEN} {_WORD})"),
 )
-ANY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-#: A text that lacks all of these has no entity.
-HINT = rf"[@\d]|{_SECRET}|AKIA|(?:{_TITLE}\.?|{_GIVEN}) \p{{Lu}}"
+#: What a mention of a kind may begin with: most characters of a text are passed by these alone.
+_FIRST = {"email": "", "ip6": "(?=[0-9A-Fa-f:])", "iban": "(?=[A-Z])", "secret": "(?=[A-Z0-9a-fskpgx])", "name": r"(?=\p{Lu})"}
+#: Any of the kinds; those that begin with a digit, a plus or a bracket share their test.
+ANY = "|".join([*(f"{_FIRST[k]}(?:{p})" for k, p in PATTERNS[:5] if k != "ip"), r"(?=[\d+(])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS if k in ("ip", "card", "phone", "number")) + ")", f"{_FIRST['name']}(?:{PATTERNS[-1][1]})"])
 #: Around a mention, and before what the text itself holds of the two.
 _MARK, _ESCAPE = "\u0001", "\u0002"
 _TRIES = 40
@@ -191,9 +192,9 @@ def parts_of(text: Column) -> Column:
 
     Marks that the text itself holds are escaped, so that the parts can be joined again.
     """
-    escaped = F.when(text.rlike(f"[{_MARK}{_ESCAPE}]"), F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "\u0004")), F.lit(_MARK), F.lit(_ESCAPE + "\u0003"))).otherwise(text)
+    escaped = F.when(text.contains(_MARK) | text.contains(_ESCAPE), F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "\u0004")), F.lit(_MARK), F.lit(_ESCAPE + "\u0003"))).otherwise(text)
     marked = F.regexp_replace(escaped, ANY, f"{_MARK}$0{_MARK}")
-    return F.when(text.rlike(HINT), F.split(marked, _MARK, -1)).when(text.isNotNull(), F.array(escaped))
+    return F.split(marked, _MARK, -1)
 
 
 def joined(parts: Column) -> Column:
