@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.session import ship
+
 Z = 1.959963984540054
 
 
@@ -33,20 +33,29 @@ def mcnemar(b: Column, c: Column) -> tuple[Column, Column]:
     return chi, F.when(n == 0, 1.0).otherwise(F.least(F.lit(1.0), 2 * tail))
 
 
-def bootstrap(pairs: DataFrame, resamples: int = 1000, seed: str = "b") -> DataFrame:
-    """Percentile interval of the mean difference (id, diff) by hash-drawn Poisson weights.
+def bootstrap(pairs: DataFrame, resamples: int = 10_000, seed: int = 11) -> DataFrame:
+    """Percentile interval of the mean difference (id, diff) by Poisson weights.
 
-    Poisson(1) weights stand for draws with replacement, so every row weighs itself in each
-    resample without a shuffle of rows; only sums per resample are shuffled.
+    Poisson(1) weights stand for draws with replacement; rows of equal difference share one
+    draw, as sums of such weights are Poisson too. So the work follows the distinct differences,
+    and only sums per resample are shuffled. The draws follow from the seed and the difference.
     """
-    u = F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(seed), F.col("id").cast("string"), F.col("resample").cast("string")), 256), 1, 8), 16, 10).cast("double") / 4294967296.0
-    cuts, total = [], 0.0
-    for k in range(8):
-        total += math.exp(-1) / math.factorial(k)
-        cuts.append(total)
-    weight = sum((F.when(u >= c, 1).otherwise(0) for c in cuts[1:]), F.when(u >= cuts[0], 1).otherwise(0))
-    spread = pairs.withColumn("resample", F.explode(F.sequence(F.lit(1), F.lit(resamples)))).withColumn("w", weight)
-    means = spread.groupBy("resample").agg(rate(F.sum(F.col("w") * F.col("diff")), F.sum("w")).alias("m"))
+    ship(pairs.sparkSession)
+    counted = pairs.filter("diff is not null").groupBy(F.col("diff").cast("double").alias("diff")).agg(F.count("*").alias("n"))
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        weight, total = np.zeros(resamples), np.zeros(resamples)
+        for b in batches:
+            for diff, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                w = np.random.default_rng([seed, *np.frombuffer(np.float64(diff).tobytes(), "u4").tolist()]).poisson(n, resamples)
+                weight += w
+                total += w * diff
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(resamples)), pa.array(weight), pa.array(total)], names=["resample", "w", "t"])
+
+    means = counted.mapInArrow(run, "resample long, w double, t double").groupBy("resample").agg(rate(F.sum("t"), F.sum("w")).alias("m"))
     return means.agg(F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 

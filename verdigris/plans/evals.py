@@ -150,7 +150,7 @@ def h13_h15_mcnemar(spark, sf_dir):
 @query()
 def h14_paired_bootstrap(spark, sf_dir):
     diff = paired(spark, sf_dir).select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), (F.col("governed").cast("int") - F.col("raw").cast("int")).alias("diff"))
-    return St.bootstrap(diff, 400)
+    return St.bootstrap(diff)
 
 
 @query(f"WITH {_R} SELECT family, {_d('sum(length(prompt))', 'count(*)')} AS prompt_length, {_d('sum(length(answer))', 'count(*)')} AS answer_length, {_d('count(*) FILTER (date_bound)', 'count(*)')} AS bound_rate FROM rec GROUP BY 1")
