@@ -211,6 +211,11 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), 0)
 
 
+def long_tokens(text: Column, least: int) -> Column:
+    """Distinct tokens of at least so many characters."""
+    return F.array_distinct(F.filter(tokens(text), lambda w: F.length(w) >= least))
+
+
 def overlap(a: Column, b: Column) -> Column:
     """Shared tokens of three characters or more over the smaller set; 0 if one is empty."""
     x, y = (F.array_distinct(F.filter(tokens(t), lambda w: F.length(w) >= 3)) for t in (a, b))

@@ -103,3 +103,32 @@ def fired(turns: Column, first: int, interval: int) -> Column:
     step = lambda a, t: F.when((t >= first) & (t - a["last"] >= interval), F.struct(t.alias("last"), (a["n"] + 1).alias("n"))).otherwise(a)
     start = F.struct(F.lit(-interval).cast("long").alias("last"), F.lit(0).alias("n"))
     return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(turns, F.lit(1)).cast("long")), start, step, lambda a: a["n"])
+
+
+def before_turns(users: DataFrame) -> DataFrame:
+    """Add what a session's user turns (conv_id, turn, cues, tokens, label) before each showed: had, n, baseline, before.
+
+    The lists grow with the session: for sessions of some hundreds of turns.
+    """
+    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    listed = users.withColumns({"had": F.flatten(F.collect_list("cues").over(w)), "n": F.count("*").over(w), "labels": F.collect_list("label").over(w), "before": F.flatten(F.collect_list("tokens").over(w))})
+    return listed.withColumn("baseline", F.aggregate("labels", F.lit(0.0), lambda a, x: 0.75 * a + 0.25 * x)).drop("labels")
+
+
+def adoption_score(turns: DataFrame) -> tuple[Column, Column]:
+    """(score, lexical overlap) of user turns of ``before_turns`` with the frame before them.
+
+    Overlap, from 0.25 on in proportion and from 0.45 on in full; a cue, more if it was given
+    before, less if only carried on; a theme (a token of two earlier turns) in the turn and in the
+    frame, or in the turn alone; a level of abstraction near the session's.
+    """
+    from verdigris.functions.text import long_tokens, overlap
+
+    c = {name: F.col(name) for name in turns.columns}
+    lexical = overlap(c["text"], c["frame"])
+    theme = F.filter(c["tokens"], lambda t: F.size(F.filter("before", lambda x: x == t)) >= 2)
+    words = first_match([(lexical >= 0.45, 0.4), (lexical >= 0.25, 0.4 * (lexical - 0.25) / 0.2)], 0.0)
+    framing = first_match([((F.size("cues") > 0) & F.arrays_overlap("cues", "had"), 0.40), (F.size("cues") > 0, 0.25), ((F.size("had") > 0) & (c["n"] >= 3), 0.10)], 0.0)
+    topic = first_match([(F.arrays_overlap(theme, long_tokens(c["frame"], 5)), 0.2), (F.size(theme) > 0, 0.1)], 0.0)
+    level = F.when(F.abs(c["label"] - c["baseline"]) <= 1, 0.1).otherwise(0.0)
+    return words + framing + topic + level, lexical

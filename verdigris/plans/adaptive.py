@@ -17,7 +17,7 @@ from verdigris.plans.flagship import _PATTERNS, patterns
 from verdigris.plans.scores import _ROUTED, _SCORED, routed, scored
 from verdigris.plans.texts import _CORE, _has, _key_sql
 from verdigris.session import scratch
-from verdigris.sources import files
+from verdigris.sources import extract, files
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -209,3 +209,43 @@ def a15_e18_loaded_thresholds(spark, sf_dir):
     """Thresholds of a nested configuration, by topic and sub-topic, resolved for every pattern."""
     levels = files.threshold_levels(spark, _YAML)
     return V.with_thresholds(patterns(spark, sf_dir)[0], levels).select("label", "high", "medium")
+
+
+_CUES = {"brief": ("was", "with", "for"), "formal": ("and", "this", "that")}
+_CUE_SQL = "list_filter([" + ", ".join(f"CASE WHEN {_has(w)} THEN '{name}' END" for name, w in _CUES.items()) + "], lambda x: x IS NOT NULL)"
+_TOKENS = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda t: length(t) >= {1}))"
+
+
+@query(f"""WITH u AS (SELECT conv_id, turn, text, {_CUE_SQL} AS cues, {_TOKENS.format('text', 5)} AS tokens, CASE WHEN {_has(('not',))} THEN 2.0 WHEN {_has(('of', 'the'))} THEN 1.0 ELSE 0.0 END::DOUBLE AS label FROM conversations WHERE role = 'user'),
+h AS (SELECT *, coalesce(flatten(list(cues) OVER w), []) AS had, count(*) OVER w AS n, coalesce(list_reduce(list_prepend(CAST(0 AS DOUBLE), list(label) OVER w), lambda a, x: CAST(0.75 AS DOUBLE) * a + CAST(0.25 AS DOUBLE) * x), 0) AS baseline, coalesce(flatten(list(tokens) OVER w), []) AS before FROM u WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+p AS (SELECT h.*, f.text AS frame, {_TOKENS.format('h.text', 3)} AS a, {_TOKENS.format('f.text', 3)} AS b, list_filter(tokens, lambda t: len(list_filter(before, lambda x: x = t)) >= 2) AS theme FROM h JOIN conversations f ON f.conv_id = h.conv_id AND f.turn = h.turn - 1 AND f.role = 'assistant'),
+l AS (SELECT *, coalesce(len(list_intersect(a, b)) / CAST(nullif(least(len(a), len(b)), 0) AS DOUBLE), 0) AS lex FROM p),
+s AS (SELECT *, CASE WHEN lex >= 0.45 THEN 0.4 WHEN lex >= 0.25 THEN 0.4 * (lex - 0.25) / 0.2 ELSE 0 END + CASE WHEN len(cues) > 0 THEN 0.25 + CASE WHEN len(list_intersect(cues, had)) > 0 THEN 0.15 ELSE 0 END WHEN len(had) > 0 AND n >= 3 THEN 0.10 ELSE 0 END + CASE WHEN len(list_intersect(theme, {_TOKENS.format('frame', 5)})) > 0 THEN 0.2 WHEN len(theme) > 0 THEN 0.1 ELSE 0 END + CASE WHEN abs(label - baseline) <= 1 THEN 0.1 ELSE 0 END AS score FROM l)
+SELECT conv_id, turn, CAST(round(score, 4) AS DOUBLE) AS score, CASE WHEN {_has(('or',))} THEN 'rejected' WHEN lex >= 0.45 OR round(score, 4) >= 0.4 THEN 'adopted' ELSE 'ignored' END AS outcome FROM s""")
+def f3_adoption(spark, sf_dir):
+    """Whether a user takes up the frame of the reply before: eight weighted signals, or plain overlap; a correction rejects it.
+
+    What the session showed before (cues, themes, level of abstraction) comes from windows over
+    its user turns.
+    """
+    c = table(spark, sf_dir, "conversations")
+    t = F.col("text")
+    label = S.first_match([(vocab.has(t, ("not",)), 2.0), (vocab.has(t, ("of", "the")), 1.0)], 0.0)
+    users = c.filter("role = 'user'").select("conv_id", "turn", "text", T.cues(t, _CUES).alias("cues"), T.long_tokens(t, 5).alias("tokens"), label.alias("label"))
+    state = folds.before_turns(users)
+    frames = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("frame"))
+    score, lexical = folds.adoption_score(state.join(frames, ["conv_id", "turn"]))
+    scored_ = state.join(frames, ["conv_id", "turn"]).select("conv_id", "turn", "text", F.round(score, 4).alias("score"), lexical.alias("lex"))
+    outcome = S.first_match([(vocab.has(t, ("or",)), "rejected"), ((F.col("lex") >= 0.45) | (F.col("score") >= 0.4), "adopted")], "ignored")
+    return scored_.select("conv_id", "turn", "score", outcome.alias("outcome"))
+
+
+@query("""WITH r AS (SELECT page_id, 'p' || CAST(page_id AS VARCHAR) || CASE page_id % 4 WHEN 0 THEN '.html' WHEN 1 THEN '.csv' WHEN 2 THEN '.json' ELSE '.txt' END AS name, CASE page_id % 4 WHEN 0 THEN '<p>one <b>two</b></p><script>x</script>' WHEN 1 THEN 'a,b' || chr(10) || 'c,' || url WHEN 2 THEN '{"k": ["v", {"u": "' || url || '"}]}' ELSE url END AS raw FROM pages)
+SELECT name, CASE page_id % 4 WHEN 0 THEN 'one two' WHEN 1 THEN 'a | b' || chr(10) || 'c | ' || url WHEN 2 THEN 'v' || chr(10) || 'u: ' || url ELSE url END AS text FROM r JOIN pages USING (page_id)""")
+def a5_extracted_kinds(spark, sf_dir):
+    """Text of files of four kinds from their content: pages without tags, rows as cells between bars, JSON as its leaves with their names."""
+    k, url = F.col("page_id") % 4, F.col("url")
+    kinds = ("html", "csv", "json", "txt")
+    name = F.concat(F.lit("p"), F.col("page_id").cast("string"), S.first_match([(k == i, F.lit("." + x)) for i, x in enumerate(kinds)], ""))
+    raw = S.first_match([(k == 0, F.lit("<p>one <b>two</b></p><script>x</script>")), (k == 1, F.concat(F.lit("a,b\nc,"), url)), (k == 2, F.concat(F.lit('{"k": ["v", {"u": "'), url, F.lit('"}]}')))], url)
+    return extract.of_contents(table(spark, sf_dir, "pages").select(name.alias("path"), raw.cast("binary").alias("content"))).select(F.col("member").alias("name"), "text")

@@ -63,17 +63,6 @@ def f2_f6_user_map(spark, sf_dir):
     return e.select("conv_id", F.round("ema", 9).alias("abstraction"), (F.col("n") < 3).alias("cold_start"), S.first_match([(F.col("n") < 3, "cold"), ((F.col("ema") >= 0.55) & (F.col("n") >= 5), "promotable")], "wait").alias("checkpoint"))
 
 
-@query("""WITH a AS (SELECT conv_id, turn, role, length(text) AS n, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS prev, text FROM conversations), o AS (SELECT conv_id, turn, len(list_intersect(list_distinct(string_split(lower(text), ' ')), list_distinct(string_split(lower(prev), ' ')))) / CAST(least(len(list_distinct(string_split(lower(text), ' '))), len(list_distinct(string_split(lower(prev), ' ')))) AS DOUBLE) AS overlap, n FROM a WHERE prev IS NOT NULL)
-SELECT conv_id, turn, overlap >= 0.45 OR (CASE WHEN n > 100 THEN 0.2 ELSE 0 END + CASE WHEN turn % 2 = 0 THEN 0.2 ELSE 0 END) >= 0.4 AS adopted FROM o""")
-def f3_adoption(spark, sf_dir):
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    words = lambda c: F.array_distinct(F.split(F.lower(c), " "))
-    c = table(spark, sf_dir, "conversations").withColumn("prev", F.lag("text").over(w)).filter("prev is not null")
-    overlap = F.size(F.array_intersect(words("text"), words("prev"))) / F.least(F.size(words("text")), F.size(words("prev")))
-    score = F.when(F.length("text") > 100, F.lit(20)).otherwise(0) + F.when(F.col("turn") % 2 == 0, F.lit(20)).otherwise(0)
-    return c.select("conv_id", "turn", ((overlap >= 0.45) | (score >= 40)).alias("adopted"))
-
-
 @query("""WITH k AS (SELECT user_id, event_id, event_type, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS run FROM i)
 SELECT user_id, event_id, CAST(run AS INTEGER) AS run FROM r WHERE run >= 2""")
 def f7_n15_confirmations(spark, sf_dir):

@@ -119,14 +119,25 @@ READERS: dict[str, Callable[[bytes], str]] = {
 }
 
 
-def extracted(name: str, raw: bytes, depth: int = 0) -> list[tuple[str, str | None]]:
-    """(member path, text) of a file; several for an archive, null text where it can't be read."""
+def extracted(name: str, raw: bytes, depth: int = 0, deepest: int | None = DEPTH, most_bytes: int | None = MOST_BYTES) -> list[tuple[str, str | None]]:
+    """(member path, text) of a file; several for an archive, null text where it can't be read.
+
+    An archive deeper than ``deepest``, and a member that would unpack to more than
+    ``most_bytes``, is one row with null text, so that it can be counted and read again with
+    the bound None, which is none.
+    """
     kind = PurePosixPath(name).suffix.lower().lstrip(".")
-    if kind == "zip" and depth < DEPTH:
+    if kind == "zip" and (deepest is None or depth < deepest):
         try:
             with zipfile.ZipFile(io.BytesIO(raw)) as z:
-                inner = [i for i in z.infolist() if not i.is_dir() and i.file_size <= MOST_BYTES]
-                return [x for i in inner for x in extracted(f"{name}!{i.filename}", z.read(i), depth + 1)]
+                found: list[tuple[str, str | None]] = []
+                for i in z.infolist():
+                    member = f"{name}!{i.filename}"
+                    if most_bytes is not None and i.file_size > most_bytes:
+                        found.append((member, None))
+                    elif not i.is_dir():
+                        found += extracted(member, z.read(i), depth + 1, deepest, most_bytes)
+                return found
         except (zipfile.BadZipFile, RuntimeError):
             return [(name, None)]
     try:
@@ -135,21 +146,29 @@ def extracted(name: str, raw: bytes, depth: int = 0) -> list[tuple[str, str | No
         return [(name, None)]
 
 
-def extract(spark: SparkSession, folder: str) -> DataFrame:
+def extract(spark: SparkSession, folder: str, deepest: int | None = DEPTH, most_bytes: int | None = MOST_BYTES) -> DataFrame:
     """(path, member, text, hash) of every file below a folder."""
-    ship(spark)
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
+    return of_contents(found, deepest, most_bytes)
+
+
+def of_contents(found: DataFrame, deepest: int | None = DEPTH, most_bytes: int | None = MOST_BYTES) -> DataFrame:
+    """(path, member, text, hash) of files given as (path, content)."""
+    ship(found.sparkSession)
 
     def run(batches):
         import hashlib
 
         import pyarrow as pa
 
+        kind = pa.schema([(c, pa.string()) for c in ("path", "member", "text", "hash")])
         for b in batches:
             for path, raw in zip(b.column(0).to_pylist(), b.column(1), strict=True):
                 content = raw.as_py()
+                if content is None:
+                    continue
                 digest = hashlib.sha256(content).hexdigest()
-                rows = extracted(PurePosixPath(path).name, content)
-                yield pa.RecordBatch.from_pylist([{"path": path, "member": m, "text": t, "hash": digest} for m, t in rows], pa.schema([("path", pa.string()), ("member", pa.string()), ("text", pa.string()), ("hash", pa.string())]))
+                rows = extracted(PurePosixPath(path).name, content, 0, deepest, most_bytes)
+                yield pa.RecordBatch.from_pylist([{"path": path, "member": m, "text": t, "hash": digest} for m, t in rows], kind)
 
-    return files.mapInArrow(run, "path string, member string, text string, hash string").filter(F.col("member").isNotNull())
+    return found.select("path", "content").mapInArrow(run, "path string, member string, text string, hash string").filter(F.col("member").isNotNull())
