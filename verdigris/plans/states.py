@@ -57,7 +57,7 @@ def f2_theme_weights(spark, sf_dir):
 
 @query(f"""WITH g AS (SELECT conv_id, list(CASE WHEN {_has(('was', 'with', 'for'))} THEN CAST(1 AS DOUBLE) ELSE 0 END ORDER BY turn) AS v, count(*) AS n FROM conversations GROUP BY 1), e AS (SELECT conv_id, n, list_reduce(list_prepend(CAST(0.5 AS DOUBLE), v), lambda a, x: CAST(0.75 AS DOUBLE) * a + CAST(0.25 AS DOUBLE) * x) AS e FROM g)
 SELECT conv_id, round(e, 9) AS abstraction, n < 3 AS cold_start, CASE WHEN n < 3 THEN 'cold' WHEN e >= 0.55 AND n >= 5 THEN 'promotable' ELSE 'wait' END AS checkpoint FROM e""")
-def f2_f6_user_map(spark, sf_dir):
+def f2_user_map(spark, sf_dir):
     v = F.when(vocab.has(F.col("text"), vocab.PROBE_VOLATILE), 1.0).otherwise(0.0)
     e = folds.ema(table(spark, sf_dir, "conversations"), "conv_id", "turn", v, 0.75, 0.5)
     return e.select("conv_id", F.round("ema", 9).alias("abstraction"), (F.col("n") < 3).alias("cold_start"), S.first_match([(F.col("n") < 3, "cold"), ((F.col("ema") >= 0.55) & (F.col("n") >= 5), "promotable")], "wait").alias("checkpoint"))
