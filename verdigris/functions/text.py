@@ -371,7 +371,7 @@ def window_hits(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda k: F.struct(F.xxhash64(*at(k)).alias("a"), F.xxhash64(F.lit(1), *at(k)).alias("b")))
 
     def rolled(df: DataFrame, key: str) -> DataFrame:
-        return words(df, key).filter(F.size("w") >= n).select(key, F.explode(F.array_distinct(windows)).alias("g")).select(key, "g.a", "g.b")
+        return words(df, key).filter(F.size("w") >= n).select(key, F.explode(windows).alias("g")).select(key, "g.a", "g.b")
 
     long = rolled(docs, "doc_id").join(rolled(items, "item_id"), ["a", "b"]).select("doc_id", "item_id")
     padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
