@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.llm import bpe, knn, licenses, neardup, packing, pii, quality_model, quality_rules, token_fst, url_filter
+from verdigris.llm import ball_kmeans, bpe, html_text, knn, licenses, neardup, packing, pii, quality_model, quality_rules, token_fst, trie, url_filter
 from verdigris.llm.common import pii_key, table
 from verdigris.llm.sql import SQL
 
@@ -55,6 +55,18 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ball_kmeans.ball_k_means(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dim=64, seed="3")
+
+
+def op12_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"), most=3, block=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
