@@ -51,9 +51,6 @@ def test_approximate_search_recalls_nine_of_ten(spark, sf_dir):
     found = registry.queries()["e5_recall_of_approximate_search"](spark, sf_dir.replace("0.001", "0.01"))
     n, mean = found.agg(F.count("*"), F.avg("recall")).first()
     assert n > 20 and mean >= 0.9
-    rows, v = vectors(spark, 100)
-    cells = V.in_cells(v.filter("size(embedding) = 8 and vec_id is not null"), "vec_id", "embedding", np.eye(8)[:4])
-    assert cells.count() == 102  # every vector is in the index
 
 
 def test_window_hits_equal_brute_force(spark):

@@ -341,49 +341,3 @@ def two_gates(positive: DataFrame, negative: DataFrame, p: float, n: float) -> D
     a = positive.groupBy("query_id").agg(F.max("score").alias("p"))
     b = negative.groupBy("query_id").agg(F.max("score").alias("n"))
     return a.join(b, "query_id").select("query_id", ((F.col("p") < p) & (F.col("n") < n)).alias("accepted"))
-
-
-#: Rows on which the cells are fitted at most, cells, and cells that a query looks into.
-FIT_ROWS, CELLS, PROBES = 20_000, 32, 20
-
-
-def fitted_cells(vectors: DataFrame, n: int = CELLS, max_rows: int = FIT_ROWS, seed: int = 3) -> np.ndarray:
-    """Centroids of the directions of a bounded sample of the vectors, taken by hash: the k-means of Spark."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    unit = vectors.filter("embedding is not null").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x")).withColumn("n", norm(F.col("x"))).filter("n > 0")
-    sample = unit.orderBy(F.xxhash64("vec_id"), "vec_id").limit(max_rows).select(array_to_vector(F.transform("x", lambda x: x / F.col("n"))).alias("features"))
-    return np.array(KMeans(k=n, seed=seed, maxIter=15).fit(sample).clusterCenters())
-
-
-def in_cells(rows: DataFrame, id_: str, vector: str, centroids: np.ndarray, probes: int = 1) -> DataFrame:
-    """(id, cell) of each row's nearest cells by direction; every row has one. The centroids are a fixed number."""
-    ship(rows.sparkSession)
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            if b.num_rows:
-                x = np.array(b.column(1).to_pylist(), "f8").reshape(b.num_rows, -1)
-                x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-                far = (centroids**2).sum(axis=1)[None, :] - 2 * x @ centroids.T
-                order = np.argsort(far, axis=1, kind="stable")[:, :probes]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), order.shape[1])), pa.array(order.ravel().astype("i4"))], names=["id", "cell"])
-
-    return rows.filter(F.col(vector).isNotNull()).select(F.col(id_).cast("long").alias("id"), vector).mapInArrow(run, "id long, cell int")
-
-
-def ivf_top_k(queries: DataFrame, vectors: DataFrame, centroids: np.ndarray, probes: int, k: int) -> DataFrame:
-    """Approximate top-k: queries meet the vectors of their nearest cells only, an equi-join on the cell.
-
-    Every vector is in the index; scores are exact. A table partitioned by cell lets the join
-    skip the other cells' files.
-    """
-    home = in_cells(vectors, "vec_id", "embedding", centroids).select(F.col("id").alias("vec_id"), "cell")
-    probe = in_cells(queries, "query_id", "q", centroids, probes).select(F.col("id").alias("query_id"), "cell")
-    left = queries.select("query_id", "q").withColumn("nq", norm(F.col("q"))).join(probe, "query_id")
-    right = vectors.select("vec_id", "embedding", "label").withColumn("nv", norm(F.col("embedding"))).join(home, "vec_id")
-    scored = left.join(right, "cell").filter("query_id != vec_id").withColumn("score", cosine(F.col("q"), F.col("embedding"), F.col("nq"), F.col("nv")))
-    return top_k(scored.select("query_id", "vec_id", "label", "score"), k)

@@ -7,11 +7,13 @@ from pyspark.sql import functions as F
 from verdigris import vocab
 from verdigris.functions import scoring as S
 from verdigris.functions import text as T
+from verdigris.operators import ann
 from verdigris.operators import vectors as V
 from verdigris.plans.base import registrar, table
 from verdigris.plans.flagship import _SIMS, _library
 from verdigris.plans.scores import _SCORED, routed, scored, _ROUTED
 from verdigris.plans.texts import _has
+from verdigris.session import scratch
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -20,16 +22,30 @@ query = registrar(QUERIES, SQL)
 
 @query()
 def e4_ivf_search(spark, sf_dir):
-    """Approximate top five over all vectors; the cells are fitted, so a test measures the recall instead of SQL."""
+    """Approximate top five over all vectors by quantised codes; the model is fitted, so a test measures the recall instead of SQL."""
     queries, library, _ = _library(spark, sf_dir)
-    return V.ivf_top_k(queries, library, V.fitted_cells(library), V.PROBES, 5).select("query_id", "rank", "vec_id", "score")
+    model = ann.fitted(library)
+    return ann.approximate_top_k(queries, library, ann.encoded(library, model), model, 5).select("query_id", "rank", "vec_id", "score")
 
 
 @query()
 def e5_recall_of_approximate_search(spark, sf_dir):
     """Share of each query's exact top ten that the approximate search finds."""
     queries, library, _ = _library(spark, sf_dir)
-    return V.recall(V.nearest(queries, library, 10), V.ivf_top_k(queries, library, V.fitted_cells(library), V.PROBES, 10))
+    model = ann.fitted(library)
+    return V.recall(V.nearest(queries, library, 10), ann.approximate_top_k(queries, library, ann.encoded(library, model), model, 10))
+
+
+@query("""WITH p AS (SELECT vec_id % 4 AS part, count(*) AS rows, sum(vec_id) AS ids FROM embeddings GROUP BY 1) SELECT CAST(part AS INTEGER) AS part, rows, CAST(ids AS BIGINT) AS ids, (SELECT count(*) FROM embeddings) AS merged, TRUE AS resumed FROM p""")
+def a11_index_build(spark, sf_dir):
+    """An index built in four parts that stops after two and goes on: each part's rows in the merged table."""
+    vectors, path = table(spark, sf_dir, "embeddings"), scratch(spark, "index")
+    first = ann.build(vectors, path, parts=4, stop_after=2)
+    rest = ann.build(vectors, path, parts=4)
+    resumed = first["built"] == [0, 1] and rest["built"] == [2, 3] and not rest["fitted"]
+    codes, _ = ann.opened(spark, path)
+    found = codes.groupBy((F.col("vec_id") % 4).cast("int").alias("part")).agg(F.count("*").alias("n"), F.sum("vec_id").alias("ids"))
+    return ann.progress(spark, path).join(found, "part").filter("n = rows").select("part", "rows", "ids", F.lit(codes.count()).alias("merged"), F.lit(resumed).alias("resumed"))
 
 
 @query(f"WITH {_SIMS}, r AS (SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM sims WHERE label % 2 = 1) SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 3")
