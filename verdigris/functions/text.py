@@ -232,8 +232,7 @@ def all_grams(text: Column, n: int) -> Column:
 
 def grams(text: Column, n: int = 3) -> Column:
     """Distinct character n-grams; a shorter text is its own only one."""
-    long = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda k: F.substring(text, k, F.lit(n))))
-    return F.when(F.length(text) >= n, long).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.length(text) >= n, F.array_distinct(all_grams(text, n))).when(F.length(text) > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
 def gram_jaccard(a: Column, b: Column, n: int = 3) -> Column:
@@ -364,20 +363,25 @@ def window_hits(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     """Distinct (doc_id, item_id) where n words in a row of an item, lower-cased, stand in a document.
 
     An item of fewer words counts where all of it stands. Windows of both sides meet on 128
-    bits of hashes, an equi-join; only for short items are texts searched one by one.
+    bits of hashes, an equi-join for each length of an item under n words, and one for n; each
+    side has a window once for each text. Repeated white space is one space, words lie between.
     """
-    words = lambda df, key: df.select(key, F.split(F.lower("text"), r"\s+").alias("w"))
-    at = lambda k: [F.get("w", k + j) for j in range(n)]
-    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - n, F.lit(0))), lambda k: F.struct(F.xxhash64(*at(k)).alias("a"), F.xxhash64(F.lit(1), *at(k)).alias("b")))
-
-    def rolled(df: DataFrame, key: str) -> DataFrame:
-        return words(df, key).filter(F.size("w") >= n).select(key, F.explode(windows).alias("g")).select(key, "g.a", "g.b")
-
-    long = rolled(docs, "doc_id").join(rolled(items, "item_id"), ["a", "b"]).select("doc_id", "item_id")
-    padded = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    short = words(items, "item_id").filter(F.size("w") < n).select("item_id", padded("w").alias("term"))
-    found = words(docs, "doc_id").select("doc_id", padded("w").alias("t")).join(short, F.contains("t", "term")).select("doc_id", "item_id")
-    return long.union(found).distinct()
+    flat = lambda df, key: df.select(key, F.regexp_replace(F.lower("text"), r"\s+", " ").alias("t")).withColumn("words", F.size(F.split("t", " ")))
+    left, right = flat(docs, "doc_id"), flat(items, "item_id")
+
+    def windows(df: DataFrame, key: str, length: int) -> DataFrame:
+        # At each start of a word it looks ahead, so the time follows the length of the text.
+        found = F.array_distinct(F.regexp_extract_all("t", F.lit(rf"(?<![^ ])(?=([^ ]*(?: [^ ]*){{{length - 1}}})(?![^ ]))"), 1))
+        return df.filter(F.col("words") >= length).select(key, F.explode(found).alias("g")).select(key, F.xxhash64("g").alias("a"), F.xxhash64(F.lit(1), "g").alias("b"))
+
+    # At most n numbers.
+    lengths = sorted(r["n"] for r in right.select(F.least("words", F.lit(n)).alias("n")).filter("n > 0").distinct().collect())
+    found = None
+    for length in lengths:
+        own = right if length == n else right.filter(F.col("words") == length)
+        hits = windows(left, "doc_id", length).join(windows(own, "item_id", length), ["a", "b"]).select("doc_id", "item_id")
+        found = hits if found is None else found.union(hits)
+    return left.join(right.limit(0), F.lit(False)).select("doc_id", "item_id") if found is None else found.distinct()
 
 
 def reply_language(text: Column) -> Column:

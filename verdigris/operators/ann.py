@@ -129,9 +129,10 @@ MODEL = "c_shape array<int>, centroids array<double>, b_shape array<int>, codebo
 
 
 def loaded_model(rows: DataFrame) -> Model:
-    r = rows.first()
-    if r is None:
+    found = rows.collect()
+    if not found:
         return Model(np.zeros((1, 1)), np.zeros((1, 1, 1)))
+    r = found[0]
     return Model(np.array(r["centroids"]).reshape(r["c_shape"]), np.array(r["codebooks"]).reshape(r["b_shape"]))
 
 

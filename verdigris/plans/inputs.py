@@ -55,12 +55,12 @@ def a9_random_access(spark, sf_dir):
     return files.by_rowid(d.select(F.col("doc_id").alias("rowid"), "lang"), wanted).select("rowid", "pos", "lang")
 
 
-@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS dense FROM documents WHERE lang <> 'en'")
+@query("SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS dense FROM documents")
 def a10_dense_ids(spark, sf_dir):
     """Dense ids without one global sort task: counts per hash range, then a rank within each."""
     from pyspark.sql import Window
 
-    d = table(spark, sf_dir, "documents").filter("lang != 'en'").select("doc_id", F.expr("doc_id div 1000").alias("r"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.expr("doc_id div 1000").alias("r"))
     before = d.groupBy("r").agg(F.count("*").alias("c")).withColumn("before", F.sum("c").over(Window.partitionBy(F.lit(1)).orderBy("r")) - F.col("c"))
     rank = F.row_number().over(Window.partitionBy("r").orderBy("doc_id"))
     return d.join(before.select("r", "before"), "r").select("doc_id", (F.col("before") + rank - 1).alias("dense"))

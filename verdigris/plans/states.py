@@ -86,16 +86,19 @@ def j6_lint_against_recent(spark, sf_dir):
     The Jaccard is at most the ratio of the set sizes, so only texts of like size are compared.
     """
     near = lambda a, b: F.least(a, b) / F.nullif(F.greatest(a, b), F.lit(0)) > 0.85
-    grams = lambda t: F.array_distinct(T.all_grams(t, 3))
+    grams = lambda t: F.array_distinct(T.all_grams(F.col(t), 3))
+    d = table(spark, sf_dir, "documents")
+    # Only sizes go through the window; texts meet for pairs of like size.
+    sizes = St.with_context(d.select("source", "doc_id", F.size(grams("text")).alias("n")), "source", "doc_id", 10)
     w = Window.partitionBy("source", "__block").orderBy("doc_id").rowsBetween(-10, -1)
-    d = table(spark, sf_dir, "documents").select("source", "doc_id", "text", F.size(grams(F.col("text"))).alias("n"))
-    d = St.with_context(d, "source", "doc_id", 10)
-    recent = F.filter(F.collect_list(F.struct("n", "text")).over(w), lambda x: near(x["n"], F.col("n")))
-    d = d.withColumn("recent", recent).filter("__own").select("doc_id", "text", "recent", F.when(F.size("recent") > 0, grams(F.col("text"))).alias("g"))
-    similar = F.exists("recent", lambda x: F.size(F.array_intersect("g", grams(x["text"]))) / F.size(F.array_union("g", grams(x["text"]))) > 0.85)
+    recent = F.filter(F.collect_list(F.struct("n", "doc_id")).over(w), lambda x: near(x["n"], F.col("n")))
+    pairs = sizes.withColumn("recent", recent).filter("__own").select("doc_id", "n", F.explode("recent").alias("r")).select("doc_id", "n", F.col("r.doc_id").alias("other"), F.col("r.n").alias("m"))
+    both = pairs.join(d.select("doc_id", "text"), "doc_id").join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("before")), "other")
+    shared = F.size(F.array_intersect(grams("text"), grams("before")))
+    alike = both.withColumn("shared", shared).filter("shared / cast(n + m - shared as double) > 0.85").select("doc_id").distinct().withColumn("similar", F.lit(True))
     short = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) <= 2
     boilerplate = F.col("text").startswith("[ERROR") | F.col("text").startswith("Sure,") | F.col("text").startswith("Of course")
-    return d.select("doc_id", F.coalesce(short | boilerplate | similar, F.lit(False)).alias("rejected"))
+    return d.join(alike, "doc_id", "left").select("doc_id", F.coalesce(short | boilerplate | F.coalesce("similar", F.lit(False)), F.lit(False)).alias("rejected"))
 
 
 @query("""WITH n AS (SELECT max(ts) AS now FROM events), q AS (SELECT user_id, event_id, ts, CASE WHEN event_type IN ('click', 'view', 'purchase') THEN event_type ELSE 'rejected' END AS judgment, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events, n WHERE NOT now - ts > INTERVAL 6 HOUR)
