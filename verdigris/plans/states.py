@@ -12,6 +12,7 @@ from verdigris.operators import folds, stores
 from verdigris.operators import statistics as St
 from verdigris.plans.base import registrar, table
 from verdigris.plans.texts import _has
+from verdigris.session import scratch
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -86,16 +87,19 @@ def j6_lint_against_recent(spark, sf_dir):
     The Jaccard is at most the ratio of the set sizes, so only texts of like size are compared.
     """
     near = lambda a, b: F.least(a, b) / F.nullif(F.greatest(a, b), F.lit(0)) > 0.85
-    grams = lambda t: F.array_distinct(T.all_grams(F.col(t), 3))
     d = table(spark, sf_dir, "documents")
-    # Only sizes go through the window; texts meet for pairs of like size.
-    sizes = St.with_context(d.select("source", "doc_id", F.size(grams("text")).alias("n")), "source", "doc_id", 10)
+    # The grams of a text are found once, as hashes; only their number goes through the window.
+    grams = d.select("source", "doc_id", F.transform(F.array_distinct(T.all_grams(F.col("text"), 3)), lambda g: F.xxhash64(g)).alias("g"))
+    path = scratch(spark, "grams")
+    grams.withColumn("n", F.size("g")).write.parquet(path)
+    grams = spark.read.parquet(path)
+    sizes = St.with_context(grams.select("source", "doc_id", "n"), "source", "doc_id", 10)
     w = Window.partitionBy("source", "__block").orderBy("doc_id").rowsBetween(-10, -1)
     recent = F.filter(F.collect_list(F.struct("n", "doc_id")).over(w), lambda x: near(x["n"], F.col("n")))
-    pairs = sizes.withColumn("recent", recent).filter("__own").select("doc_id", "n", F.explode("recent").alias("r")).select("doc_id", "n", F.col("r.doc_id").alias("other"), F.col("r.n").alias("m"))
-    both = pairs.join(d.select("doc_id", "text"), "doc_id").join(d.select(F.col("doc_id").alias("other"), F.col("text").alias("before")), "other")
-    shared = F.size(F.array_intersect(grams("text"), grams("before")))
-    alike = both.withColumn("shared", shared).filter("shared / cast(n + m - shared as double) > 0.85").select("doc_id").distinct().withColumn("similar", F.lit(True))
+    pairs = sizes.withColumn("recent", recent).filter("__own").select("doc_id", F.col("n").alias("size"), F.explode("recent").alias("r")).select("doc_id", "size", F.col("r.doc_id").alias("other"), F.col("r.n").alias("m"))
+    both = pairs.join(grams.select("doc_id", "g"), "doc_id").join(grams.select(F.col("doc_id").alias("other"), F.col("g").alias("before")), "other")
+    # Shared / all > 0.85 in whole numbers, with all = sizes - shared.
+    alike = both.filter(185 * F.size(F.array_intersect("g", "before")) > 85 * (F.col("size") + F.col("m"))).select("doc_id").distinct().withColumn("similar", F.lit(True))
     short = F.length(F.regexp_replace("text", r"(?U)^\s+|\s+$", "")) <= 2
     boilerplate = F.col("text").startswith("[ERROR") | F.col("text").startswith("Sure,") | F.col("text").startswith("Of course")
     return d.join(alike, "doc_id", "left").select("doc_id", F.coalesce(short | boilerplate | F.coalesce("similar", F.lit(False)), F.lit(False)).alias("rejected"))
