@@ -13,12 +13,15 @@ def aliases(words: DataFrame, table: DataFrame) -> DataFrame:
     """
     w = F.lower(F.trim("word"))
     form = lambda p, x: F.struct(F.lit(p).alias("priority"), x.alias("alias"))
-    capitals = F.transform(F.regexp_extract_all("word", F.lit(r"\b[A-Z]{2,}\b"), 0), lambda t: form(4, F.lower(t)))
+    # Tokens in upper case, of two characters or more, less the punctuation around them.
+    bare = F.transform(F.split("word", r"[ \t\n\r\f]+"), lambda t: F.regexp_replace(t, r"""^[,.?!:;'"()\[\]]+|[,.?!:;'"()\[\]]+$""", ""))
+    upper = F.filter(bare, lambda t: (F.length(t) >= 2) & (t == F.upper(t)) & (t != F.lower(t)))
+    capitals = F.transform(upper, lambda t, i: F.struct((i + 4).alias("priority"), F.lower(t).alias("alias")))
     forms = F.concat(
         F.array(form(0, w)),
         F.array(form(1, F.when(w.endswith("ies") & (F.length(w) > 4), F.concat(F.substr(w, F.lit(1), F.length(w) - 3), F.lit("y"))))),
         F.array(form(2, F.when(w.endswith("es") & (F.length(w) > 3), F.substr(w, F.lit(1), F.length(w) - 2)))),
-        F.array(form(3, F.when(w.endswith("s") & (F.length(w) > 3), F.substr(w, F.lit(1), F.length(w) - 1)))),
+        F.array(form(3, F.when(w.endswith("s") & (F.length(w) > 2), F.substr(w, F.lit(1), F.length(w) - 1)))),
         capitals,
     )
     candidates = words.select("id", F.explode(forms).alias("c")).select("id", "c.priority", "c.alias").filter("alias is not null")

@@ -86,6 +86,14 @@ def disagreements(rows: DataFrame, a: object, b: object) -> DataFrame:
     return both.filter("score_a != score_b")
 
 
+def axis_means(rows: DataFrame, axes: tuple[str, ...], condition: str, model: str, category: str) -> DataFrame:
+    """Means of the axes and of their mean by condition, by model and condition, by category and condition, in one pass."""
+    total = sum((F.col(a) for a in axes[1:]), F.col(axes[0]))
+    means = [F.avg(a).alias(a) for a in axes] + [(F.sum(total) / (len(axes) * F.count("*")).cast("double")).alias("mean_score"), F.count("*").alias("n")]
+    sets = [[F.col(condition)], [F.col(model), F.col(condition)], [F.col(category), F.col(condition)]]
+    return rows.groupingSets(sets, F.col(condition), F.col(model), F.col(category)).agg(*means)
+
+
 def running(rows: DataFrame, range_: str, order: list[str], of: dict[str, Column]) -> DataFrame:
     """Running sums over all rows in the order of (range, order): sums per range, then within each.
 

@@ -295,16 +295,17 @@ def tier_selection(rows: DataFrame, strong: float = 0.55) -> DataFrame:
     return rows.select("query_id", box.alias("box"), (box != "failed").alias("sufficient"), of_box.alias("score"), F.array_join(trace, " ").alias("trace"))
 
 
-def box_flags(settings: DataFrame) -> DataFrame:
-    """box, enabled from (setting, value) texts: a box's own setting, for B the newer name before the old one, else on.
+def box_flags(settings: DataFrame, key: str) -> DataFrame:
+    """key, box, enabled from (key, setting, value) texts: a box's own setting, for B the newer name before the old one, else on.
 
-    Words for no and yes count, other values leave the default.
+    Words for no and yes count, other values leave the default. Settings of one name are to be one for a key.
     """
     word = F.lower(F.trim("value"))
-    known = settings.select("setting", F.when(word.isin("0", "false", "no", "off"), False).when(word.isin("1", "true", "yes", "on"), True).alias("flag")).filter("flag is not null")
+    known = settings.select(key, "setting", F.when(word.isin("0", "false", "no", "off"), False).when(word.isin("1", "true", "yes", "on"), True).alias("flag")).filter("flag is not null")
     asked = settings.sparkSession.createDataFrame([("0", "BOX_0", 0), ("A", "BOX_A", 0), ("B", "BOX_W", 0), ("B", "BOX_B", 1), ("S", "BOX_S", 0), ("K", "BOX_KIWIX", 0)], "box string, setting string, turn int")
-    found = asked.join(known, "setting", "left").groupBy("box").agg(F.min(F.when(F.col("flag").isNotNull(), F.struct("turn", "flag"))).alias("f"))
-    return found.select("box", F.coalesce("f.flag", F.lit(True)).alias("enabled"))
+    all_ = settings.select(key).distinct().select(key, F.explode(F.array(*map(F.lit, ("0", "A", "B", "S", "K")))).alias("box"))
+    found = known.join(F.broadcast(asked), "setting").groupBy(key, "box").agg(F.min(F.struct("turn", "flag")).alias("f"))
+    return all_.join(found, [key, "box"], "left").select(key, "box", F.coalesce("f.flag", F.lit(True)).alias("enabled"))
 
 
 def supplementary(selected: DataFrame, wanted: Column) -> Column:

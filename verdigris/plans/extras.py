@@ -61,11 +61,18 @@ def e10_reference_gate(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", (t.rlike("[A-Z]{2,}|[0-9]") | vocab.has(t, ("for",)) | (F.col("role") == "system")).alias("consult"))
 
 
-@query("""WITH s AS (SELECT * FROM (VALUES ('BOX_A', ' No '), ('BOX_B', '0'), ('BOX_S', 'maybe'), ('BOX_KIWIX', 'off'), ('BOX_0', 'TRUE')) AS t(setting, value)), k AS (SELECT setting, CASE WHEN lower(trim(value)) IN ('0', 'false', 'no', 'off') THEN FALSE WHEN lower(trim(value)) IN ('1', 'true', 'yes', 'on') THEN TRUE END AS flag FROM s)
-SELECT box, coalesce((SELECT flag FROM k WHERE k.setting = a.own), (SELECT flag FROM k WHERE k.setting = a.older), TRUE) AS enabled FROM (VALUES ('0', 'BOX_0', NULL), ('A', 'BOX_A', NULL), ('B', 'BOX_W', 'BOX_B'), ('S', 'BOX_S', NULL), ('K', 'BOX_KIWIX', NULL)) AS a(box, own, older)""")
+_SETTINGS = """s AS (SELECT user_id, setting, arg_max(value, (ts, event_id)) AS value FROM (SELECT user_id, ts, event_id, CASE event_type WHEN 'click' THEN 'BOX_A' WHEN 'view' THEN 'BOX_B' WHEN 'error' THEN 'BOX_S' WHEN 'signup' THEN 'BOX_KIWIX' WHEN 'purchase' THEN 'BOX_W' END AS setting,
+CASE WHEN value < 10 THEN ' No ' WHEN value < 20 THEN 'off' WHEN value < 30 THEN 'maybe' WHEN value < 60 THEN 'TRUE' ELSE '0' END AS value FROM events) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_SETTINGS}, k AS (SELECT user_id, setting, CASE WHEN lower(trim(value)) IN ('0', 'false', 'no', 'off') THEN FALSE WHEN lower(trim(value)) IN ('1', 'true', 'yes', 'on') THEN TRUE END AS flag FROM s)
+SELECT user_id, box, coalesce((SELECT flag FROM k WHERE k.user_id = u.user_id AND k.setting = a.own), (SELECT flag FROM k WHERE k.user_id = u.user_id AND k.setting = a.older), TRUE) AS enabled FROM (SELECT DISTINCT user_id FROM events) u, (VALUES ('0', 'BOX_0', NULL), ('A', 'BOX_A', NULL), ('B', 'BOX_W', 'BOX_B'), ('S', 'BOX_S', NULL), ('K', 'BOX_KIWIX', NULL)) AS a(box, own, older)""")
 def e27_box_flags(spark, sf_dir):
-    settings = spark.createDataFrame([("BOX_A", " No "), ("BOX_B", "0"), ("BOX_S", "maybe"), ("BOX_KIWIX", "off"), ("BOX_0", "TRUE")], "setting string, value string")
-    return V.box_flags(settings)
+    """Each user's boxes, by the user's latest event of a type as the setting of that name."""
+    setting = S.first_match([(F.col("event_type") == e, s) for e, s in (("click", "BOX_A"), ("view", "BOX_B"), ("error", "BOX_S"), ("signup", "BOX_KIWIX"), ("purchase", "BOX_W"))], F.lit(None).cast("string"))
+    value = S.first_match([(F.col("value") < 10, " No "), (F.col("value") < 20, "off"), (F.col("value") < 30, "maybe"), (F.col("value") < 60, "TRUE")], "0")
+    latest = table(spark, sf_dir, "events").groupBy("user_id", setting.alias("setting")).agg(F.max_by(value, F.struct("ts", "event_id")).alias("value"))
+    return V.box_flags(latest, "user_id")
 
 
 @query(f"WITH {_ROUTED}, n AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY 1) SELECT conv_id, turn, concat_ws(',', CASE WHEN n < 3 THEN 'cold_start' END, CASE WHEN route = 'ask' AND n < 5 THEN 'few_questions' END, CASE WHEN turn = 0 THEN 'no_carryover' END) AS constraints FROM routed JOIN n USING (conv_id)")

@@ -279,14 +279,23 @@ def c50_normalised_dedup(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy(T.squeezed(F.lower("text")).alias("k")).agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies")).select("doc_id", "copies")
 
 
-@query("""WITH a AS (SELECT * FROM (VALUES ('the', 1), ('box', 2), ('city', 3)) AS t(alias, target)), w AS (SELECT * FROM (VALUES (1, 'The '), (2, 'boxes'), (3, 'cities'), (4, 'none'), (5, 'see THE end'), (6, 'boxs')) AS t(id, word))
-SELECT id, CASE id WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 3 WHEN 5 THEN 1 WHEN 6 THEN 2 END AS target FROM w""")
+_FIRST = "regexp_extract(text, '[A-Za-z]{2,}')"
+
+
+@query(f"""WITH a AS (SELECT lower({_FIRST}) AS alias, min(doc_id) AS target FROM documents WHERE {_FIRST} <> '' GROUP BY 1),
+w AS (SELECT conv_id, turn, text AS word FROM conversations UNION ALL SELECT conv_id, -1 - turn, {_FIRST} FROM conversations), k AS (SELECT conv_id, turn, word, lower(trim(word, ' ')) AS w FROM w),
+c AS (SELECT conv_id, turn, 0 AS p, w AS alias FROM k UNION ALL SELECT conv_id, turn, 1, substr(w, 1, length(w) - 3) || 'y' FROM k WHERE ends_with(w, 'ies') AND length(w) > 4 UNION ALL SELECT conv_id, turn, 2, substr(w, 1, length(w) - 2) FROM k WHERE ends_with(w, 'es') AND length(w) > 3 UNION ALL SELECT conv_id, turn, 3, substr(w, 1, length(w) - 1) FROM k WHERE ends_with(w, 's') AND length(w) > 2
+UNION ALL SELECT conv_id, turn, 4 + generate_subscripts(l, 1), lower(unnest(l)) FROM (SELECT conv_id, turn, list_filter(list_transform(regexp_split_to_array(word, '[ \\t\\n\\r\\f]+'), lambda t: regexp_replace(t, '^[,.?!:;''"()\\[\\]]+|[,.?!:;''"()\\[\\]]+$', '', 'g')), lambda t: length(t) >= 2 AND t = upper(t) AND t <> lower(t)) AS l FROM k))
+SELECT w.conv_id, w.turn, m.target FROM w LEFT JOIN (SELECT conv_id, turn, arg_min(target, p) AS target FROM c JOIN a USING (alias) GROUP BY ALL) m USING (conv_id, turn)""")
 def c51_alias_lookup(spark, sf_dir):
+    """Turns, and their first words, looked up among the first words of all documents."""
     from verdigris.operators import lookup
 
-    aliases = spark.createDataFrame([("the", 1), ("box", 2), ("city", 3)], "alias string, target int")
-    words = spark.createDataFrame([(1, "The "), (2, "boxes"), (3, "cities"), (4, "none"), (5, "see THE end"), (6, "boxs")], "id int, word string")
-    return lookup.aliases(words, aliases)
+    first = F.regexp_extract("text", "[A-Za-z]{2,}", 0)
+    aliases = table(spark, sf_dir, "documents").select(F.lower(first).alias("alias"), "doc_id").filter("alias != ''").groupBy("alias").agg(F.min("doc_id").alias("target"))
+    c = table(spark, sf_dir, "conversations")
+    words = c.select(F.struct("conv_id", "turn").alias("id"), F.col("text").alias("word")).union(c.select(F.struct("conv_id", (-1 - F.col("turn")).alias("turn")), first))
+    return lookup.aliases(words, aliases).select("id.conv_id", "id.turn", "target")
 
 
 @query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND doc_id % 2 = 0 THEN 'mixed' WHEN doc_id % 3 = 0 THEN 'retrieved' WHEN doc_id % 2 = 0 THEN 'model' ELSE 'none' END AS source_class, contains(text, 'persona') AS persona FROM documents""")
