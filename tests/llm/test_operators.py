@@ -667,10 +667,39 @@ def test_tiles_find_links_that_a_star_misses():
     for k, t in enumerate(chain):
         h = neardup.shingle_hashes(t)
         sketch.append({"id": k, "comp": k, "sig": neardup.minhashes(h, 200)[:128].astype("<u2").tobytes(), "keys": [1], "text": t})
-    found = neardup.tile_links(sketch, sketch, 1, 5, 75, 100, neardup.least_matches(0.75, 1e-6))
+    near = neardup.tile_survivors(sketch, sketch, 1, neardup.least_matches(0.75, 1e-6))
+    pairs = [{"a": i, "a_own": 0, "b": j, "b_own": 0, "c": i, "d": j} for i, j in near]
+    found = neardup.tile_links(pairs, {(k, 0): t for k, t in enumerate(chain)}, 5, 75, 100)
     assert {(max(x), min(x)) for x in found} == want
 
 
+def test_hot_bucket_of_several_blocks_ships_few_texts(spark):
+    """400 long texts in one bucket, a few alike: only these are shuffled, each once for a tile."""
+    rng = random.Random(6)
+    rows = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(300))) for k in range(400)]
+    for k in (30, 200, 390):
+        words = rows[k][1].split(" ")
+        rows.append((1000 + k, " ".join(["new", *words[3:]])))
+        rows.append((2000 + k, " ".join([*words[:-3], "end"])))
+    docs = frame(spark, rows)
+    sketch = neardup.sketches(docs, 5, neardup.ROWS, neardup.BANDS).withColumn("keys", F.array(F.lit(1).cast("long")))
+    texts = docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("own"), "text")
+    buckets, labels = sketch.select(F.lit(1).cast("long").alias("key"), "id"), spark.createDataFrame([], "id long, comp long")
+    signed = sketch.select("id", "own", "sig", "keys")
+    near = neardup.survivors(buckets, labels, signed, texts, 0.75, 1e-6, size=64).collect()
+    ids = [i for t in near for i in {x for m in t.pairs for x in (m.a, m.b)}]
+    assert set(ids) == {j + k for k in (30, 200, 390) for j in (0, 1000, 2000)}
+    # Nine texts, each in at most as many tiles as it has partners on either side.
+    assert len(ids) <= 9 * 6 and len({(t.block, t.side) for t in near}) < 7 * 7
+    links = neardup.between(buckets, labels, signed, texts, 0.75, 1e-6, 5, 75, 100, size=64).collect()
+    sets = {k: neardup.shingle_set(t) for k, t in rows}
+    comp = {}
+    for r in links:
+        assert 100 * len(sets[r.a] & sets[r.b]) >= 75 * len(sets[r.a] | sets[r.b])
+        comp.setdefault(r.a % 1000, set()).update((r.a, r.b))
+    assert comp == {k: {k, 1000 + k, 2000 + k} for k in (30, 200, 390)}
+
+
 def test_bayes_thresholds_rise():
     steps = neardup.least_matches(0.75, 1e-6)
     assert [n for n, _ in steps] == [32, 64, 96, 128]

@@ -200,14 +200,14 @@ def confirmed(pairs: DataFrame, texts: DataFrame, width: int = WIDTH, numerator:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
-def tile_links(left: list[dict], right: list[dict], key: int, width: int, numerator: int, denominator: int, steps) -> list[tuple[int, int]]:
-    """Links between two blocks of one bucket that join different components; others need no test.
+def tile_survivors(left: list[dict], right: list[dict], key: int, steps) -> list[tuple[int, int]]:
+    """Places (i, j) in two blocks of one bucket that signatures cannot tell apart, the likeliest first.
 
-    A pair is tested in the first band that it shares only. Signatures are compared in
-    batches for all pairs at once; survivors are confirmed on full sets, the likeliest first.
+    Only pairs of different components count, each in the first band that it shares. Signatures
+    are compared in batches for all pairs at once.
     """
     sig = [np.frombuffer(b"".join(m["sig"] for m in side), "<u2").reshape(len(side), -1) for side in (left, right)]
-    ids, comps = ([np.array([m[f] for m in side]) for side in (left, right)] for f in ("id", "comp"))
+    comps = [np.array([m["comp"] for m in side]) for side in (left, right)]
     x, y = np.nonzero(comps[0][:, None] != comps[1][None, :])
     matches, done = np.zeros(len(x), int), 0
     for n, least in steps:
@@ -220,7 +220,14 @@ def tile_links(left: list[dict], right: list[dict], key: int, width: int, numera
     here = (keys[0] == key).argmax(axis=1)
     first = (keys[0][x] == keys[1][y]).argmax(axis=1) == here[x]
     order = np.argsort(-matches[first], kind="stable")
-    x, y = x[first][order], y[first][order]
+    return list(zip(x[first][order].tolist(), y[first][order].tolist(), strict=True))
+
+
+def tile_links(pairs: list[dict], texts: dict, width: int, numerator: int, denominator: int) -> list[tuple[int, int]]:
+    """Links among a tile's survivors by full sets; what a link has joined needs no further test.
+
+    pairs: a, b, their own and components, the likeliest first; texts: (id, own) -> text.
+    """
     root: dict[int, int] = {}
 
     def find(c: int) -> int:
@@ -228,51 +235,81 @@ def tile_links(left: list[dict], right: list[dict], key: int, width: int, numera
             c = root[c]
         return c
 
-    sets = lru_cache(maxsize=None)(lambda side, k: shingle_set((left, right)[side][k]["text"], width))
+    sets = lru_cache(maxsize=None)(lambda k: shingle_set(texts[k], width))
     found = []
-    for i, j in zip(x.tolist(), y.tolist(), strict=True):
-        c, d = find(comps[0][i]), find(comps[1][j])
+    for m in pairs:
+        c, d = find(m["c"]), find(m["d"])
         if c == d:
             continue
-        p, q = sets(0, i), sets(1, j)
+        p, q = sets((m["a"], m["a_own"])), sets((m["b"], m["b_own"]))
         if denominator * min(len(p), len(q)) < numerator * max(len(p), len(q)):
             continue
         shared = len(p & q)
         if denominator * shared >= numerator * (len(p) + len(q) - shared):
-            found.append((int(ids[0][i]), int(ids[1][j])))
+            found.append((m["a"], m["b"]))
             root[c] = d
     return found
 
 
-def between(buckets: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float, miss: float, width: int, numerator: int, denominator: int, size: int = 128, most_chars: int = 4_000_000) -> DataFrame:
-    """Links (a, b) between different components that share a bucket, found in tiles of bounded blocks.
+TILE = ["key", "block", "side"]
+PAIRS = "array<struct<a:bigint,a_own:bigint,b:bigint,b_own:bigint,c:bigint,d:bigint>>"
+
 
-    In each bucket, members outside its largest component meet all members. Pairs are never
-    rows: a tile is one row, and only confirmed links leave it.
+def survivors(buckets: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float, miss: float, size: int = 128, most_chars: int = 4_000_000) -> DataFrame:
+    """(key, block, side, pairs) of the tiles in which some pair of different components survives.
+
+    In each bucket, members outside its largest component meet all members, in tiles of bounded
+    blocks: no more members than ``size``, and no more characters of text than ``most_chars``
+    but for one text. Only signatures go through the tiles. Pairs are never rows.
     """
     member = written(buckets.select("key", "id").join(labels, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "members")
     parts = member.groupBy("key", "comp").agg(F.count("*").alias("n"))
     main = parts.groupBy("key").agg(F.max(F.struct("n", "comp")).alias("main"), F.count("*").alias("comps")).filter("comps > 1").select("key", F.col("main.comp").alias("main"))
     mixed_ = written(member.join(main, "key"), "mixed")
-    there = written(mixed_.join(texts.join(signed, ["id", "own"]), "id").select("key", F.col("comp") != F.col("main"), F.struct("id", "comp", "sig", "keys", "text").alias("m")).toDF("key", "outside", "m"), "bucket-texts")
+    known = texts.select("id", "own", F.length("text").alias("chars")).join(signed, ["id", "own"])
+    there = written(mixed_.join(known, "id").select("key", (F.col("comp") != F.col("main")).alias("outside"), "chars", F.struct("id", "own", "comp", "sig", "keys").alias("m")), "bucket-members")
     spread = lambda n, chars: F.greatest(F.ceil(n / size), F.ceil(chars / most_chars), F.lit(1)).cast("int")
-    chars = F.length("m.text")
-    counts = written(there.groupBy("key").agg(spread(F.count("*"), F.sum(chars)).alias("all"), spread(F.count_if("outside"), F.sum(F.when(F.col("outside"), chars).otherwise(0))).alias("out")), "bucket-sizes")
+    counts = written(there.groupBy("key").agg(spread(F.count("*"), F.sum("chars")).alias("all"), spread(F.count_if("outside"), F.sum(F.when(F.col("outside"), F.col("chars")).otherwise(0))).alias("out")), "bucket-sizes")
     # Blocks are dealt by (key, block), never by the key alone: a hot bucket is many tasks.
     dealt = there.join(counts, "key")
     block = lambda n: F.pmod(F.xxhash64("m.id"), F.col(n)).cast("int")
     outside = dealt.filter("outside").select("key", block("out").alias("block"), "m").repartition("key", "block").groupBy("key", "block").agg(F.collect_list("m").alias("left"))
-    inside = dealt.select("key", "out", block("all").alias("own"), "m").repartition("key", "own").groupBy("key", "out", "own").agg(F.collect_list("m").alias("right")).select("key", "right", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("block"))
+    inside = dealt.select("key", "out", block("all").alias("side"), "m").repartition("key", "side").groupBy("key", "out", "side").agg(F.collect_list("m").alias("right")).select("key", "side", "right", F.explode(F.sequence(F.lit(0), F.col("out") - 1)).alias("block"))
     steps = least_matches(threshold, miss)
     workers_ready(buckets.sparkSession)
 
     def run(batches):
         for t in batches:
-            found = [x for k, left, right in zip(*(t.column(c).to_pylist() for c in range(3)), strict=True) for x in tile_links(left, right, k, width, numerator, denominator, steps)]
+            found: list = []
+            for k, block_, side, left, right in zip(*(t.column(c).to_pylist() for c in range(5)), strict=True):
+                near = [{"a": left[i]["id"], "a_own": left[i]["own"], "b": right[j]["id"], "b_own": right[j]["own"], "c": left[i]["comp"], "d": right[j]["comp"]} for i, j in tile_survivors(left, right, k, steps)]
+                if near:
+                    found.append((k, block_, side, near))
+            if found:
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.struct([(f, pa.int64()) for f in ("a", "a_own", "b", "b_own", "c", "d")])))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=[*TILE, "pairs"])
+
+    tiles = outside.join(inside, ["key", "block"]).select(*TILE, "left", "right")
+    return tiles.mapInArrow(run, f"key long, block int, side int, pairs {PAIRS}")
+
+
+def between(buckets: DataFrame, labels: DataFrame, signed: DataFrame, texts: DataFrame, threshold: float, miss: float, width: int, numerator: int, denominator: int, size: int = 128, most_chars: int = 4_000_000) -> DataFrame:
+    """Links (a, b) between different components that share a bucket.
+
+    Texts are joined to the tiles in which they survive, once for each; a text that no
+    signature comes near is not shuffled, however large its bucket is.
+    """
+    near = written(survivors(buckets, labels, signed, texts, threshold, miss, size, most_chars), "survivors")
+    one = lambda f: F.transform("pairs", lambda p: F.struct(p[f].alias("id"), p[f"{f}_own"].alias("own")))
+    wanted = near.select(*TILE, F.explode(F.array_distinct(F.concat(one("a"), one("b")))).alias("w")).select(*TILE, "w.id", "w.own")
+    held = wanted.join(texts.select("id", "own", "text"), ["id", "own"]).groupBy(*TILE).agg(F.collect_list(F.struct("id", "own", "text")).alias("texts"))
+
+    def run(batches):
+        for t in batches:
+            found = [x for pairs, own in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True) for x in tile_links(pairs, {(m["id"], m["own"]): m["text"] for m in own}, width, numerator, denominator)]
             yield pa.RecordBatch.from_arrays([pa.array([min(x) for x in found], pa.int64()), pa.array([max(x) for x in found], pa.int64())], names=["a", "b"])
 
-    tiles = outside.join(inside, ["key", "block"]).select("key", "left", "right")
-    return written(tiles.mapInArrow(run, "a long, b long").distinct(), "rest")
+    return written(near.join(held, TILE).select("pairs", "texts").mapInArrow(run, "a long, b long").distinct(), "rest")
 
 
 def components(edges: DataFrame) -> DataFrame:
