@@ -1,6 +1,7 @@
 """The training-data operators against brute force, and their edge cases."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -244,6 +245,21 @@ def test_rows_that_share_an_id_are_queries_and_candidates_each(spark):
     assert [r[:3] for r in got] == [w[:3] for w in sorted(want)] and np.allclose([r[3] for r in got], [w[3] for w in sorted(want)])
 
 
+def test_components_of_any_size(spark):
+    """Squares that overflow or vanish: no row is lost, distances are those of exact arithmetic."""
+    rng = random.Random(4)
+    rows = [(k, [rng.uniform(-1, 1) * rng.choice([1e200, 1e-200, 1.0, 1e308, 5e-324]) for _ in range(4)]) for k in range(60)]
+    rows = [r for r in rows if any(r[1])]
+    got = {}
+    for r in knn.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("id") % 20 == 0, k=5).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    for q, x in rows:
+        if q % 20 == 0:
+            want = sorted((math.dist(x, y), k) for k, y in rows if k != q)[:5]
+            assert [v for _, v, _ in sorted(got[q])] == [k for _, k in want]
+            assert all(s == pytest.approx(d, rel=1e-12) for (_, _, s), (d, _) in zip(sorted(got[q]), want))
+
+
 # op4
 
 

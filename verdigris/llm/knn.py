@@ -8,7 +8,7 @@ recomputed in double precision. Heaps keep a query block's best across the tiles
 task, and a window merges the tasks' lists. No true neighbour can be lost.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components,
-and null ids, take no part; vectors meet those of their own dimension only; ties go to
+and null ids, take no part; any finite components may be, however large or small; vectors meet those of their own dimension only; ties go to
 the smaller id; rows that repeat, or share an id, are queries and candidates each, and a query
 leaves out its own row only; fewer candidates than k give fewer rows; an empty table gives
 none; extra columns, whatever their names, are not read.
@@ -57,14 +57,30 @@ def _matrix(rows) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def coded(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """int8 codes, their scales, and the lengths of what the codes miss."""
     scale = np.abs(x).max(axis=1) / 127
+    scale[scale == 0] = 1
     codes = np.rint(x / scale[:, None]).astype("i1")
     return codes, scale, np.linalg.norm(x - scale[:, None] * codes, axis=1)
 
 
+def lengths(a: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Euclidean distances of a vector from rows; where squares would leave the doubles' range, of scaled components."""
+    with np.errstate(over="ignore", under="ignore", invalid="ignore"):
+        total = np.cumsum((a - rows) ** 2, axis=1)[:, -1]
+        found = np.sqrt(total)
+        odd = np.flatnonzero(~((total > 1e-280) & (total < 1e300)))
+        if len(odd):
+            part = a / 4 - rows[odd] / 4
+            power = np.frexp(np.abs(part).max(axis=1))[1]
+            found[odd] = np.ldexp(np.sqrt((np.ldexp(part, -power[:, None]) ** 2).sum(axis=1)), power + 2)
+    return found
+
+
 def tile(q_rows, q_ids, q, c_rows, c_ids, c, k: int) -> list[tuple[tuple[int, int], float, int]]:
     """((query's row, its id), distance, id) of the k nearest in this tile, exact."""
-    qc, qs, qe = coded(q)
-    cc, cs, ce = coded(c)
+    # Bounds are those of vectors scaled by one power of two, so that no square overflows or vanishes.
+    power = -int(np.frexp(max(np.abs(q).max(), np.abs(c).max()))[1])
+    qc, qs, qe = coded(np.ldexp(q, power))
+    cc, cs, ce = coded(np.ldexp(c, power))
     # Sums of at most 2**24 / 127**2 products are exact in single precision; longer vectors use double.
     kind = "f4" if q.shape[1] <= 1000 else "f8"
     product = (qc.astype(kind) @ cc.astype(kind).T).astype("f8")
@@ -78,7 +94,7 @@ def tile(q_rows, q_ids, q, c_rows, c_ids, c, k: int) -> list[tuple[tuple[int, in
     for a in range(len(q_ids)):
         near = np.flatnonzero((lower[a] <= bound[a]) & np.isfinite(lower[a]))
         if len(near):
-            exact = np.sqrt(np.cumsum((q[a] - c[near]) ** 2, axis=1)[:, -1])
+            exact = lengths(q[a], c[near])
             order = np.lexsort((c_ids[near], exact))[:k]
             found += [((int(q_rows[a]), int(q_ids[a])), float(exact[j]), int(c_ids[near[j]])) for j in order]
     return found
