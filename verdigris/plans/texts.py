@@ -90,6 +90,30 @@ def c15_canonical_terms(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", r.alias("r")).select("doc_id", T.fingerprint(F.col("r.text"), 12).alias("digest"), F.array_join("r.hits", ",").alias("hits"))
 
 
+_ITEM_WORDS = "w AS (SELECT DISTINCT unnest(regexp_extract_all(text, '[a-z]{4,}')) AS term FROM benchmark)"
+
+
+@query(f"""WITH {_ITEM_WORDS}, v AS (SELECT list(term ORDER BY length(term) DESC, term) AS terms FROM w)
+SELECT doc_id, substr(sha256(list_reduce(list_prepend(text, terms), lambda a, t: replace(a, t, upper(t)))), 1, 12) AS digest FROM documents, v""")
+def c15_large_vocabulary(spark, sf_dir):
+    """All words of the benchmark in documents, replaced by their canonical (upper-case) form, the longest first."""
+    from verdigris.operators import dictionary
+
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
+    found = dictionary.substituted(table(spark, sf_dir, "documents"), words.select("term", F.upper("term").alias("to")))
+    return found.select("doc_id", T.fingerprint(F.col("text"), 12).alias("digest"))
+
+
+@query(f"""WITH {_ITEM_WORDS} SELECT doc_id, count(*) AS hits, substr(sha256(string_agg(lower(term), ' ' ORDER BY lower(term))), 1, 12) AS digest FROM documents JOIN w ON contains(lower(text), lower(term)) GROUP BY 1""")
+def c44_seed_terms(spark, sf_dir):
+    """The benchmark's words that occur anywhere in a document."""
+    from verdigris.operators import dictionary
+
+    words = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]{4,}"), F.lit(0))).alias("term"))
+    hits = dictionary.contained(table(spark, sf_dir, "documents"), words)
+    return hits.groupBy("doc_id").agg(F.count("*").alias("hits"), T.fingerprint(F.array_join(F.array_sort(F.collect_list("term")), " "), 12).alias("digest"))
+
+
 @query("""WITH h AS (SELECT doc_id % 40 AS query_id, lang AS domain, doc_id AS pos FROM documents), c AS (SELECT query_id, domain, count(*) AS n, min(pos) AS first FROM h GROUP BY ALL)
 SELECT query_id, domain FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, first) AS r FROM c) WHERE r = 1""")
 def c16_dominant_domain(spark, sf_dir):
