@@ -136,3 +136,35 @@ def t4_streamed_append_log(spark, sf_dir):
     path = scratch(spark, "applog")
     streams.append_log(events.filter("event_type = 'error'").select("event_id", "event_type"), path, scratch(spark, "cp"))
     return spark.read.parquet(path)
+
+
+def _timed(spark, sf_dir, columns):
+    """The events as a stream of four files in order of their times, for state with timers."""
+    from verdigris.streaming import streams, timers
+
+    timers.with_timers(spark)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("judgment")).select(columns)
+    bounds = [None, *e.agg(F.percentile_approx(F.unix_micros("ts"), [0.25, 0.5, 0.75])).first()[0], None]
+    path = scratch(spark, "timed")
+    for low, high in zip(bounds, bounds[1:], strict=False):
+        at = F.unix_micros("ts")
+        part = e.filter((at > low if low is not None else F.lit(True)) & (at <= high if high is not None else F.lit(True)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return streams, timers, streams.replay(spark, path, e.schema)
+
+
+@query("""WITH w AS (SELECT max(ts) AS now FROM events), k AS (SELECT user_id, event_type NOT IN ('click', 'view', 'purchase') AS rejected, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events, w WHERE ts >= now - INTERVAL 3 DAY)
+SELECT u.user_id, count(k.r) AS kept, coalesce(bool_or(k.rejected), FALSE) AS has_rejected FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN k ON k.user_id = u.user_id AND k.r <= 8 GROUP BY 1""")
+def t1_expiring_ring(spark, sf_dir):
+    """Each user's quarantine ring of eight entries and three days at the end of the stream; entries expire by timers."""
+    streams, timers, events = _timed(spark, sf_dir, ["user_id", "event_id", "ts", "judgment"])
+    out = streams.to_files(timers.ring(events, "0 seconds", 3 * 86_400, 8), scratch(spark, "rings"), "update", scratch(spark, "cp"))
+    return out.groupBy("user_id").agg(F.max_by(F.struct("kept", "has_rejected"), "at").alias("s")).select("user_id", "s.kept", "s.has_rejected")
+
+
+@query("""WITH g AS (SELECT user_id, ts, coalesce(ts - lag(ts) OVER w >= INTERVAL 6 HOUR, TRUE) AS starts FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), b AS (SELECT user_id, ts, sum(CAST(starts AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts) AS burst FROM g)
+SELECT user_id, epoch_us(min(ts)) // 1000 AS first, epoch_us(max(ts)) // 1000 AS last, count(*) AS n FROM b GROUP BY user_id, burst HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events)""")
+def t2_quiet_bursts(spark, sf_dir):
+    """Bursts of a user's events, each given out by a timer once six quiet hours have passed."""
+    streams, timers, events = _timed(spark, sf_dir, ["user_id", "ts"])
+    return streams.to_files(timers.bursts(events, "0 seconds", 6 * 3600), scratch(spark, "bursts"), "append", scratch(spark, "cp"))

@@ -127,9 +127,10 @@ def t5_m7_hit_flush(spark, sf_dir):
     return stores.flushed(part(0), part(1), "pattern")
 
 
-@query("SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM events WHERE value < 512) WHERE r <= 16")
+@query("SELECT source, doc_id FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id DESC) AS r FROM documents WHERE n_chars > 512) WHERE r <= 256")
 def t6_bounded_queue(spark, sf_dir):
-    return folds.ring(table(spark, sf_dir, "events").filter("value < 512"), "user_id", [F.desc("event_id")], 16).select("user_id", "event_id")
+    """What is above 512 characters is deferred; each source's queue keeps its latest 256."""
+    return folds.ring(table(spark, sf_dir, "documents").filter("n_chars > 512"), "source", [F.desc("doc_id")], 256).select("source", "doc_id")
 
 
 @query("WITH n AS (SELECT max(ts) AS now FROM events), a AS (SELECT event_id, CAST(date_diff('day', CAST(ts AS DATE), CAST(now AS DATE)) AS INTEGER) AS age, CASE event_type WHEN 'click' THEN 7 WHEN 'view' THEN 9 ELSE 12 END AS lim FROM events, n) SELECT event_id, CASE WHEN age > 2 * lim THEN 'stale' WHEN age > lim THEN 'aging' ELSE 'fresh' END AS state FROM a")
