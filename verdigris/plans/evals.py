@@ -10,6 +10,7 @@ from verdigris.functions import text as T
 from verdigris.operators import statistics as St
 from verdigris.plans.base import registrar, table
 from verdigris.plans.scores import _CLASSIFIED, _MODES, modes, results
+from verdigris.plans.texts import _votes_sql
 
 QUERIES: dict = {}
 SQL: dict = {}
@@ -319,14 +320,22 @@ def n1_majority_truth(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", S.first_match([(F.size(votes) == 0, "unknown"), (yes > F.size(votes), "yes"), (yes < F.size(votes), "no")], "unknown").alias("truth"))
 
 
-@query("SELECT lang, lang || '-' || lpad(CAST(max(doc_id) + 1 AS VARCHAR), 5, '0') AS next_id FROM documents GROUP BY 1")
+_TAG = "CASE WHEN n_chars % 10 = 0 THEN lang || '-draft' WHEN n_chars % 7 = 0 THEN lang || '_' || CAST(doc_id AS VARCHAR) ELSE lang || '-' || lpad(CAST(doc_id AS VARCHAR), 5, '0') END"
+
+
+@query(f"WITH t AS (SELECT regexp_extract({_TAG}, '^([a-z]+)[-_]', 1) AS prefix, TRY_CAST(nullif(regexp_extract({_TAG}, '^[a-z]+-([0-9]+)$', 1), '') AS BIGINT) AS n FROM documents) SELECT prefix, prefix || '-' || lpad(CAST(coalesce(max(n), 0) + 1 AS VARCHAR), 5, '0') AS next_id FROM t GROUP BY 1")
 def n5_next_id(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.concat(F.col("lang"), F.lit("-"), F.lpad((F.max("doc_id") + 1).cast("string"), 5, "0")).alias("next_id"))
+    """The next free id of each prefix: the largest number behind ``prefix-``, of ids of several forms."""
+    tag = F.expr(_TAG.replace("CAST(doc_id AS VARCHAR)", "CAST(doc_id AS STRING)"))
+    t = table(spark, sf_dir, "documents").select(F.regexp_extract(tag, "^([a-z]+)[-_]", 1).alias("prefix"), F.nullif(F.regexp_extract(tag, "^[a-z]+-([0-9]+)$", 1), F.lit("")).cast("long").alias("n"))
+    return t.groupBy("prefix").agg(F.concat(F.col("prefix"), F.lit("-"), F.lpad((F.coalesce(F.max("n"), F.lit(0)) + 1).cast("string"), 5, "0")).alias("next_id"))
 
 
-@query("SELECT doc_id, item, lang FROM (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS item FROM documents) WHERE trim(item, ' ') <> ''")
+@query(f"SELECT doc_id, text AS item, {_votes_sql()} AS lang FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS text FROM documents) WHERE trim(text, ' ') <> ''")
 def n7_negatives_as_rows(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("item"), "lang").filter(F.trim("item") != "")
+    """Every line as a row, with the language of its own script and words."""
+    items = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("item")).filter(F.trim("item") != "")
+    return items.select("doc_id", "item", T.script_language(F.col("item")).alias("lang"))
 
 
 @query("""WITH j AS (SELECT conv_id, turn % 3 AS cat, conv_id % 2 = 0 AS a_gov, (conv_id * 7 + turn) % 11 AS a, (conv_id * 5 + turn * 3) % 11 AS b FROM conversations), u AS (SELECT cat, CASE WHEN a_gov THEN a ELSE b END AS gov, CASE WHEN a_gov THEN b ELSE a END AS raw FROM j), m AS (SELECT cat, avg(gov) AS gov, avg(raw) AS raw, count(*) FILTER (gov > raw) AS wins FROM u GROUP BY 1)

@@ -70,12 +70,22 @@ def f7_n15_confirmations(spark, sf_dir):
     return folds.runs(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type")).filter("run >= 2").select("user_id", "event_id", "run")
 
 
-@query("""WITH p AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN -1 WHEN value > 100 THEN 1 ELSE 0 END AS layer FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS r FROM p WHERE layer = 1) SELECT p.user_id, p.event_id, CASE WHEN r.r <= 5 THEN 2 ELSE p.layer END AS layer FROM p LEFT JOIN r USING (event_id)""")
+@query("""WITH p AS (SELECT user_id, event_id, event_type = 'error' AS noise FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, noise ORDER BY event_id DESC) AS r FROM p) SELECT user_id, event_id, CASE WHEN noise THEN -1 WHEN r <= 5 THEN 2 ELSE 1 END AS layer FROM r""")
 def f10_layers(spark, sf_dir):
-    layer = S.first_match([(F.col("event_type") == "error", -1), (F.col("value") > 100, 1)], 0)
-    w = Window.partitionBy("user_id", "layer").orderBy(F.desc("event_id"))
-    p = table(spark, sf_dir, "events").select("user_id", "event_id", layer.alias("layer")).withColumn("r", F.row_number().over(w))
-    return p.select("user_id", "event_id", F.when((F.col("layer") == 1) & (F.col("r") <= 5), 2).otherwise(F.col("layer")).alias("layer"))
+    """Noise to -1, the rest from 0 to 1; a user's latest five of these are 2, the others 1."""
+    noise = F.col("event_type") == "error"
+    w = Window.partitionBy("user_id", "noise").orderBy(F.desc("event_id"))
+    p = table(spark, sf_dir, "events").select("user_id", "event_id", noise.alias("noise")).withColumn("r", F.row_number().over(w))
+    return p.select("user_id", "event_id", S.first_match([(F.col("noise"), -1), (F.col("r") <= 5, 2)], 1).alias("layer"))
+
+
+@query("""WITH k AS (SELECT user_id, event_id, event_type, value, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS run FROM i)
+SELECT user_id, event_id, CAST(run AS INTEGER) AS run, event_type <> 'view' AND least(CAST(1 AS DOUBLE), value / 40) >= 0.65 AS promoted FROM r WHERE run >= 2""")
+def f7_auto_promotion(spark, sf_dir):
+    """Two or more confirmations of one signal; promoted with confidence of 0.65 and an adopted frame (anything but a view)."""
+    r = folds.runs(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type")).filter("run >= 2")
+    sure = F.least(F.lit(1.0), F.col("value") / 40) >= 0.65
+    return r.select("user_id", "event_id", "run", ((F.col("event_type") != "view") & sure).alias("promoted"))
 
 
 @query("""WITH c AS (SELECT source, doc_id, text, string_split(text, '') AS c FROM documents), g AS (SELECT source, doc_id, text, CASE WHEN len(c) < 3 THEN [] ELSE list_distinct(list_transform(range(1, len(c) - 1), lambda k: c[k] || c[k + 1] || c[k + 2])) END AS g FROM c), o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM g),
