@@ -105,14 +105,24 @@ def fired(turns: Column, first: int, interval: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(turns, F.lit(1)).cast("long")), start, step, lambda a: a["n"])
 
 
-def before_turns(users: DataFrame) -> DataFrame:
-    """Add what a session's user turns (conv_id, turn, cues, tokens, label) before each showed: had, n, baseline, before.
+#: Labels before a turn that its baseline folds: the weight of earlier ones is below a double's precision.
+FOLDED = 200
 
-    The lists grow with the session: for sessions of some hundreds of turns.
+
+def before_turns(users: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """Add what a session's user turns (conv_id, turn, cues, tokens, label) before each showed: had, n, baseline, theme.
+
+    had: the cues (of ``names``) given before; theme: the turn's tokens that two earlier turns
+    have, by a running number for each (session, token). Nothing grows with the session but rows.
     """
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    listed = users.withColumns({"had": F.flatten(F.collect_list("cues").over(w)), "n": F.count("*").over(w), "labels": F.collect_list("label").over(w), "before": F.flatten(F.collect_list("tokens").over(w))})
-    return listed.withColumn("baseline", F.aggregate("labels", F.lit(0.0), lambda a, x: 0.75 * a + 0.25 * x)).drop("labels")
+    near = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-FOLDED, -1)
+    had = F.array_compact(F.array(*(F.when(F.max(F.array_contains("cues", n)).over(w), F.lit(n)) for n in names)))
+    listed = users.withColumns({"had": had, "n": F.count("*").over(w), "labels": F.collect_list("label").over(near)})
+    listed = listed.withColumn("baseline", F.aggregate("labels", F.lit(0.0), lambda a, x: 0.75 * a + 0.25 * x)).drop("labels")
+    times = F.row_number().over(Window.partitionBy("conv_id", "token").orderBy("turn"))
+    themes = users.select("conv_id", "turn", F.explode("tokens").alias("token")).withColumn("k", times).filter("k > 2").groupBy("conv_id", "turn").agg(F.collect_list("token").alias("theme"))
+    return listed.join(themes, ["conv_id", "turn"], "left").withColumn("theme", F.coalesce("theme", F.array().cast("array<string>")))
 
 
 def adoption_score(turns: DataFrame) -> tuple[Column, Column]:
@@ -126,7 +136,7 @@ def adoption_score(turns: DataFrame) -> tuple[Column, Column]:
 
     c = {name: F.col(name) for name in turns.columns}
     lexical = overlap(c["text"], c["frame"])
-    theme = F.filter(c["tokens"], lambda t: F.size(F.filter("before", lambda x: x == t)) >= 2)
+    theme = c["theme"]
     words = first_match([(lexical >= 0.45, 0.4), (lexical >= 0.25, 0.4 * (lexical - 0.25) / 0.2)], 0.0)
     framing = first_match([((F.size("cues") > 0) & F.arrays_overlap("cues", "had"), 0.40), (F.size("cues") > 0, 0.25), ((F.size("had") > 0) & (c["n"] >= 3), 0.10)], 0.0)
     topic = first_match([(F.arrays_overlap(theme, long_tokens(c["frame"], 5)), 0.2), (F.size(theme) > 0, 0.1)], 0.0)

@@ -168,7 +168,7 @@ def pattern_match(queries: DataFrame, library: DataFrame, negatives: DataFrame,
     known = with_thresholds(patterns.filter("not deprecated"), levels)
     clear = pooled.join(against, ["query_id", "label"], "left").filter(F.col("negative").isNull() | (F.col("score") - F.col("negative") >= margin))
     state = queries.select("query_id", "has_state", "tags")
-    fit = clear.join(F.broadcast(known), "label").join(state, "query_id").filter(context_fits(F.col("required"), F.col("excluded"), F.col("has_state"), F.col("tags")))
+    fit = clear.join(known, "label").join(state, "query_id").filter(context_fits(F.col("required"), F.col("excluded"), F.col("has_state"), F.col("tags")))
     banded = fit.withColumn("band", F.when(F.col("score") > F.col("high"), 2).when(F.col("score") > F.col("medium"), 1)).filter("band is not null")
     best = banded.groupBy("query_id").agg(F.max(F.struct("band", F.when(F.col("band") == 2, F.col("priority")).otherwise(0).alias("p"), "score", "label")).alias("b"))
     confidence = F.when(F.col("b.band") == 2, "high").when(F.col("b.band") == 1, "medium").otherwise("none")

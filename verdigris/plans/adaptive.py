@@ -232,7 +232,7 @@ def f3_adoption(spark, sf_dir):
     t = F.col("text")
     label = S.first_match([(vocab.has(t, ("not",)), 2.0), (vocab.has(t, ("of", "the")), 1.0)], 0.0)
     users = c.filter("role = 'user'").select("conv_id", "turn", "text", T.cues(t, _CUES).alias("cues"), T.long_tokens(t, 5).alias("tokens"), label.alias("label"))
-    state = folds.before_turns(users)
+    state = folds.before_turns(users, tuple(_CUES))
     frames = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("frame"))
     score, lexical = folds.adoption_score(state.join(frames, ["conv_id", "turn"]))
     scored_ = state.join(frames, ["conv_id", "turn"]).select("conv_id", "turn", "text", F.round(score, 4).alias("score"), lexical.alias("lex"))

@@ -159,7 +159,7 @@ def e22_knn_vote(spark, sf_dir):
     return V.knn_vote(_ranked(spark, sf_dir, 3), 0.35)
 
 
-@query("""WITH h AS (SELECT doc_id % 50 AS query_id, doc_id, lower(lang) AS title, n_chars / 40000.0 AS score, row_number() OVER (PARTITION BY doc_id % 50 ORDER BY doc_id) AS pos, source FROM documents),
+@query("""WITH h AS (SELECT doc_id // 50 AS query_id, doc_id, lower(lang) AS title, n_chars / 40000.0 AS score, row_number() OVER (PARTITION BY doc_id // 50 ORDER BY doc_id) AS pos, source FROM documents),
 m AS (SELECT query_id, doc_id, title, score, pos, 0 AS src FROM h WHERE source <> 'src1'), c AS (SELECT query_id, doc_id, title, score, pos, 1 AS src FROM h WHERE source = 'src1'),
 u AS (SELECT * FROM m UNION ALL SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.query_id = c.query_id AND m.title = c.title)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, src, pos) AS rank FROM u)
@@ -167,31 +167,31 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, src = 1 AS curated FROM
 def e8_curated_merge(spark, sf_dir):
     from pyspark.sql import Window
 
-    hits = table(spark, sf_dir, "documents").select((F.col("doc_id") % 50).alias("query_id"), "doc_id", F.lower("lang").alias("title"), (F.col("n_chars") / 40000.0).alias("score"), "source")
+    hits = table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("query_id"), "doc_id", F.lower("lang").alias("title"), (F.col("n_chars") / 40000.0).alias("score"), "source")
     hits = hits.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("doc_id")))
     return V.merged(hits.filter("source != 'src1'").drop("source"), hits.filter("source = 'src1'").drop("source"), 5).select("query_id", "rank", "doc_id", "curated")
 
 
-@query("""WITH h AS (SELECT page_id % 40 AS query_id, page_id, 1.0 / (1 + page_id % 7) + CASE WHEN url LIKE '%blog%' THEN 0.08 ELSE 0 END + CASE WHEN html LIKE '%the%' THEN 0.04 ELSE 0 END AS score, page_id % 7 AS pos FROM pages),
+@query("""WITH h AS (SELECT page_id // 40 AS query_id, page_id, 1.0 / (1 + page_id % 7) + CASE WHEN url LIKE '%blog%' THEN 0.08 ELSE 0 END + CASE WHEN html LIKE '%the%' THEN 0.04 ELSE 0 END AS score, page_id % 7 AS pos FROM pages),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, pos, page_id) AS rank FROM h) SELECT query_id, CAST(rank AS INTEGER) AS rank, page_id FROM r""")
 def e9_domain_rerank(spark, sf_dir):
-    hits = table(spark, sf_dir, "pages").select((F.col("page_id") % 40).alias("query_id"), "page_id", (F.lit(1.0) / (1 + F.col("page_id") % 7)).alias("score"), (F.col("page_id") % 7).alias("pos"), "url", "html")
+    hits = table(spark, sf_dir, "pages").select(F.expr("page_id div 40").alias("query_id"), "page_id", (F.lit(1.0) / (1 + F.col("page_id") % 7)).alias("score"), (F.col("page_id") % 7).alias("pos"), "url", "html")
     return V.reranked(hits, F.contains("url", F.lit("blog")), F.contains("html", F.lit("the")), "page_id").select("query_id", "rank", "page_id")
 
 
-@query("""WITH h AS (SELECT doc_id % 30 AS query_id, doc_id, (source = 'src1') AS token_hit, (lang = 'de') AS text_hit, (doc_id % 100) / 100.0 AS quality FROM documents),
+@query("""WITH h AS (SELECT doc_id // 30 AS query_id, doc_id, (source = 'src1') AS token_hit, (lang = 'de') AS text_hit, (doc_id % 100) / 100.0 AS quality FROM documents),
 c AS (SELECT *, CASE WHEN token_hit THEN 0 ELSE 1 END AS way FROM h WHERE (token_hit OR text_hit) AND quality >= 0.6),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY way, doc_id) AS r FROM c), s AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY quality DESC, doc_id) AS rank FROM k WHERE r <= 4)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, doc_id, max(quality) OVER (PARTITION BY query_id) < 0.9 AS low_confidence FROM s""")
 def e11_reference_consult(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select((F.col("doc_id") % 30).alias("query_id"), "doc_id", (F.col("source") == "src1").alias("token_hit"), (F.col("lang") == "de").alias("text_hit"), (F.col("doc_id") % 100 / 100.0).alias("quality"))
+    d = table(spark, sf_dir, "documents").select(F.expr("doc_id div 30").alias("query_id"), "doc_id", (F.col("source") == "src1").alias("token_hit"), (F.col("lang") == "de").alias("text_hit"), (F.col("doc_id") % 100 / 100.0).alias("quality"))
     return V.consulted(d, k=4, floor=0.6, weak=0.9)
 
 
-@query("""WITH c AS (SELECT doc_id % 20 AS query_id, doc_id, doc_id % 4 AS cues, 0.5 AS score FROM documents), m AS (SELECT *, max(cues) OVER (PARTITION BY query_id) AS best FROM c)
-SELECT query_id, doc_id, score + CASE WHEN cues >= 2 THEN 0.12 WHEN cues = 1 THEN 0.06 WHEN best >= 2 THEN -0.04 ELSE 0 END AS score FROM m""")
+@query("""WITH c AS (SELECT doc_id // 20 AS query_id, doc_id, doc_id % 4 AS cues, n_chars % 97 / CAST(100 AS DOUBLE) AS score FROM documents), m AS (SELECT *, max(cues) OVER (PARTITION BY query_id) AS best FROM c)
+SELECT query_id, doc_id, score + CASE WHEN cues >= 2 THEN 0.12 WHEN cues = 1 THEN 0.06 WHEN best >= 2 THEN -0.04 ELSE 0 END::DOUBLE AS score FROM m""")
 def e12_cue_disambiguation(spark, sf_dir):
-    c = table(spark, sf_dir, "documents").select((F.col("doc_id") % 20).alias("query_id"), "doc_id", (F.col("doc_id") % 4).alias("cues"), F.lit(0.5).alias("score"))
+    c = table(spark, sf_dir, "documents").select(F.expr("doc_id div 20").alias("query_id"), "doc_id", (F.col("doc_id") % 4).alias("cues"), (F.col("n_chars") % 97 / F.lit(100.0)).alias("score"))
     return V.cue_adjusted(c).select("query_id", "doc_id", "score")
 
 

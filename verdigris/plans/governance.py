@@ -408,7 +408,7 @@ def loaded(spark, sf_dir) -> DataFrame:
 @query(f"WITH {_PART} SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM p WHERE {_VALID} AND status = 'active' AND p_partkey % 23 <> 0")
 def a24_rebuilt_index_rows(spark, sf_dir):
     """All rows of the library in the order of their ids, with their positions: counts by the ids' first letters, then a running number."""
-    rows = loaded(spark, sf_dir).select("id", F.substring("id", 1, 6).alias("range"))
+    rows = loaded(spark, sf_dir).select("id", F.substring("id", 1, 9).alias("range"))
     return St.running(rows, "range", ["id"], {"n": F.lit(1)}).select("id", (F.col("n") - 1).alias("position"))
 
 
