@@ -313,26 +313,97 @@ def supplementary(selected: DataFrame, wanted: Column) -> Column:
     return first_match([(selected["box"] != "A", "none"), (~wanted, "not asked"), (~F.col("allow_wiki"), "off by profile"), (F.col("fresh"), "off, fresh"), (~F.coalesce(F.col("on_B"), F.lit(False)), "not available")], "consulted")
 
 
+#: Rows that pivots are fitted on, and pivots at most.
+PIVOT_ROWS, PIVOTS = 4096, 64
+
+
+def pivot_tiles(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> tuple[DataFrame, float]:
+    """(q_rows, rows) of the tiles in which two vectors can have a cosine of the threshold, and the share of cell pairs kept.
+
+    Unit vectors are dealt into cells by their nearest pivot. A cosine of t is a distance of
+    sqrt(2 - 2 t), so that by the triangle inequality two cells cannot hold such a pair if their
+    pivots are farther apart than that and both radii. Only the other cells' blocks meet. The
+    pivots (of a bounded sample) and a row for each cell pass the driver. Thresholds are to be
+    above 0; zero vectors reach none and take no part.
+    """
+    from verdigris.operators.ann import lloyd, units
+    from verdigris.session import scratch
+
+    if threshold <= 0:
+        raise ValueError("pivots need a threshold above 0")
+    spark = vectors.sparkSession
+    ship(spark)
+    good = vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    good = good.filter(F.exists("x", lambda v: v != 0))
+    sample = [r["x"] for r in good.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select("x").collect()]
+    of_dim = {d: units(np.array([x for x in sample if len(x) == d], "f8")) for d in {len(x) for x in sample}}
+    centers = {d: lloyd(x, max(1, min(pivots, len(x) // 4)), 5, 1) for d, x in of_dim.items()}
+
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            sizes = np.diff(b.column(2).offsets.to_numpy())
+            cell, far = np.zeros(b.num_rows, "i4"), np.full(b.num_rows, 2.0)
+            for d in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == d)
+                if d in centers:
+                    unit = units(np.array(b.column(2).take(pa.array(at)).to_pylist(), "f8"))
+                    gap = np.sqrt(np.maximum(0, (unit**2).sum(axis=1)[:, None] + (centers[d] ** 2).sum(axis=1)[None, :] - 2 * unit @ centers[d].T))
+                    cell[at], far[at] = gap.argmin(axis=1), gap.min(axis=1)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes.astype("i4")), pa.array(cell), pa.array(far)], names=["id", "label", "x", "dim", "cell", "far"])
+
+    path = scratch(spark, "pivots")
+    good.mapInArrow(run, "id long, label long, x array<double>, dim int, cell int, far double").write.parquet(path)
+    dealt = spark.read.parquet(path)
+    cells = {(r["dim"], r["cell"]): (r["far"], max(1, math.ceil(r["n"] * r["dim"] / VECTOR_VALUES))) for r in dealt.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
+    reach, pairs = math.sqrt(2 - 2 * min(threshold, 1.0)) + NEAR, []
+    for (d, a), (far_a, _) in cells.items():
+        for (e, b), (far_b, blocks_b) in cells.items():
+            # Vectors of a dimension that the sample lacks have no pivot: their one cell meets itself.
+            if d == e and (d not in centers or np.linalg.norm(centers[d][a] - centers[d][b]) <= reach + far_a + far_b):
+                pairs.append((d, a, b, blocks_b))
+    every = sum(1 for d, _ in cells for e, _ in cells if d == e)
+    # At most a row for each two pivots, and for each cell.
+    told = F.broadcast(spark.createDataFrame(pairs, "dim int, cell int, other int, others int"))
+    sizes = F.broadcast(spark.createDataFrame([(*k, n) for k, (_, n) in cells.items()], "dim int, cell int, blocks int"))
+    block = F.pmod(F.xxhash64("id", F.lit("pivot")), F.col("blocks")).cast("int")
+    held = dealt.join(sizes, ["dim", "cell"]).select("dim", "cell", block.alias("block"), F.struct("id", "label", "x").alias("row")).repartition("dim", "cell", "block").groupBy("dim", "cell", "block").agg(F.collect_list("row").alias("rows"))
+    left = held.select("dim", "cell", F.col("rows").alias("q_rows")).join(told, ["dim", "cell"]).select("dim", F.col("other").alias("cell"), "q_rows", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("block"))
+    return held.join(left, ["dim", "cell", "block"]).select("q_rows", "rows"), len(pairs) / max(every, 1)
+
+
 def conflicts(vectors: DataFrame, threshold: float) -> DataFrame:
     """The closest pair of each two patterns, if close enough; a tile gives one pair for each two labels."""
-    left = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label")
 
-    def of(t: Tile):
-        places = {label: np.flatnonzero(t.labels == label) for label in np.unique(t.labels)}
-        for x in np.unique(t.q_labels):
-            rows = np.flatnonzero(t.q_labels == x)
-            for y, at in places.items():
-                if x < y:
-                    part = t.scores[np.ix_(rows, at)]
-                    i, j = np.nonzero(part >= part.max() - NEAR)
-                    best = min((-float(t.exact(rows[a], at[[b]])[0]), int(t.q_ids[rows[a]]), int(t.ids[at[b]])) for a, b in zip(i, j, strict=True))
-                    yield int(x), int(y), best[1], best[2], -best[0]
-
-    pairs = in_tiles(left, vectors, of, "label_a long, label_b long, id_a long, id_b long, score double")
+    def run(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            for j in range(b.num_rows):
+                found = list(closest(Tile(b.column(0)[j].values, b.column(1)[j].values)))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["label_a", "label_b", "id_a", "id_b", "score"])
+
+    tiles, _ = pivot_tiles(vectors, threshold)
+    pairs = tiles.mapInArrow(run, "label_a long, label_b long, id_a long, id_b long, score double")
     best = pairs.groupBy("label_a", "label_b").agg(F.max(F.struct("score", (-F.col("id_a")).alias("a"), (-F.col("id_b")).alias("b"))).alias("m"))
     return best.filter(F.col("m.score") >= threshold).select("label_a", "label_b", (-F.col("m.a")).alias("id_a"), (-F.col("m.b")).alias("id_b"), F.col("m.score").alias("score"))
 
 
+def closest(t: Tile):
+    """(label, label, id, id, score) of the closest pair of each two labels in a tile; rows without a label have none."""
+    places = {label: np.flatnonzero(t.labels == label) for label in np.unique(t.labels)}
+    for x in np.unique(t.q_labels):
+        rows = np.flatnonzero(t.q_labels == x)
+        for y, at in places.items():
+            if x < y:
+                part = t.scores[np.ix_(rows, at)]
+                i, j = np.nonzero(part >= part.max() - NEAR)
+                best = min((-float(t.exact(rows[a], at[[b]])[0]), int(t.q_ids[rows[a]]), int(t.ids[at[b]])) for a, b in zip(i, j, strict=True))
+                yield int(x), int(y), best[1], best[2], -best[0]
+
+
 def relation_threshold(same_sub_topic: Column, same_topic: Column) -> Column:
     return F.when(same_sub_topic, 0.92).when(same_topic, 0.92).otherwise(0.95)
 
