@@ -96,3 +96,35 @@ def m6_pattern_authoring(spark, sf_dir):
     n = authoring.stored(spark, path, "id string, topic string").count()
     both = spark.read.parquet(f"{path}-first").unionByName(rest)
     return both.select("pos", F.size("examples").alias("n_examples"), F.coalesce("error", F.lit("created")).alias("outcome"), F.lit(n).alias("stored"))
+
+
+_LEAF = "SELECT 0 AS level, row_number() OVER (ORDER BY event_id) - 1 AS node, sha256(event_type || '|' || CAST(user_id AS VARCHAR) || '|' || props) AS hash, 1 AS size FROM events"
+
+
+def _tree_sql(levels: int = 5) -> str:
+    parts = [f"t0 AS ({_LEAF})"]
+    for k in range(1, levels + 1):
+        parts.append(f"t{k} AS (SELECT {k} AS level, node // 64 AS node, sha256(string_agg(hash, ',' ORDER BY node)) AS hash, sum(size) AS size FROM t{k - 1} GROUP BY node // 64)")
+    whole = " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(levels + 1))
+    top = "(SELECT min(level) FROM a WHERE nodes = 1)"
+    return f"WITH {', '.join(parts)}, u AS ({whole}), c AS (SELECT count(*) // 2 AS old FROM t0), a AS (SELECT level, count(*) AS nodes, count(*) FILTER ((node + 1) * power(64, level) > old) AS anew, CAST(sum(CAST(('0x' || substr(hash, 1, 8)) AS BIGINT) * (1 + node % 1000)) AS BIGINT) AS digest FROM u, c GROUP BY level) SELECT level, nodes, anew, digest, TRUE AS append_only FROM a WHERE level <= {top}"
+
+
+@query(_tree_sql())
+def n14_hash_tree(spark, sf_dir):
+    """The log of all events as a hash tree that has grown by its second half: nodes of each level, those hashed anew, and the proof."""
+    from verdigris.operators import hashtree
+
+    e = table(spark, sf_dir, "events").withColumn("range", F.expr("event_id div 5000"))
+    lines = St.running(e, "range", ["event_id"], {"seq": F.lit(1)}).select((F.col("seq") - 1).alias("seq"), F.concat_ws("|", "event_type", "user_id", "props").alias("line"))
+    path = scratch(spark, "log")
+    lines.write.parquet(path)
+    lines = spark.read.parquet(path)
+    half = lines.count() // 2
+    hashtree.built(lines.filter(F.col("seq") < half)).write.parquet(f"{path}-old")
+    old = spark.read.parquet(f"{path}-old")
+    hashtree.appended(old, lines.filter(F.col("seq") >= half)).write.parquet(f"{path}-new")
+    new = spark.read.parquet(f"{path}-new")
+    proof = hashtree.begins_with(new, old)
+    mark = F.conv(F.substring("hash", 1, 8), 16, 10).cast("long") * (1 + F.col("node") % 1000)
+    return new.groupBy("level").agg(F.count("*").alias("nodes"), F.count_if("anew").alias("anew"), F.sum(mark).alias("digest")).withColumn("append_only", F.lit(proof))
