@@ -78,6 +78,23 @@ def c10_language(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", "lang", T.script_language(F.col("text")).alias("detected"))
 
 
+_PREPARED = "regexp_replace(lower(text), '\\s+', ' ', 'g')"
+
+
+@query(f"""WITH t AS (SELECT doc_id, lang, doc_id % 5 = 0 AS held_out, string_split({_PREPARED}, '') AS c FROM documents), g AS (SELECT doc_id, lang, held_out, CASE WHEN len(c) < 3 THEN [] ELSE list_transform(range(1, len(c) - 1), lambda k: c[k] || c[k + 1] || c[k + 2]) END AS g FROM t),
+c AS MATERIALIZED (SELECT lang, gram, count(*) AS c FROM (SELECT lang, unnest(g) AS gram FROM g WHERE NOT held_out) GROUP BY ALL), k AS MATERIALIZED (SELECT DISTINCT gram FROM (SELECT gram, row_number() OVER (PARTITION BY lang ORDER BY c DESC, gram) AS r FROM c) WHERE r <= 1500),
+h AS (SELECT c.* FROM c JOIN k USING (gram)), n AS (SELECT lang, sum(c) AS total FROM h GROUP BY 1), w AS MATERIALIZED (SELECT k.gram, n.lang, ln((coalesce(h.c, 0) + 1) / CAST(n.total + (SELECT count(*) FROM k) AS DOUBLE)) AS weight FROM k CROSS JOIN n LEFT JOIN h ON h.gram = k.gram AND h.lang = n.lang),
+s AS (SELECT doc_id, w.lang, sum(weight) AS s FROM (SELECT doc_id, unnest(list_distinct(g)) AS gram FROM g) d JOIN w USING (gram) GROUP BY ALL), b AS (SELECT doc_id, lang AS detected FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, lang) AS r FROM s) WHERE r = 1)
+SELECT g.doc_id, g.lang, held_out, detected FROM g LEFT JOIN b USING (doc_id)""")
+def c10_ngram_language(spark, sf_dir):
+    """Languages by trigram profiles, learnt from four fifths of the documents; the others are held out."""
+    from verdigris.operators import langid
+
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    profile = langid.profiles(d.filter("doc_id % 5 != 0"))
+    return d.select("doc_id", "lang", (F.col("doc_id") % 5 == 0).alias("held_out")).join(langid.detected(d, "doc_id", profile), "doc_id", "left")
+
+
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z]') THEN 'en' ELSE 'en' END AS hint, FALSE AS cjk, CAST(len(regexp_extract_all(text, '[A-Za-z0-9]+')) AS BIGINT) AS units FROM documents")
 def c12_c13_c14_cjk(spark, sf_dir):
     t = F.col("text")
