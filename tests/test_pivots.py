@@ -24,9 +24,10 @@ def test_tiles_are_skipped_and_pairs_kept(spark):
     rows += [(2000, [0.0] * 16, 1), (2001, None, 2), (2002, [1.0, 2.0], 3), (2003, [1.0, 2.1], 5)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long")
     for threshold in (0.99, 0.95, 0.5):
-        got = {(r.label_a, r.label_b): (r.id_a, r.id_b) for r in V.conflicts(df, threshold).collect()}
+        got = {(r.label_a, r.label_b): (r.id_a, r.id_b) for r in V.conflicts(df, threshold, pivots=64).collect()}
         assert got == brute(rows, threshold)
-    _, kept = V.pivot_tiles(df, 0.95)
+    assert {(r.label_a, r.label_b): (r.id_a, r.id_b) for r in V.conflicts(df, 0.95).collect()} == brute(rows, 0.95)
+    _, kept = V.pivot_tiles(df, 0.95, pivots=64)
     assert kept < 0.5
 
 

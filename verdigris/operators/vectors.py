@@ -373,8 +373,16 @@ def pivot_tiles(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> t
     return held.join(left, ["dim", "cell", "block"]).select("q_rows", "rows"), len(pairs) / max(every, 1)
 
 
-def conflicts(vectors: DataFrame, threshold: float) -> DataFrame:
-    """The closest pair of each two patterns, if close enough; a tile gives one pair for each two labels."""
+def conflicts(vectors: DataFrame, threshold: float, pivots: int | None = None) -> DataFrame:
+    """The closest pair of each two patterns, if close enough; a tile gives one pair for each two labels.
+
+    Without a number of pivots there are four for each block of vectors, as smaller tiles cost
+    more than their pairs; within one block there is nothing to rule out.
+    """
+    schema = "label_a long, label_b long, id_a long, id_b long, score double"
+    if pivots is None:
+        values = vectors.agg(F.sum(F.greatest(F.size("embedding"), F.lit(0)))).first()[0] or 0
+        pivots = min(PIVOTS, max(1, 4 * (values // VECTOR_VALUES)))
 
     def run(batches):
         import pyarrow as pa
@@ -385,8 +393,10 @@ def conflicts(vectors: DataFrame, threshold: float) -> DataFrame:
                 if found:
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["label_a", "label_b", "id_a", "id_b", "score"])
 
-    tiles, _ = pivot_tiles(vectors, threshold)
-    pairs = tiles.mapInArrow(run, "label_a long, label_b long, id_a long, id_b long, score double")
+    if pivots > 1:
+        pairs = pivot_tiles(vectors, threshold, pivots)[0].mapInArrow(run, schema)
+    else:
+        pairs = in_tiles(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label"), vectors, closest, schema)
     best = pairs.groupBy("label_a", "label_b").agg(F.max(F.struct("score", (-F.col("id_a")).alias("a"), (-F.col("id_b")).alias("b"))).alias("m"))
     return best.filter(F.col("m.score") >= threshold).select("label_a", "label_b", (-F.col("m.a")).alias("id_a"), (-F.col("m.b")).alias("id_b"), F.col("m.score").alias("score"))
 
