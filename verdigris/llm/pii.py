@@ -1,11 +1,15 @@
 """Personal data replaced by surrogates of the same type and format.
 
 One pattern finds e-mail addresses, IPv4 and IPv6 addresses, account and card numbers, phone
-numbers, secrets, and names after a title or with a known given name. It runs once over every
-text; the text's parts are written, so that later steps read the mentions instead of looking
-for them again. Every entity gets a surrogate that is a keyed hash of its canonical form alone,
-so mentions of one entity agree across documents and formats (coreference). A name is two
-entities, given name and surname: "Mr John Smith", "John Smith" and "Mr Smith" share theirs.
+numbers, secrets, and names after a title, with a known given name or in a phrase that
+introduces one. It runs once over every text; in a text that names somebody, their surnames and
+known given names are then found again where they stand alone. The text's parts are written, so
+that later steps read the mentions instead of looking for them again. Every entity gets a
+surrogate that is a keyed hash of its canonical form alone, so mentions of one entity agree
+across documents and formats (coreference): phone numbers with and without the country code 1,
+IPv6 addresses short and in full, IPv4 with and without leading zeros. A name is two entities,
+given name and surname: "Mr John Smith", "John Smith", "Mr Smith" and a later "Smith" share
+theirs; a genitive 's is no part of a name.
 
 The distinct entities of all documents are checked, kind by kind, for surrogates that meet and
 for surrogates that are entities themselves; these are drawn anew until none is left.
@@ -14,12 +18,17 @@ Kept: separators, country codes and the issuer's first digit, the lengths of num
 secrets, letter case, titles, the script of a name, its gender (by title or given name; male
 surrogates of given names end in a consonant, female ones in a vowel), the kind of a domain.
 Surrogates of IBANs, and of cards whose check digit holds, have valid check digits; IPv6
-addresses go to the range for documentation. The key is an argument: who has it can test a
+addresses go to the range for documentation, private IPv4 ones to 10/8 and others to the
+reserved 240/4, so that none is anybody's (the documentation ranges hold too few to stay
+distinct). The key is an argument: who has it can test a
 guess, but not invert a surrogate. The main path is SQL functions only.
 
 Defined cases: a null text stays null with no entities; texts without entities stay as they
-are, of any length; a surname alone, without title or given name, is not found; repeated rows
-get equal texts; of tied entities the first by canonical form keeps its surrogate; extra
+are, of any length; a surname alone is found only in a text that also introduces it; a word
+alone that is a known given name counts as one, even if it was introduced as a surname; four
+numbers of which one exceeds 255 are no address; a phone number in a national form of another
+country than that of code 1 is an entity of its own; the search for words alone takes time in
+the capitalised words times the distinct names of a text; repeated rows get equal texts; of tied entities the first by canonical form keeps its surrogate; extra
 columns stay, whatever their names; an empty table stays empty.
 """
 
@@ -47,19 +56,24 @@ def _any(words) -> str:
 
 _TITLE, _GIVEN = _any(TITLES["m"] + TITLES["f"]), _any(GIVEN["m"] + GIVEN["f"])
 _E, _START, _END = r"\p{L}\p{N}._%+\-", r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
-_WORD, _HEX = r"\p{Lu}[\p{L}'’\-]+", "[0-9A-Fa-f]{1,4}"
+_WORD, _HEX = r"\p{Lu}(?:\p{L}|['’\-](?=\p{L})(?!s(?!\p{L})))+", "[0-9A-Fa-f]{1,4}"
+_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d?\d)"
+#: What introduces a name of any words.
+_CONTEXT = r"(?<=(?:[Mm]y name is|[Ss]igned by|[Ss]incerely,|[Rr]egards,)[ \n])"
+#: Around a name's word that stands alone.
+_ALONE, _ENDED = r"(?<![\p{L}\p{N}'’\-])(?=\p{Lu})", r"(?![\p{L}\p{N}])(?!['’\-](?!s(?!\p{L}))\p{L})"
 _SECRET = r"(?:sk|pk|ghp|gsk|xox[abp])[_\-]"
 #: Kind and pattern, in order of precedence.
 PATTERNS = (
     ("email", rf"(?<![{_E}])[{_E}]++@[\p{{L}}\p{{N}}\-]+(?:\.[\p{{L}}\p{{N}}\-]+)*\.\p{{L}}{{2,24}}"),
     ("ip6", rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{_HEX}:){{7}}{_HEX}|(?=[0-9A-Fa-f:]*\d)(?=[0-9A-Fa-f:]{{6}})(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![\p{{L}}\p{{N}}:])"),
-    ("ip", r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"),
+    ("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\d|\.\d)"),
     ("iban", rf"{_START}(?=[A-Z]{{2}}(?:[A-Z ]{{0,8}}\d){{8}})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?{_END}"),
     ("secret", rf"{_START}(?:{_SECRET}[A-Za-z0-9_\-]{{16,}}|AKIA[A-Z0-9]{{16}}|(?=[a-f]*\d)(?:[0-9a-f]{{32,128}}|[0-9A-F]{{32,128}})){_END}"),
     ("card", r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"),
     ("phone", r"(?<![\d+])(?:\+\d{1,3}[ .\-]?)?\(\d{2,4}\)[ .\-]?\d{3,4}[ .\-]?\d{3,4}(?!\d)|(?<!\d)\+\d{1,3}(?:[ .\-]?\d{2,4}){2,4}(?!\d)|(?<![\d\-])\d{3}[ .\-]\d{3}[ .\-]\d{4}(?![\d\-])"),
     ("number", r"(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])"),
-    ("name", rf"{_START}(?:{_TITLE}\.? {_WORD}(?: {_WORD})?|{_GIVEN} {_WORD})"),
+    ("name", rf"{_START}(?:{_TITLE}\.? {_WORD}(?: {_WORD})?|{_GIVEN} {_WORD}|{_CONTEXT}{_WORD}(?: {_WORD})?)"),
 )
 #: What a mention of a kind may begin with: most characters of a text are passed by these alone.
 _FIRST = {"email": "", "ip6": "(?=[0-9A-Fa-f:])", "iban": "(?=[A-Z])", "secret": "(?=[A-Z0-9a-fskpgx])", "name": r"(?=\p{Lu})"}
@@ -75,8 +89,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def is_in(word: Column, names) -> Column:
+    return F.array_contains(F.array(*map(F.lit, names)), word)
+
+
 def kind_of(mention: Column) -> Column:
-    kind = F.lit(None).cast("string")
+    """A mention's kind; without its surroundings a name may fit no pattern."""
+    kind = F.when(mention.contains(" "), "name").when(is_in(mention, GIVEN["m"]), "given-m").when(is_in(mention, GIVEN["f"]), "given-f").otherwise("surname")
     for name, pattern in reversed(PATTERNS):
         kind = F.when(mention.rlike(rf"\A(?:{pattern})\z"), name).otherwise(kind)
     return kind
@@ -84,17 +103,28 @@ def kind_of(mention: Column) -> Column:
 
 def canonical(mention: Column, kind: Column) -> Column:
     """The form that mentions of one entity share; names see ``name_parts``."""
+    number = F.regexp_replace(mention, "[^0-9]", "")
+    # Numbers with country code 1 in the form without it; others with a plus.
+    phone = F.when(~mention.startswith("+"), number).when((F.length(number) == 11) & number.startswith("1"), F.substring(number, 2, 10)).otherwise(F.concat(F.lit("+"), number))
     return (
-        F.when(kind.isin("email", "ip6"), F.lower(mention)).when(kind.isin("secret", "ip"), mention).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
-        .otherwise(F.regexp_replace(mention, "[^0-9]", ""))
+        F.when(kind == "ip6", full_ip6(F.lower(mention))).when(kind.isin("email", "surname", "given-m", "given-f"), F.lower(mention)).when(kind == "secret", mention)
+        .when(kind == "ip", F.regexp_replace(mention, r"(?<!\d)0+(?=\d)", "")).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "phone", phone).otherwise(number)
     )
 
 
+def full_ip6(address: Column) -> Column:
+    """Eight groups of four digits."""
+    groups = lambda x: F.filter(F.split(x, ":"), lambda g: g != "")
+    halves = F.split(address, "::", 2)
+    whole = lambda head, tail: F.concat(head, F.array_repeat(F.lit("0"), 8 - F.size(head) - F.size(tail)), tail)
+    padded = let(halves, lambda h: let(groups(h[0]), lambda a: let(groups(F.coalesce(F.get(h, F.lit(1)), F.lit(""))), lambda b: whole(a, b))))
+    return F.array_join(F.transform(padded, lambda g: F.lpad(g, 4, "0")), ":")
+
+
 def name_parts(mention: Column) -> Column:
     """Struct (title, given, surname, gender): title with the space after it; given may be null."""
     title = F.regexp_extract(mention, rf"\A{_TITLE}\.? ", 0)
     words = F.split(F.regexp_replace(mention, rf"\A{_TITLE}\.? ", ""), " ")
-    is_in = lambda x, names: F.array_contains(F.array(*map(F.lit, names)), x)
     bare = F.regexp_replace(title, r"\.? \z", "")
 
     def parts(w: Column) -> Column:
@@ -152,9 +182,9 @@ def drawn(kind: Column, canon: Column, hexed: Column, width: int = 16) -> Column
     tail = F.regexp_extract(canon, r"\.([^.]+)\z", 1)
     email = F.concat(F.translate(F.substring(hexed, 1, width), "0123456789abcdef", "bcdfghklmnprstvz"), F.lit("@mail.example."), F.when(tail.isin("com", "org", "net"), tail).otherwise("com"))
     byte = lambda k: F.conv(F.substring(hexed, 2 * k + 1, 2), 16, 10)
-    private = canon.startswith("10.")
-    ip = F.concat_ws(".", F.when(private, "10").otherwise((byte(0).cast("int") % 200 + 11).cast("string")), byte(1), byte(2), byte(3))
-    ip6 = F.concat(F.lit("2001:db8:"), F.concat_ws(":", *(F.substring(hexed, 4 * k + 1, 4) for k in range(6))))
+    private = canon.rlike(r"\A(?:10|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.")
+    ip = F.concat_ws(".", F.when(private, "10").otherwise((byte(0).cast("int") % 15 + 240).cast("string")), byte(1), byte(2), byte(3))
+    ip6 = F.concat(F.lit("2001:0db8:"), F.concat_ws(":", *(F.substring(hexed, 4 * k + 1, 4) for k in range(6))))
     letters = F.translate(hexed, "0123456789abcdef", "ABCDEFGHJKLMNPQR")
     body = F.array_join(F.transform(F.split(F.substring(canon, F.lit(5), n), ""), lambda c, k: F.when(c.between("0", "9"), digits(hexed, F.lit(1), k + 1)).otherwise(F.substring(letters, k + 1, F.lit(1)))), "")
     iban = let(body, lambda b: F.concat(F.substring(canon, 1, 2), F.lpad((98 - modulo_97(F.concat(b, F.substring(canon, 1, 2), F.lit("00")))).cast("string"), 2, "0"), b))
@@ -162,7 +192,7 @@ def drawn(kind: Column, canon: Column, hexed: Column, width: int = 16) -> Column
     secret = F.when(canon.rlike(r"\A[0-9a-f]+\z"), F.substring(hexed, F.lit(1), n)).otherwise(F.concat(lead, F.upper(F.substring(hexed, F.lit(1), n - F.length(lead)))))
     valid = let(F.concat(F.substring(canon, 1, 1), digits(hexed, n - 2)), lambda b: F.concat(b, ((10 - luhn(F.concat(b, F.lit("0")))) % 10).cast("string")))
     card = F.when(luhn(canon) == 0, valid).otherwise(F.concat(F.substring(canon, 1, 1), digits(hexed, n - 1)))
-    phone = F.concat(F.substring(canon, F.lit(1), F.greatest(n - 10, F.lit(0))), digits(hexed, F.least(n, F.lit(10))))
+    phone = let(F.least(n - F.when(canon.startswith("+"), 1).otherwise(0), F.lit(10)), lambda own: F.concat(F.substring(canon, F.lit(1), n - own), digits(hexed, own)))
     cyrillic = canon.rlike(r"\p{IsCyrillic}")
     return (
         F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "ip6", ip6).when(kind == "iban", iban).when(kind == "secret", secret).when(kind == "card", card).when(kind == "phone", phone)
@@ -183,7 +213,12 @@ def surrogate(mention: Column, tries: Callable[[Column, Column], Column], key: s
     cased = lambda word, made: F.when((F.length(word) > 1) & (word == F.upper(word)), F.upper(made)).otherwise(F.initcap(made))
     given = lambda p: F.when(p["given"].isNotNull(), F.concat(cased(p["given"], to(F.concat(F.lit("given-"), p["gender"]), F.lower(p["given"]))), F.lit(" "))).otherwise("")
     name = let(name_parts(mention), lambda p: F.concat(p["title"], given(p), cased(p["surname"], to(F.lit("surname"), F.lower(p["surname"])))))
-    plain = lambda k: let(to(k, canonical(mention, k)), lambda x: F.when(k.isin("iban", "card", "phone", "number"), refilled(mention, x)).otherwise(x))
+    # The country code 1 of the mention, which the canonical form leaves out.
+    dialled = lambda x: F.when(x.startswith("+"), F.substring(x, F.lit(2), F.length(x))).when(mention.startswith("+"), F.concat(F.lit("1"), x)).otherwise(x)
+    plain = lambda k: let(to(k, canonical(mention, k)), lambda x: (
+        F.when(k.isin("iban", "card", "number"), refilled(mention, x)).when(k == "phone", refilled(mention, dialled(x))).when(k == "ip6", F.regexp_replace(x, r"(?<![0-9a-f])0+(?=[0-9a-f])", ""))
+        .when(k.isin("surname", "given-m", "given-f"), cased(mention, x)).otherwise(x)
+    ))
     return let(kind_of(mention), lambda k: F.when(k == "name", name).otherwise(plain(k)))
 
 
@@ -194,7 +229,17 @@ def parts_of(text: Column) -> Column:
     """
     escaped = F.when(text.contains(_MARK) | text.contains(_ESCAPE), F.replace(F.replace(text, F.lit(_ESCAPE), F.lit(_ESCAPE + "\u0004")), F.lit(_MARK), F.lit(_ESCAPE + "\u0003"))).otherwise(text)
     marked = F.regexp_replace(escaped, ANY, f"{_MARK}$0{_MARK}")
-    return F.split(marked, _MARK, -1)
+    return let(F.split(marked, _MARK, -1), with_names_alone)
+
+
+def with_names_alone(parts: Column) -> Column:
+    """Parts in which the surnames and known given names of the text's mentions are mentions wherever they stand."""
+    words = lambda m: let(F.split(F.regexp_replace(m, rf"\A{_TITLE}\.? ", ""), " "), lambda w: F.array(F.element_at(w, -1), F.when(is_in(w[0], GIVEN["m"] + GIVEN["f"]), w[0])))
+    named = F.filter(mentions(parts), lambda m: m.rlike(r"\A\p{Lu}[\p{L} .'’\-]+\z"))
+    names = F.array_distinct(F.array_compact(F.flatten(F.transform(named, words))))
+    pattern = lambda n: F.concat(F.lit(_ALONE + "(?:"), F.array_join(F.array_distinct(F.concat(n, F.transform(n, F.upper))), "|"), F.lit(")" + _ENDED))
+    again = lambda p: F.split(F.array_join(F.transform(parts, lambda x, k: F.when(k % 2 == 0, F.regexp_replace(x, p, f"{_MARK}$0{_MARK}")).otherwise(x)), _MARK), _MARK, -1)
+    return let(names, lambda n: F.when(F.size(n) > 0, let(pattern(n), again)).otherwise(parts))
 
 
 def joined(parts: Column) -> Column:
