@@ -8,7 +8,7 @@ from importlib import import_module
 from pyspark.sql import DataFrame, SparkSession
 
 #: Plan modules; each has QUERIES (name -> callable) and SQL (name -> text).
-MODULES: tuple[str, ...] = ("flagship", "texts", "scores", "evidences", "evals", "states", "inputs", "extras", "digests", "governance", "adaptive", "indexes", "records", "decisions")
+MODULES: tuple[str, ...] = ("flagship", "texts", "scores", "evidences", "evals", "states", "inputs", "extras", "digests", "governance", "adaptive", "indexes", "records", "decisions", "rulebooks")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
