@@ -612,6 +612,23 @@ def test_long_texts_are_counted_in_chunks(spark):
     assert sorted((r.doc_id, r.n_tokens, r.n_bytes) for r in got) == sorted((k % 6, len(m.encode(x or "")), len((x or "").encode())) for k, x in enumerate(rows))
 
 
+def test_ordinary_texts_go_through_the_scan(docs):
+    """Prefixes end in the counts of the chunks before them; maps are composed on ordinary documents, without lost states."""
+    t = token_fst.PieceTransducer.from_model(P.path("piece_bpe_32k.model"))
+    several = composed_ = 0
+    for x in [*texts(60), *(r.text for r in docs.collect()), unspaced(9000, 6), "▁" * 3000 + "ab" * 2000]:
+        if len(x) > token_fst.PART:
+            maps = [t.chunk_map(*c) for c in token_fst.chunks(x, token_fst.PART)]
+            got, one = token_fst.prefixes(maps), maps[0]
+            for k, m in enumerate(maps):
+                one = token_fst.composed(one, m) if k else one
+                assert got[k] == one
+            several += 1
+            composed_ += t.name_of(0) in got[-1]
+        assert token_fst.scanned(t, x, 50) == token_fst.scanned(t, x) == t.count(x)
+    assert several > 10 and composed_ >= several - 1 and token_fst.prefixes([]) == []
+
+
 def test_time_is_in_proportion_without_spaces():
     import time
 

@@ -6,12 +6,12 @@ the next character continues, and the last tokens within the longest suffix that
 begins a piece are a finite state. Transitions are compiled when first met and carry the
 change of the token count. At a space that follows another character the state starts anew.
 
-A long text is cut into chunks, which are rows of their own and dealt to many tasks. A chunk
-becomes a state map: for each state in which the text before it can end, the state in which
+A text of more than ``PART`` characters is cut into chunks. Within a task their maps go through
+a prefix scan by doubling; the chunks of a text of more than ``LONG`` bytes are rows of their own
+and dealt to many tasks, whose maps are composed in a tree, some neighbours at a time. A chunk becomes a state map: for each state in which the text before it can end, the state in which
 the chunk ends and the tokens between. The states before a chunk follow from the characters
 right before it: one if a word begins there, else those of all places where a piece can begin.
-Maps compose associatively; they are composed in a tree, some neighbours at a time. Where a
-map lacks the state that the text does end in, the text is counted in one run instead.
+Maps compose associatively. Where a map lacks the state that the text does end in, the text is counted in one run instead.
 
 Defined cases: a null text counts as empty; an empty text has no bytes and no tokens;
 characters outside the vocabulary count as their bytes; a text of any length, with or without
@@ -38,6 +38,8 @@ from verdigris.llm.common import Memo, workers_ready, written
 SPACE = "▁"
 #: Bytes from which a text is long, characters of its chunks and of what is read before a chunk, maps composed at a time.
 LONG, CHUNK, BEFORE, FAN = 1 << 20, 1 << 17, 256, 32
+#: Characters of a chunk within a task.
+PART = 1 << 12
 #: Compiled transitions and units kept in a worker, and the longest unit kept.
 TRANSITIONS, UNITS, UNIT = 1_500_000, 200_000, 64
 #: Added to a change of the count, which is then positive.
@@ -231,25 +233,60 @@ def transducer(path: str) -> PieceTransducer:
     return PieceTransducer.from_model(path)
 
 
+def prefixes(maps: list[dict]) -> list[dict]:
+    """The maps from the text's start to the end of each chunk, by a scan that doubles its step."""
+    step = 1
+    while step < len(maps):
+        maps = [m if k < step else composed(maps[k - step], m) for k, m in enumerate(maps)]
+        step *= 2
+    return maps
+
+
+def chunks(text: str, size: int) -> Iterator[tuple[str, bool, str]]:
+    """(what stands before, whether that is all, chunk) of a text as the model writes it."""
+    whole = SPACE + text.replace(" ", SPACE)
+    for at in range(0, len(whole), size):
+        yield whole[max(0, at - BEFORE) : at], at <= BEFORE, whole[at : at + size]
+
+
+def scanned(t: PieceTransducer, text: str, part: int = PART) -> int:
+    """Tokens of a text, by the scan over its chunks where it has several."""
+    if len(text) <= part:
+        return t.count(text)
+    found = prefixes([t.chunk_map(*c) for c in chunks(text, part)])[-1].get(t.name_of(0))
+    return t.count(text) if found is None else found[1]
+
+
 #: What a row of chunks carries of its text.
 _TEXT = "row long, doc_id long, n_bytes long, own long"
 _MAP = "k long, starts array<binary>, ends array<binary>, counts array<long>"
+_SEEN = f"{_TEXT}, n_tokens long, k long, whole boolean, before string, chunk string"
 
 
-def state_maps(long: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
-    """One row of a map for each chunk of (doc_id, n_bytes, own, text); chunks are dealt to many tasks."""
+def seen(sized: DataFrame, path: str, long: int, chunk: int, part: int) -> DataFrame:
+    """Of (doc_id, n_bytes, own, text): a row with the count, or for a long text a row for each chunk."""
+    ints = [pa.field(c, pa.int64()) for c in ("row", "doc_id", "n_bytes", "own", "n_tokens", "k")]
+    schema = pa.schema([*ints, ("whole", pa.bool_()), ("before", pa.string()), ("chunk", pa.string())])
 
-    def cut(batches):
-        row = TaskContext.get().partitionId() << 33
+    def run(batches):
+        t, row = transducer(path), TaskContext.get().partitionId() << 33
         for b in batches:
+            short = []
             for doc, n_bytes, own, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 row += 1
-                whole = SPACE + text.replace(" ", SPACE)
-                for k, at in enumerate(range(0, len(whole), chunk)):
-                    start = max(0, at - BEFORE)
-                    yield pa.RecordBatch.from_pylist([{"row": row, "doc_id": doc, "n_bytes": n_bytes, "own": own, "k": k, "whole": start == 0, "before": whole[start:at], "chunk": whole[at : at + chunk]}], schema=cuts)
+                of = {"row": row, "doc_id": doc, "n_bytes": n_bytes, "own": own}
+                if n_bytes <= long:
+                    short.append(of | {"n_tokens": scanned(t, text, part)})
+                    continue
+                for k, (before, whole, piece) in enumerate(chunks(text, chunk)):
+                    yield pa.RecordBatch.from_pylist([of | {"k": k, "whole": whole, "before": before, "chunk": piece}], schema=schema)
+            yield pa.RecordBatch.from_pylist(short, schema=schema)
 
-    cuts = pa.schema([*((c, pa.int64()) for c in ("row", "doc_id", "n_bytes", "own", "k")), ("whole", pa.bool_()), ("before", pa.string()), ("chunk", pa.string())])
+    return sized.select("doc_id", "n_bytes", "own", "text").mapInArrow(run, _SEEN)
+
+
+def state_maps(cut: DataFrame, path: str) -> DataFrame:
+    """One row of a map for each chunk; chunks are dealt to many tasks."""
 
     def run(batches):
         t = transducer(path)
@@ -259,8 +296,7 @@ def state_maps(long: DataFrame, path: str, chunk: int = CHUNK) -> DataFrame:
             kinds = [pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([*b.columns[:5], *(pa.array(x, k) for x, k in zip(sides, kinds, strict=True))], names=["row", "doc_id", "n_bytes", "own", "k", "starts", "ends", "counts"])
 
-    rows = long.mapInArrow(cut, f"{_TEXT}, k long, whole boolean, before string, chunk string").repartition("row", "k")
-    return rows.mapInArrow(run, f"{_TEXT}, {_MAP}")
+    return cut.select("row", "doc_id", "n_bytes", "own", "k", "whole", "before", "chunk").repartition("row", "k").mapInArrow(run, f"{_TEXT}, {_MAP}")
 
 
 def in_a_tree(maps: DataFrame, fan: int = FAN) -> DataFrame:
@@ -282,31 +318,23 @@ def in_a_tree(maps: DataFrame, fan: int = FAN) -> DataFrame:
     return maps
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 4096, long: int = LONG, chunk: int = CHUNK, fan: int = FAN) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 4096, long: int = LONG, chunk: int = CHUNK, fan: int = FAN, part: int = PART) -> DataFrame:
     """Per row: doc_id, UTF-8 bytes, tokens, and whether they exceed the limit."""
     workers_ready(docs.sparkSession)
-
-    def run(batches):
-        t = transducer(path)
-        for b in batches:
-            n = pa.array(list(map(t.count, b.column(2).to_pylist())), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), n], names=["doc_id", "n_bytes", "n_tokens"])
-
-    def whole(texts: DataFrame) -> DataFrame:
-        return texts.select("doc_id", "n_bytes", "text").mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
-
     text = F.coalesce("text", F.lit(""))
-    sized = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
-    counted = whole(sized.filter(F.col("n_bytes") <= long))
-    own = sized.filter(F.col("n_bytes") > long).select("doc_id", "n_bytes", F.xxhash64("text").alias("own"), "text")
-    maps = written(state_maps(own, path, chunk), "maps")
+    sized = docs.select(F.col("doc_id").cast("long"), F.octet_length(text).cast("long").alias("n_bytes"), F.xxhash64(text).alias("own"), text.alias("text"))
+    out = ["doc_id", "n_bytes", "n_tokens"]
+    short, own = sized.filter(F.col("n_bytes") <= long), sized.filter(F.col("n_bytes") > long)
+    counted = seen(short, path, long, chunk, part).select(out)
+    maps = written(state_maps(seen(own, path, long, chunk, part), path), "maps")
     if not maps.isEmpty():
         start = transducer(path).name_of(0)
         total = F.try_element_at(F.map_from_arrays("starts", "counts"), F.lit(start))
         done = written(in_a_tree(maps, fan).select("doc_id", "n_bytes", "own", total.alias("n_tokens")), "counts")
+        counted = counted.union(done.filter("n_tokens is not null").select(out))
         lost = done.filter("n_tokens is null").select("own").distinct()
-        counted = counted.union(done.filter("n_tokens is not null").select("doc_id", "n_bytes", "n_tokens"))
         if not lost.isEmpty():
             # A text with a lost state is counted in one run, as are its copies; those are not counted twice.
-            counted = whole(sized.filter(F.col("n_bytes") <= long)).union(done.join(lost, "own", "left_anti").select("doc_id", "n_bytes", "n_tokens")).union(whole(own.join(lost, "own", "left_semi")))
+            again = seen(own.join(lost, "own", "left_semi"), path, sys.maxsize, chunk, sys.maxsize)
+            counted = seen(short, path, long, chunk, part).select(out).union(done.join(lost, "own", "left_anti").select(out)).union(again.select(out))
     return counted.withColumn("over_limit", F.col("n_tokens") > limit)
