@@ -235,6 +235,40 @@ def test_neighbours_with_ties_and_bad_vectors(spark):
     assert knn.nearest(df.limit(0), F.col("id") % 10 == 0).count() == 0
 
 
+def shuffled_bytes(spark):
+    gateway = spark.sparkContext._gateway
+    stages = spark.sparkContext._jsc.sc().statusStore().stageList(None, False, False, gateway.new_array(gateway.jvm.double, 0), None)
+    return sum(stages.apply(j).shuffleWriteBytes() for j in range(stages.size()))
+
+
+def test_neighbours_shuffle_a_small_multiple_of_the_table(spark):
+    """The queries are copied to each task's group, not to each block; small blocks stand for a large table."""
+    rng = np.random.default_rng(8)
+    rows = [(i, rng.normal(size=64).tolist()) for i in range(3000)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4).localCheckpoint()
+    before = shuffled_bytes(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for a large table
+    try:
+        got = knn.nearest(df, F.col("id") % 100 == 0, 10, queries=10, candidates=2).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(got) == 300 and shuffled_bytes(spark) - before < 4 * 3000 * 64 * 8
+    assert {(r.query_id, r["rank"]): r.vec_id for r in got} == {(q, k): v for q, near in brute_neighbours(rows, 10, 100).items() for k, (_, v) in enumerate(near, 1)}
+
+
+def test_neighbours_among_copies_in_several_groups_and_dimensions(spark):
+    """Equal vectors are searched once, and each of their rows is found; 0 and -0 are equal."""
+    rng = np.random.default_rng(9)
+    kinds = [rng.normal(size=6).round(1).tolist() for _ in range(40)] + [rng.normal(size=3).round(1).tolist() for _ in range(15)] + [[0.0, 1.0, 2.0], [-0.0, 1.0, 2.0]]
+    rows = [(i, kinds[min(int(rng.exponential(12)), 56)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    for k in (1, 4, 60):
+        mine = defaultdict(list)
+        for r in sorted(knn.nearest(df, F.col("id") % 10 == 0, k, queries=7, candidates=5, held=40).collect(), key=lambda r: (r.query_id, r["rank"])):
+            mine[r.query_id].append((r.score, r.vec_id))
+        assert dict(mine) == brute_neighbours(rows, k, 10)
+
+
 def test_rows_that_share_an_id_are_queries_and_candidates_each(spark):
     """Each of two rows with one id has its own list, the other row among its candidates."""
     rows = [(0, [float(k), 1.0]) for k in (0, 1)] + [(k, [float(k) * 3, 2.0]) for k in range(1, 8)]
