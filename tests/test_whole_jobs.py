@@ -82,3 +82,22 @@ def test_lint_compares_whole_texts(spark, tmp_path):
     want = {k: len(t.strip()) <= 2 or t.startswith(("[ERROR", "Sure,", "Of course")) or any(similar(grams(t), grams(p)) for p in texts[max(0, k - 10) : k]) for k, t in enumerate(texts)}
     assert got == want | {99: False}
     assert not want[1] and want[14] and want[4]
+
+
+def test_layers_after_an_earlier_round(spark, tmp_path):
+    """Rows that an earlier round left at 0 come in, and the ones that were latest then go back to 1."""
+    r = random.Random(6)
+    events = [(k, r.randrange(4), r.choice(["view", "click", "error", None]), r.choice([10.0, 100.0, 150.0, None])) for k in range(150)]
+    got = ran(spark, tmp_path, "f10_layers", events=("event_id long, user_id long, event_type string, value double", events))
+
+    def round_(state, due):
+        state = {k: (-1 if events[k][2] == "error" else 1) if v == 0 and k in due else v for k, v in state.items()}
+        for u in range(4):
+            active = sorted((k for k, v in state.items() if v > 0 and events[k][1] == u), reverse=True)
+            state |= {k: 2 if n < 5 else 1 for n, k in enumerate(active)}
+        return state
+
+    before = round_(dict.fromkeys(range(150), 0), {k for k, _, t, v in events if t == "error" or (v or 0) > 100})
+    after = round_(before, set(range(150)))
+    assert sorted(got) == sorted((events[k][1], k, before[k], after[k]) for k in before)
+    assert {(-1, -1), (0, 1), (0, 2), (1, 1), (2, 1), (2, 2)} <= set(zip(before.values(), after.values()))

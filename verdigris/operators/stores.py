@@ -23,6 +23,20 @@ def flushed(counts: DataFrame, deltas: DataFrame, key: str) -> DataFrame:
     return counts.unionByName(deltas).groupBy(key).agg(F.sum("hits").alias("hits"), F.max("last").alias("last"))
 
 
+def layered(store: DataFrame, key: str, latest: Column, noise: Column, due: Column, most: int = 5) -> DataFrame:
+    """One round of the layer pipeline over a store with a column layer.
+
+    Rows of layer 0 that are due go to -1 if they are noise, else to 1; those not due stay. Then
+    a key's latest rows of layers 1 and 2, a bounded number, are 2, and the others go back to 1.
+    """
+    rows = store.withColumn("__to", F.when((F.col("layer") == 0) & due, F.when(noise, -1).otherwise(1)).otherwise(F.col("layer")))
+    active = F.col("__to") > 0
+    # Ordered by the old layer too, so that rows of one key and place have one result.
+    w = Window.partitionBy(key).orderBy(latest, F.desc("layer")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("__r", F.count(F.when(active, 1)).over(w))
+    return rows.withColumn("layer", first_match([(active & (F.col("__r") <= most), 2), (active, 1)], F.col("__to"))).drop("__to", "__r")
+
+
 def staleness(age_days: Column, limit_days: Column) -> Column:
     return first_match([(age_days > 2 * limit_days, "stale"), (age_days > limit_days, "aging")], "fresh")
 

@@ -70,13 +70,16 @@ def f7_n15_confirmations(spark, sf_dir):
     return folds.runs(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type")).filter("run >= 2").select("user_id", "event_id", "run")
 
 
-@query("""WITH p AS (SELECT user_id, event_id, event_type = 'error' AS noise FROM events), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, noise ORDER BY event_id DESC) AS r FROM p) SELECT user_id, event_id, CASE WHEN noise THEN -1 WHEN r <= 5 THEN 2 ELSE 1 END AS layer FROM r""")
+@query("""WITH p AS (SELECT user_id, event_id, CASE WHEN event_type = 'error' THEN -1 WHEN value > 100 THEN 1 ELSE 0 END AS layer FROM events),
+b AS (SELECT user_id, event_id, CASE WHEN layer = 1 AND row_number() OVER (PARTITION BY user_id, layer ORDER BY event_id DESC) <= 5 THEN 2 ELSE layer END AS before FROM p),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id, before >= 0 ORDER BY event_id DESC, before DESC) AS r FROM b)
+SELECT user_id, event_id, before, CASE WHEN before < 0 THEN -1 WHEN r <= 5 THEN 2 ELSE 1 END AS layer FROM r""")
 def f10_layers(spark, sf_dir):
-    """Noise to -1, the rest from 0 to 1; a user's latest five of these are 2, the others 1."""
+    """Two rounds of a user's layers: noise and values over 100 are due in the first (before), all others in the second (layer)."""
     noise = F.col("event_type") == "error"
-    w = Window.partitionBy("user_id", "noise").orderBy(F.desc("event_id"))
-    p = table(spark, sf_dir, "events").select("user_id", "event_id", noise.alias("noise")).withColumn("r", F.row_number().over(w))
-    return p.select("user_id", "event_id", S.first_match([(F.col("noise"), -1), (F.col("r") <= 5, 2)], 1).alias("layer"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value", F.lit(0).alias("layer"))
+    first = stores.layered(e, "user_id", F.desc("event_id"), noise, noise | (F.col("value") > 100)).withColumn("before", F.col("layer"))
+    return stores.layered(first, "user_id", F.desc("event_id"), noise, F.lit(True)).select("user_id", "event_id", "before", "layer")
 
 
 @query("""WITH k AS (SELECT user_id, event_id, event_type, value, CASE WHEN event_type = lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) THEN 0 ELSE 1 END AS new FROM events), i AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY event_id) AS island FROM k), r AS (SELECT *, row_number() OVER (PARTITION BY user_id, island ORDER BY event_id) AS run FROM i)
