@@ -264,7 +264,7 @@ def test_neighbours_among_copies_in_several_groups_and_dimensions(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     for k in (1, 4, 60):
         mine = defaultdict(list)
-        for r in sorted(knn.nearest(df, F.col("id") % 10 == 0, k, queries=7, candidates=5, held=40).collect(), key=lambda r: (r.query_id, r["rank"])):
+        for r in sorted(knn.nearest(df, F.col("id") % 10 == 0, k, queries=7, candidates=5, held=400).collect(), key=lambda r: (r.query_id, r["rank"])):
             mine[r.query_id].append((r.score, r.vec_id))
         assert dict(mine) == brute_neighbours(rows, k, 10)
 

@@ -32,8 +32,8 @@ from verdigris.llm.common import workers_ready, written
 
 #: Queries of a block and vectors of a tile.
 QUERIES, CANDIDATES = 1024, 2048
-#: Components that one task holds.
-HELD = 24_000_000
+#: Bytes of vectors that one task holds.
+HELD = 192_000_000
 
 
 def usable(vector: Column) -> Column:
@@ -173,7 +173,9 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, queries: int = QU
     most = k + 1  # a query's own row may be among them
     # Only sizes the groups; any number of them is right.
     different, values = taking.agg(F.approx_count_distinct("hash"), F.coalesce(F.avg(F.size("x")), F.lit(0.0))).first()
-    n = max(1, math.ceil(different * values / held), min(2 * spark.sparkContext.defaultParallelism, math.ceil(different / candidates)))
+    # Single-precision components are held once, others beside their single-precision form.
+    width = 4 if taking.schema["x"].dataType.elementType.typeName() == "float" else 12
+    n = max(1, math.ceil(different * values * width / held), min(2 * spark.sparkContext.defaultParallelism, math.ceil(different / candidates)))
     rank = F.row_number().over(Window.partitionBy("hash", "x").orderBy("id"))
     classes = taking.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy("hash", "x").agg(F.sort_array(F.collect_list("id")).alias("ids"))
     asked = taking.filter(is_query)
