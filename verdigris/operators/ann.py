@@ -25,7 +25,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from verdigris.operators.vectors import top_k
+from verdigris.operators.vectors import norms, top_k
 from verdigris.session import ship
 
 #: Rows on which a model is fitted at most, cells at most, and rows of the sample for each cell.
@@ -217,8 +217,6 @@ def short_lists(probes: DataFrame, codes: DataFrame, model: Model, size: int) ->
 
 def rescored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """(query_id, vec_id, label, score): exact cosines of the short lists' pairs, added in order of the components."""
-    from verdigris.operators.vectors import Tile
-
     both = pairs.select("query_id", "vec_id").join(vectors.select("vec_id", "label", F.transform("embedding", lambda v: v.cast("double")).alias("x")), "vec_id")
     both = both.join(queries.select("query_id", F.transform("q", lambda v: v.cast("double")).alias("q")), "query_id").select("query_id", "vec_id", F.col("label").cast("long").alias("label"), "q", "x")
 
@@ -228,7 +226,7 @@ def rescored(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFr
         for b in batches:
             if b.num_rows:
                 q, x = (b.column(i).flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1) for i in (3, 4))
-                scale = Tile._norms(q) * Tile._norms(x)
+                scale = norms(q) * norms(x)
                 score = np.cumsum(q * x, axis=1)[:, -1] / np.where(scale == 0, 1.0, scale)
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(score)], names=["query_id", "vec_id", "label", "score"])
 

@@ -1,16 +1,18 @@
 """Vector retrieval: similarity, top-k, pooling by key, margins, tiers and conflicts.
 
-Inputs: queries(query_id, q, ...) and vectors(vec_id, embedding, label). Both sides are dealt
-into blocks of bounded size; query blocks are copied to every vector block, so that a tile of
-the two is one row and a matrix product, and only its best leave it. A product in another
-order of addition may differ in the last bits: what is near a cut is computed again in order.
-Top-k lists are bounded per query, so what follows them is linear in the queries.
+Inputs: queries(query_id, q, ...) and vectors(vec_id, embedding, label). Equal vectors collapse
+to one class with its smallest ids; classes are dealt by hash into groups of bounded bytes, and
+every query meets every group once. A task holds its group in tiles and lets the queries stream
+past them in blocks, so that only a bounded piece of the scores exists at a time. Products are
+in single precision with a bound on their error: what can be among the best is computed again
+in double precision, in order. Top-k lists are bounded per query, so what follows them is linear
+in the queries.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -19,10 +21,14 @@ from pyspark.sql import functions as F
 from verdigris.functions.scoring import first_match
 from verdigris.session import ship
 
-#: Numbers of a block of queries and of vectors: 8 MB and 32 MB in double precision.
-QUERY_VALUES, VECTOR_VALUES = 1 << 20, 1 << 22
+#: Numbers of a block of queries and of a tile of vectors at most, and rows of both: 8 MB of scores.
+QUERY_VALUES, VECTOR_VALUES, QUERIES, CANDIDATES = 1 << 20, 1 << 22, 1024, 2048
+#: Bytes of vectors that one task holds, and numbers of the pairs that are computed again together.
+HELD, PAIR_VALUES = 192_000_000, 1 << 21
 #: More than products in different orders can differ by.
 NEAR = 1e-9
+#: A missing label, inside a task.
+NO_LABEL = np.iinfo("i8").min
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -38,96 +44,259 @@ def cosine(a: Column, b: Column, na: Column, nb: Column) -> Column:
     return dot(a, b) / F.when(na * nb == 0, F.lit(1.0)).otherwise(na * nb)
 
 
-def blocks(rows: DataFrame, id_: str, vector: str, values: int, salt: str) -> tuple[DataFrame, int]:
-    """(block, dim, rows) of bounded size and the number of blocks; rows without a vector take no part."""
-    good = rows.filter(F.col(id_).isNotNull() & F.col(vector).isNotNull() & (F.size(vector) > 0))
-    size = good.agg(F.count("*").alias("n"), F.max(F.size(vector)).alias("dim")).first()
-    n = max(1, math.ceil(size["n"] * (size["dim"] or 1) / values))
-    dealt = good.select(F.pmod(F.xxhash64(F.col(id_), F.lit(salt)), F.lit(n)).cast("int").alias("block"), F.size(vector).alias("dim"), F.struct(F.col(id_).cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.transform(vector, lambda x: x.cast("double")).alias("x")).alias("row"))
-    return dealt.repartition("block").groupBy("block", "dim").agg(F.collect_list("row").alias("rows")), n
+def norms(x: np.ndarray) -> np.ndarray:
+    """Lengths, added in order."""
+    return np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
 
 
-def in_tiles(queries: DataFrame, vectors: DataFrame, of: Callable, schema: str) -> DataFrame:
-    """of(tile) for every block of queries and block of vectors; it gives an iterable of rows."""
-    ship(queries.sparkSession)
-    labelled = queries if "label" in queries.columns else queries.withColumn("label", F.lit(None).cast("long"))
-    q, _ = blocks(labelled, "query_id", "q", QUERY_VALUES, "query")
-    v, n = blocks(vectors, "vec_id", "embedding", VECTOR_VALUES, "vector")
-    spread = q.select("dim", F.col("rows").alias("q_rows"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("block"))
-    names = [c.split()[0] for c in schema.split(", ")]
+def usable(id_: str, vector: str) -> Column:
+    """Rows with an id and a vector of finite components; others have no score."""
+    good = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf))
+    return F.col(id_).isNotNull() & (F.size(vector) > 0) & F.forall(F.col(vector).cast("array<double>"), good)
 
-    def run(batches):
-        import pyarrow as pa
 
-        for b in batches:
-            for j in range(b.num_rows):
-                found = list(of(Tile(b.column(0)[j].values, b.column(1)[j].values)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=names)
+class Block:
+    """Vectors of one dimension, and their single-precision form of length 1.
 
-    return v.join(spread, ["block", "dim"]).select("q_rows", "rows").mapInArrow(run, schema)
+    odd: those whose length or products might leave the range of the numbers; for them nothing is ruled out.
+    """
 
+    def __init__(self, x: np.ndarray):
+        self.x = x.astype("f8")
+        with np.errstate(over="ignore"):
+            self.norm = norms(self.x)
+        self.odd = (self.norm != 0) & ~((self.norm > 1e-25) & (self.norm < 1e30))
+        # Above this dimension the bound on the rounding of sums would be wide.
+        self.kind, self.unit_roundoff = ("f4", 2.0**-24) if x.shape[1] <= 65_536 else ("f8", 2.0**-53)
+        self.slack = (x.shape[1] + 16) * self.unit_roundoff * 1.01 + 1e-12
+        self.unit = (self.x / np.where((self.norm == 0) | self.odd, np.inf, self.norm)[:, None]).astype(self.kind)
 
-class Tile:
-    """A block of queries against a block of vectors."""
 
-    def __init__(self, q, v):
-        self.q_ids, self.q_labels, self.q = self._columns(q)
-        self.ids, self.labels, self.v = self._columns(v)
-        self.nq, self.nv = self._norms(self.q), self._norms(self.v)
-        scale = self.nq[:, None] * self.nv[None, :]
+class Tile:
+    """Classes of a group: vectors in columns, and each one's (id, label) entries in order of the ids."""
+
+    def __init__(self, x: np.ndarray, counts: np.ndarray, ids: np.ndarray, labels: np.ndarray):
+        block = Block(x)
+        self.norm, self.odd, self.slack = block.norm, block.odd, block.slack
+        # Single-precision vectors are held once, others beside their single-precision form.
+        self.raw = x.dtype == block.kind
+        self.coded = np.ascontiguousarray((np.where(block.odd[:, None], 0, x) if self.raw else block.unit).T)
+        self.scale = (1 / np.where((self.norm == 0) | self.odd, np.inf, self.norm) if self.raw else np.ones(len(x))).astype(block.kind)
+        self.x = x if not self.raw or self.odd.any() else None
+        self.counts, self.ids, self.labels = counts, ids, labels
+        self.starts = np.cumsum(counts) - counts
+        self.label = labels[self.starts]
+        self.edges = np.flatnonzero(np.r_[True, self.label[1:] != self.label[:-1]])
+        # Classes of one id only are none for a query of that id.
+        sole = np.flatnonzero(ids[self.starts] == ids[self.starts + counts - 1])
+        order = np.argsort(ids[self.starts[sole]], kind="stable")
+        self.sole, self.sole_id = sole[order], ids[self.starts[sole]][order]
+
+    def rows(self, at: np.ndarray) -> np.ndarray:
+        return (self.coded[:, at].T if self.x is None else self.x[at]).astype("f8")
+
+    def products(self, q: Block, own: np.ndarray | None) -> np.ndarray:
+        """Cosines to within the slack; lowest where the vector is odd or has the query's id only."""
+        with np.errstate(all="ignore"):
+            found = q.unit @ self.coded
+            found *= self.scale
+        found[:, self.odd] = -np.inf
+        if own is not None:
+            low, high = (np.searchsorted(self.sole_id, own, side) for side in ("left", "right"))
+            n = high - low
+            if n.any():
+                places = np.arange(n.sum()) + np.repeat(low - (np.cumsum(n) - n), n)
+                found[np.repeat(np.arange(len(own)), n), self.sole[places]] = -np.inf
+        return found
+
+    def above(self, q: Block, found: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query, vector) whose product reaches what is least for the query or pair, and all pairs with odd vectors."""
+        least = np.nextafter(least.astype(found.dtype), np.array(-np.inf, found.dtype))
+        least = least if least.ndim == 2 else least[:, None]
+        least[q.odd] = -np.inf
+        if self.odd.any() or least.shape[1] > 1:
+            hit = found >= least
+            hit[:, self.odd] = True
+            return np.nonzero(hit)
+        rows = np.flatnonzero(found.max(axis=1) >= least[:, 0])
+        a, c = np.nonzero(found[rows] >= least[rows])
+        return rows[a], c
+
+    def near(self, q: Block, own: np.ndarray, bound: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that contain all that reach the bound, or, where it is infinite, the k best."""
+        found = self.products(q, own)
+        least, size = bound - self.slack, found.shape[1]
+        if size > k and len(new := np.flatnonzero(np.isneginf(bound))):
+            least[new] = np.partition(found[new], size - k, axis=1)[:, size - k].astype("f8") - 2 * self.slack
+        return self.above(q, found, least)
+
+    def near_by_label(self, q: Block, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs that contain each query's best of every label."""
+        found = self.products(q, own)
+        best = np.maximum.reduceat(found, self.edges, axis=1).astype("f8") - 2 * self.slack
+        return self.above(q, found, np.repeat(best, np.diff(np.r_[self.edges, found.shape[1]]), axis=1))
+
+    def exact(self, q: Block, a: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Cosines added in order; zero norms are guarded by 1."""
         with np.errstate(all="ignore"):
-            self.scores = (self.q @ self.v.T) / np.where(scale == 0, 1.0, scale)
-        self.scores[np.isnan(self.scores)] = -np.inf
-
-    @staticmethod
-    def _columns(rows):
-        ids = rows.field(0).to_numpy(zero_copy_only=False)
-        return ids, rows.field(1).fill_null(-1).to_numpy(zero_copy_only=False), rows.field(2).flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1)
-
-    @staticmethod
-    def _norms(x):
-        return np.sqrt(np.cumsum(x * x, axis=1)[:, -1])
-
-    def exact(self, a: int, at: np.ndarray) -> np.ndarray:
-        """Cosines of query a with the vectors at some places, added in order; zero norms are guarded by 1."""
-        scale = self.nq[a] * self.nv[at]
-        return np.cumsum(self.q[a] * self.v[at], axis=1)[:, -1] / np.where(scale == 0, 1.0, scale)
-
-    def best(self, a: int, k: int, at: np.ndarray) -> list[tuple[float, int]]:
-        """(score, place) of the k best of some places for query a; ties go to the smaller id."""
-        near = self.scores[a, at]
-        if k < len(at):
-            at = at[near >= np.partition(near, len(at) - k)[len(at) - k] - NEAR]
-        at = at[np.isfinite(self.scores[a, at])]
-        score = self.exact(a, at)
-        order = np.lexsort((self.ids[at], -score))[:k]
-        return [(float(score[j]), int(at[j])) for j in order]
+            scale = q.norm[a] * self.norm[c]
+            return np.cumsum(q.x[a] * self.rows(c), axis=1)[:, -1] / np.where(scale == 0, 1.0, scale)
+
+    def scored(self, q: Block, own: np.ndarray, a: np.ndarray, c: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """(query, score, id, label) of the pairs' rows other than the query's own, a bounded number at a time."""
+        step = max(1, PAIR_VALUES // self.coded.shape[0])
+        for s in range(0, len(a), step):
+            i, j = a[s : s + step], c[s : s + step]
+            score = self.exact(q, i, j)
+            good = np.isfinite(score)
+            i, j, score = i[good], j[good], score[good]
+            n = self.counts[j]
+            at = np.arange(n.sum()) + np.repeat(self.starts[j] - (np.cumsum(n) - n), n)
+            i, score = np.repeat(i, n), np.repeat(score, n)
+            other = self.ids[at] != own[i]
+            yield i[other], score[other], self.ids[at[other]], self.labels[at[other]]
+
+
+def firsts(of: np.ndarray, k: int) -> np.ndarray:
+    """Which entries of a sorted array are among the first k of their value."""
+    at = np.arange(len(of))
+    start = np.maximum.accumulate(np.where(np.r_[True, of[1:] != of[:-1]], at, 0))
+    return at - start < k
+
+
+def best_rows(tiles: list[Tile], q: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """(query, score, id, label) of each query's k best rows; ties go to the smaller id."""
+    block = Block(q)
+    held = (np.zeros(0, "i8"), np.zeros(0), np.zeros(0, "i8"), np.zeros(0, "i8"))
+    bound = np.full(len(q), -np.inf)
+    for t in tiles:
+        for more in t.scored(block, own, *t.near(block, own, bound, k)):
+            if not len(more[0]):
+                continue
+            a, score, ids, labels = (np.concatenate(both) for both in zip(held, more, strict=True))
+            order = np.lexsort((ids, -score, a))
+            order = order[firsts(a[order], k)]
+            held = a[order], score[order], ids[order], labels[order]
+            last = np.flatnonzero(np.r_[held[0][1:] != held[0][:-1], True])
+            full = last[np.diff(np.r_[-1, last]) == k]
+            bound[held[0][full]] = held[1][full]
+    return held
+
+
+def best_rows_by_label(tiles: list[Tile], q: np.ndarray, own: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """(query, score, id, label) of each query's best row of every label, in parts that may name a label again."""
+    block, parts, size = Block(q), [], 0
+    for t in tiles:
+        for more in t.scored(block, own, *t.near_by_label(block, own)):
+            parts.append(_best_of_label(more))
+            size += len(parts[-1][0])
+            if size > PAIR_VALUES // 2:
+                best = _best_of_label(tuple(map(np.concatenate, zip(*parts, strict=True))))
+                parts, size = [best], len(best[0])
+                if size > PAIR_VALUES // 4:
+                    yield best
+                    parts, size = [], 0
+    if parts:
+        yield _best_of_label(tuple(map(np.concatenate, zip(*parts, strict=True))))
+
+
+def _best_of_label(rows: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    a, score, ids, labels = rows
+    order = np.lexsort((ids, -score, labels, a))
+    new = np.r_[True, (a[order][1:] != a[order][:-1]) | (labels[order][1:] != labels[order][:-1])] if len(order) else order > 0
+    return tuple(x[order[new]] for x in rows)
+
+
+def in_groups(queries: DataFrame, vectors: DataFrame, most: int, by_label: bool, of: Callable) -> DataFrame:
+    """query_id, vec_id, label, score: what of(tiles, q, own) finds for every block of queries in every group of classes.
+
+    A class is a vector, by label also its label, with the rows of its ``most`` smallest ids.
+    """
+    spark = queries.sparkSession
+    ship(spark)
+    single = all(df.schema[c].dataType.elementType.typeName() == "float" for df, c in ((queries, "q"), (vectors, "embedding")))
+    kind = "array<float>" if single else "array<double>"
+    taking = vectors.filter(usable("vec_id", "embedding")).select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("x")).withColumn("hash", F.xxhash64("x"))
+    asked = queries.filter(usable("query_id", "q")).select(F.col("query_id").cast("long").alias("own"), F.col("q").cast(kind).alias("x"))
+    # Only sizes the groups; any number of them is right.
+    different, values = taking.agg(F.approx_count_distinct("hash"), F.coalesce(F.avg(F.size("x")), F.lit(0.0))).first()
+    n = max(1, math.ceil(different * values * (4 if single else 12) / HELD), min(spark.sparkContext.defaultParallelism, math.ceil(different / CANDIDATES)))
+    key = ["hash", "x", "label"] if by_label else ["hash", "x"]
+    first = F.dense_rank().over(Window.partitionBy(*key).orderBy("id"))
+    classes = taking.withColumn("first", first).filter(F.col("first") <= most).groupBy(*key).agg(F.sort_array(F.collect_list(F.struct("id", "label"))).alias("entries"))
+    none = F.lit(None).cast("long")
+    held = classes.select(F.pmod("hash", F.lit(n)).cast("int").alias("group"), F.size("x").alias("dim"), F.lit(0).alias("kind"), (F.col("label") if by_label else none).alias("label"), none.alias("own"), "entries", "x")
+    spread = asked.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("group"), F.size("x").alias("dim"), F.lit(1).alias("kind"), none.alias("label"), "own", F.array().cast("array<struct<id:bigint,label:bigint>>").alias("entries"), "x")
+    dealt = held.union(spread).repartitionById(n, F.col("group")).sortWithinPartitions("dim", "kind", "label")
+    query_values, vector_values, query_rows, vector_rows = QUERY_VALUES, VECTOR_VALUES, QUERIES, CANDIDATES
 
+    def run(batches):
+        import pyarrow as pa
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """query_id, vec_id, label, score, rank: each query's k best vectors by cosine, its own id left out."""
+        dim, tiles, owns, asked_rows, waiting = None, [], [], [], []
+
+        def close():
+            if waiting:
+                x, counts, ids, labels = map(np.concatenate, zip(*waiting, strict=True))
+                waiting.clear()
+                tiles.append(Tile(x, counts, ids, labels))
+
+        def flush():
+            own, q = np.concatenate(owns), np.concatenate(asked_rows)
+            owns.clear()
+            asked_rows.clear()
+            for a, score, ids, labels in of(tiles, q, own):
+                for s in range(0, len(a), 1 << 16):
+                    part = slice(s, s + (1 << 16))
+                    yield pa.RecordBatch.from_arrays([pa.array(own[a[part]]), pa.array(ids[part]), pa.array(labels[part], mask=labels[part] == NO_LABEL), pa.array(score[part])], names=["query_id", "vec_id", "label", "score"])
+
+        for b in (b for b in batches if b.num_rows):
+            dims, kinds = b.column(1).to_numpy(), b.column(2).to_numpy()
+            cuts = np.flatnonzero(np.r_[True, (dims[1:] != dims[:-1]) | (kinds[1:] != kinds[:-1])])
+            for s, e in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                if dims[s] != dim:
+                    if owns:
+                        yield from flush()
+                    dim, tiles = int(dims[s]), []
+                    waiting.clear()
+                    block, tile = max(1, min(query_rows, query_values // dim)), max(1, min(vector_rows, vector_values // dim))
+                x = b.column(6)[s:e].flatten().to_numpy(zero_copy_only=False).reshape(e - s, dim)
+                if kinds[s] == 0:
+                    entries = b.column(5)[s:e]
+                    counts, at = entries.value_lengths().to_numpy(zero_copy_only=False).astype("i8"), 0
+                    flat = entries.flatten()
+                    ids, labels = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1).fill_null(NO_LABEL).to_numpy(zero_copy_only=False)
+                    ends = np.r_[0, np.cumsum(counts)]
+                    while at < e - s:
+                        upto = min(e - s, at + tile - sum(len(w[0]) for w in waiting))
+                        waiting.append((x[at:upto].copy(), counts[at:upto], ids[ends[at] : ends[upto]], labels[ends[at] : ends[upto]]))
+                        at = upto
+                        if sum(len(w[0]) for w in waiting) >= tile:
+                            close()
+                    continue
+                close()
+                if not tiles:
+                    continue
+                own = b.column(4)[s:e].to_numpy(zero_copy_only=False)
+                for j in range(0, e - s, block):
+                    owns.append(own[j : j + block])
+                    asked_rows.append(x[j : j + block].copy())
+                    if sum(map(len, owns)) >= block:
+                        yield from flush()
+        if owns:
+            yield from flush()
+
+    return dealt.mapInArrow(run, "query_id long, vec_id long, label long, score double")
 
-    def of(t: Tile):
-        for a, own in enumerate(t.q_ids):
-            for score, j in t.best(a, k, np.flatnonzero(t.ids != own)):
-                yield int(own), int(t.ids[j]), int(t.labels[j]), score
 
-    return top_k(in_tiles(queries, vectors, of, "query_id long, vec_id long, label long, score double"), k)
+def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    """query_id, vec_id, label, score, rank: each query's k best vectors by cosine, its own id left out."""
+    return top_k(in_groups(queries, vectors, k + 1, False, lambda tiles, q, own: [best_rows(tiles, q, own, k)]), k)
 
 
 def best_by_label(queries: DataFrame, vectors: DataFrame) -> DataFrame:
     """query_id, label, score, vec_id: each query's best vector of every label, its own id left out."""
-
-    def of(t: Tile):
-        places = [np.flatnonzero(t.labels == label) for label in np.unique(t.labels)]
-        for a, own in enumerate(t.q_ids):
-            for at in places:
-                for score, j in t.best(a, 1, at[t.ids[at] != own]):
-                    yield int(own), int(t.labels[j]), int(t.ids[j]), score
-
-    found = in_tiles(queries, vectors, of, "query_id long, label long, vec_id long, score double")
-    best = found.groupBy("query_id", "label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m"))
+    best = in_groups(queries, vectors, 2, True, best_rows_by_label).groupBy("query_id", "label").agg(F.max(F.struct("score", (-F.col("vec_id")).alias("v"))).alias("m"))
     return best.select("query_id", "label", F.col("m.score").alias("score"), (-F.col("m.v")).alias("vec_id"))
 
 
@@ -317,14 +486,14 @@ def supplementary(selected: DataFrame, wanted: Column) -> Column:
 PIVOT_ROWS, PIVOTS = 4096, 64
 
 
-def pivot_tiles(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> tuple[DataFrame, float]:
-    """(q_rows, rows) of the tiles in which two vectors can have a cosine of the threshold, and the share of cell pairs kept.
+def pivot_tiles(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> tuple[tuple[DataFrame, list[tuple[int, int, int]]], float]:
+    """((id, label, x, dim, cell), pairs of cells (dim, cell, cell)) that can hold a cosine of the threshold, and the share of cell pairs kept.
 
     Unit vectors are dealt into cells by their nearest pivot. A cosine of t is a distance of
     sqrt(2 - 2 t), so that by the triangle inequality two cells cannot hold such a pair if their
-    pivots are farther apart than that and both radii. Only the other cells' blocks meet. The
-    pivots (of a bounded sample) and a row for each cell pass the driver. Thresholds are to be
-    above 0; zero vectors reach none and take no part.
+    pivots are farther apart than that and both radii. The pivots (of a bounded sample) and a row
+    for each cell pass the driver. Thresholds are to be above 0; zero vectors reach none and take
+    no part.
     """
     from verdigris.operators.ann import lloyd, units
     from verdigris.session import scratch
@@ -333,8 +502,7 @@ def pivot_tiles(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> t
         raise ValueError("pivots need a threshold above 0")
     spark = vectors.sparkSession
     ship(spark)
-    good = vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
-    good = good.filter(F.exists("x", lambda v: v != 0))
+    good = labelled_vectors(vectors).filter(F.exists("x", lambda v: v != 0))
     sample = [r["x"] for r in good.orderBy(F.xxhash64("id"), "id").limit(PIVOT_ROWS).select("x").collect()]
     of_dim = {d: units(np.array([x for x in sample if len(x) == d], "f8")) for d in {len(x) for x in sample}}
     centers = {d: lloyd(x, max(1, min(pivots, len(x) // 4)), 5, 1) for d, x in of_dim.items()}
@@ -348,70 +516,144 @@ def pivot_tiles(vectors: DataFrame, threshold: float, pivots: int = PIVOTS) -> t
             for d in np.unique(sizes).tolist():
                 at = np.flatnonzero(sizes == d)
                 if d in centers:
-                    unit = units(np.array(b.column(2).take(pa.array(at)).to_pylist(), "f8"))
+                    unit = units(b.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), d).astype("f8"))
                     gap = np.sqrt(np.maximum(0, (unit**2).sum(axis=1)[:, None] + (centers[d] ** 2).sum(axis=1)[None, :] - 2 * unit @ centers[d].T))
                     cell[at], far[at] = gap.argmin(axis=1), gap.min(axis=1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes.astype("i4")), pa.array(cell), pa.array(far)], names=["id", "label", "x", "dim", "cell", "far"])
 
     path = scratch(spark, "pivots")
-    good.mapInArrow(run, "id long, label long, x array<double>, dim int, cell int, far double").write.parquet(path)
+    kind = good.schema["x"].dataType.simpleString()
+    good.mapInArrow(run, f"id long, label long, x {kind}, dim int, cell int, far double").write.parquet(path)
     dealt = spark.read.parquet(path)
-    cells = {(r["dim"], r["cell"]): (r["far"], max(1, math.ceil(r["n"] * r["dim"] / VECTOR_VALUES))) for r in dealt.groupBy("dim", "cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}
+    cells = {(r["dim"], r["cell"]): r["far"] for r in dealt.groupBy("dim", "cell").agg(F.max("far").alias("far")).collect()}
     reach, pairs = math.sqrt(2 - 2 * min(threshold, 1.0)) + NEAR, []
-    for (d, a), (far_a, _) in cells.items():
-        for (e, b), (far_b, blocks_b) in cells.items():
+    for (d, a), far_a in cells.items():
+        for (e, b), far_b in cells.items():
             # Vectors of a dimension that the sample lacks have no pivot: their one cell meets itself.
             if d == e and (d not in centers or np.linalg.norm(centers[d][a] - centers[d][b]) <= reach + far_a + far_b):
-                pairs.append((d, a, b, blocks_b))
+                pairs.append((d, a, b))
     every = sum(1 for d, _ in cells for e, _ in cells if d == e)
-    # At most a row for each two pivots, and for each cell.
-    told = F.broadcast(spark.createDataFrame(pairs, "dim int, cell int, other int, others int"))
-    sizes = F.broadcast(spark.createDataFrame([(*k, n) for k, (_, n) in cells.items()], "dim int, cell int, blocks int"))
-    block = F.pmod(F.xxhash64("id", F.lit("pivot")), F.col("blocks")).cast("int")
-    held = dealt.join(sizes, ["dim", "cell"]).select("dim", "cell", block.alias("block"), F.struct("id", "label", "x").alias("row")).repartition("dim", "cell", "block").groupBy("dim", "cell", "block").agg(F.collect_list("row").alias("rows"))
-    left = held.select("dim", "cell", F.col("rows").alias("q_rows")).join(told, ["dim", "cell"]).select("dim", F.col("other").alias("cell"), "q_rows", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("block"))
-    return held.join(left, ["dim", "cell", "block"]).select("q_rows", "rows"), len(pairs) / max(every, 1)
+    return (dealt.drop("far"), pairs), len(pairs) / max(every, 1)
+
+
+def labelled_vectors(vectors: DataFrame) -> DataFrame:
+    """(id, label, x) of the rows that have all three."""
+    kind = "array<float>" if vectors.schema["embedding"].dataType.elementType.typeName() == "float" else "array<double>"
+    return vectors.filter(usable("vec_id", "embedding") & F.col("label").isNotNull()).select(F.col("vec_id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), F.col("embedding").cast(kind).alias("x"))
 
 
 def conflicts(vectors: DataFrame, threshold: float, pivots: int | None = None) -> DataFrame:
-    """The closest pair of each two patterns, if close enough; a tile gives one pair for each two labels.
+    """The closest pair of each two patterns, if close enough; a task gives one pair for each two labels.
 
-    Without a number of pivots there are four for each block of vectors, as smaller tiles cost
-    more than their pairs; within one block there is nothing to rule out.
+    Equal vectors of a label collapse to the smallest id. Groups of bounded bytes are dealt by hash;
+    each group's rows stream past half of the groups, so that each two groups meet. Without a number
+    of pivots there are four for each 4 million numbers; where they rule out less than half of the
+    cell pairs, all meet in whole tiles, as small ones cost more than their pairs.
     """
-    schema = "label_a long, label_b long, id_a long, id_b long, score double"
+    spark = vectors.sparkSession
+    ship(spark)
+    good = labelled_vectors(vectors)
+    different, values = good.agg(F.approx_count_distinct(F.xxhash64("x", "label")), F.coalesce(F.sum(F.size("x")), F.lit(0))).first()
     if pivots is None:
-        values = vectors.agg(F.sum(F.greatest(F.size("embedding"), F.lit(0)))).first()[0] or 0
         pivots = min(PIVOTS, max(1, 4 * (values // VECTOR_VALUES)))
+    rows, meeting = good.select("id", "label", "x", F.size("x").alias("dim"), F.lit(0).alias("cell")), None
+    if pivots > 1:
+        (dealt, pairs), share = pivot_tiles(vectors, threshold, pivots)
+        rows, meeting = (dealt, frozenset(pairs)) if share <= 0.5 else (dealt.withColumn("cell", F.lit(0)), None)
+    width = 4 if rows.schema["x"].dataType.elementType.typeName() == "float" else 12
+    n = max(1, math.ceil(values * width / HELD), min(spark.sparkContext.defaultParallelism, math.ceil(different / CANDIDATES)))
+    classes = rows.groupBy("dim", "cell", "label", "x").agg(F.min("id").alias("id")).withColumn("own", F.pmod(F.xxhash64("x"), F.lit(n)).cast("int"))
+    held = classes.select(F.col("own").alias("group"), "dim", F.lit(0).alias("kind"), "cell", "label", "id", "x")
+    step = F.explode(F.sequence(F.lit(0), F.lit(n // 2)))
+    moved = classes.withColumn("step", step).select(F.pmod(F.col("own") + F.col("step"), F.lit(n)).cast("int").alias("group"), "dim", F.lit(1).alias("kind"), "cell", "label", "id", "x")
+    spread = held.union(moved).repartitionById(n, F.col("group")).sortWithinPartitions("dim", "kind", "cell", "label")
+    query_values, vector_values, query_rows, vector_rows = QUERY_VALUES, VECTOR_VALUES, QUERIES, CANDIDATES
+
+    def pieces(batches):
+        """(dim, kind, cell, x, ids, labels) of bounded pieces, none of which crosses a cell."""
+        at, parts, size = None, [], 0
+        for b in (b for b in batches if b.num_rows):
+            keys = np.stack([b.column(i).to_numpy() for i in (1, 2, 3)], axis=1)
+            cuts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
+            for s, e in zip(cuts, [*cuts[1:], b.num_rows], strict=True):
+                key = tuple(keys[s].tolist())
+                if key != at:
+                    if size:
+                        yield (*at, *map(np.concatenate, zip(*parts, strict=True)))
+                    at, parts, size = key, [], 0
+                    most = max(1, min(vector_rows, vector_values // key[0]) if key[1] == 0 else min(query_rows, query_values // key[0]))
+                x = b.column(6)[s:e].flatten().to_numpy(zero_copy_only=False).reshape(e - s, key[0])
+                ids, labels = (b.column(i)[s:e].to_numpy(zero_copy_only=False) for i in (5, 4))
+                j = 0
+                while j < e - s:
+                    k = min(e - s, j + most - size)
+                    parts.append((x[j:k].copy(), ids[j:k].copy(), labels[j:k].copy()))
+                    size, j = size + k - j, k
+                    if size == most:
+                        yield (*at, *map(np.concatenate, zip(*parts, strict=True)))
+                        parts, size = [], 0
+        if size:
+            yield (*at, *map(np.concatenate, zip(*parts, strict=True)))
 
     def run(batches):
         import pyarrow as pa
 
-        for b in batches:
-            for j in range(b.num_rows):
-                found = list(closest(Tile(b.column(0)[j].values, b.column(1)[j].values)))
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["label_a", "label_b", "id_a", "id_b", "score"])
-
-    if pivots > 1:
-        pairs = pivot_tiles(vectors, threshold, pivots)[0].mapInArrow(run, schema)
-    else:
-        pairs = in_tiles(vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label"), vectors, closest, schema)
+        of, tiles, best = None, [], {}
+        for dim, kind, cell, x, ids, labels in pieces(batches):
+            if dim != of:
+                of, tiles = dim, []
+            if kind == 0:
+                tiles.append((cell, Tile(x, np.ones(len(x), "i8"), ids, labels)))
+            else:
+                q = Block(x)
+                for other, t in tiles:
+                    if meeting is None or (dim, cell, other) in meeting:
+                        closest(q, ids, labels, t, threshold, best)
+        if best:
+            found = [(*key, *pair) for key, pair in best.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*found, strict=True)], names=["label_a", "label_b", "score", "id_a", "id_b"])
+
+    pairs = spread.mapInArrow(run, "label_a long, label_b long, score double, id_a long, id_b long")
     best = pairs.groupBy("label_a", "label_b").agg(F.max(F.struct("score", (-F.col("id_a")).alias("a"), (-F.col("id_b")).alias("b"))).alias("m"))
     return best.filter(F.col("m.score") >= threshold).select("label_a", "label_b", (-F.col("m.a")).alias("id_a"), (-F.col("m.b")).alias("id_b"), F.col("m.score").alias("score"))
 
 
-def closest(t: Tile):
-    """(label, label, id, id, score) of the closest pair of each two labels in a tile; rows without a label have none."""
-    places = {label: np.flatnonzero(t.labels == label) for label in np.unique(t.labels)}
-    for x in np.unique(t.q_labels):
-        rows = np.flatnonzero(t.q_labels == x)
-        for y, at in places.items():
-            if x < y:
-                part = t.scores[np.ix_(rows, at)]
-                i, j = np.nonzero(part >= part.max() - NEAR)
-                best = min((-float(t.exact(rows[a], at[[b]])[0]), int(t.q_ids[rows[a]]), int(t.ids[at[b]])) for a, b in zip(i, j, strict=True))
-                yield int(x), int(y), best[1], best[2], -best[0]
+def closest(q: Block, ids: np.ndarray, labels: np.ndarray, t: Tile, threshold: float, best: dict) -> None:
+    """Put the closest pair (score, id, id) of each two labels of a block and a tile, both sorted by label, into ``best``, if it reaches the threshold."""
+    found, odd = t.products(q, None), bool(q.odd.any() or t.odd.any())
+    edges = np.flatnonzero(np.r_[True, labels[1:] != labels[:-1]])
+    few = len(edges) * len(t.edges) <= 256
+    names = [(min(x, y), max(x, y)) for x in labels[edges].tolist() for y in t.label[t.edges].tolist()] if few else []
+    # Mostly nothing of a tile comes near to the best pairs so far.
+    if few and not odd and float(found.max()) < min((best[n][0] if n in best else threshold for n in names if n[0] != n[1]), default=math.inf) - t.slack:
+        return
+    top = np.maximum.reduceat(np.maximum.reduceat(found, t.edges, axis=1), edges, axis=0).astype("f8")
+    if odd:
+        top[:] = np.inf
+    ends, stops = np.r_[edges[1:], len(labels)], np.r_[t.edges[1:], len(t.label)]
+    for i, j in zip(*np.nonzero(top >= threshold - t.slack), strict=True):
+        x, y = int(labels[edges[i]]), int(t.label[t.edges[j]])
+        key, low = (min(x, y), max(x, y)), threshold
+        if key in best:
+            low = best[key][0]
+        if x == y or top[i, j] < low - t.slack:
+            continue
+        part = found[edges[i] : ends[i], t.edges[j] : stops[j]]
+        least = -np.inf if odd else max(low - t.slack, top[i, j] - 2 * t.slack)
+        rows, cols = np.nonzero(part >= np.nextafter(np.array(least, part.dtype), np.array(-np.inf, part.dtype)))
+        rows, cols = rows + edges[i], cols + t.edges[j]
+        step = max(1, PAIR_VALUES // t.coded.shape[0])
+        for s in range(0, len(rows), step):
+            a, c = rows[s : s + step], cols[s : s + step]
+            score = t.exact(q, a, c)
+            good = np.isfinite(score) & (score >= threshold)
+            if good.any():
+                score, mine, other = score[good], ids[a[good]], t.ids[c[good]]
+                first, second = (mine, other) if x < y else (other, mine)
+                k = np.lexsort((second, first, -score))[0]
+                pair = (float(score[k]), int(first[k]), int(second[k]))
+                if key not in best or (pair[0], -pair[1], -pair[2]) > (best[key][0], -best[key][1], -best[key][2]):
+                    best[key] = pair
 
 
 def relation_threshold(same_sub_topic: Column, same_topic: Column) -> Column:
