@@ -15,6 +15,7 @@ from verdigris.plans import registry
 #: Queries that the bound is tested on: 4,000 queries by 40,000 vectors have 1.28 GB of scores.
 NAMES = [
     "e14_filter_after_overfetch",
+    "e15_context_search",
 ]
 
 
