@@ -16,6 +16,7 @@ from verdigris.plans import registry
 NAMES = [
     "e14_filter_after_overfetch",
     "e15_context_search",
+    "e16_demotion",
 ]
 
 
