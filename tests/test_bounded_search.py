@@ -17,6 +17,7 @@ NAMES = [
     "e14_filter_after_overfetch",
     "e15_context_search",
     "e16_demotion",
+    "e17_pattern_match",
 ]
 
 
