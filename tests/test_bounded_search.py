@@ -18,6 +18,7 @@ NAMES = [
     "e15_context_search",
     "e16_demotion",
     "e17_pattern_match",
+    "e19_conflict_resolution",
 ]
 
 
