@@ -19,6 +19,7 @@ NAMES = [
     "e16_demotion",
     "e17_pattern_match",
     "e19_conflict_resolution",
+    "e19_conflicts_with_context",
 ]
 
 
