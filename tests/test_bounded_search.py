@@ -20,6 +20,7 @@ NAMES = [
     "e17_pattern_match",
     "e19_conflict_resolution",
     "e19_conflicts_with_context",
+    "e1_top_k",
 ]
 
 
