@@ -21,6 +21,7 @@ NAMES = [
     "e19_conflict_resolution",
     "e19_conflicts_with_context",
     "e1_top_k",
+    "e22_knn_vote",
 ]
 
 
