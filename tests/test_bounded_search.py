@@ -22,6 +22,7 @@ NAMES = [
     "e19_conflicts_with_context",
     "e1_top_k",
     "e22_knn_vote",
+    "e21_semantic_pattern_search",
 ]
 
 
