@@ -23,6 +23,7 @@ NAMES = [
     "e1_top_k",
     "e22_knn_vote",
     "e21_semantic_pattern_search",
+    "e26_supplementary_lookup",
 ]
 
 
