@@ -24,6 +24,7 @@ NAMES = [
     "e22_knn_vote",
     "e21_semantic_pattern_search",
     "e26_supplementary_lookup",
+    "e25_tiered_selection",
 ]
 
 
