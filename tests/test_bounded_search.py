@@ -25,6 +25,7 @@ NAMES = [
     "e21_semantic_pattern_search",
     "e26_supplementary_lookup",
     "e25_tiered_selection",
+    "e2_retrieval_sufficiency",
 ]
 
 
