@@ -26,6 +26,7 @@ NAMES = [
     "e26_supplementary_lookup",
     "e25_tiered_selection",
     "e2_retrieval_sufficiency",
+    "e3_clipped_search",
 ]
 
 
