@@ -27,6 +27,7 @@ NAMES = [
     "e25_tiered_selection",
     "e2_retrieval_sufficiency",
     "e3_clipped_search",
+    "e6_sufficiency_score",
 ]
 
 
