@@ -28,6 +28,7 @@ NAMES = [
     "e2_retrieval_sufficiency",
     "e3_clipped_search",
     "e6_sufficiency_score",
+    "e5_recall_of_approximate_search",
 ]
 
 
