@@ -29,6 +29,7 @@ NAMES = [
     "e3_clipped_search",
     "e6_sufficiency_score",
     "e5_recall_of_approximate_search",
+    "j1_candidate_conflict",
 ]
 
 
