@@ -30,6 +30,7 @@ NAMES = [
     "e6_sufficiency_score",
     "e5_recall_of_approximate_search",
     "j1_candidate_conflict",
+    "e7_curated_search",
 ]
 
 
