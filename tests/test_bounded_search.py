@@ -31,6 +31,7 @@ NAMES = [
     "e5_recall_of_approximate_search",
     "j1_candidate_conflict",
     "e7_curated_search",
+    "j2_pattern_conflicts",
 ]
 
 
