@@ -32,6 +32,7 @@ NAMES = [
     "j1_candidate_conflict",
     "e7_curated_search",
     "j2_pattern_conflicts",
+    "j4_variant_gate",
 ]
 
 
