@@ -33,6 +33,7 @@ NAMES = [
     "e7_curated_search",
     "j2_pattern_conflicts",
     "j4_variant_gate",
+    "j5_two_gates",
 ]
 
 
