@@ -34,6 +34,7 @@ NAMES = [
     "j2_pattern_conflicts",
     "j4_variant_gate",
     "j5_two_gates",
+    "n4_strict_labels",
 ]
 
 
