@@ -90,3 +90,15 @@ def test_pruned_files_lose_no_row(spark, tmp_path):
     df.limit(0).write.parquet(none)
     side_index.build(spark, none, ["v"], f"{none}-index")
     assert side_index.rows_of(spark, none, f"{none}-index", "v", keys).count() == 0
+
+
+def test_full_blocks_are_decoded_in_one_pass(spark):
+    """Twenty full blocks; copying the list for each document would take minutes."""
+    import time
+
+    n = P.BLOCK
+    lists = spark.range(20).select((F.col("id") * n).alias("first"), F.array_repeat(F.lit(1), n - 1).alias("gaps"))
+    began = time.time()
+    d = lists.select(P.documents_of(F.col("first"), F.col("gaps")).alias("d")).select(F.size("d").alias("n"), F.get("d", 0).alias("a"), F.get("d", n - 1).alias("z")).collect()
+    assert sorted((r.n, r.a, r.z) for r in d) == [(n, k * n, k * n + n - 1) for k in range(20)]
+    assert time.time() - began < 15
