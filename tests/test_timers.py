@@ -63,3 +63,58 @@ def test_queue_drops_the_oldest(session, tmp_path):
     parts = [[("a", k, 600 if k % 2 else 512) for k in range(10)], [("a", 20, 9999), ("b", 1, 10)]]
     got = sorted((r.key, r.waiting, r.first, r.dropped) for r in ran(timers.queue(batches(session, tmp_path, parts, "key string, id long, size long"), 512, 4), tmp_path, "update"))
     assert got == [("a", 4, 3, 1), ("a", 4, 5, 2), ("b", 0, -1, 0)]
+
+
+class Handle:
+    """A state in memory that counts timers."""
+
+    def __init__(self):
+        self.rows, self.timers = [], []
+
+    def getListState(self, name, schema):  # noqa: N802
+        return self
+
+    def registerTimer(self, at):  # noqa: N802
+        self.timers.append(at)
+
+    def get(self):
+        return iter(self.rows)
+
+    def put(self, rows):
+        self.rows = rows
+
+    def clear(self):
+        self.rows = []
+
+
+class Now:
+    def __init__(self, at):
+        self.at = at
+
+    def getCurrentWatermarkInMs(self):  # noqa: N802
+        return self.at
+
+    getExpiryTimeInMs = getCurrentWatermarkInMs  # noqa: N815
+
+
+@pytest.mark.parametrize("kind", [lambda: timers.Quiet(3), lambda: timers.Ring(3, 8)], ids=["t2_bursts", "t1_ring"])
+def test_a_shard_has_one_timer_for_all_its_users(kind):
+    import pandas as pd
+
+    rows = pd.DataFrame([(u, 1_000_000 + 10_000 * k, k, "view", at(1000 + 10 * k)) for u in range(50) for k in range(20)], columns=["user_id", "at", "event_id", "judgment", "ts"])
+    handle, processor = Handle(), kind()
+    processor.init(handle)
+    list(processor.handleInputRows((7,), iter([rows[:600], rows[600:]]), Now(0)))
+    assert len(handle.timers) == 1
+    told = pd.concat(processor.handleExpiredTimer((7,), Now(1_500_000), Now(handle.timers[0])))
+    assert len(told) == (1000 if isinstance(processor, timers.Quiet) else 50) and not handle.rows and len(handle.timers) == 1
+
+
+def test_late_events_join_bursts_and_nobody_is_a_user(session, tmp_path):
+    """An event between two open bursts makes them one; events without a user are those of one user."""
+    schema = "user_id long, ts timestamp"
+    big = 2**60 + 1
+    parts = [[(1, at(10)), (big, at(20))], [(1, at(14)), (big, at(30)), (None, at(30))], [(1, at(34)), (None, at(31)), (None, at(33)), (1, at(12))], [(9, at(99))], [(9, at(200))]]
+    got = sorted((r.user_id or 0, r.first, r.last, r.n) for r in ran(timers.bursts(batches(session, tmp_path, parts, schema), "60 seconds", 3), tmp_path, "append"))
+    m = millis
+    assert got == [(0, m(30), m(33), 3), (1, m(10), m(14), 3), (1, m(34), m(34), 1), (9, m(99), m(99), 1), (big, m(20), m(20), 1), (big, m(30), m(30), 1)]

@@ -1,16 +1,20 @@
 """Stateful streams with timers: quarantine ring, deferred queue and debounced rebuilds.
 
-State is a list of entries for each key; a timer at the time an entry or a quiet period ends
-makes the key's row change without a further event of that key, once the watermark is past it.
-Rows of a key come in any order within the watermark's delay. The session needs the RocksDB
-state store, which ``with_timers`` sets.
+State is a list of entries; a timer at the time an entry or a quiet period ends makes a user's
+row change without a further event of that user, once the watermark is past it. Rows of a user
+come in any order within the watermark's delay. Rings and bursts keep the users of a shard (by
+hash) in one state with one timer, the earliest, since a call and its timers cost the same for
+one user as for hundreds; what a shard holds is computed in whole columns. The session needs the
+RocksDB state store, which ``with_timers`` sets.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from verdigris.session import ship
@@ -18,6 +22,8 @@ from verdigris.session import ship
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Judgments that a quarantine entry may bear; others count as rejected.
 KINDS = ("click", "view", "purchase")
+#: Shards of the users. Those without an id have one of their own, NOBODY, so that ids stay whole numbers.
+SHARDS, NOBODY = 1024, -1
 
 
 def with_timers(spark: SparkSession) -> SparkSession:
@@ -26,48 +32,87 @@ def with_timers(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def _millis(ts) -> int:
+def sharded(events: DataFrame, late: str, shards: int) -> DataFrame:
+    """The events with a watermark, their time in milliseconds (at) and the user's shard."""
+    shard = F.when(F.col("user_id").isNull(), NOBODY).otherwise(F.pmod(F.xxhash64("user_id"), F.lit(shards)).cast("int"))
+    return events.withWatermark("ts", late).withColumns({"at": F.unix_millis("ts"), "shard": shard, "user_id": F.coalesce("user_id", F.lit(0)).cast("long")})
+
+
+def _rows(state, columns: dict[str, str]):
+    """The entries of a list state as a frame of typed columns."""
+    import pandas as pd
+
+    return pd.DataFrame([tuple(e) for e in state.get()], columns=list(columns)).astype(columns)
+
+
+def _put(state, frame) -> None:
+    if len(frame):
+        state.put(list(zip(*(frame[c].tolist() for c in frame.columns), strict=True)))
+    else:
+        state.clear()
+
+
+def _told(key, frame):
+    """What is given out: the users of the shard without ids have none."""
     import pandas as pd
 
-    return int(pd.Timestamp(ts).value // 1_000_000)
+    return frame if key[0] != NOBODY else frame.assign(user_id=pd.array([None] * len(frame), "Int64"))
+
+
+def _edges(*columns: np.ndarray) -> np.ndarray:
+    """Where a row differs from the one before."""
+    n = len(columns[0])
+    return np.flatnonzero(np.r_[n > 0, np.any([c[1:] != c[:-1] for c in columns], axis=0)]) if n else np.zeros(0, "i8")
 
 
 class Ring(StatefulProcessor):
-    """The latest entries of a key with a time to live: (user_id, at, kept, has_rejected) at each change.
+    """The latest entries of a user with a time to live: (user_id, at, kept, has_rejected) at each change.
 
     An entry has expired when it is older than the time to live, strictly; then a timer prunes it.
     """
 
+    COLUMNS = {"user_id": "int64", "at": "int64", "id": "int64", "judgment": "object"}
+
     def __init__(self, ttl_seconds: int, most: int):
         self.ttl, self.most = 1000 * ttl_seconds, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getListState("entries", "at long, id long, judgment string")
+        self.entries = handle.getListState("entries", "user_id long, at long, id long, judgment string")
 
     def handleInputRows(self, key, rows: Iterator, timerValues: TimerValues) -> Iterator:  # noqa: N802
-        ring, new = [tuple(e) for e in self.entries.get()], []
-        for part in rows:
-            new += [(_millis(t), int(i), j if j in KINDS else "rejected") for t, i, j in zip(part["ts"], part["event_id"], part["judgment"], strict=True)]
-        now = max(r[0] for r in ring + new)
-        for entry in new:
-            # One millisecond beyond its time to live; a batch may span many of them.
-            if now - entry[0] <= self.ttl:
-                self.handle.registerTimer(entry[0] + self.ttl + 1)
-        yield from self._put(key, ring + new, now)
+        import pandas as pd
 
-    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator:  # noqa: N802
-        yield from self._put(key, [tuple(e) for e in self.entries.get()], expiredTimerInfo.getExpiryTimeInMs())
+        new = pd.concat([part[["user_id", "at", "event_id", "judgment"]] for part in rows]).rename(columns={"event_id": "id"})
+        new["judgment"] = new["judgment"].where(new["judgment"].isin(KINDS), "rejected")
+        held = _rows(self.entries, self.COLUMNS)
+        touched = held["user_id"].isin(new["user_id"])
+        ring = pd.concat([held[touched], new.astype(self.COLUMNS)]).sort_values(["user_id", "at", "id", "judgment"], ignore_index=True)
+        now = ring.groupby("user_id")["at"].transform("max")
+        ring = ring[now - ring["at"] <= self.ttl].groupby("user_id").tail(self.most)
+        self._wait(pd.concat([held[~touched], ring]))
+        told = ring.assign(has_rejected=ring["judgment"] == "rejected").groupby("user_id", as_index=False).agg(at=("at", "max"), kept=("at", "size"), has_rejected=("has_rejected", "any"))
+        yield _told(key, told)
 
-    def _put(self, key, ring: list, now: int) -> Iterator:
+    def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator:  # noqa: N802
         import pandas as pd
 
-        ring = sorted(r for r in ring if now - r[0] <= self.ttl)[-self.most :]
-        if ring:
-            self.entries.put(ring)
-        else:
-            self.entries.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "at": [now], "kept": [len(ring)], "has_rejected": [any(r[2] == "rejected" for r in ring)]})
+        ring = _rows(self.entries, self.COLUMNS).sort_values(["user_id", "at", "id"], ignore_index=True)
+        over = (ring["at"] + self.ttl + 1 <= timerValues.getCurrentWatermarkInMs()).to_numpy()
+        users, at, rejected = ring["user_id"].to_numpy(), ring["at"].to_numpy(), (ring["judgment"] == "rejected").to_numpy()
+        # After the last entry of a user and time has gone, the user's later ones are left.
+        ends, total = np.r_[_edges(users, at)[1:], len(at)] - 1, np.cumsum(rejected)
+        ends = ends[over[ends]] if len(at) else ends[:0]
+        last = np.searchsorted(users, users[ends], "right") - 1
+        told = pd.DataFrame({"user_id": users[ends], "at": at[ends] + self.ttl + 1, "kept": last - ends, "has_rejected": total[last] > total[ends]})
+        self._wait(ring[~over])
+        yield _told(key, told)
+
+    def _wait(self, ring) -> None:
+        _put(self.entries, ring)
+        if len(ring):
+            # One millisecond beyond its time to live.
+            self.handle.registerTimer(int(ring["at"].min()) + self.ttl + 1)
 
     def close(self) -> None:
         pass
@@ -103,54 +148,51 @@ class Queue(StatefulProcessor):
 
 
 class Quiet(StatefulProcessor):
-    """One row for each burst of a key's events, when nothing has come for the quiet period."""
+    """One row for each burst of a user's events, when nothing has come for the quiet period.
+
+    Open bursts are held as their ends and their number of events; an event within the quiet
+    period of a burst joins it, and may join two to one.
+    """
+
+    COLUMNS = {"user_id": "int64", "first": "int64", "last": "int64", "n": "int64"}
 
     def __init__(self, quiet_seconds: int):
         self.quiet = 1000 * quiet_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.times = handle.getListState("times", "at long")
+        self.open = handle.getListState("open", "user_id long, first long, last long, n long")
 
     def handleInputRows(self, key, rows: Iterator, timerValues: TimerValues) -> Iterator:  # noqa: N802
         import pandas as pd
 
-        times = [t[0] for t in self.times.get()]
-        for part in rows:
-            times += [_millis(t) for t in part["ts"]]
-        self._wait(sorted(times))
-        return iter([pd.DataFrame({"user_id": [], "first": [], "last": [], "n": []}).astype("int64")])
+        new = [pd.DataFrame({"user_id": part["user_id"], "first": part["at"], "last": part["at"], "n": 1}) for part in rows]
+        held = pd.concat([_rows(self.open, self.COLUMNS), *new]).sort_values(["user_id", "first"], ignore_index=True)
+        user, first = held["user_id"].to_numpy(), held["first"].to_numpy()
+        upto = held.groupby("user_id")["last"].cummax().to_numpy()
+        starts = np.flatnonzero(np.r_[True, (user[1:] != user[:-1]) | (first[1:] - upto[:-1] >= self.quiet)])
+        self._wait(pd.DataFrame({"user_id": user[starts], "first": first[starts], "last": np.maximum.reduceat(upto, starts), "n": np.add.reduceat(held["n"].to_numpy(), starts)}))
+        return iter([_told(key, held[:0])])
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator:  # noqa: N802
-        import pandas as pd
+        held = _rows(self.open, self.COLUMNS)
+        over = held["last"] + self.quiet <= timerValues.getCurrentWatermarkInMs()
+        self._wait(held[~over])
+        yield _told(key, held[over])
 
-        times, now, done = sorted(t[0] for t in self.times.get()), expiredTimerInfo.getExpiryTimeInMs(), []
-        while times:
-            n = next((k for k in range(1, len(times)) if times[k] - times[k - 1] >= self.quiet), len(times))
-            if times[n - 1] + self.quiet > now:
-                break
-            done.append((key[0], times[0], times[n - 1], n))
-            times = times[n:]
-        self._wait(times)
-        yield pd.DataFrame(done, columns=["user_id", "first", "last", "n"]).astype("int64")
-
-    def _wait(self, times: list[int]) -> None:
-        if not times:
-            self.times.clear()
-            return
-        self.times.put([(t,) for t in times])
-        for k, t in enumerate(times):
-            if k + 1 == len(times) or times[k + 1] - t >= self.quiet:
-                self.handle.registerTimer(t + self.quiet)
+    def _wait(self, held) -> None:
+        _put(self.open, held)
+        if len(held):
+            self.handle.registerTimer(int(held["last"].min()) + self.quiet)
 
     def close(self) -> None:
         pass
 
 
-def ring(events: DataFrame, late: str, ttl_seconds: int = 900, most: int = 128) -> DataFrame:
+def ring(events: DataFrame, late: str, ttl_seconds: int = 900, most: int = 128, shards: int = SHARDS) -> DataFrame:
     """Quarantine rings of (user_id, event_id, ts, judgment)."""
     ship(events.sparkSession)
-    keyed = events.withWatermark("ts", late).groupBy("user_id")
+    keyed = sharded(events, late, shards).groupBy("shard")
     return keyed.transformWithStateInPandas(Ring(ttl_seconds, most), "user_id long, at long, kept long, has_rejected boolean", "Update", "EventTime")
 
 
@@ -160,8 +202,8 @@ def queue(items: DataFrame, defer_above: int = 512, most: int = 256) -> DataFram
     return items.groupBy("key").transformWithStateInPandas(Queue(defer_above, most), "key string, waiting long, first long, dropped long", "Update", "None")
 
 
-def bursts(events: DataFrame, late: str, quiet_seconds: int = 3) -> DataFrame:
+def bursts(events: DataFrame, late: str, quiet_seconds: int = 3, shards: int = SHARDS) -> DataFrame:
     """(user_id, first, last, n) of each burst of (user_id, ts), in milliseconds, once it is over."""
     ship(events.sparkSession)
-    keyed = events.withWatermark("ts", late).groupBy("user_id")
+    keyed = sharded(events, late, shards).groupBy("shard")
     return keyed.transformWithStateInPandas(Quiet(quiet_seconds), "user_id long, first long, last long, n long", "Append", "EventTime")
