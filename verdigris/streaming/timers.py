@@ -24,6 +24,8 @@ STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 KINDS = ("click", "view", "purchase")
 #: Shards of the users. Those without an id have one of their own, NOBODY, so that ids stay whole numbers.
 SHARDS, NOBODY = 1024, -1
+#: Entries of a packed piece of state.
+PIECE = 1 << 15
 
 
 def with_timers(spark: SparkSession) -> SparkSession:
@@ -38,16 +40,19 @@ def sharded(events: DataFrame, late: str, shards: int) -> DataFrame:
     return events.withWatermark("ts", late).withColumns({"at": F.unix_millis("ts"), "shard": shard, "user_id": F.coalesce("user_id", F.lit(0)).cast("long")})
 
 
-def _rows(state, columns: dict[str, str]):
-    """The entries of a list state as a frame of typed columns."""
+def _rows(state, columns: tuple[str, ...]):
+    """The entries of a list state as a frame of whole numbers."""
     import pandas as pd
 
-    return pd.DataFrame([tuple(e) for e in state.get()], columns=list(columns)).astype(columns)
+    pieces = [np.frombuffer(bytes(e[0]), "<i8").reshape(len(columns), -1) for e in state.get()]
+    return pd.DataFrame(dict(zip(columns, np.concatenate([np.zeros((len(columns), 0), "<i8"), *pieces], axis=1), strict=True)))
 
 
-def _put(state, frame) -> None:
+def _put(state, frame, columns: tuple[str, ...]) -> None:
+    """Hold a frame as packed columns of at most PIECE entries, since each row of a state costs a conversion."""
     if len(frame):
-        state.put(list(zip(*(frame[c].tolist() for c in frame.columns), strict=True)))
+        whole = frame[list(columns)].to_numpy("<i8").T
+        state.put([(np.ascontiguousarray(whole[:, k : k + PIECE]).tobytes(),) for k in range(0, len(frame), PIECE)])
     else:
         state.clear()
 
@@ -71,27 +76,27 @@ class Ring(StatefulProcessor):
     An entry has expired when it is older than the time to live, strictly; then a timer prunes it.
     """
 
-    COLUMNS = {"user_id": "int64", "at": "int64", "id": "int64", "judgment": "object"}
+    COLUMNS = ("user_id", "at", "id", "rejected")
 
     def __init__(self, ttl_seconds: int, most: int):
         self.ttl, self.most = 1000 * ttl_seconds, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entries = handle.getListState("entries", "user_id long, at long, id long, judgment string")
+        self.entries = handle.getListState("entries", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator, timerValues: TimerValues) -> Iterator:  # noqa: N802
         import pandas as pd
 
         new = pd.concat([part[["user_id", "at", "event_id", "judgment"]] for part in rows]).rename(columns={"event_id": "id"})
-        new["judgment"] = new["judgment"].where(new["judgment"].isin(KINDS), "rejected")
+        new["rejected"] = ~new["judgment"].isin(KINDS)
         held = _rows(self.entries, self.COLUMNS)
         touched = held["user_id"].isin(new["user_id"])
-        ring = pd.concat([held[touched], new.astype(self.COLUMNS)]).sort_values(["user_id", "at", "id", "judgment"], ignore_index=True)
+        ring = pd.concat([held[touched], new[list(self.COLUMNS)].astype("int64")]).sort_values(list(self.COLUMNS), ignore_index=True)
         now = ring.groupby("user_id")["at"].transform("max")
         ring = ring[now - ring["at"] <= self.ttl].groupby("user_id").tail(self.most)
         self._wait(pd.concat([held[~touched], ring]))
-        told = ring.assign(has_rejected=ring["judgment"] == "rejected").groupby("user_id", as_index=False).agg(at=("at", "max"), kept=("at", "size"), has_rejected=("has_rejected", "any"))
+        told = ring.groupby("user_id", as_index=False).agg(at=("at", "max"), kept=("at", "size"), has_rejected=("rejected", "any"))
         yield _told(key, told)
 
     def handleExpiredTimer(self, key, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator:  # noqa: N802
@@ -99,7 +104,7 @@ class Ring(StatefulProcessor):
 
         ring = _rows(self.entries, self.COLUMNS).sort_values(["user_id", "at", "id"], ignore_index=True)
         over = (ring["at"] + self.ttl + 1 <= timerValues.getCurrentWatermarkInMs()).to_numpy()
-        users, at, rejected = ring["user_id"].to_numpy(), ring["at"].to_numpy(), (ring["judgment"] == "rejected").to_numpy()
+        users, at, rejected = ring["user_id"].to_numpy(), ring["at"].to_numpy(), ring["rejected"].to_numpy()
         # After the last entry of a user and time has gone, the user's later ones are left.
         ends, total = np.r_[_edges(users, at)[1:], len(at)] - 1, np.cumsum(rejected)
         ends = ends[over[ends]] if len(at) else ends[:0]
@@ -109,7 +114,7 @@ class Ring(StatefulProcessor):
         yield _told(key, told)
 
     def _wait(self, ring) -> None:
-        _put(self.entries, ring)
+        _put(self.entries, ring, self.COLUMNS)
         if len(ring):
             # One millisecond beyond its time to live.
             self.handle.registerTimer(int(ring["at"].min()) + self.ttl + 1)
@@ -154,14 +159,14 @@ class Quiet(StatefulProcessor):
     period of a burst joins it, and may join two to one.
     """
 
-    COLUMNS = {"user_id": "int64", "first": "int64", "last": "int64", "n": "int64"}
+    COLUMNS = ("user_id", "first", "last", "n")
 
     def __init__(self, quiet_seconds: int):
         self.quiet = 1000 * quiet_seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getListState("open", "user_id long, first long, last long, n long")
+        self.open = handle.getListState("open", "packed binary")
 
     def handleInputRows(self, key, rows: Iterator, timerValues: TimerValues) -> Iterator:  # noqa: N802
         import pandas as pd
@@ -181,7 +186,7 @@ class Quiet(StatefulProcessor):
         yield _told(key, held[over])
 
     def _wait(self, held) -> None:
-        _put(self.open, held)
+        _put(self.open, held, self.COLUMNS)
         if len(held):
             self.handle.registerTimer(int(held["last"].min()) + self.quiet)
 
